@@ -206,6 +206,10 @@ class BytePairEncoder:
         return b"".join(map(self.token.__getitem__, ids))
 
 
+def _int_array(ids: list[int]) -> np.ndarray:
+    return np.array(ids, dtype=np.int32)
+
+
 _encoders: dict[tuple[str, str], BytePairEncoder] = {}
 
 
@@ -224,7 +228,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         enc = encoder(ranks_path, pattern)
         for pdf in batches:
             texts = pdf["text"].fillna("").tolist()
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": pd.Series([np.array(x, dtype=np.int32) for x in enc.encode_batch(texts)], dtype=object)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": pd.Series(list(map(_int_array, enc.encode_batch(texts))), dtype=object)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids array<int>")
 
@@ -240,6 +244,20 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, bytes binary")
 
 
+def encode_checked(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id, ids, n_tokens, round_trip (whether the decoded ids are the text's bytes)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = encoder(ranks_path, pattern)
+        for pdf in batches:
+            texts = pdf["text"].fillna("").tolist()
+            ids = list(map(_int_array, enc.encode_batch(texts)))
+            same = [enc.decode(x.tolist()) == t.encode("utf-8", "replace") for x, t in zip(ids, texts, strict=True)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": pd.Series(ids, dtype=object), "n_tokens": [len(x) for x in ids], "round_trip": same})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
+
+
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: both ways in one pass, so that no id leaves Python."""
 
