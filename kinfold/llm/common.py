@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +41,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage: a table written once in the shared folder and read back, so that lost executors cost no more
+    than their own tasks and the planner knows its size."""
+    spark = df.sparkSession
+    out = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """Marked for broadcast if it has at most so many rows, as counted; else as it is, for a shuffled join. df should be cheap to
+    count, such as one that cut() returned."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
