@@ -64,7 +64,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = F.xxhash64(F.coalesce("text", F.lit(""))).alias("own")  # tells rows of one id apart
     items = benchmark.select("item_id", tokens(F.col("text")).alias("item")).where(F.size("item") >= 5)
     test = cut(items.select("item_id", F.xxhash64("item").alias("item_own"), F.explode(seeds(F.col("item"))).alias("s")).select("item_id", "item_own", "s.hash", F.col("s.pos").alias("item_pos")).distinct())
-    train = docs.select("doc_id", own, let(tokens(F.col("text")), seeds).alias("s")).select("doc_id", "own", F.explode("s").alias("s")).select("doc_id", "own", "s.hash", F.col("s.pos").alias("pos"))
+    train = docs.select("doc_id", own, let(tokens(F.col("text")), lambda w: seeds(w)).alias("s")).select("doc_id", "own", F.explode("s").alias("s")).select("doc_id", "own", "s.hash", F.col("s.pos").alias("pos"))
     hits = train.join(small(test, MAX_SEEDS), "hash").select("doc_id", "own", "item_id", "item_own", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
     hits = small(cut(hits), MAX_HITS)
     texts = docs.select("doc_id", own, "text").distinct()
@@ -84,3 +84,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"))
     joined = own.join(found, (own["own"] == found["own"]) & own["doc_id"].eqNullSafe(found["doc_id"]), "left")
     return joined.select(own["doc_id"], own["own"], F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that hold no item."""
+    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("own").alias("_own")).distinct()
+    found = small(cut(found), MAX_HITS)
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_own"))
+    return docs.join(found, same, "left_anti")

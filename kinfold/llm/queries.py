@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, rules, secrets, simhash
-from .common import table
+from . import bpe, decontaminate, html_text, lines, rules, secrets, simhash, toxicity
+from .common import held_out, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = held_out(F.col("doc_id"), 5, 0)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.where(~held)))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "margin", "n_toxic")
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.main_text(pages, html_text.fit(html_text.known_text(pages, table(spark, sf_dir, "documents"))))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.apply_rules(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
@@ -25,11 +38,22 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_dropped and the hash and length of what is left of each text."""
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_dropped", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "contaminated", "n_items", F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     _, findings = secrets.scan(docs)
     return secrets.digests(secrets.by_path(docs, findings))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_simhash, op6_bpe, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_main_text, op3_quality_rules, op5_simhash, op6_bpe, op7_line_dedup, op8_decontamination, op9_secrets)}
 ORACLE_SQL: dict[str, str] = {}

@@ -34,10 +34,12 @@ ORDER, MAX_GAP, DECAY = 4, 2, 0.5
 #: characters of distinct words reach the driver.
 MAX_FIT_DOCS = 6_000
 LANDMARKS, ROUNDS = 160, 4
+#: Margins further out count as these: the machine aims at -1 and 1.
+LOW, HIGH = -1.5, 1.0
 #: Words whose scores one Python worker keeps; emptied when full.
 CACHE_WORDS = 300_000
-#: Longer words are cut into overlapping parts of so many letters.
-MAX_WORD = 40
+#: Longer words count as overlapping parts of so many characters.
+MAX_WORD, OVERLAP = 40, 12
 
 _BITS = 5
 _STEPS = [(a, b, c) for a in range(1, MAX_GAP + 2) for b in range(1, MAX_GAP + 2) for c in range(1, MAX_GAP + 2) if a + b + c <= ORDER - 1 + MAX_GAP]
@@ -70,18 +72,21 @@ def segments(text: str | None) -> set[str]:
     out = set(t.split())
     for m in _spelled.finditer(t):
         out.add("".join(ch for ch in m.group() if ch.isalpha()))
+    if out and max(map(len, out)) > MAX_WORD:
+        for w in [w for w in out if len(w) > MAX_WORD]:
+            out.remove(w)
+            out.update(w[i : i + MAX_WORD] for i in range(0, len(w) - OVERLAP, MAX_WORD - OVERLAP))
     return out
 
 
 def _fold(word: str) -> list[int]:
-    got = [c for c in map(_codes.__getitem__, word.translate(_FOLD)) if c]
-    return got
+    return [c for c in map(_codes.__getitem__, word.translate(_FOLD)) if c]
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, code, value, norm): the kernel's explicit features of each word, equal codes of a word summed; row is the
-    part's number, and the fifth of long words' parts share their word (see part_of)."""
-    coded = [[_EDGE, *_fold(w)[:MAX_WORD], _EDGE] for w in words]
+    """(row, code, value, norm): the kernel's explicit features of each word, equal codes of a word summed, and the
+    length of its feature vector."""
+    coded = [[_EDGE, *_fold(w), _EDGE] for w in words]
     length = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
     flat = np.fromiter((c for w in coded for c in w), dtype=np.int64, count=int(length.sum()))
     owner = np.repeat(np.arange(len(coded)), length)
@@ -169,6 +174,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     return w
 
 
+def _variants(word: str, rng: np.random.Generator, n: int = 6) -> list[str]:
+    letters = "".join(ch for ch in word if ch.isalpha())
+    out = []
+    for _ in range(n if len(letters) > 3 else 0):
+        at = int(rng.integers(1, len(letters)))
+        out.append(letters[:at] + (letters[at] if rng.random() < 0.5 else chr(97 + int(rng.integers(26)))) + letters[at:])
+    return out
+
+
 def train(bags: list[tuple[list[str], int]], seed: int = 7) -> Model:
     """bags: the distinct words of each labelled document and its label."""
     y = np.array([b for _, b in bags], dtype=float)
@@ -219,14 +233,19 @@ def train(bags: list[tuple[list[str], int]], seed: int = 7) -> Model:
         k_ll = _kernel(marks, marks)
         values, vectors = np.linalg.eigh(k_ll + 1e-6 * np.eye(len(marks)))
         root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-        w = _newton(_kernel([vocabulary[i] for i in picked], marks) @ root, target, weight)
+        # recurring witnesses also with a letter inserted or doubled, unless that makes a harmless word of the sample
+        varied = [v for i in witness[:60] if seen[i] >= 3 for v in _variants(vocabulary[i], rng) if v not in number]
+        if varied:
+            target = np.concatenate([target, np.ones(len(varied))])
+            weight = np.concatenate([weight, np.full(len(varied), 0.06 * len(picked) / len(varied))])
+        w = _newton(_kernel([vocabulary[i] for i in picked] + varied, marks) @ root, target, weight)
         alpha, bias = root @ w[:-1], float(w[-1])
         r, c, v, nrm = features(marks)
         table = np.bincount(c, v / np.maximum(nrm[r], 1e-9) * alpha[r], minlength=len(empty))
         margin = np.bincount(row, value * table[code], minlength=n_words) / np.maximum(norm, 1e-9) + bias
-    top = np.array([margin[m].max() if len(m) else -2.0 for m in members])
+    top = np.array([margin[m].max() if len(m) else LOW for m in members])
     hits = np.array([(margin[m] > 0).sum() if len(m) else 0 for m in members], dtype=float)
-    top = np.clip(np.where(np.isfinite(top), top, -2.0), -2.0, 2.0)
+    top = np.clip(np.where(np.isfinite(top), top, LOW), LOW, HIGH)
     a, b, c = _logistic(np.column_stack([top, np.log1p(hits), np.ones(len(top))]), y)
     return Model(table.astype(np.float64), bias, float(a), float(b), float(c))
 
@@ -254,29 +273,51 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_FIT_DOCS) -> Model:
 _cache: dict[int, dict[str, float]] = {}
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, margin (of the most toxic word), n_toxic (distinct words over the margin), score (0 to 1)."""
+def _scorer(docs: DataFrame, model: Model):
+    """texts -> (margin, toxic words, score), for use in tasks."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     token = hash((model.table.tobytes(), model.bias))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = shared.value
         cache = _cache.setdefault(token, {})
+        top, hits = np.full(len(texts), LOW), np.zeros(len(texts))
+        for lo in range(0, len(texts), 500):
+            bags = [segments(t) for t in texts.iloc[lo : lo + 500]]
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+            new = [w for w in set().union(*bags) if w not in cache]
+            for k in range(0, len(new), 20_000):
+                part = new[k : k + 20_000]
+                cache.update(zip(part, m.margins(part).tolist(), strict=True))
+            for i, bag in enumerate(bags, lo):
+                if bag:
+                    got = [cache[w] for w in bag]
+                    top[i], hits[i] = max(got), sum(g > 0 for g in got)
+        top = np.clip(top, LOW, HIGH)
+        return top, hits, m.score(top, hits)
+
+    return of
+
+
+def keep(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the limit, all columns as they are."""
+    of = _scorer(docs, model)
+
+    @F.pandas_udf("double")
+    def total(texts: pd.Series) -> pd.Series:
+        return pd.Series(of(texts)[2])
+
+    return docs.where(total("text") < below)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, margin (of the most toxic word), n_toxic (distinct words over the margin), score (0 to 1)."""
+    of = _scorer(docs, model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            top, hits = np.full(len(pdf), -2.0), np.zeros(len(pdf))
-            for lo in range(0, len(pdf), 500):
-                bags = [segments(t) for t in pdf["text"].iloc[lo : lo + 500]]
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                new = [w for w in set().union(*bags) if w not in cache]
-                for k in range(0, len(new), 20_000):
-                    part = new[k : k + 20_000]
-                    cache.update(zip(part, m.margins(part).tolist(), strict=True))
-                for i, bag in enumerate(bags, lo):
-                    if bag:
-                        got = [cache[w] for w in bag]
-                        top[i], hits[i] = max(got), sum(g > 0 for g in got)
-            top = np.clip(top, -2.0, 2.0)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "margin": top, "n_toxic": hits.astype(np.int64), "score": m.score(top, hits)})
+            top, hits, total = of(pdf["text"])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "margin": top, "n_toxic": hits.astype(np.int64), "score": total})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, margin double, n_toxic long, score double")
