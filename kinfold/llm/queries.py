@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, lines, rules, secrets, simhash, toxicity
+from . import bpe, decontaminate, html_text, licenses, lines, maxent, rules, secrets, simhash, toxicity
 from .common import held_out, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -28,6 +28,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 7, 2)
+    scored = maxent.fit_and_score(docs, ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,5 +62,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.by_path(docs, findings))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_main_text, op3_quality_rules, op5_simhash, op6_bpe, op7_line_dedup, op8_decontamination, op9_secrets)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_main_text, op3_quality_rules, op4_maxent, op5_simhash, op6_bpe, op7_line_dedup, op8_decontamination, op9_secrets, op10_licenses)}
+ORACLE_SQL: dict[str, str] = {"op10_licenses": licenses.oracle_sql()}
