@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 ORDER, MAX_GAP, DECAY = 4, 2, 0.5
 #: At most so many labelled documents are learned from, those with the least hash of their id; and of each so many
 #: characters of distinct words reach the driver.
-MAX_FIT_DOCS = 6_000
+MAX_FIT_DOCS = 4_000
 LANDMARKS, ROUNDS = 160, 4
+#: A word in such a share of toxic documents and in no other is a witness there even beside a clearer one.
+TELLING = 0.05
 #: Margins further out count as these: the machine aims at -1 and 1.
 LOW, HIGH = -1.5, 1.0
 #: Words whose scores one Python worker keeps; emptied when full.
@@ -138,14 +140,15 @@ def _kernel(words: list[str], marks: list[str]) -> np.ndarray:
     for i, c in enumerate(known.tolist()):
         for r, v in dense[c]:
             matrix[i, r] += v
-    row, code, value, norm = features(words)
-    at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-    hit = known[at] == code
-    row, at, value = row[hit], at[hit], value[hit] / np.maximum(norm[row[hit]], 1e-9)
     out = np.zeros((len(words), len(marks)))
-    for lo in range(0, len(row), 200_000):
-        part = slice(lo, lo + 200_000)
-        np.add.at(out, row[part], matrix[at[part]] * value[part, None])
+    for lo in range(0, len(words), 1_000):  # bounds the products held at once
+        row, code, value, norm = features(words[lo : lo + 1_000])
+        at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        hit = np.flatnonzero(known[at] == code)
+        if len(hit):
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(row[hit]) > 0]))  # rows come in order
+            out[lo + row[hit][starts]] = np.add.reduceat(matrix[at[hit]] * value[hit, None], starts, axis=0)
+        out[lo : lo + 1_000] /= np.maximum(norm, 1e-9)[:, None]
     return out
 
 
@@ -183,71 +186,90 @@ def _variants(word: str, rng: np.random.Generator, n: int = 6) -> list[str]:
     return out
 
 
+_EMPTY = np.zeros(1 << 4 * _BITS)
+#: Harmless words of the sample that training keeps the features of, besides all words of toxic documents.
+KEPT_HARMLESS, CHUNK = 40_000, 20_000
+
+
+def _chunked(words: list[str], use) -> np.ndarray:
+    """use(features of a chunk, slice) over words, in chunks that bound the memory; what it returns, joined."""
+    return np.concatenate([use(features(words[k : k + CHUNK]), slice(k, k + CHUNK)) for k in range(0, len(words), CHUNK)] or [np.empty(0)])
+
+
 def train(bags: list[tuple[list[str], int]], seed: int = 7) -> Model:
     """bags: the distinct words of each labelled document and its label."""
     y = np.array([b for _, b in bags], dtype=float)
-    empty = np.zeros(1 << 4 * _BITS, dtype=np.float64)
     if not len(bags) or y.min() == y.max():
         share = float(y.mean()) if len(bags) else 0.0
-        return Model(empty, 0.0, 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+        return Model(_EMPTY, 0.0, 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     rng = np.random.default_rng(seed)
-    vocabulary = sorted({w for ws, _ in bags for w in ws})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    members = [np.array([number[w] for w in ws], dtype=np.int64) for ws, _ in bags]
-    n_words = len(vocabulary)
-    in_bad = np.zeros(n_words)
-    in_good = np.zeros(n_words)
-    for m, b in zip(members, y, strict=True):
-        (in_bad if b else in_good)[m] += 1
+    in_bad, in_good = Counter(), Counter()
+    for ws, b in bags:
+        (in_bad if b else in_good).update(ws)
     n_bad, n_good = y.sum(), len(y) - y.sum()
-    # how much more often documents that hold a subsequence are toxic, then a word's mean over its subsequences
-    row, code, value, norm = features(vocabulary)
-    bad_code = np.bincount(code, in_bad[row], minlength=len(empty))
-    good_code = np.bincount(code, in_good[row], minlength=len(empty))
-    odds = np.log((bad_code + 0.5) / (n_bad + 1)) - np.log((good_code + 0.5) / (n_good + 1))
-    first = np.bincount(row, value**2 * odds[code] * np.minimum(1, bad_code[code] / 8), minlength=n_words) / np.maximum(norm**2, 1e-9)
-    margin = np.where(in_good > np.maximum(1, 0.02 * in_bad), -np.inf, first)
-    good_words = np.flatnonzero(in_good > 0)
-    bad_bags = [m for m, b in zip(members, y, strict=True) if b and len(m)]
-    table, bias = empty, 0.0
+    # how much more often documents that hold a subsequence are toxic
+    by_code = []
+    for counts in (in_bad, in_good):
+        total, names = np.zeros(len(_EMPTY)), sorted(counts)
+        for k in range(0, len(names), CHUNK):
+            part = names[k : k + CHUNK]
+            row, code, _, _ = features(part)
+            total += np.bincount(code, np.array([counts[w] for w in part], dtype=float)[row], minlength=len(_EMPTY))
+        by_code.append(total)
+    odds = np.log((by_code[0] + 0.5) / (n_bad + 1)) - np.log((by_code[1] + 0.5) / (n_good + 1))
+    odds *= np.minimum(1, by_code[0] / 8)
+    # the words that training looks at: those of toxic documents, and harmless ones, the frequent first
+    harmless = sorted((w for w in in_good if w not in in_bad), key=lambda w: (-in_good[w], w))
+    often = harmless[: KEPT_HARMLESS // 4]
+    others = harmless[len(often) :]
+    others = [others[i] for i in sorted(rng.choice(len(others), size=min(len(others), KEPT_HARMLESS - len(often)), replace=False))]
+    vocabulary = sorted({*in_bad, *often, *others})
+    number = {w: i for i, w in enumerate(vocabulary)}
+    bad_count = np.array([in_bad[w] for w in vocabulary], dtype=float)
+    good_count = np.array([in_good[w] for w in vocabulary], dtype=float)
+    first = _chunked(vocabulary, lambda f, _: np.bincount(f[0], f[2] ** 2 * odds[f[1]], minlength=len(f[3])) / np.maximum(f[3] ** 2, 1e-9))
+    margin = np.where(good_count > np.maximum(1, 0.02 * bad_count), -np.inf, first)
+    good_words = np.flatnonzero(good_count > 0)
+    bad_bags = [np.array([number[w] for w in ws], dtype=np.int64) for ws, b in bags if b and ws]
+    least = max(8.0, TELLING * n_bad)
+    telling = np.flatnonzero((bad_count >= least) & (good_count == 0)).tolist()
+    model = Model(_EMPTY, 0.0, 0.0, 0.0, 0.0)
     for round_ in range(ROUNDS):
-        # each toxic document's witness; among them the recurring ones make landmarks
+        # each toxic document's witness; the most frequent make landmarks
         seen = Counter(int(m[np.argmax(margin[m])]) for m in bad_bags)
+        for i in telling:
+            seen[i] = max(seen[i], int(bad_count[i]))
         witness = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], vocabulary[x[0]])) if np.isfinite(margin[w])]
         if not witness:
             break
-        marks = witness[: LANDMARKS // 2]
-        if round_:
-            hard = good_words[np.argsort(-margin[good_words], kind="stable")[: LANDMARKS // 4]]
-        else:
-            hard = good_words[:0]
-        some = rng.choice(good_words, size=min(len(good_words), LANDMARKS // 4), replace=False) if len(good_words) else good_words
-        marks = [vocabulary[i] for i in dict.fromkeys([*marks, *hard.tolist(), *some.tolist()])]
-        spread = rng.choice(good_words, size=min(len(good_words), 12_000), replace=False) if len(good_words) else good_words
-        frequent = good_words[np.argsort(-in_good[good_words], kind="stable")[:2_000]]
-        harmless = np.unique(np.concatenate([spread, frequent, good_words[np.argsort(-margin[good_words], kind="stable")[:4_000]] if round_ else spread]))
-        picked = np.concatenate([np.array(witness), harmless])
-        target = np.concatenate([np.ones(len(witness)), -np.ones(len(harmless))])
-        counts = np.concatenate([[seen[w] for w in witness], np.ones(len(harmless))])
-        weight = np.where(target > 0, counts / counts[: len(witness)].sum(), 1 / max(1, len(harmless))) * len(target) / 2
-        k_ll = _kernel(marks, marks)
-        values, vectors = np.linalg.eigh(k_ll + 1e-6 * np.eye(len(marks)))
-        root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-        # recurring witnesses also with a letter inserted or doubled, unless that makes a harmless word of the sample
-        varied = [v for i in witness[:60] if seen[i] >= 3 for v in _variants(vocabulary[i], rng) if v not in number]
+        hard = good_words[np.argsort(-margin[good_words], kind="stable")] if round_ else good_words[:0]
+        some = rng.choice(good_words, size=min(len(good_words), LANDMARKS // 4), replace=False)
+        marks = [vocabulary[i] for i in dict.fromkeys([*witness[: LANDMARKS // 2], *hard[: LANDMARKS // 4].tolist(), *some.tolist()])]
+        spread = rng.choice(good_words, size=min(len(good_words), 8_000), replace=False)
+        frequent = good_words[np.argsort(-good_count[good_words], kind="stable")[:2_000]]
+        against = np.unique(np.concatenate([spread, frequent, hard[:4_000]]))
+        picked = [vocabulary[i] for i in [*witness, *against.tolist()]]
+        target = np.concatenate([np.ones(len(witness)), -np.ones(len(against))])
+        counts = np.array([seen[w] for w in witness], dtype=float)
+        weight = np.concatenate([counts / counts.sum(), np.full(len(against), 1 / max(1, len(against)))]) * len(target) / 2
+        # recurring witnesses also with a letter inserted or doubled, unless that makes a word of the sample
+        varied = [v for i in witness[:60] if seen[i] >= 3 for v in _variants(vocabulary[i], rng) if v not in in_bad and v not in in_good]
         if varied:
             target = np.concatenate([target, np.ones(len(varied))])
             weight = np.concatenate([weight, np.full(len(varied), 0.06 * len(picked) / len(varied))])
-        w = _newton(_kernel([vocabulary[i] for i in picked] + varied, marks) @ root, target, weight)
-        alpha, bias = root @ w[:-1], float(w[-1])
-        r, c, v, nrm = features(marks)
-        table = np.bincount(c, v / np.maximum(nrm[r], 1e-9) * alpha[r], minlength=len(empty))
-        margin = np.bincount(row, value * table[code], minlength=n_words) / np.maximum(norm, 1e-9) + bias
-    top = np.array([margin[m].max() if len(m) else LOW for m in members])
-    hits = np.array([(margin[m] > 0).sum() if len(m) else 0 for m in members], dtype=float)
-    top = np.clip(np.where(np.isfinite(top), top, LOW), LOW, HIGH)
-    a, b, c = _logistic(np.column_stack([top, np.log1p(hits), np.ones(len(top))]), y)
-    return Model(table.astype(np.float64), bias, float(a), float(b), float(c))
+        values, vectors = np.linalg.eigh(_kernel(marks, marks) + 1e-6 * np.eye(len(marks)))
+        root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+        w = _newton(_kernel(picked + varied, marks) @ root, target, weight)
+        alpha = root @ w[:-1]
+        r, c, v, norm = features(marks)
+        model = Model(np.bincount(c, v / np.maximum(norm, 1e-9)[r] * alpha[r], minlength=len(_EMPTY)), float(w[-1]), 0.0, 0.0, 0.0)
+        margin = np.concatenate([model.margins(vocabulary[k : k + CHUNK]) for k in range(0, len(vocabulary), CHUNK)])
+    names = sorted({*in_bad, *in_good})
+    final = dict(zip(names, np.concatenate([model.margins(names[k : k + CHUNK]) for k in range(0, len(names), CHUNK)] or [np.empty(0)]).tolist(), strict=True))
+    top = np.array([max((final[w] for w in ws), default=LOW) for ws, _ in bags])
+    hits = np.array([sum(final[w] > 0 for w in ws) for ws, _ in bags], dtype=float)
+    a, b, c = _logistic(np.column_stack([np.clip(top, LOW, HIGH), np.log1p(hits), np.ones(len(top))]), y)
+    return Model(model.table, model.bias, float(a), float(b), float(c))
 
 
 def labelled_bags(docs: DataFrame, labels: DataFrame, limit: int = MAX_FIT_DOCS) -> list[tuple[list[str], int]]:
