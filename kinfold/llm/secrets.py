@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import cut, let
 
 FENCE, SWAP = "\ue000", "\ue001"
 SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -38,7 +38,7 @@ class Rule:
 
 # The base kinds in their order, then kinds added here (public token formats).
 RULES = (
-    Rule("assign", r"((?i)password|passwd|secret|token|api_?key)(?-i)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 2),
+    Rule("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 2),
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]+", 24),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", base=False),
@@ -100,11 +100,12 @@ def unseen(versions: DataFrame, ledger: DataFrame | None, rule_version: str) ->
 def scan(versions: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """The new rows of the ledger (blob, rule_version) and of the findings (blob, rule_version, spans).
 
+    The findings are written once, so that the join back to the paths is one that Spark can split where a blob is hot.
     versions: (path, version, text) or more columns; only text is read here. findings: those of earlier scans; given,
     the second result holds them too."""
     new = unseen(versions, ledger, rule_version)
     rows = new.select("blob", F.lit(rule_version).alias("rule_version"))
-    found = find_secrets(new, rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
+    found = cut(find_secrets(new, rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans"))
     return rows, found if findings is None else findings.unionByName(found)
 
 
