@@ -9,6 +9,8 @@ variant with one word left out. Two lines one replacement apart share the varian
 insertion apart share the shorter one itself; so the keys' minima give the earliest partner and no pairs are listed.
 Only lines that share their first or last third or more with another line emit variants: one edit leaves one of the
 two untouched, so that this loses nothing and spares nearly all lines the emission. Partners are verified word by word.
+Keys are 64-bit hashes; one that meets another line's by chance could hide a partner, at a rate of the number of
+variants over 2^64 for each.
 
 Defined results: null text has no lines and stays null; short and blank lines are never dropped; rows that repeat a
 (doc_id, text) are one document and treated alike; null ids come first; a text of which every line goes is empty;
@@ -17,96 +19,147 @@ equal lines of one document: the first stays. Further columns are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, lower_ascii, small, words
+from .common import WORD, cut, small
 
 MIN_WORDS = 5
-#: Rows that may be broadcast, of 16 to 24 bytes each.
+#: Rows that may be broadcast, of 16 to 40 bytes each.
 MAX_KEYS = 1_000_000
-#: Lengths of compared ends: each the greatest that is at most half the line.
-ENDS = tuple(dict.fromkeys(int(2 * 1.5**k) for k in range(0, 40)))
-
+#: Lengths of compared ends: each the greatest that is at most half the line, so that it is a third of it or more.
+ENDS = sorted({int(2 * 1.5**k) for k in range(60)})
+_word = re.compile(WORD).findall
+_low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+PLACE = ("doc_id", "no", "own")
 
-def _ends(n: Column) -> Column:
-    """The greatest of ENDS that is at most n / 2."""
-    out = F.lit(ENDS[0])
-    for e in ENDS[1:16]:
-        out = F.when(n >= 2 * e, F.lit(e)).otherwise(out)
-    return out
 
-
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, own (hash of the text), no, norm, n of all lines that take part."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("own"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    norm = F.trim(F.regexp_replace(lower_ascii(F.col("line")), r"[\x20\x09-\x0D]+", " "))
-    rows = rows.select("doc_id", "own", "no", norm.alias("norm"))
-    n = F.char_length("norm") - F.char_length(F.translate("norm", " ", "")) + 1
-    return rows.withColumn("n", n).where(F.col("n") >= MIN_WORDS)
+def _long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def _hashes() -> list[Column]:
-    return [F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2")]
-
-
-def _end_keys(norm: Column, n: Column) -> Column:
+def _end_keys(ws: list[str]) -> list[int]:
     """Hashes of the first and the last m words, for m of the line's own length and of one word less."""
+    out = {}
+    for n in (len(ws), len(ws) - 1):
+        m = ENDS[bisect_right(ENDS, n // 2) - 1]
+        if m not in out:
+            out[m] = [_long(xxhash.xxh64_intdigest(" ".join(x).encode("utf-8", "replace"), 2 * m + k)) for k, x in enumerate((ws[:m], ws[-m:]))]
+    return [k for ks in out.values() for k in ks]
+
+
+def variant_keys(ws: list[str]) -> tuple[int, np.ndarray]:
+    """The key of a line and of each variant with one word left out: a polynomial in the hashes of the words, modulo
+    2^64, so that prefix sums give all variants in time linear in the line."""
+    h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in ws], dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h), _BASE)]), dtype=np.uint64)
+        before = np.cumsum(h * power[:-1], dtype=np.uint64)
+        after = np.cumsum(h[1:] * power[:-2], dtype=np.uint64)  # words after the first, each one place earlier
+        less = np.concatenate([[np.uint64(0)], before[:-1]]) + np.concatenate([after[-1:] - np.concatenate([[np.uint64(0)], after[:-1]]), [np.uint64(0)]]) if len(h) > 1 else np.zeros(1, dtype=np.uint64)
+    return int(before[-1:].view(np.int64)[0]), less.view(np.int64)
 
-    def of(m: Column) -> list[Column]:
-        return [F.xxhash64(F.lit(0), m, F.call_function("substring_index", norm, F.lit(" "), m)), F.xxhash64(F.lit(1), m, F.call_function("substring_index", norm, F.lit(" "), -m))]
-
-    return F.array_distinct(F.array(*of(_ends(n)), *of(_ends(n - 1))))
 
-
-def _one_edit(a: Column, b: Column) -> Column:
-    """Whether two word arrays of lengths that differ by one at most are within one edit."""
-    replaced = F.size(F.filter(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), lambda d: d)) <= 1
-
-    def inserted(long_: Column, short: Column) -> Column:
-        return F.exists(F.sequence(F.lit(0), F.size(short)), lambda i: F.concat(F.slice(long_, 1, i), F.slice(long_, i + 2, F.size(long_))) == short)
-
-    return F.when(F.size(a) == F.size(b), replaced).when(F.size(a) == F.size(b) + 1, inserted(a, b)).when(F.size(b) == F.size(a) + 1, inserted(b, a)).otherwise(F.lit(False))
-
-
-def near_dropped(distinct: DataFrame) -> DataFrame:
-    """h1, h2 of the distinct lines (h1, h2, first, norm) of which an earlier one is one edit away."""
-    rows = distinct.select("h1", "h2", "first", "norm")
-    w = F.split("norm", " ")
-    variants = let(w, lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda i: let(F.array_join(F.concat(F.slice(a, 1, i), F.slice(a, i + 2, F.size(a))), " "), lambda v: F.struct(i.alias("pos"), F.xxhash64(v).alias("k1"), F.xxhash64(F.lit(1), v).alias("k2")))))
-    less = rows.select("*", F.explode(variants).alias("v")).select("h1", "h2", "first", "norm", "v.pos", "v.k1", "v.k2")
-    earliest = F.min(F.struct("first", "norm")).alias("m")
-    verified = (F.col("m.first") < F.col("first")) & _one_edit(F.split("norm", " "), F.split("m.norm", " "))
-    replaced = less.join(less.groupBy("k1", "k2", "pos").agg(earliest), ["k1", "k2", "pos"]).where(verified)
-    whole = rows.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.struct("first", "norm").alias("m"))
-    longer = less.join(whole, ["k1", "k2"]).where(verified)
-    shorter = less.groupBy("k1", "k2").agg(earliest).withColumnsRenamed({"k1": "h1", "k2": "h2"}).join(rows, ["h1", "h2"]).where(verified)
-    out = replaced.select("h1", "h2")
-    for x in (longer, shorter):
-        out = out.unionByName(x.select("h1", "h2"))
-    return out.distinct()
+def lines(docs: DataFrame) -> DataFrame:
+    """doc_id, own (hash of the text), no, h1, h2 (128-bit hash), ends of all lines that take part."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, own, text in zip(pdf["doc_id"], pdf["own"], pdf["text"], strict=True):
+                for no, line in enumerate(text.translate(_low).split("\n")):
+                    ws = _word(line)
+                    if len(ws) >= MIN_WORDS:
+                        h = xxhash.xxh128_intdigest(" ".join(ws).encode("utf-8", "replace"))
+                        rows.append((doc, own, no, _long(h >> 64), _long(h & (1 << 64) - 1), _end_keys(ws)))
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=["doc_id", "own", "no", "h1", "h2", "ends"]).astype({"doc_id": "Int64"})
+                    rows = []
+            yield pd.DataFrame(rows, columns=["doc_id", "own", "no", "h1", "h2", "ends"]).astype({"doc_id": "Int64"})
+
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text")
+    return texts.mapInPandas(run, "doc_id long, own long, no int, h1 long, h2 long, ends array<long>")
+
+
+def _compared(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """doc_id, no, own, norm, whole, less of the lines at the places (doc_id, no, own): the key of the line and of its
+    variants."""
+    per = cut(places.groupBy("doc_id", "own").agg(F.collect_set("no").alias("nos")))
+    per = small(per.withColumnsRenamed({"doc_id": "d", "own": "o"}), MAX_KEYS)
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text")
+    texts = texts.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("own") == F.col("o"))).select("doc_id", "own", "text", "nos")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows, held = [], 0
+            for doc, own, text, nos in zip(pdf["doc_id"], pdf["own"], pdf["text"], pdf["nos"], strict=True):
+                parts = text.translate(_low).split("\n")
+                for no in nos.tolist():
+                    ws = _word(parts[no])
+                    whole, less = variant_keys(ws)
+                    rows.append((doc, no, own, " ".join(ws), whole, less))
+                    held += len(ws)
+                if held > 200_000:
+                    yield pd.DataFrame(rows, columns=["doc_id", "no", "own", "norm", "whole", "less"]).astype({"doc_id": "Int64"})
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["doc_id", "no", "own", "norm", "whole", "less"]).astype({"doc_id": "Int64"})
+
+    return texts.mapInPandas(run, "doc_id long, no int, own long, norm string, whole long, less array<long>")
+
+
+def within_one_edit(a: list[str], b: list[str]) -> bool:
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(b))
+    return a[i + 1 :] == b[i + (len(a) == len(b)) :]
+
+
+def near_dropped(compared: DataFrame) -> DataFrame:
+    """The places of the lines of compared of which an earlier one is one edit away."""
+
+    @F.pandas_udf("boolean")
+    def one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([within_one_edit(x.split(" "), y.split(" ")) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    place = F.struct(*PLACE)
+    less = compared.select(place.alias("place"), F.posexplode("less").alias("pos", "k"))
+    whole = compared.select(place.alias("place"), F.col("whole").alias("k"))
+    # one word replaced: both leave out the same place; the earliest of each group will do, as all in it are one edit apart
+    groups = less.groupBy("k", "pos").agg(F.min("place").alias("m"), F.count("*").alias("c")).where("c > 1").select("k", "pos", "m")
+    pairs = less.join(small(cut(groups), MAX_KEYS), ["k", "pos"]).select("place", "m")
+    # one word more or less: the shorter line is the variant of the longer
+    both = less.select("k", F.col("place").alias("long")).join(small(whole.select("k", F.col("place").alias("short")), MAX_KEYS), "k")
+    both = cut(both.select("long", "short"))
+    pairs = pairs.unionByName(both.select(F.col("long").alias("place"), F.col("short").alias("m")))
+    pairs = pairs.unionByName(both.groupBy("short").agg(F.min("long").alias("m")).select(F.col("short").alias("place"), "m"))
+    pairs = cut(pairs.where("m < place").distinct())
+    norm = compared.select(place.alias("p"), "norm").dropDuplicates(["p"])
+    own = pairs.join(norm.withColumnsRenamed({"p": "place", "norm": "a"}), "place")
+    return own.join(norm.withColumnsRenamed({"p": "m", "norm": "b"}), "m").where(one_edit("a", "b")).select("place").distinct()
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, own, no of every line that goes."""
-    texts = docs.select("doc_id", "text").where("text is not null")
-    all_ = cut(lines(texts).select("doc_id", "own", "no", *_hashes(), _end_keys(F.col("norm"), F.col("n")).alias("ends")))
-    place = F.struct("doc_id", "no", "own")
-    first = all_.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c"), F.first("ends").alias("ends"))
-    first = cut(first)
-    keys = first.select("h1", "h2", F.explode("ends").alias("end"))
+    place = F.struct(*PLACE)
+    all_ = cut(lines(docs))
+    first = cut(all_.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c"), F.first("ends").alias("ends")))
+    keys = first.select("h1", "first", F.explode("ends").alias("end"))
     shared = keys.groupBy("end").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("end")
-    near = cut(keys.join(small(cut(shared), MAX_KEYS), "end", "left_semi").select("h1", "h2").distinct())
-    near = first.join(small(near, MAX_KEYS), ["h1", "h2"]).select("h1", "h2", "first")
-    # the words of the lines to compare, read where each first occurs
-    at = small(cut(near.select("h1", "h2", "first", "first.doc_id", "first.no", "first.own")), MAX_KEYS)
-    written = lines(texts).select("doc_id", "own", "no", "norm")
-    same = (written["own"] == at["own"]) & (written["no"] == at["no"]) & written["doc_id"].eqNullSafe(at["doc_id"])
-    compared = cut(written.join(at, same).select("h1", "h2", "first", "norm").dropDuplicates(["h1", "h2"]))
-    gone = near_dropped(compared).withColumn("gone", F.lit(True))
-    repeated = first.select("h1", "h2", "first", "c").join(gone, ["h1", "h2"], "left").where("c > 1 or gone")
-    hits = all_.select("doc_id", "own", "no", "h1", "h2").join(repeated, ["h1", "h2"]).where(F.col("gone").isNotNull() | ~place.eqNullSafe(F.col("first")))
-    return hits.select("doc_id", "own", "no")
+    near = keys.join(small(cut(shared), MAX_KEYS), "end", "left_semi").select("first.*").distinct()
+    gone = near_dropped(cut(_compared(docs, near))).select(F.col("place").alias("first"), F.lit(True).alias("gone"))
+    repeated = first.select("h1", "h2", "first", "c").join(small(cut(gone), MAX_KEYS), "first", "left").where("c > 1 or gone")
+    hits = all_.select(*PLACE, "h1", "h2").join(repeated, ["h1", "h2"]).where(F.col("gone").isNotNull() | (place != F.col("first")))
+    return hits.select(*PLACE)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -115,8 +168,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     per = per.withColumnsRenamed({"doc_id": "_doc", "own": "_own"})
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
-    joined = held.join(per, F.col("_row.doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("_row.text") == F.col("_own")), "left")
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("_row.text") == F.col("_own"))
+    joined = held.join(per, same, "left")
     left = F.filter(F.split("_row.text", "\n"), lambda x, i: ~F.array_contains("nos", i))
     text = F.when(F.col("nos").isNull(), F.col("_row.text")).otherwise(F.array_join(left, "\n"))
-    n = F.coalesce(F.size("nos"), F.lit(0)).cast("long")
-    return joined.select(F.col("_row.doc_id").alias("doc_id"), text.alias("text"), *[F.col("_row")[c].alias(c) for c in others], F.when(F.col("nos").isNull(), F.lit(0).cast("long")).otherwise(n).alias("n_dropped"))
+    n = F.when(F.col("nos").isNull(), F.lit(0)).otherwise(F.size("nos")).cast("long")
+    return joined.select(F.col("_row.doc_id").alias("doc_id"), text.alias("text"), *[F.col("_row")[c].alias(c) for c in others], n.alias("n_dropped"))
