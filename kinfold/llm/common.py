@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOWER = bytes.maketrans(_UPPER.encode(), _UPPER.lower().encode())
+
+
+def lower_bytes(text: str) -> bytes:
+    """The UTF-8 bytes of a text with A-Z in lower case. Their split() gives the words: bytes count just the six
+    characters of ASCII white space that end a WORD."""
+    return text.encode("utf-8", "replace").translate(_LOWER)
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z alone, so that every engine agrees on the result."""
     return F.translate(c, _UPPER, _UPPER.lower())

@@ -33,16 +33,19 @@ def tokens(text: Column) -> Column:
     return words(F.translate(lower_ascii(text), PUNCTUATION, ""))
 
 
-def seeds(w: Column, masks: tuple[str, ...] = MASKS) -> Column:
-    """Array of (pos, hash) of a token array, for every mask and position; the mask is part of the hash."""
+def seeds(rows: DataFrame, w: Column, masks: tuple[str, ...] = MASKS) -> DataFrame:
+    """The columns of rows with pos and hash of every mask and position of the token array w; the mask is part of the
+    hash. Words are hashed once. Positions are exploded before the masks, so that hashes are computed on columns in
+    generated code and no arrays of them are built."""
+    least = min(map(len, masks))
+    hashed = rows.select("*", let(w, lambda a: F.transform(a, lambda x: F.xxhash64(x))).alias("_h")).where(F.size("_h") >= least)
+    placed = hashed.select("*", F.explode(F.sequence(F.lit(0), F.size("_h") - least)).alias("pos"))
 
     def of(m: int, mask: str) -> Column:
-        ones = [i for i, c in enumerate(mask) if c == "1"]
-        at = F.sequence(F.lit(0), F.size(w) - len(mask))
-        each = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(m), *[F.get(w, i + o) for o in ones]).alias("hash")))
-        return F.when(F.size(w) >= len(mask), each).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
+        got = F.xxhash64(F.lit(m), *[F.get("_h", F.col("pos") + o) for o, c in enumerate(mask) if c == "1"])
+        return F.when(F.col("pos") + len(mask) <= F.size("_h"), got)
 
-    return F.concat(*[of(m, mask) for m, mask in enumerate(masks)])
+    return placed.select(*rows.columns, "pos", F.explode(F.array(*[of(m, mask) for m, mask in enumerate(masks)])).alias("hash"))
 
 
 def _similar(doc: Column, item: Column, offset: Column) -> Column:
@@ -63,8 +66,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n of every item found in a document, n: the number of alignments at which it is found."""
     own = F.xxhash64(F.coalesce("text", F.lit(""))).alias("own")  # tells rows of one id apart
     items = benchmark.select("item_id", tokens(F.col("text")).alias("item")).where(F.size("item") >= 5)
-    test = cut(items.select("item_id", F.xxhash64("item").alias("item_own"), F.explode(seeds(F.col("item"))).alias("s")).select("item_id", "item_own", "s.hash", F.col("s.pos").alias("item_pos")).distinct())
-    train = docs.select("doc_id", own, let(tokens(F.col("text")), lambda w: seeds(w)).alias("s")).select("doc_id", "own", F.explode("s").alias("s")).select("doc_id", "own", "s.hash", F.col("s.pos").alias("pos"))
+    test = seeds(items.select("item_id", F.xxhash64("item").alias("item_own"), "item"), F.col("item")).where("hash is not null")
+    test = cut(test.select("item_id", "item_own", "hash", F.col("pos").alias("item_pos")).distinct())
+    train = seeds(docs.select("doc_id", own, "text"), tokens(F.col("text"))).select("doc_id", "own", "pos", "hash")
     hits = train.join(small(test, MAX_SEEDS), "hash").select("doc_id", "own", "item_id", "item_own", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
     hits = small(cut(hits), MAX_HITS)
     texts = docs.select("doc_id", own, "text").distinct()

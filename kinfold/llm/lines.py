@@ -19,7 +19,6 @@ equal lines of one document: the first stays. Further columns are kept.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -29,15 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, small
+from .common import cut, lower_bytes, small
 
 MIN_WORDS = 5
 #: Rows that may be broadcast, of 16 to 40 bytes each.
 MAX_KEYS = 1_000_000
 #: Lengths of compared ends: each the greatest that is at most half the line, so that it is a third of it or more.
 ENDS = sorted({int(2 * 1.5**k) for k in range(60)})
-_word = re.compile(WORD).findall
-_low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 PLACE = ("doc_id", "no", "own")
 
@@ -46,20 +43,20 @@ def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _end_keys(ws: list[str]) -> list[int]:
+def _end_keys(ws: list[bytes]) -> list[int]:
     """Hashes of the first and the last m words, for m of the line's own length and of one word less."""
     out = {}
     for n in (len(ws), len(ws) - 1):
         m = ENDS[bisect_right(ENDS, n // 2) - 1]
         if m not in out:
-            out[m] = [_long(xxhash.xxh64_intdigest(" ".join(x).encode("utf-8", "replace"), 2 * m + k)) for k, x in enumerate((ws[:m], ws[-m:]))]
+            out[m] = [_long(xxhash.xxh64_intdigest(b" ".join(x), 2 * m + k)) for k, x in enumerate((ws[:m], ws[-m:]))]
     return [k for ks in out.values() for k in ks]
 
 
-def variant_keys(ws: list[str]) -> tuple[int, np.ndarray]:
+def variant_keys(ws: list[bytes]) -> tuple[int, np.ndarray]:
     """The key of a line and of each variant with one word left out: a polynomial in the hashes of the words, modulo
     2^64, so that prefix sums give all variants in time linear in the line."""
-    h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in ws], dtype=np.uint64)
+    h = np.array([xxhash.xxh64_intdigest(w) for w in ws], dtype=np.uint64)
     with np.errstate(over="ignore"):
         power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h), _BASE)]), dtype=np.uint64)
         before = np.cumsum(h * power[:-1], dtype=np.uint64)
@@ -75,10 +72,10 @@ def lines(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for doc, own, text in zip(pdf["doc_id"], pdf["own"], pdf["text"], strict=True):
-                for no, line in enumerate(text.translate(_low).split("\n")):
-                    ws = _word(line)
+                for no, line in enumerate(lower_bytes(text).split(b"\n")):
+                    ws = line.split()
                     if len(ws) >= MIN_WORDS:
-                        h = xxhash.xxh128_intdigest(" ".join(ws).encode("utf-8", "replace"))
+                        h = xxhash.xxh128_intdigest(b" ".join(ws))
                         rows.append((doc, own, no, _long(h >> 64), _long(h & (1 << 64) - 1), _end_keys(ws)))
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=["doc_id", "own", "no", "h1", "h2", "ends"]).astype({"doc_id": "Int64"})
@@ -101,11 +98,11 @@ def _compared(docs: DataFrame, places: DataFrame) -> DataFrame:
         for pdf in batches:
             rows, held = [], 0
             for doc, own, text, nos in zip(pdf["doc_id"], pdf["own"], pdf["text"], pdf["nos"], strict=True):
-                parts = text.translate(_low).split("\n")
+                parts = lower_bytes(text).split(b"\n")
                 for no in nos.tolist():
-                    ws = _word(parts[no])
+                    ws = parts[no].split()
                     whole, less = variant_keys(ws)
-                    rows.append((doc, no, own, " ".join(ws), whole, less))
+                    rows.append((doc, no, own, b" ".join(ws).decode(), whole, less))
                     held += len(ws)
                 if held > 200_000:
                     yield pd.DataFrame(rows, columns=["doc_id", "no", "own", "norm", "whole", "less"]).astype({"doc_id": "Int64"})

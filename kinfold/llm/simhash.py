@@ -17,7 +17,6 @@ words than a shingle has one shingle, its whole sequence; rows are kept as they
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import cut, lower_bytes
 from .components import connected_components
 
 BITS, HOT = 64, 2048
-_word = re.compile(WORD.encode()).findall
-_lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """The fingerprint of one text."""
-    ws = _word((text or "").encode("utf-8", "replace").translate(_lower))
+    ws = lower_bytes(text or "").split()
     if not ws:
         return 0
     n = max(1, len(ws) - shingle + 1)
