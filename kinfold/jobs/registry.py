@@ -1,5 +1,256 @@
-"""All registered queries of the genetics library, and their SQL."""
+"""All registered queries of the genetics library, and their SQL where DuckDB can express them."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinfold.functions import scalars as S
+from kinfold.jobs import calling, fixed
+from kinfold.operators import ranges as R
+from kinfold.operators import reads
+from kinfold.operators import vcf as V
+from kinfold.sources import fixtures as X
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "family_calls_fixed"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_TS = "case {0} when 1 then 3 when 2 then 4 when 3 then 1 when 4 then 2 end"
+_TV1 = "case {0} when 1 then 2 when 2 then 1 when 3 then 2 when 4 then 1 end"
+_TV2 = "case {0} when 1 then 4 when 2 then 3 when 3 then 4 when 4 then 3 end"
+_ORDER = "case chrom when 'X' then 23 when 'Y' then 24 when 'MT' then 25 else cast(chrom as int) end"
+_IDX = "((least({0}, {1}) - 1) * (10 - least({0}, {1})) // 2 + greatest({0}, {1}) - least({0}, {1}))"
+FILTERS = calling.Options(min_depth=120, max_depth=250, min_map_quality=44, min_percent_with_data=80)
+
+
+@query(f"with sites as ({X.SITES_SQL}) select site, cast({_IDX.format('ref_base', 'alt_base')} as int) as genotype, 'ACGT'[ref_base] as ref, {_TS.format('ref_base')} as ts, {_TV1.format('ref_base')} as tv1, {_TV2.format('ref_base')} as tv2, alt_base = {_TS.format('ref_base')} as is_ts, case when chrom in ('X', 'Y', 'MT') then chrom else 'autosome' end as klass, {_ORDER} as chrom_order from sites")
+def site_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = X.sites(spark, sf_dir)
+    ref = F.col("ref_base")
+    return s.select("site", S.genotype_index(ref, F.col("alt_base")).alias("genotype"), S.base_label(ref).alias("ref"), S.transition(ref).alias("ts"), S.transversion1(ref).alias("tv1"), S.transversion2(ref).alias("tv2"), S.is_transition(ref, F.col("alt_base")).alias("is_ts"), S.chrom_class(F.col("chrom")).alias("klass"), S.chrom_order(F.col("chrom")).alias("chrom_order"))
+
+
+@query(f"with sites as ({X.SITES_SQL}) select site, round(pow(10.0, -least(fpct * 4, 255) / 10.0), 9) as lk, cast(trunc(fpct / 7.0 * 10) as int) as pl, case when fpct / 71.0 > 0.9999999999 then 100 else cast(floor(-10 * log10(1 - fpct / 71.0) + 0.5) as int) end as gq, round(0.5 * (1 - exp(-2 * fpct / 100.0)), 9) as haldane, round(0.5 * (exp(4 * fpct / 100.0) - 1) / (exp(4 * fpct / 100.0) + 1), 9) as kosambi, round(-0.5 * ln(1 - 2 * fpct / 200.0), 9) + 0.0 as haldane_inv, round(0.25 * ln((1 + 2 * fpct / 200.0) / (1 - 2 * fpct / 200.0)), 9) as kosambi_inv from sites")
+def scale_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = F.col("fpct")
+    return X.sites(spark, sf_dir).select("site", F.round(S.phred_to_likelihood(f * 4), 9).alias("lk"), S.gl_to_pl(-f / 7).alias("pl"), S.genotype_quality(f / 71).alias("gq"), F.round(S.haldane(f / 100), 9).alias("haldane"), F.round(S.kosambi(f / 100), 9).alias("kosambi"), F.round(S.haldane_distance(f / 200), 9).alias("haldane_inv"), F.round(S.kosambi_distance(f / 200), 9).alias("kosambi_inv"))
+
+
+@query(X.WITH_OBS + " select chrom, pos, arg_min(ref_base, sample_id) as ref_base, cast(count(*) as int) as n_present, string_agg(sample_id || ':' || depth, ',' order by sample_id) as present from obs group by chrom, pos")
+def align_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = reads.align_sites(X.gl_obs(spark, sf_dir), list(range(X.SAMPLES)))
+    texts = F.filter(F.transform("depths", lambda d, i: F.when(d > 0, F.concat_ws(":", i, d))), lambda x: x.isNotNull())
+    return a.select("chrom", "pos", "ref_base", F.size(texts).alias("n_present"), F.array_join(texts, ",").alias("present"))
+
+
+_STATS = "select chrom, pos, arg_min(ref_base, sample_id) as ref_base, sum(depth) as total_depth, count(*) filter (depth > 0) as ns, count(*) filter (depth > 0) * 100.0::double / 12 as ps, coalesce(sum(map_qual) filter (depth > 0) / count(*) filter (depth > 0), 0) as mq, sum(depth) / count(*) filter (depth > 0) as avg_depth from obs group by chrom, pos"
+
+
+@query(X.WITH_OBS + f" select chrom, pos, ref_base, cast(total_depth as bigint) as total_depth, ns, round(ps, 6) as ps, round(mq, 6) as mq, round(avg_depth, 6) as avg_depth from ({_STATS})")
+def site_read_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = reads.site_read_stats(X.gl_obs(spark, sf_dir), X.SAMPLES)
+    return s.select("chrom", "pos", "ref_base", "total_depth", "ns", *[F.round(c, 6).alias(c) for c in ("ps", "mq", "avg_depth")])
+
+
+_REASON = f"case when ref_base not between 1 and 4 then 'ref_base' when total_depth < {FILTERS.min_depth} then 'min_depth' when total_depth > {FILTERS.max_depth} then 'max_depth' when ps < {FILTERS.min_percent_with_data} then 'coverage' when mq < {FILTERS.min_map_quality} then 'map_quality' end"
+
+
+@query(X.WITH_OBS + f" select chrom, pos, {_REASON} as drop_reason from ({_STATS})")
+def site_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = reads.align_sites(X.gl_obs(spark, sf_dir), list(range(X.SAMPLES)))
+    return reads.site_filters(a, X.SAMPLES, FILTERS).select("chrom", "pos", "drop_reason")
+
+
+@query(X.WITH_OBS + f""", st as (select *, {_REASON} as drop_reason from ({_STATS})), j as (select st.*, alt_base, fpct, alt_base = {_TS.format('st.ref_base')} as ts from st join sites using (chrom, pos))
+ select chrom, count(*) filter (ref_base between 1 and 4) as n_ref, count(*) filter (drop_reason is null and fpct = 0) as n_hom_ref, count(*) filter (drop_reason is null and fpct > 0 and ts) as n_ts, count(*) filter (drop_reason is null and fpct > 0 and not ts) as n_tv,
+ {', '.join(f"count(*) filter (drop_reason = '{r}') as drop_{r}" for r in ('ref_base', 'min_depth', 'max_depth', 'coverage', 'map_quality'))}, count(*) filter (drop_reason is null) as n_kept from j group by rollup (chrom)""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = reads.site_read_stats(X.gl_obs(spark, sf_dir), X.SAMPLES)
+    st = st.withColumn("drop_reason", reads.drop_reason(F.col("ref_base"), F.col("total_depth"), F.col("ps"), F.col("mq"), FILTERS))
+    return reads.run_summary(st.join(X.sites(spark, sf_dir).select("chrom", "pos", "alt_base", "fpct"), ["chrom", "pos"]))
+
+
+@query(f"with sites as ({X.SITES_SQL}), n as (select chrom, count(*) as n_sites from sites group by chrom) select chrom, n_sites, round(0.001 * list_sum(list_transform(range(1, 1 + case chrom when 'X' then 12 when 'Y' then 4 when 'MT' then 8 else 16 end), lambda i: 1.0 / i)), 9) as prior from n")
+def founder_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = X.sites(spark, sf_dir).groupBy("chrom").agg(F.count("*").alias("n_sites"))
+    scale = {k: 0.001 * calling.prior_scale(list(X.PEDIGREE12), k) for k in ("autosome", "X", "Y", "MT")}
+    return s.select("chrom", "n_sites", F.round(F.element_at(F.create_map(*[F.lit(x) for kv in scale.items() for x in kv]), S.chrom_class(F.col("chrom"))), 9).alias("prior"))
+
+
+@query(X.WITH_OBS + f" select chrom, pos, cast(sum(pl[{_IDX.format('ref_base', 'ref_base')} + 1]) as bigint) as mono_pl from obs group by chrom, pos")
+def mono_llk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.mono_llk(X.gl_obs(spark, sf_dir))
+
+
+GRID = [0.05, 0.2, 0.35, 0.5, 0.65, 0.8, 0.95]
+
+
+def _grid_sql() -> str:
+    lk = lambda a, b: f"pow(10.0::double, -pl[{_IDX.format(a, b)} + 1] / 10.0::double)"
+    terms = ", ".join(f"round(sum(log10({f * f}::double * k0 + {2 * f * (1 - f)}::double * k1 + {(1 - f) * (1 - f)}::double * k2)), 9) as l{i}" for i, f in enumerate(GRID))
+    top = "greatest(" + ", ".join(f"l{i}" for i in range(len(GRID))) + ")"
+    return X.WITH_OBS + f", g as (select chrom, pos, {lk('ref_base', 'ref_base')} as k0, {lk('ref_base', 'ts')} as k1, {lk('ts', 'ts')} as k2 from (select *, {_TS.format('ref_base')} as ts from obs)), s as (select chrom, pos, {terms} from g group by chrom, pos) select chrom, pos, case " + " ".join(f"when l{i} = {top} then {f}::double" for i, f in enumerate(GRID)) + f" end as ref_freq, round({top}, 6) as llk from s"
+
+
+@query(_grid_sql())
+def grid_mle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.grid_mle(reads.family_grid_llk(X.gl_obs(spark, sf_dir), X.pedigree(spark), GRID), GRID)
+
+
+@query(fixed.sql())
+def family_calls_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixed.family_calls(X.observations(spark, sf_dir), X.pedigree(spark))
+
+
+@query()
+def call_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calling.call_variants(X.gl_obs(spark, sf_dir), list(X.PEDIGREE12))
+
+
+@query()
+def call_forced_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calling.call_variants(X.gl_obs(spark, sf_dir), list(X.PEDIGREE12), forced=X.site_list(spark, sf_dir))
+
+
+@query()
+def call_extended_pedigree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calling.call_variants(X.gl_obs(spark, sf_dir), list(X.PEDIGREE_EXT), calling.Options(quick_call=True))
+
+
+@query()
+def denovo_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calling.call_denovo(X.gl_obs(spark, sf_dir), list(X.PEDIGREE12), calling.Options(denovo=True, rate_denovo=1.5e-7))
+
+
+@query()
+def refine_vcf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calling.refine_vcf(X.vcf_rows(spark, sf_dir), [str(i) for i in range(X.SAMPLES)], list(X.PEDIGREE12))
+
+
+_INFO = "list_filter(string_split(info, ';'), lambda p: p <> '')"
+
+
+@query(X.WITH_VCF + """ select chrom, pos, cast(regexp_extract(info, '(^|;)DP=([^;]*)', 2) as int) as dp, regexp_extract(info, '(^|;)ANNO=([^;]*)', 2) as anno, case when regexp_matches(info, '(^|;)HM3(;|$)') then '' end as hm3, list_position(string_split(format, ':'), 'DP')::int - 1 as dp_at, -1 as gl_at from vcf""")
+def vcf_info_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = X.vcf_rows(spark, sf_dir)
+    return v.select("chrom", "pos", V.info_value("DP").cast("int").alias("dp"), V.info_value("ANNO").alias("anno"), V.info_value("HM3").alias("hm3"), S.format_index(F.col("format"), "DP").alias("dp_at"), S.format_index(F.col("format"), "GL").alias("gl_at"))
+
+
+_GT = "list_transform(samples, lambda s: string_split(s, ':')[1])"
+_DOS = f"list_transform({_GT}, lambda g: case when regexp_full_match(g, '[0-9][/|][0-9]') then g[1]::int + g[3]::int when regexp_full_match(g, '[0-9]') then g::int else -9 end)"
+_COUNTS = f"select *, list_sum(list_filter(dos, lambda d: d >= 0)) as acn, len(list_filter(dos, lambda d: d >= 0)) * 2 as ann from (select *, {_DOS} as dos from vcf)"
+
+
+@query(X.WITH_VCF + f" select chrom, pos, coalesce(acn, 0)::int as ac, ann::int as an, (12 - ann / 2)::int as n_missing, round(case when ann > 0 then acn / ann else 0 end, 9) as af, least(coalesce(acn, 0), ann - coalesce(acn, 0))::int as mac from ({_COUNTS})")
+def vcf_allele_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.allele_counts(X.vcf_rows(spark, sf_dir)).select("chrom", "pos", "ac", "an", "n_missing", F.round("af", 9).alias("af"), "mac")
+
+
+@query(X.WITH_VCF + """ select chrom, pos, k as sample, gt, case when regexp_full_match(gt, '[0-9][/|][0-9]') then gt[1]::int + gt[3]::int else -9 end as dosage, try_cast(gt[1] as int) as a1, try_cast(nullif(gt[3], '') as int) as a2, contains(gt, '|') as phased, not regexp_matches(gt, '[/|]') as haploid, contains(gt, '.') as missing
+ from (select chrom, pos, k::int as k, coalesce(nullif(string_split(samples[k + 1], ':')[1], ''), '.') as gt from vcf, unnest(range(12)) r(k))""")
+def vcf_genotype_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = X.vcf_rows(spark, sf_dir).select("chrom", "pos", F.posexplode(V.sample_values("GT")).alias("sample", "gt"))
+    gt = F.coalesce("gt", F.lit("."))
+    return v.select("chrom", "pos", "sample", gt.alias("gt"), S.gt_dosage(gt).alias("dosage"), S.gt_allele(gt, 1).alias("a1"), S.gt_allele(gt, 2).alias("a2"), S.is_phased(gt).alias("phased"), S.is_haploid(gt).alias("haploid"), S.is_missing_gt(gt).alias("missing"))
+
+
+@query(X.WITH_VCF + f""" select chrom, pos, ref, alt, length(ref) > 1 or length(alt) > 1 as indel from ({_COUNTS}) where alt not like '%,%' and ref <> alt and floor(qual) >= 20
+ and cast(regexp_extract(info, 'DP=([0-9]+)', 1) as int) between 100 and 220 and cast(regexp_extract(info, 'AF=([0-9.]+)', 1) as double) between 0.1 and 0.9 and least(acn, ann - acn) >= 2 and acn > 0 and regexp_matches(info, 'ANNO=[^;]*G[1-4]')""")
+def vcf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = V.filter_site_quality(V.filter_biallelic(X.vcf_rows(spark, sf_dir)), 20)
+    v = V.filter_annotation(V.filter_site_freq(V.filter_site_depth(v, 100, 220), 0.1, 0.9), "G[1-4]")
+    return V.filter_variant_sites(V.filter_site_mac(v, 2)).select("chrom", "pos", "ref", "alt", V.is_indel().alias("indel"))
+
+
+@query(X.WITH_VCF + f" select chrom, pos, acn / ann > 0.3 as common from ({_COUNTS}) where ann > 0 and acn / ann between 0.25 and 0.75 and list_sum(list_transform(samples, lambda s: coalesce(try_cast(string_split(s, ':')[3] as int), 0))) >= 150")
+def vcf_extract_by_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = V.filter_site_depth(X.vcf_rows(spark, sf_dir), 150, 0, from_info=False)
+    return V.allele_counts(V.filter_site_freq(v, 0.25, 0.75, from_info=False)).select("chrom", "pos", (F.col("af") > 0.3).alias("common"))
+
+
+@query(X.WITH_VCF + " select chrom, pos, array_to_string([samples[3], samples[6], samples[12]], ' ') as samples from vcf")
+def vcf_select_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = V.select_samples(X.vcf_rows(spark, sf_dir), [f"s{i}" for i in range(12)], include=["s11", "s2", "s5", "s7"], exclude=["s7"])
+    return rows.select("chrom", "pos", F.array_join("samples", " ").alias("samples"))
+
+
+@query(X.WITH_VCF + """ select chrom || chr(9) || pos || chr(9) || id || chr(9) || ref || chr(9) || alt || chr(9) || printf('%.2f', qual) || chr(9) || filter || chr(9) || info || chr(9) || format || chr(9) || array_to_string(samples, chr(9)) as value from vcf""")
+def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.to_lines(X.vcf_rows(spark, sf_dir))
+
+
+@query("select c_custkey as ord, coalesce((select arg_max('R' || o_orderkey, o_orderkey) from orders where o_custkey = c_custkey), 'C' || c_custkey) as name from customer")
+def rename_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.concat(F.lit("C"), "c_custkey").alias("name"))
+    renamed = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line"), F.concat(F.lit("C"), "o_custkey").alias("old"), F.concat(F.lit("R"), "o_orderkey").alias("new"))
+    return V.rename_samples(names, renamed)
+
+
+_MERGED = f"""rg as ({X.RANGES_SQL}), w1 as (select distinct chrom, beg, "end" from rg), w2 as (select *, max("end") over (partition by chrom order by beg, "end" rows between unbounded preceding and 1 preceding) as reach from w1),
+w3 as (select *, sum(case when reach is null or beg > reach then 1 else 0 end) over (partition by chrom order by beg, "end" rows unbounded preceding) as g from w2), merged as (select chrom, min(beg) as beg, max("end") as "end" from w3 group by chrom, g)"""
+
+
+@query(f"with {_MERGED} select * from merged")
+def merge_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.merge_ranges(X.ranges(spark, sf_dir), slice_width=4096)
+
+
+@query(f"with {_MERGED}, sites as ({X.SITES_SQL}) select site, s.chrom, pos from sites s where exists (select 1 from merged m where m.chrom = s.chrom and s.pos >= m.beg and s.pos < m.\"end\")")
+def sites_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.sites_in_ranges(X.sites(spark, sf_dir).select("site", "chrom", "pos"), X.ranges(spark, sf_dir))
+
+
+@query(f"with rg as (select row_number() over (order by o_orderkey) as ord_, * from (select o_orderkey, cast(1 + o_custkey % 3 as varchar) as chrom, o_orderkey * 3 % 20000 as beg, o_orderkey * 3 % 20000 + o_custkey % 40 as \"end\" from orders where o_orderkey % 16 = 1)), sites as ({X.SITES_SQL}) select rg.o_orderkey as ord, s.chrom, s.pos + 1 as pos from sites s join rg on rg.chrom = s.chrom and s.pos + 1 between rg.beg and rg.\"end\"")
+def region_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = X.table(spark, sf_dir, "orders").where("o_orderkey % 16 = 1").selectExpr("o_orderkey as ord", "cast(1 + o_custkey % 3 as string) as chrom", "o_orderkey * 3 % 20000 as beg", "o_orderkey * 3 % 20000 + o_custkey % 40 as end")
+    return R.region_query(X.sites(spark, sf_dir).select("chrom", (F.col("pos") + 1).alias("pos")), regions).select("ord", "chrom", "pos")
+
+
+@query(f"with sites as ({X.SITES_SQL}), l as ({X.SITE_LIST_SQL}) select site, chrom, pos from sites where (chrom, pos) in (select chrom, pos from l)")
+def sites_in_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.sites_in_set(X.sites(spark, sf_dir).select("site", "chrom", "pos"), X.site_list(spark, sf_dir))
+
+
+@query(f"with l as ({X.SITE_LIST_SQL}) select chrom, count(distinct pos) as n from l group by chrom")
+def site_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.site_count(X.site_list(spark, sf_dir))
+
+
+@query(f"with sites as ({X.SITES_SQL}), l as ({X.SITE_LIST_SQL}) select chrom, pos from l except select chrom, pos from sites")
+def unknown_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.unknown_sites(X.site_list(spark, sf_dir), X.sites(spark, sf_dir))
+
+
+@query(f"with {_MERGED} select chrom, beg, \"end\" from merged order by cast(chrom as int), beg limit 1 offset 3")
+def nth_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.nth_range(X.ranges(spark, sf_dir), 3)
+
+
+@query("select o_orderkey, r.u as chrom_beg_end from orders, unnest(['1:' || (o_orderkey % 100 + 1) || ':' || (o_orderkey % 100 + 200), 'X:' || o_custkey || ':' || o_custkey, '2:' || o_custkey || ':536870912']) r(u)")
+def parse_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = X.table(spark, sf_dir, "orders")
+    text = F.expr("concat('chr1:', o_orderkey % 100 + 1, '-', o_orderkey % 100 + 200, ', X:', o_custkey, ',2:', o_custkey, '-')")
+    r = o.select("o_orderkey", F.explode(R.parse_ranges(text)).alias("r"))
+    return r.select("o_orderkey", F.concat_ws(":", "r.chrom", "r.beg", "r.end").alias("chrom_beg_end"))
+
+
+@query("select distinct cast(1 + p_partkey % 22 as varchar) as chrom, p_partkey * 10 as beg, p_partkey * 10 + p_size as \"end\" from part where p_brand in (select p_brand from part where p_size = 7)")
+def gene_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = X.table(spark, sf_dir, "part")
+    genes = p.selectExpr("p_brand as name", "concat('chr', 1 + p_partkey % 22) as chrom", "p_partkey * 10 as beg", "p_partkey * 10 + p_size as end")
+    return R.gene_ranges(genes, p.where("p_size = 7").selectExpr("p_brand as name"))
