@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import scalars as S
 from kinfold.jobs import calling, fixed
+from kinfold.operators import markers as M
+from kinfold.operators import pedigrees as P
 from kinfold.operators import ranges as R
 from kinfold.operators import reads
 from kinfold.operators import vcf as V
@@ -254,3 +256,211 @@ def gene_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = X.table(spark, sf_dir, "part")
     genes = p.selectExpr("p_brand as name", "concat('chr', 1 + p_partkey % 22) as chrom", "p_partkey * 10 as beg", "p_partkey * 10 + p_size as end")
     return R.gene_ranges(genes, p.where("p_size = 7").selectExpr("p_brand as name"))
+
+
+# Pedigrees and markers. Pedigrees of any size derive from customers: families of ten, whose persons 0 to 3 are founders.
+
+_PED_SQL = "select c_custkey // 10 as fam, 'K' || (c_custkey // 10) as famid, cast(c_custkey % 10 as int) as pid, cast(case c_custkey % 10 when 4 then 0 when 5 then 0 when 6 then 2 when 7 then 4 when 8 then 4 when 9 then 4 else -1 end as int) as fatid, cast(case c_custkey % 10 when 4 then 1 when 5 then 1 when 6 then 3 when 7 then 6 when 8 then 6 when 9 then 6 else -1 end as int) as motid, cast(case when c_custkey % 10 in (0, 2, 4, 7, 9) then 1 else 2 end as int) as sex, c_nationkey as nation from customer"
+BIG_PED_SQL = f"select famid, pid, fatid, motid, sex, nation from ({_PED_SQL}) where fam in (select fam from ({_PED_SQL}) group by fam having count(*) = 10)"
+WITH_PED = f"with kp as ({BIG_PED_SQL})"
+
+
+def big_pedigree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three generations of ten persons for every ten customers (families of fewer are left out)."""
+    spec = {"fatid": {4: 0, 5: 0, 6: 2, 7: 4, 8: 4, 9: 4}, "motid": {4: 1, 5: 1, 6: 3, 7: 6, 8: 6, 9: 6}}
+    place = F.col("c_custkey") % 10
+    of = lambda m: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), place.cast("int")), F.lit(-1))
+    rows = X.table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 10).alias("fam"), place.cast("int").alias("pid"), of(spec["fatid"]).alias("fatid"), of(spec["motid"]).alias("motid"), F.when(place.isin(0, 2, 4, 7, 9), 1).otherwise(2).alias("sex"), F.col("c_nationkey").alias("nation"))
+    full = rows.groupBy("fam").agg(F.count("*").alias("n")).where("n = 10").select("fam")
+    return rows.join(full, "fam", "left_semi").select(F.concat(F.lit("K"), "fam").alias("famid"), "pid", "fatid", "motid", "sex", "nation")
+
+
+@query(WITH_PED + " select famid, count(*)::int as n, (count(*) filter (fatid < 0))::int as n_founders, 3 as generations, false as is_nuclear from kp group by famid union all select famid, count(*)::int, (count(*) filter (fatid < 0))::int, case when count(*) filter (fatid >= 0) = 0 then 1 else 2 end, count(*) filter (fatid >= 0) > 0 and count(*) filter (fatid < 0) = 2 from (" + X.pedigree_sql() + ") group by famid")
+def family_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.family_table(big_pedigree(spark, sf_dir).drop("nation").unionByName(X.pedigree(spark)))
+
+
+@query(WITH_PED + ", b as (select famid, pid, case when pid = 5 and nation = 3 then -1 else fatid end as fatid, case when pid = 8 and nation < 4 then 4 else motid end as motid, case when pid = 0 and nation = 7 then 2 else sex end as sex from kp), j as (select b.*, f.sex as fs, m.sex as ms from b left join b f on f.famid = b.famid and f.pid = b.fatid left join b m on m.famid = b.famid and m.pid = b.motid) select famid, pid, case when (fatid < 0) <> (motid < 0) then 'one_parent' when fs = 2 and ms = 1 then 'swapped_parents' else 'parent_sex' end as problem from j where (fatid < 0) <> (motid < 0) or fs = 2 or ms = 1")
+def check_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = big_pedigree(spark, sf_dir)
+    return P.check_parents(p.select("famid", "pid", F.when((F.col("pid") == 5) & (F.col("nation") == 3), -1).otherwise(F.col("fatid")).alias("fatid"), F.when((F.col("pid") == 8) & (F.col("nation") < 4), 4).otherwise(F.col("motid")).alias("motid"), F.when((F.col("pid") == 0) & (F.col("nation") == 7), 2).otherwise(F.col("sex")).alias("sex")))
+
+
+@query(WITH_PED + " select famid, pid, nullif(fatid, -1) as fatid, nullif(motid, -1) as motid, sex from kp")
+def fix_swapped_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = big_pedigree(spark, sf_dir)
+    swap = F.col("nation") % 2 == 0
+    return P.fix_swapped(p.select("famid", "pid", F.when(swap, F.col("motid")).otherwise(F.col("fatid")).alias("fatid"), F.when(swap, F.col("fatid")).otherwise(F.col("motid")).alias("motid"), "sex"))
+
+
+@query(WITH_PED + " select famid, fatid, motid, string_agg(pid::varchar, ',' order by pid) as sibs from kp where fatid >= 0 group by all")
+def sibships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.sibships(big_pedigree(spark, sf_dir)).select("famid", "fatid", "motid", F.array_join(F.col("sibs").cast("array<string>"), ",").alias("sibs"))
+
+
+@query(WITH_PED + " select famid, pid, (row_number() over (partition by famid order by fatid >= 0, pid))::int as ord from kp")
+def pedigree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.ordered(big_pedigree(spark, sf_dir))
+
+
+@query(WITH_PED.replace("with", "with recursive", 1) + ", anc as (select famid, pid, unnest([fatid, motid]) as ancestor from kp where fatid >= 0 union select a.famid, a.pid, unnest([k.fatid, k.motid]) from anc a join kp k on k.famid = a.famid and k.pid = a.ancestor where k.fatid >= 0) select distinct famid, pid, ancestor from anc")
+def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.ancestors(big_pedigree(spark, sf_dir))
+
+
+@query()
+def kinship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.kinship(big_pedigree(spark, sf_dir))
+
+
+@query()
+def kinship_x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.kinship(big_pedigree(spark, sf_dir), x_linked=True)
+
+
+@query(WITH_PED + " select famid, pid, 0 as grp from kp")
+def connected_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.connected_groups(big_pedigree(spark, sf_dir))
+
+
+@query()
+def trim_pedigree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = big_pedigree(spark, sf_dir)
+    return P.trim(p, p.where("nation < 4"))
+
+
+@query(WITH_PED + " select famid, string_agg(pid::varchar, '$' order by pid) as twins, count(distinct sex) = 1 as same_sex from kp where pid in (7, 8, 9) and nation < 15 group by famid having count(*) > 1")
+def twin_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = big_pedigree(spark, sf_dir).withColumn("zygosity", F.when(F.col("pid").isin(7, 8, 9) & (F.col("nation") < 15), 1).otherwise(0))
+    return P.twin_groups(z).select("famid", F.array_join(F.col("twins").cast("array<string>"), "$").alias("twins"), "same_sex")
+
+
+@query()
+def merge_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = big_pedigree(spark, sf_dir).withColumn("zygosity", F.when(F.col("pid").isin(7, 9), 1).otherwise(0)).withColumn("affected", 1 + F.col("nation") % 2)
+    return P.merge_twins(z)
+
+
+@query(WITH_PED + ", k as (select a.famid, a.pid as pid1, b.pid as pid2, case when a.pid = b.pid then 3 when a.fatid < 0 and b.fatid < 0 then 1 when b.fatid = a.pid or b.motid = a.pid or a.fatid = b.pid or a.motid = b.pid then 2 end as r from kp a join kp b on a.famid = b.famid and a.pid <= b.pid) select famid, pid1, pid2, case when r is not null then (r = 1)::int::double end as p0, case when r is not null then (r = 2)::int::double end as p1, case when r is not null then (r = 3)::int::double end as p2 from k")
+def ibd_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.ibd_prior(big_pedigree(spark, sf_dir))
+
+
+_COUNTS_SQL = "cnt as (select marker, u.allele, count(*) as n, count(*) filter (fatid < 0) as nf from (select marker, ped.fatid, case when chrom = 'X' and sex = 1 then [a1] else [a1, a2] end as al from geno join ped using (famid, pid)), unnest(al) u(allele) group by marker, u.allele)"
+
+
+@query(X.WITH_GENO + f", {_COUNTS_SQL}, f as (select marker, allele, case when nf > 0 then nf else 1 end as n from cnt) select marker, allele, round(n / sum(n) over (partition by marker), 9) as freq from f")
+def allele_frequencies_founders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.allele_frequencies(X.genotypes(spark, sf_dir), X.pedigree(spark)).select("marker", "allele", F.round("freq", 9).alias("freq"))
+
+
+@query(X.WITH_GENO + f", {_COUNTS_SQL} select marker, allele, round(n / sum(n) over (partition by marker), 9) as freq from cnt")
+def allele_frequencies_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.allele_frequencies(X.genotypes(spark, sf_dir), X.pedigree(spark), "all").select("marker", "allele", F.round("freq", 9).alias("freq"))
+
+
+@query(X.WITH_GENO + f", {_COUNTS_SQL}, r as (select *, n <= floor(sum(n) over (partition by marker) * 0.2) as rare from cnt) select marker, allele, (case when rare then count(*) filter (not rare) over (partition by marker) + 1 else row_number() over (partition by marker order by rare, n desc, allele) end)::int as code, case when rare then 'OTHER' else allele::varchar end as label from r")
+def lump_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.lump_alleles(M.allele_counts(X.genotypes(spark, sf_dir), X.pedigree(spark)), 0.2)
+
+
+_TRIO_SQL = "tr as (select c.marker, c.famid, c.pid, c.a1, c.a2, p.sex, f.a1 as f1, f.a2 as f2, m.a1 as m1, m.a2 as m2 from geno c join ped p using (famid, pid) left join geno f on f.marker = c.marker and f.famid = c.famid and f.pid = p.fatid left join geno m on m.marker = c.marker and m.famid = c.famid and m.pid = p.motid where p.fatid >= 0), ok as (select *, (f1 is null or a1 in (f1, f2)) and (m1 is null or a2 in (m1, m2)) as one, (f1 is null or a2 in (f1, f2)) and (m1 is null or a1 in (m1, m2)) as two from tr)"
+
+
+@query(X.WITH_GENO + f", {_TRIO_SQL} select marker, famid, pid from ok where not one and not two")
+def mendel_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.mendel_errors(X.genotypes(spark, sf_dir), X.pedigree(spark))
+
+
+@query(X.WITH_GENO + f", {_TRIO_SQL} select g.marker, g.famid, g.pid, 'het_male' as problem from geno g join ped using (famid, pid) where sex = 1 and a1 <> a2 union all select marker, famid, pid, 'son' from tr where sex = 1 and a1 = a2 and m1 is not null and a1 not in (m1, m2) union all select marker, famid, pid, 'daughter' from tr where sex = 2 and not ((f1 is null or a1 = f1) and (m1 is null or a2 in (m1, m2))) and not ((f1 is null or a2 = f1) and (m1 is null or a1 in (m1, m2)))")
+def mendel_errors_x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.mendel_errors_x(X.genotypes(spark, sf_dir), X.pedigree(spark))
+
+
+# For sibships of three: a genotype for everybody of the big pedigree at the sites of six parts.
+_BIG_GENO = "select marker, chrom, famid, pid, (1 + (marker * 7 + pid * 3 + nation) % 4)::int as a1, (1 + (marker * 5 + pid * pid + nation * 3) % 4)::int as a2 from kp, (select p_partkey as marker, '1' as chrom from part where p_partkey % 97 = 1) where (marker + pid + nation) % 9 > 0"
+WITH_BIG = WITH_PED + f", bg as ({_BIG_GENO})"
+
+
+def big_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = big_pedigree(spark, sf_dir)
+    m = X.table(spark, sf_dir, "part").where("p_partkey % 97 = 1").select(F.col("p_partkey").alias("marker"))
+    return p.crossJoin(F.broadcast(m)).where("(marker + pid + nation) % 9 > 0").selectExpr("marker", "famid", "pid", "cast(1 + (marker * 7 + pid * 3 + nation) % 4 as int) as a1", "cast(1 + (marker * 5 + pid * pid + nation * 3) % 4 as int) as a2")
+
+
+@query(WITH_BIG + ", c as (select distinct marker, bg.famid, fatid, motid, least(a1, a2) as lo, greatest(a1, a2) as hi from bg join kp using (famid, pid) where fatid >= 0), n as (select marker, famid, fatid, motid, count(*) as kinds, count(*) filter (lo = hi) as hom from c group by all), a as (select marker, famid, fatid, motid, allele, count(*) as k from (select *, unnest(list_distinct([lo, hi])) as allele from c) group by all), m as (select marker, famid, fatid, motid, count(*) as alleles, max(k) as most from a group by all) select marker, famid, fatid, motid from n join m using (marker, famid, fatid, motid) where kinds > 4 or alleles + hom > 4 or (alleles = 4 and most > 2)")
+def sibship_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.sibship_errors(big_genotypes(spark, sf_dir), big_pedigree(spark, sf_dir))
+
+
+@query(WITH_BIG + ", c as (select marker, bg.famid, bg.pid, fatid, motid, a1, a2 from bg join kp using (famid, pid) where fatid >= 0) select x.marker, x.famid, x.pid as pid1, y.pid as pid2, case when (x.a1 = y.a1 and x.a2 = y.a2) or (x.a1 = y.a2 and x.a2 = y.a1) then 2 when x.a1 in (y.a1, y.a2) or x.a2 in (y.a1, y.a2) then 1 else 0 end as ibs from c x join c y on x.marker = y.marker and x.famid = y.famid and x.fatid = y.fatid and x.motid = y.motid and x.pid < y.pid")
+def sib_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.sib_sharing(big_genotypes(spark, sf_dir), big_pedigree(spark, sf_dir))
+
+
+def _ibd_sql() -> str:
+    fits = lambda s, i, k: f"(({s}.a1 = f.a{i} and {s}.a2 = m.a{k}) or ({s}.a2 = f.a{i} and {s}.a1 = m.a{k}))"
+    ways: dict[int, list[str]] = {0: [], 1: [], 2: []}
+    for i in (1, 2):
+        for k in (1, 2):
+            for i2 in (1, 2):
+                for k2 in (1, 2):
+                    ways[(i == i2) + (k == k2)].append(f"coalesce(({fits('x', i, k)} and {fits('y', i2, k2)})::int, 0)")
+    n = [" + ".join(ways[z]) for z in range(3)]
+    g = lambda a, who: f"left join geno {a} on {a}.marker = s.marker and {a}.famid = s.famid and {a}.pid = s.{who}"
+    return X.WITH_GENO + f", s as (select mk.marker, p.famid, p.pid as pid1, q.pid as pid2, p.fatid, p.motid from ped p join ped q on p.famid = q.famid and p.fatid = q.fatid and p.motid = q.motid and p.pid < q.pid and p.fatid >= 0 join (select distinct marker, famid from geno) mk on mk.famid = p.famid), w as (select s.*, {n[0]} as n0, {n[1]} as n1, {n[2]} as n2 from s {g('x', 'pid1')} {g('y', 'pid2')} {g('f', 'fatid')} {g('m', 'motid')}) select marker, famid, pid1, pid2, round(case when n0 + n1 + n2 > 0 then n0 / (n0 + n1 + n2) else 0.25 end, 9) as p0, round(case when n0 + n1 + n2 > 0 then n1 / (n0 + n1 + n2) else 0.5 end, 9) as p1, round(case when n0 + n1 + n2 > 0 then n2 / (n0 + n1 + n2) else 0.25 end, 9) as p2 from w"
+
+
+@query(_ibd_sql())
+def sib_ibd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = M.sib_ibd(X.genotypes(spark, sf_dir), X.pedigree(spark))
+    return got.select("marker", "famid", "pid1", "pid2", *[F.round(f"p{i}", 9).alias(f"p{i}") for i in range(3)])
+
+
+@query(X.WITH_GENO + f", {_TRIO_SQL} select marker, famid, pid, case when a1 = a2 and one then a1 when one and not two then a1 when two and not one then a2 end as paternal, case when a1 = a2 and one then a1 when one and not two then a2 when two and not one then a1 end as maternal from ok")
+def phase_trios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.phase_trios(X.genotypes(spark, sf_dir), X.pedigree(spark))
+
+
+@query()
+def eliminate_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.eliminate_genotypes(X.genotypes(spark, sf_dir), X.pedigree(spark))
+
+
+@query(f"with t as ({X.TRAITS_SQL}), v as (select trait, value, count(*) as k from t where value is not null group by all) select trait, value, k, round(coalesce(sum(k) over (partition by trait order by value rows between unbounded preceding and 1 preceding), 0) + (k - 1) / 2, 6) as rank, (sum(k) over (partition by trait))::bigint as n from v")
+def mid_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.mid_ranks(X.traits(spark, sf_dir)).withColumn("rank", F.round("rank", 6))
+
+
+@query()
+def inverse_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.inverse_normal(X.traits(spark, sf_dir))
+
+
+@query(f"with t as ({X.TRAITS_SQL}), m as (select trait, avg(value) as mean from t where pid % 3 <> 0 and value is not null group by trait) select famid, pid, trait, value, case when pid % 3 = 0 or value is null then 0 when value > mean then 2 else 1 end as status from t left join m using (trait)")
+def dichotomize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = X.traits(spark, sf_dir)
+    return M.dichotomize(t, t.where("pid % 3 = 0").select("famid", "pid"))
+
+
+@query("with o as (select p_size % 5 as x, p_brand as y, count(*) as o from part group by all), n as (select sum(o) as n from o), r as (select x, sum(o) as r from o group by x), c as (select y, sum(o) as c from o group by y), e as (select coalesce(o.o, 0) as o, r * c / n as e from r cross join c cross join n left join o on o.x = r.x and o.y = c.y), s as (select sum((o - e) * (o - e) / e) as chi2 from e) select round(chi2, 6) as chi2, (select ((count(distinct x) - 1) * (count(distinct y) - 1)) from o) as df, round(sqrt(chi2 / ((select n from n) * (select least(count(distinct x), count(distinct y)) - 1 from o))), 6) as cramer_v, round(sqrt(chi2 / (chi2 + (select n from n))), 6) as contingency_c from s")
+def chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = X.table(spark, sf_dir, "part").select((F.col("p_size") % 5).alias("x"), F.col("p_brand").alias("y"))
+    return M.chi_square(p, "x", "y").select(F.round("chi2", 6).alias("chi2"), "df", F.round("cramer_v", 6).alias("cramer_v"), F.round("contingency_c", 6).alias("contingency_c"))
+
+
+@query("with o as (select p_size % 5 as x, p_brand as y, count(*) as o from part group by all), n as (select sum(o)::double as n from o), h as (select sum(-o / n * ln(o / n)) as h from o, n), hx as (select sum(-r / n * ln(r / n)) as hx from (select sum(o) as r from o group by x), n), hy as (select sum(-r / n * ln(r / n)) as hy from (select sum(o) as r from o group by y), n) select round(h, 6) as h, round(hx, 6) as hx, round(hy, 6) as hy, round(h - hx, 6) as hy_x, round(h - hy, 6) as hx_y, round(2 * (hx + hy - h) / (hx + hy), 6) as uxy from h, hx, hy")
+def entropies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = X.table(spark, sf_dir, "part").select((F.col("p_size") % 5).alias("x"), F.col("p_brand").alias("y"))
+    return M.entropies(p, "x", "y").select(*[F.round(c, 6).alias(c) for c in ("h", "hx", "hy", "hy_x", "hx_y", "uxy")])
+
+
+@query("with d as (select p_size as x, p_partkey * 7 % 41 as y from part), r as (select (rank() over (order by x) + count(*) over (partition by x) * 0.5 - 0.5)::double as rx, (rank() over (order by y) + count(*) over (partition by y) * 0.5 - 0.5)::double as ry from d) select count(*) as n, round(sum((rx - ry) * (rx - ry)), 3) as d2, round(corr(rx, ry), 6) as r from r")
+def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = X.table(spark, sf_dir, "part").selectExpr("p_size as x", "p_partkey * 7 % 41 as y")
+    return M.spearman(p, "x", "y").select("n", F.round("d2", 3).alias("d2"), F.round("r", 6).alias("r"))
+
+
+@query(f"with sites as ({X.SITES_SQL}), o as (select chrom, site as marker, (row_number() over (partition by chrom order by pos, site))::int as ord from sites), c as (select chrom, lead(chrom) over (order by chrom) as next_chrom from (select distinct chrom from sites)) select o.chrom, marker, ord, next_chrom from o join c using (chrom)")
+def ordered_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.ordered_markers(X.sites(spark, sf_dir).select("chrom", F.col("site").alias("marker"), "pos"))
