@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.functions import codons
 from kinfold.functions import scalars as S
 from kinfold.jobs import calling, fixed
 from kinfold.operators import markers as M
@@ -14,7 +15,9 @@ from kinfold.operators import pedigrees as P
 from kinfold.operators import ranges as R
 from kinfold.operators import reads
 from kinfold.operators import vcf as V
+from kinfold.sources import binary as B
 from kinfold.sources import fixtures as X
+from kinfold.sources import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -464,3 +467,34 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with sites as ({X.SITES_SQL}), o as (select chrom, site as marker, (row_number() over (partition by chrom order by pos, site))::int as ord from sites), c as (select chrom, lead(chrom) over (order by chrom) as next_chrom from (select distinct chrom from sites)) select o.chrom, marker, ord, next_chrom from o join c using (chrom)")
 def ordered_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.ordered_markers(X.sites(spark, sf_dir).select("chrom", F.col("site").alias("marker"), "pos"))
+
+
+@query("with c as (select p_partkey, array_to_string([substr('ACGU', (1 + p_partkey % 4)::int, 1), substr('acgt', (1 + p_partkey // 4 % 4)::int, 1), substr('ACGT', (1 + p_partkey // 16 % 4)::int, 1)], '') as codon from part), u as (select *, replace(upper(codon), 'U', 'T') as k from c) select p_partkey, codon, substr('" + codons.CODE + "', (instr('TCAG', k[1]) - 1) * 16 + (instr('TCAG', k[2]) - 1) * 4 + instr('TCAG', k[3]), 1) as letter from u")
+def codon_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = X.table(spark, sf_dir, "part").selectExpr("p_partkey", "concat(substring('ACGU', cast(1 + p_partkey % 4 as int), 1), substring('acgt', cast(1 + p_partkey div 4 % 4 as int), 1), substring('ACGT', cast(1 + p_partkey div 16 % 4 as int), 1)) as codon")
+    return p.select("p_partkey", "codon", codons.amino_acid(F.col("codon")).alias("letter"))
+
+
+_BED = f"list_transform({_DOS}, lambda d: case d when 0 then 0 when 1 then 2 when 2 then 3 else 1 end)"
+
+
+@query(X.WITH_VCF + f", k as (select *, {_BED} as c from vcf where length(ref) = 1 and length(alt) = 1) select case chrom when 'X' then 23 when 'Y' then 24 when 'MT' then 25 else chrom::int end as chrom, case when id = '.' then chrom || ':' || pos else id end as name, 0 as cm, pos, ref, alt, array_to_string(list_transform(range(3), lambda b: lpad(printf('%X', (c[b * 4 + 1] + c[b * 4 + 2] * 4 + c[b * 4 + 3] * 16 + c[b * 4 + 4] * 64)::int), 2, '0')), '') as bed from k")
+def plink_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.plink_markers(X.vcf_rows(spark, sf_dir))
+
+
+@query(X.WITH_VCF + f" select chrom, pos, k::int as sample, d::int as dosage from (select chrom, pos, unnest(range(12)) as k, unnest({_DOS}) as d from vcf)")
+def dosage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.dosages(X.vcf_rows(spark, sf_dir))
+
+
+@query(f"with k as (select c_custkey as pid, 'F' || (c_custkey % 7) as famid, c_custkey % 5 as glf from customer), ix as (select '2' as key, 'a.bin' as file union all select '3', 'b.bin') select famid, pid, file from k left join ix on key = nullif(glf, 0)::varchar")
+def bind_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ped = X.table(spark, sf_dir, "customer").selectExpr("concat('F', c_custkey % 7) as famid", "c_custkey as pid", "cast(c_custkey % 5 as double) as glf")
+    index = spark.createDataFrame([("2", "a.bin"), ("3", "b.bin")], "key string, file string")
+    return T.bind_files(ped, index, "glf")
+
+
+@query()
+def call_vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.genome_sorted(T.call_lines(calling.call_variants(X.gl_obs(spark, sf_dir), list(X.PEDIGREE12)))).select("value")
