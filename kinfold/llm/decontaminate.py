@@ -94,5 +94,6 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item."""
     found = overlaps(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("own").alias("_own")).distinct()
     found = small(cut(found), MAX_HITS)
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_own"))
-    return docs.join(found, same, "left_anti")
+    held = docs.select(F.struct(*docs.columns).alias("_row"))  # whatever the columns are called
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("_row.text", F.lit(""))) == F.col("_own"))
+    return held.join(found, same, "left_anti").select("_row.*")
