@@ -122,7 +122,8 @@ def within_one_edit(a: list[str], b: list[str]) -> bool:
 
 
 def near_dropped(compared: DataFrame) -> DataFrame:
-    """The places of the lines of compared of which an earlier one is one edit away."""
+    """The places of the lines of compared of which an earlier one is one edit away. compared has each place once, so
+    that the joins to it are plain ones, which Spark can split where many lines share an earliest partner."""
 
     @F.pandas_udf("boolean")
     def one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -140,7 +141,7 @@ def near_dropped(compared: DataFrame) -> DataFrame:
     pairs = pairs.unionByName(both.select(F.col("long").alias("place"), F.col("short").alias("m")))
     pairs = pairs.unionByName(both.groupBy("short").agg(F.min("long").alias("m")).select(F.col("short").alias("place"), "m"))
     pairs = cut(pairs.where("m < place").distinct())
-    norm = compared.select(place.alias("p"), "norm").dropDuplicates(["p"])
+    norm = compared.select(place.alias("p"), "norm")
     own = pairs.join(norm.withColumnsRenamed({"p": "place", "norm": "a"}), "place")
     return own.join(norm.withColumnsRenamed({"p": "m", "norm": "b"}), "m").where(one_edit("a", "b")).select("place").distinct()
 
@@ -153,7 +154,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     keys = first.select("h1", "first", F.explode("ends").alias("end"))
     shared = keys.groupBy("end").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("end")
     near = keys.join(small(cut(shared), MAX_KEYS), "end", "left_semi").select("first.*").distinct()
-    gone = near_dropped(cut(_compared(docs, near))).select(F.col("place").alias("first"), F.lit(True).alias("gone"))
+    gone = near_dropped(cut(_compared(docs, near).dropDuplicates(list(PLACE)))).select(F.col("place").alias("first"), F.lit(True).alias("gone"))
     repeated = first.select("h1", "h2", "first", "c").join(small(cut(gone), MAX_KEYS), "first", "left").where("c > 1 or gone")
     hits = all_.select(*PLACE, "h1", "h2").join(repeated, ["h1", "h2"]).where(F.col("gone").isNotNull() | (place != F.col("first")))
     return hits.select(*PLACE)

@@ -164,8 +164,8 @@ def learn(rows: list[tuple[float, ...]], bad: list[int]) -> list[tuple[Condition
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_FIT_ROWS) -> list[tuple[Condition, ...]]:
-    rows = labelled_sample(docs, labels, limit).orderBy(*FEATURES, "bad").collect()
-    return learn([tuple(float(v) for v in r[:-1]) for r in rows], [r[-1] for r in rows])
+    rows = sorted(tuple(map(float, r)) for r in labelled_sample(docs, labels, limit).collect())
+    return learn([r[:-1] for r in rows], [int(r[-1]) for r in rows])
 
 
 def expression(rules: list[tuple[Condition, ...]]) -> Column:

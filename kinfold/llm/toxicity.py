@@ -141,14 +141,14 @@ def _kernel(words: list[str], marks: list[str]) -> np.ndarray:
         for r, v in dense[c]:
             matrix[i, r] += v
     out = np.zeros((len(words), len(marks)))
-    for lo in range(0, len(words), 1_000):  # bounds the products held at once
-        row, code, value, norm = features(words[lo : lo + 1_000])
+    for lo in range(0, len(words), 250):  # bounds the products held at once
+        row, code, value, norm = features(words[lo : lo + 250])
         at = np.minimum(np.searchsorted(known, code), len(known) - 1)
         hit = np.flatnonzero(known[at] == code)
         if len(hit):
             starts = np.flatnonzero(np.concatenate([[True], np.diff(row[hit]) > 0]))  # rows come in order
             out[lo + row[hit][starts]] = np.add.reduceat(matrix[at[hit]] * value[hit, None], starts, axis=0)
-        out[lo : lo + 1_000] /= np.maximum(norm, 1e-9)[:, None]
+        out[lo : lo + 250] /= np.maximum(norm, 1e-9)[:, None]
     return out
 
 
@@ -188,7 +188,7 @@ def _variants(word: str, rng: np.random.Generator, n: int = 6) -> list[str]:
 
 _EMPTY = np.zeros(1 << 4 * _BITS)
 #: Harmless words of the sample that training keeps the features of, besides all words of toxic documents.
-KEPT_HARMLESS, CHUNK = 40_000, 20_000
+KEPT_HARMLESS, CHUNK = 40_000, 5_000
 
 
 def _chunked(words: list[str], use) -> np.ndarray:
