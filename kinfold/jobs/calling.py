@@ -162,6 +162,8 @@ def call_variants(obs: DataFrame, people: list[tuple], o: Options = Options(), f
         obs = obs.join(forced.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
     if o.chromosomes:
         obs = obs.where(F.col("chrom").isin(*o.chromosomes))
+    if o.compat:
+        obs = reads.until_first_end(obs)
     order = sorted(p[1] for p in people)
     sites = reads.site_filters(reads.align_sites(obs, order), len(order), o).where("drop_reason is null")
     names = {o.chrom_x: "X", o.chrom_y: "Y", o.chrom_mt: "MT"}
@@ -319,6 +321,63 @@ def _denovo(part: pd.DataFrame, ref: int, model: DenovoModel, o: Options) -> pd.
     return pd.concat(out) if out else pd.DataFrame()
 
 
+def wide_cohort_frequencies(obs: DataFrame, people: list[tuple], grid: list[float], o: Options = Options()) -> DataFrame:
+    """chrom, pos, ref_freq, llk for the alleles ref and its transition, for cohorts too wide for one row: a row holds one
+    family at one site, gives its log10 likelihood at every frequency of the grid, and sums over families are partial
+    before the shuffle. Finer grids around the best point refine it. Autosomes only."""
+    fams = {p[0]: [q for q in people if q[0] == p[0]] for p in people}
+    who = obs.sparkSession.createDataFrame([(p[0], p[1]) for p in people], "famid string, sample_id int")
+    rows = obs.where("ref_base between 1 and 4").join(who, "sample_id")
+    per = rows.groupBy("chrom", "pos", "famid").agg(F.first("ref_base").alias("ref_base"), F.collect_list(F.struct("sample_id", "pl")).alias("s"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        built = {}
+        for pdf in batches:
+            for famid, group in pdf.groupby("famid"):
+                if famid not in built:
+                    m = Model(fams[famid], "autosome", o, always_optimise=True)
+                    built[famid] = m
+                m = built[famid]
+                pl = np.zeros((len(group), m.n, 10), dtype=np.int64)
+                for i, s in enumerate(group["s"]):
+                    for x in s:
+                        pl[i, m.place[x["sample_id"]]] = x["pl"]
+                ref = group["ref_base"].to_numpy().astype(np.int64)
+                lk = _likelihoods(pl, ref, np.array(TRANSITION)[ref - 1])
+                out = np.stack([m.llk(lk, np.full(len(lk), f))[0] for f in grid], axis=1)
+                yield pd.DataFrame({"chrom": group["chrom"].array, "pos": group["pos"].array, **{f"l{i}": out[:, i] for i in range(len(grid))}})
+
+    llk = per.mapInPandas(run, "chrom string, pos int, " + ", ".join(f"l{i} double" for i in range(len(grid))))
+    return reads.grid_mle(llk.groupBy("chrom", "pos").agg(*[F.sum(f"l{i}").alias(f"l{i}") for i in range(len(grid))]), grid)
+
+
+UNRELATED = "chrom string, pos int, a1 int, a2 int, ref_freq double, gt array<int>, gq array<int>"
+
+
+def call_unrelated(obs: DataFrame, persons: list[int], o: Options = Options()) -> DataFrame:
+    """Genotypes of unrelated persons at a frequency that maximises the product of their likelihoods, for the reference and
+    its transition; quality is the phred ratio of the best to the second best posterior, at most 100."""
+    sites = reads.align_sites(obs, persons)
+    people = [(f"u{p}", p, -1, -1, 0) for p in persons]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Model(people, "autosome", o)
+        for pdf in batches:
+            pdf = pdf[pdf["ref_base"].between(1, 4)]
+            for lo in range(0, len(pdf), o.batch):
+                part = pdf.iloc[lo : lo + o.batch]
+                ref = part["ref_base"].to_numpy().astype(np.int64)
+                alt = np.array(TRANSITION)[ref - 1]
+                lk = _likelihoods(np.stack([np.stack(list(x)) for x in part["pl"]]).astype(np.int64), ref, alt)
+                f, _ = model.maximum(lk)
+                _, post = model.llk(lk, f, marginals=True)
+                two = np.sort(post, axis=2)[:, :, -2:]
+                gq = np.minimum(100, np.floor(10 * (np.log10(np.maximum(two[:, :, 1], 1e-300)) - np.log10(np.maximum(two[:, :, 0], 1e-300))) + 0.5)).astype(int)
+                yield pd.DataFrame({"chrom": part["chrom"].array, "pos": part["pos"].array, "a1": ref, "a2": alt, "ref_freq": f, "gt": list(post.argmax(axis=2)), "gq": list(gq)})
+
+    return sites.mapInPandas(run, UNRELATED)
+
+
 def site_prior_indel(ref: Column, alt: Column, o: Options) -> Column:
     """The prior of a record: that of indels if either allele is longer than a base."""
     return F.when((F.length(ref) > 1) | (F.length(alt) > 1), F.lit(o.indel_theta)).otherwise(F.lit(o.theta))
@@ -349,8 +408,10 @@ def refine_vcf(vcf: DataFrame, sample_names: list[str], people: list[tuple], o:
             indel = (pdf["ref"].str.len() > 1) | (pdf["alt"].str.len() > 1)
             for key, group in pdf.groupby([klass, indel]):
                 if key not in models:
-                    own = replace(o, theta=o.indel_theta) if key[1] else o
+                    own = replace(o, theta=o.indel_theta) if key[1] and not o.compat else o
                     models[key] = Model(people, key[0], own, always_optimise=True)
+                    if o.compat:  # one prior for all chromosomes
+                        models[key].prior = o.theta * prior_scale(people, "autosome")
                 for lo in range(0, len(group), o.batch):
                     yield _refine(group.iloc[lo : lo + o.batch], models[key], bool(key[1]), o)
 
@@ -363,10 +424,12 @@ def _refine(part: pd.DataFrame, model: Model, indel: bool, o: Options) -> pd.Dat
     lk = np.power(10.0, -np.minimum(pl, 255) / 10)
     f, llk = model.maximum(lk)
     mono = np.log10(1 - model.prior) - pl[:, :, 0].sum(axis=1) / 10
-    ts = [(a + b).upper() in ("AG", "GA", "CT", "TC") for a, b in zip(part["ref"], part["alt"], strict=True)]
-    p_ts = o.poly_tstv / (1 + o.poly_tstv)
+    kinds = ("AG", "CT") if o.compat else ("AG", "GA", "CT", "TC")
+    ts = [(a + b).upper() in kinds for a, b in zip(part["ref"], part["alt"], strict=True)]
+    p_ts = 2 / 3 if o.compat else o.poly_tstv / (1 + o.poly_tstv)
     share = np.ones(len(part)) if indel else np.where(ts, p_ts, (1 - p_ts) / 2)
-    poly = np.log10(model.prior * share) + llk
+    # compat: the prior of a polymorphism is lost from the score of a substitution
+    poly = np.log10(share if o.compat and not indel else model.prior * share) + llk
     _, p = K.config_posterior(np.stack([mono, poly], axis=1))
     p_poly = np.where(poly >= mono, p, 1 - p)
     qual = np.where(poly - mono > 1, 10 * (poly - mono), np.where(p_poly > 0.9999999999, 100.0, -10 * np.log10(np.maximum(1 - p_poly, 1e-11))))

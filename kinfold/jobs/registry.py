@@ -498,3 +498,48 @@ def bind_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def call_vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.genome_sorted(T.call_lines(calling.call_variants(X.gl_obs(spark, sf_dir), list(X.PEDIGREE12)))).select("value")
+
+
+@query()
+def wide_cohort_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calling.wide_cohort_frequencies(X.gl_obs(spark, sf_dir).where("chrom in ('1', '2', '3')"), list(X.PEDIGREE12), GRID)
+
+
+@query()
+def call_unrelated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calling.call_unrelated(X.gl_obs(spark, sf_dir), list(range(X.SAMPLES)))
+
+
+@query()
+def refine_vcf_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.refined_lines(calling.refine_vcf(X.vcf_rows(spark, sf_dir), [str(i) for i in range(X.SAMPLES)], list(X.PEDIGREE12), calling.Options(compat=True)))
+
+
+@query()
+def denovo_vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.denovo_lines(calling.call_denovo(X.gl_obs(spark, sf_dir), list(X.PEDIGREE12), calling.Options(denovo=True, rate_denovo=1.5e-7)))
+
+
+@query(X.WITH_OBS + ", e as (select chrom, min(last) as e from (select chrom, sample_id, max(pos) as last from obs group by all) group by chrom), n as (select chrom, min(pos) as nxt from obs join e using (chrom) where pos > e group by chrom) select o.chrom, o.pos, sample_id from obs o join e using (chrom) left join n using (chrom) where o.pos <= coalesce(nxt, e)")
+def until_first_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.until_first_end(X.gl_obs(spark, sf_dir)).select("chrom", "pos", "sample_id")
+
+
+@query("select 'C' || c_custkey as name, case when c_custkey % 3 = 0 then 'both' else 'vcf_only' end as state from customer union all select 'C' || c_custkey || 'x', 'pedigree_only' from customer where c_custkey % 3 = 1")
+def match_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.table(spark, sf_dir, "customer")
+    ped = c.where("c_custkey % 3 < 2").selectExpr("case when c_custkey % 3 = 0 then concat('C', c_custkey) else concat('C', c_custkey, 'x') end as pid")
+    return P.match_samples(c.selectExpr("concat('C', c_custkey) as name"), ped)
+
+
+@query(f"with t as ({X.TRAITS_SQL}) select famid, pid, case when trait % 2 = 1 then value end as value from t where value is not null and famid = 'C7'")
+def extract_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = X.traits(spark, sf_dir).withColumn("status", (F.col("trait") % 2).cast("int"))
+    people = P.have_data(P.extract_family(t, "C7"), columns=["value"])
+    return P.extract_on_affection(people, "status", 1, ["value"]).select("famid", "pid", "value")
+
+
+@query(X.WITH_VCF + f", k as (select site as marker, {_BED} as c from vcf) select marker, array_to_string(list_transform(range(3), lambda b: lpad(printf('%X', (c[b * 4 + 1] + c[b * 4 + 2] * 4 + c[b * 4 + 3] * 16 + c[b * 4 + 4] * 64)::int), 2, '0')), '') as bed from k")
+def pack_dosage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.dosages(X.vcf_rows(spark, sf_dir)).select(F.floor(F.col("pos") / 10).alias("marker"), F.col("sample").alias("person"), "dosage")
+    return B.pack_matrix(d, X.SAMPLES)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -233,3 +233,36 @@ def ibd_conflicts(table: DataFrame) -> DataFrame:
     """Pairs and markers of a table that are listed with more than one value."""
     return table.groupBy("famid", "pid1", "pid2", "marker").agg(F.countDistinct(F.struct("p0", "p1", "p2")).alias("n")).where("n > 1")
 
+
+
+def extract_family(people: DataFrame, famid: str) -> DataFrame:
+    return people.where(F.col("famid") == famid)
+
+
+def have_data(people: DataFrame, geno: DataFrame | None = None, columns: list[str] = ()) -> DataFrame:
+    """Persons with a genotype, or a value in one of the trait and affection columns (an affection of 0 is none)."""
+    some = F.lit(False)
+    for c in columns:
+        some |= F.coalesce(F.col(c).cast("double") != 0, F.lit(False)) if dict(people.dtypes)[c] == "int" else F.col(c).isNotNull()
+    if geno is None:
+        return people.where(some)
+    typed = geno.where("a1 > 0 and a2 > 0").select("famid", "pid", F.lit(True).alias("_typed")).distinct()
+    return people.join(typed, ["famid", "pid"], "left").where(F.coalesce("_typed", F.lit(False)) | some).drop("_typed")
+
+
+def blank_phenotypes(people: DataFrame, columns: list[str], blank: Column) -> DataFrame:
+    """All persons stay; where blank holds, the columns become null."""
+    return people.withColumns({c: F.when(~F.coalesce(blank, F.lit(False)), F.col(c)) for c in columns})
+
+
+def extract_on_affection(people: DataFrame, affection: str, status: int, columns: list[str]) -> DataFrame:
+    """Persons of another status keep their ids only."""
+    return blank_phenotypes(people, columns, F.coalesce(F.col(affection) != status, F.lit(True)))
+
+
+def match_samples(names: DataFrame, ped: DataFrame) -> DataFrame:
+    """name, state: both, vcf_only (not written) or pedigree_only (kept with likelihood 1)."""
+    a = names.select("name", F.lit(True).alias("in_vcf")).distinct()
+    b = ped.select(F.col("pid").cast("string").alias("name"), F.lit(True).alias("in_ped")).distinct()
+    state = F.when(F.col("in_vcf") & F.col("in_ped"), "both").when(F.col("in_vcf"), "vcf_only").otherwise("pedigree_only")
+    return a.join(b, "name", "full").select("name", state.alias("state"))

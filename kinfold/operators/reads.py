@@ -89,3 +89,12 @@ def grid_mle(llk: DataFrame, grid: list[float]) -> DataFrame:
     """chrom, pos, ref_freq (the grid's best point, the least of equals), llk."""
     best = F.array_max(F.array(*[F.struct(F.round(F.col(f"l{i}"), 9).alias("l"), F.lit(-f).alias("f")) for i, f in enumerate(grid)]))
     return llk.select("chrom", "pos", (-best["f"]).alias("ref_freq"), F.round(best["l"], 6).alias("llk"))
+
+
+def until_first_end(obs: DataFrame) -> DataFrame:
+    """Of each chromosome the positions up to where the first sample ends, and the first position after it: what tools keep
+    that stop a chromosome with the first file that runs out."""
+    ends = obs.groupBy("chrom", "sample_id").agg(F.max("pos").alias("last")).groupBy("chrom").agg(F.min("last").alias("end"))
+    later = obs.join(ends, "chrom").where("pos > end").groupBy("chrom").agg(F.min("pos").alias("next"))
+    limits = ends.join(later, "chrom", "left").select("chrom", F.coalesce("next", "end").alias("_until"))
+    return obs.join(limits, "chrom").where(F.col("pos") <= F.col("_until")).drop("_until")

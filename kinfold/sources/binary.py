@@ -156,3 +156,11 @@ def read_plink(spark: SparkSession, prefix: str, people: list[str] | None = None
         what = what.where(F.col("name").isin(markers))
     out = rows.join(who.select(F.col("name").alias("iid"), F.col("place").alias("person")), "person")
     return out.join(what.select(F.col("name").alias("marker"), "place"), "place").select("iid", "marker", "person", "place", "dosage")
+
+
+def pack_matrix(dosages: DataFrame, n_people: int) -> DataFrame:
+    """marker, bed of a long table (marker, person, dosage): the genotypes of a marker in order of the persons' places,
+    those without a row missing."""
+    by_place = F.map_from_entries(F.collect_list(F.struct("person", bed_code(F.col("dosage")).alias("c"))))
+    rows = dosages.groupBy("marker").agg(by_place.alias("m"))
+    return rows.select("marker", pack_bed(F.transform(F.sequence(F.lit(0), F.lit(n_people - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(1)))).alias("bed"))

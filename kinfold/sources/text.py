@@ -186,3 +186,39 @@ def read_ibd(spark: SparkSession, path: str, ped: DataFrame, markers: DataFrame)
     for c in ("pid1", "pid2"):
         rows = rows.join(ped.select("famid", F.col("pid").alias(c)).distinct(), ["famid", c], "left_semi")
     return rows.join(markers.select("marker").distinct(), "marker", "left_semi")
+
+
+def read_basepair_map(spark: SparkSession, path: str) -> DataFrame:
+    """chrom (X: 999), marker, bp of three-column lines."""
+    f = F.split(F.trim("value"), WHITE)
+    at = lambda i: F.get(f, F.lit(i))
+    chrom = F.when(F.upper(at(0)) == "X", F.lit(999)).otherwise(at(0).try_cast("int"))
+    return spark.read.text(path).select(chrom.alias("chrom"), at(1).alias("marker"), at(2).try_cast("long").alias("bp")).where("chrom is not null and bp is not null")
+
+
+def dat_lines(columns: list[tuple[str, str]]) -> str:
+    return "".join(f"{letter} {name}\n" for letter, name in columns) + "E END-OF-DATA\n"
+
+
+def denovo_lines(calls: DataFrame) -> DataFrame:
+    """chrom, pos, value: VCF lines of de novo calls; genotypes as letters, DQ in INFO."""
+    base = lambda c: F.element_at(F.array(*[F.lit(x) for x in "ACGT"]), F.col(c))
+    info = F.format_string("AF=%.4f;DQ=%.3f", "ref_freq", "dq")
+    samples = F.zip_with("gt", "gq", lambda g, q: F.concat_ws(":", g, q))
+    return calls.select("chrom", "pos", F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), F.lit("."), base("ref_base"), base("a2"), F.floor(F.col("qual") + 0.5).cast("string"), F.lit("."), info, F.lit("GT:GQ"), F.array_join(samples, "\t")).alias("value"))
+
+
+def refined_lines(refined: DataFrame) -> DataFrame:
+    """chrom, pos, value: VCF lines of refined records; AF is the alternative allele's frequency; ./. where GQ is 0."""
+    label = F.array(F.lit("0/0"), F.lit("0/1"), F.lit("1/1"))
+    samples = F.zip_with("gt", "gq", lambda g, q: F.concat_ws(":", F.when(q == 0, F.lit("./.")).otherwise(F.get(label, g)), q))
+    qual = F.when(F.col("qual").isNull() | F.isnan("qual"), F.lit(".")).otherwise(F.format_string("%.2f", "qual"))
+    info = F.concat(F.format_string("AF=%.4f;AC=%d", 1 - F.col("ref_freq"), F.col("ac")))
+    return refined.select("chrom", "pos", F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", qual, F.lit("."), info, F.lit("GT:GQ"), F.array_join(samples, "\t")).alias("value"))
+
+
+def copy_vcf(vcf: DataFrame, names: list[str], path: str, include: list[str] | None = None, exclude: list[str] | None = None, compression: str = "none") -> list[str]:
+    """The records with the selected samples alone, written again; their names."""
+    rows, kept = V.select_samples(vcf, names, include, exclude)
+    write_vcf(rows, kept, path, compression=compression)
+    return kept
