@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_bytes
+from .common import cut, lower_bytes, small
 from .components import connected_components
 
 BITS, HOT = 64, 2048
@@ -124,3 +124,92 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, hot: int
     least = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(least, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies by similarity: the wider relation that a pipeline wants ---------------------------------------------------
+
+#: Radius on the fingerprint of distinct words, whose bits differ less between near copies than those of shingles, and
+#: the share of equal five-word shingles that makes a near copy.
+WIDE_RADIUS, SHINGLE, SIMILARITY = 6, 5, 0.8
+#: In buckets of up to so many texts every text is compared with every other, in larger ones with the table's leader.
+PAIRED = 8
+MAX_PAIRED_TEXTS = 500_000
+
+
+def word_fingerprint(text: str | None) -> int:
+    """As fingerprint(), over the distinct words."""
+    ws = sorted(set(lower_bytes(text or "").split()))
+    if not ws:
+        return 0
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in ws), dtype=np.uint64, count=len(ws))
+    votes = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.dot((2 * votes > len(ws)).astype(np.uint64), np.uint64(1) << np.arange(BITS, dtype=np.uint64)))
+
+
+def shingle_hashes(text: str | None, n: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; of a shorter text that of its whole sequence."""
+    ws = lower_bytes(text or "").split()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(ws[i : i + n])) for i in range(max(1, len(ws) - n + 1))), dtype=np.uint64)).view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def similar_pairs(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v) pairs of texts (hashes, `own`) that share SIMILARITY of their shingles. nodes: own, fp1.
+
+    Candidates come from covering masks for WIDE_RADIUS. A bucket lists all its pairs only if it has at most PAIRED
+    texts; in a larger one each text meets the leader, which is another one in every table, so that a text of a large group
+    of near copies is compared with up to 127 others and the number of pairs stays linear. Similarity is exact."""
+    masks = covering_masks(list(range(BITS)), WIDE_RADIUS)
+    key = F.explode(F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("fp1").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("k")) for t, m in enumerate(masks)]))
+    keyed = nodes.select("own", key.alias("x")).select("own", "x.t", "x.k")
+    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("own", "t").alias("h"), "own"))["own"].alias("leader")).where("n > 1")
+    shared = cut(keyed.join(small(cut(sizes), 1_000_000), ["t", "k"]))
+    led = shared.where((F.col("n") > PAIRED) & (F.col("own") != F.col("leader"))).select("own", F.col("leader").alias("other"))
+    few = shared.where(F.col("n") <= PAIRED).groupBy("t", "k").agg(F.collect_list("own").alias("a")).select(F.explode("a").alias("own"), "a")
+    few = few.select("own", F.explode("a").alias("other")).where("own < other")
+    pairs = cut(led.unionByName(few).select(F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v")).distinct())
+    wanted = small(cut(pairs.select(F.explode(F.array("u", "v")).alias("own")).distinct()), MAX_PAIRED_TEXTS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"own": pdf["own"], "sh": pd.Series([shingle_hashes(t) for t in pdf["text"]], dtype=object)})
+
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), "text").join(wanted, "own")
+    sets = cut(texts.mapInPandas(run, "own long, sh array<long>").dropDuplicates(["own"]))
+
+    @F.pandas_udf("double")
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(np.asarray(x), np.asarray(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    both = pairs.join(sets.select(F.col("own").alias("u"), F.col("sh").alias("a")), "u").join(sets.select(F.col("own").alias("v"), F.col("sh").alias("b")), "v")
+    return both.where(similarity("a", "b") >= SIMILARITY).select("u", "v")
+
+
+def near_copies(docs: DataFrame, radius: int = 3, shingle: int = 3, hot: int = HOT) -> DataFrame:
+    """doc_id, component_id by either relation: fingerprints within the radius, as near_duplicates() has it, or a shared
+    SIMILARITY of five-word shingles among texts whose word fingerprints lie within WIDE_RADIUS."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], dtype=np.uint64)
+            fp1 = np.array([word_fingerprint(t) for t in pdf["text"]], dtype=np.uint64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "own": pdf["own"], "fp": fp.view(np.int64), "fp1": fp1.view(np.int64)})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), "text")
+    prints = cut(texts.mapInPandas(run, "doc_id long, own long, fp long, fp1 long"))
+    nodes = cut(prints.groupBy("own").agg(F.min("fp").alias("fp"), F.min("fp1").alias("fp1")))
+    heads = cut(nodes.groupBy("fp").agg(F.min("own").alias("head")))
+    by_bits = links(heads.select("fp"), radius, hot)
+    by_bits = by_bits.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("hu")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("hv")), "v")
+    edges = by_bits.select(F.col("hu").alias("u"), F.col("hv").alias("v"))
+    edges = edges.unionByName(nodes.join(heads, "fp").where("own <> head").select(F.col("own").alias("u"), F.col("head").alias("v")))
+    edges = edges.unionByName(similar_pairs(nodes.select("own", "fp1"), docs))
+    roots = cut(connected_components(edges)).withColumnRenamed("node", "own")
+    least = prints.groupBy("own").agg(F.min("doc_id").alias("least")).join(roots, "own", "left").select("own", "least", F.coalesce("root", "own").alias("root"))
+    least = cut(least)
+    least = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("own", "component_id")
+    return prints.join(least, "own").select("doc_id", "component_id")

@@ -39,7 +39,7 @@ TELLING = 0.05
 #: Margins further out count as these: the machine aims at -1 and 1.
 LOW, HIGH = -1.5, 1.0
 #: Words whose scores one Python worker keeps; emptied when full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 #: Longer words count as overlapping parts of so many characters.
 MAX_WORD, OVERLAP = 40, 12
 
@@ -309,8 +309,8 @@ def _scorer(docs: DataFrame, model: Model):
             if len(cache) > CACHE_WORDS:
                 cache.clear()
             new = [w for w in set().union(*bags) if w not in cache]
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
+            for k in range(0, len(new), CHUNK):
+                part = new[k : k + CHUNK]
                 cache.update(zip(part, m.margins(part).tolist(), strict=True))
             for i, bag in enumerate(bags, lo):
                 if bag:

@@ -292,6 +292,53 @@ def test_near_duplicates(spark):
     assert [r.component_id for r in sorted(got, key=lambda r: r.doc_id)] == want.tolist()
 
 
+def copies(texts):
+    """For each text the places of its near copies, by both relations of near_copies()."""
+    u = np.array([simhash.fingerprint(t) for t in texts], dtype=np.uint64)
+    w = np.array([simhash.word_fingerprint(t) for t in texts], dtype=np.uint64)
+    sets = [simhash.shingle_hashes(t) for t in texts]
+    out = []
+    for i in range(len(texts)):
+        near = np.bitwise_count(u ^ u[i]) <= 3
+        for k in np.flatnonzero(np.bitwise_count(w ^ w[i]) <= simhash.WIDE_RADIUS):
+            near[k] |= simhash.jaccard(sets[i], sets[k]) >= simhash.SIMILARITY
+        out.append(np.flatnonzero(near))
+    return out
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for _ in range(n):
+        out[rng.randrange(len(out))] = f"n{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_near_copies_of_small_groups(spark):
+    rng = random.Random(8)
+    rows = []
+    for g in range(25):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(90, 200))]
+        rows += [edited(rng, base, rng.randint(0, 3)) for _ in range(rng.randint(1, 5))]
+    rows.append(rows[0])
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    want = components(rows, copies(rows))
+    assert [got[i] for i in range(len(rows))] == want.tolist() and len(set(want.tolist())) < len(rows) - 20
+
+
+def test_near_copies_of_a_large_group(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    rows = [edited(rng, base, rng.randint(1, 4)) for _ in range(300)] + [edited(rng, [f"z{rng.randrange(3000)}" for _ in range(200)], 0) for _ in range(40)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    want = components(rows, copies(rows))
+    group = np.bincount(want[:300]).argmax()
+    linked = np.bincount([got[i] for i in range(300)]).max()
+    assert linked >= 0.97 * (want == group).sum() > 200 and all(got[i] == i for i in range(300, 340))
+    u = spark.createDataFrame([(1, None), (2, ""), (3, " "), (4, "a b"), (5, "A  b"), (None, "q")], "doc_id long, text string")
+    assert sorted(str(r.component_id) for r in simhash.near_copies(u).collect()) == ["1", "1", "1", "4", "4", "None"]
+    assert simhash.near_copies(u.limit(0)).count() == 0
+
+
 def test_near_duplicates_odd(spark):
     got = simhash.near_duplicates(odd(spark)).collect()
     assert len(got) == len(ODD)
@@ -568,8 +615,7 @@ def test_pipeline_stages(spark, sf):
     # near-duplicates: one of each component
     one = maxent.cut(pipeline.simhash_stage(spark, out, sf))
     ids = sorted(left)
-    u = np.array([simhash.fingerprint(left[i].text) for i in ids], dtype=np.uint64)
-    comp = components(ids, [np.flatnonzero(np.bitwise_count(u ^ v) <= 3) for v in u])
+    comp = components(ids, copies([left[i].text for i in ids]))
     assert sorted(r.doc_id for r in one.collect()) == sorted({ids[c] for c in comp}) and one.columns == columns
     # decontamination
     bench = [decontaminate_tokens(r.text) for r in table(spark, sf, "benchmark").collect()]
