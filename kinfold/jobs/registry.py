@@ -543,3 +543,31 @@ def extract_people(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pack_dosage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = V.dosages(X.vcf_rows(spark, sf_dir)).select(F.floor(F.col("pos") / 10).alias("marker"), F.col("sample").alias("person"), "dosage")
     return B.pack_matrix(d, X.SAMPLES)
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, (sum(l_quantity::bigint) over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity rows unbounded preceding))::bigint as pos from lineitem")
+def decode_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = X.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("sample_id"), F.lit("1").alias("chrom"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("rec_no"), F.col("l_quantity").cast("bigint").alias("offset"))
+    return reads.decode_positions(steps).select("l_orderkey", "l_linenumber", "l_partkey", "pos")
+
+
+_L = [f"-(p_partkey * {7 + 3 * i} % {41 + 2 * i}) / 4.0::double" for i in range(7)]
+
+
+@query("with s as (select p_partkey, " + ", ".join(f"{x} as l{i}" for i, x in enumerate(_L)) + " from part), m as (select *, greatest(l0, l1, l2, l3, l4, l5, l6) as m from s), p as (select p_partkey, (list_position([l0, l1, l2, l3, l4, l5, l6], m) - 1)::int as config, 1 / (" + " + ".join(f"pow(10.0::double, l{i} - m)" for i in range(7)) + ") as posterior from m) select p_partkey, config, round(posterior, 9) as posterior, round(case when posterior > 0.9999999999 then 100 else -10 * log10(1 - posterior) end, 5) as qual from p")
+def best_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    s = X.table(spark, sf_dir, "part").select(key, *[(-(key * (7 + 3 * i) % (41 + 2 * i)) / 4.0).cast("double").alias(f"l{i}") for i in range(7)])
+    return reads.best_config(s).select("p_partkey", "config", F.round("posterior", 9).alias("posterior"), F.round("qual", 5).alias("qual"))
+
+
+@query("select p_partkey, substr(p_name, 1, 1) as label, instr('ACGT', upper(substr(p_name, 1, 1)))::int as code, case when p_partkey % 6 between 1 and 4 then substr('ACGT', (p_partkey % 6)::int, 1) else 'N' end as back from part")
+def base_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.substring("p_name", 1, 1)
+    return X.table(spark, sf_dir, "part").select("p_partkey", label.alias("label"), S.base_code(label).alias("code"), S.base_label((F.col("p_partkey") % 6).cast("int")).alias("back"))
+
+
+@query(WITH_BIG + ", g as (select marker, famid, least(a1, a2) as a1, greatest(a1, a2) as a2 from bg where pid in (7, 9)) select marker, famid, '7$9' as twins, count(distinct (a1, a2)) = 1 as agree, case when count(distinct (a1, a2)) = 1 then min(a1) end as a1, case when count(distinct (a1, a2)) = 1 then min(a2) end as a2 from g group by marker, famid")
+def twin_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = big_pedigree(spark, sf_dir).withColumn("zygosity", F.when(F.col("pid").isin(7, 9), 1).otherwise(0))
+    return M.twin_check(big_genotypes(spark, sf_dir), P.twin_groups(z).select("famid", "twins"))

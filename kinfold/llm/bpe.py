@@ -22,10 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts, worker_cache
+
 #: Pieces of up to so many bytes are merged in numpy batches.
 SHORT = 32
 #: Distinct pieces kept between batches by one Python worker; the cache is emptied when it is full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 _NONE = np.int64(2**31 - 1)
 
 
@@ -60,7 +62,7 @@ class BytePairEncoder:
             self.table_key[at[free]], self.table_id[at[free]] = left_key[free], left_id[free]
             lost = self.table_key[at] != left_key
             left_key, left_id, at = left_key[lost], left_id[lost], (at[lost] + 1) & (self.slots - 1)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}  # pieces and their ids; a worker's tasks share it through encoder()
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key * np.int64(0x9E3779B97F4A7C1)) >> np.int64(20)) & (self.slots - 1)
@@ -218,6 +220,7 @@ def encoder(ranks_path: str, pattern: str) -> BytePairEncoder:
     key = (ranks_path, pattern)
     if key not in _encoders:
         _encoders[key] = BytePairEncoder(load_ranks(ranks_path), pattern)
+    _encoders[key].cache = worker_cache(key)
     return _encoders[key]
 
 
@@ -226,9 +229,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(ranks_path, pattern)
-        for pdf in batches:
+        for pdf in parts(batches):
             texts = pdf["text"].fillna("").tolist()
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": pd.Series(list(map(_int_array, enc.encode_batch(texts))), dtype=object)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "ids": pd.Series(list(map(_int_array, enc.encode_batch(texts))), dtype=object)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids array<int>")
 
@@ -239,7 +242,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(ranks_path, pattern)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "bytes": [enc.decode([] if x is None else x) for x in pdf["ids"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "bytes": [enc.decode([] if x is None else x) for x in pdf["ids"]]})
 
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, bytes binary")
 
@@ -249,11 +252,11 @@ def encode_checked(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(ranks_path, pattern)
-        for pdf in batches:
+        for pdf in parts(batches):
             texts = pdf["text"].fillna("").tolist()
             ids = list(map(_int_array, enc.encode_batch(texts)))
             same = [enc.decode(x.tolist()) == t.encode("utf-8", "replace") for x, t in zip(ids, texts, strict=True)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": pd.Series(ids, dtype=object), "n_tokens": [len(x) for x in ids], "round_trip": same})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "ids": pd.Series(ids, dtype=object), "n_tokens": [len(x) for x in ids], "round_trip": same})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
 
@@ -265,7 +268,7 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         enc = encoder(ranks_path, pattern)
         name = {i: str(i) for i in enc.token}.__getitem__
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for pdf in batches:
+        for pdf in parts(batches):
             rows = [(len(x), sha(" ".join(map(name, x)).encode()), sha(enc.decode(x))) for x in enc.encode_batch(pdf["text"].fillna("").tolist())]
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", pdf["doc_id"].array)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,25 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+_caches: dict[object, dict] = {}
+
+
+def worker_cache(owner: object) -> dict:
+    """A dictionary that a Python worker keeps between tasks for one owner. Another owner's is dropped, so that the operators of
+    a pipeline, whose tasks share workers, don't add up."""
+    if owner not in _caches:
+        _caches.clear()
+        _caches[owner] = {}
+    return _caches[owner]
+
+
+def parts(batches: Iterable[pd.DataFrame], rows: int = 1_000) -> Iterator[pd.DataFrame]:
+    """Smaller batches, so that a result of lists is not held for a whole Arrow batch."""
+    for pdf in batches:
+        for lo in range(0, len(pdf), rows):
+            yield pdf.iloc[lo : lo + rows]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all machines share; one of our own only where none is set."""
     sc = spark.sparkContext

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_bytes, small
+from .common import cut, lower_bytes, parts, small
 from .components import connected_components
 
 BITS, HOT = 64, 2048
@@ -175,8 +175,8 @@ def similar_pairs(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = small(cut(pairs.select(F.explode(F.array("u", "v")).alias("own")).distinct()), MAX_PAIRED_TEXTS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"own": pdf["own"], "sh": pd.Series([shingle_hashes(t) for t in pdf["text"]], dtype=object)})
+        for pdf in parts(batches):
+            yield pd.DataFrame({"own": pdf["own"].array, "sh": pd.Series([shingle_hashes(t) for t in pdf["text"]], dtype=object)})
 
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), "text").join(wanted, "own")
     sets = cut(texts.mapInPandas(run, "own long, sh array<long>").dropDuplicates(["own"]))

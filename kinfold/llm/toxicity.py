@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts, worker_cache
+
 ORDER, MAX_GAP, DECAY = 4, 2, 0.5
 #: At most so many labelled documents are learned from, those with the least hash of their id; and of each so many
 #: characters of distinct words reach the driver.
@@ -292,9 +294,6 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_FIT_DOCS) -> Model:
     return train(labelled_bags(docs, labels, limit))
 
 
-_cache: dict[int, dict[str, float]] = {}
-
-
 def _scorer(docs: DataFrame, model: Model):
     """texts -> (margin, toxic words, score), for use in tasks."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -302,7 +301,7 @@ def _scorer(docs: DataFrame, model: Model):
 
     def of(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = shared.value
-        cache = _cache.setdefault(token, {})
+        cache = worker_cache(token)
         top, hits = np.full(len(texts), LOW), np.zeros(len(texts))
         for lo in range(0, len(texts), 500):
             bags = [segments(t) for t in texts.iloc[lo : lo + 500]]
@@ -338,8 +337,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     of = _scorer(docs, model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in parts(batches):
             top, hits, total = of(pdf["text"])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "margin": top, "n_toxic": hits.astype(np.int64), "score": total})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "margin": top, "n_toxic": hits.astype(np.int64), "score": total})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, margin double, n_toxic long, score double")

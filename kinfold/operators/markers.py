@@ -285,3 +285,13 @@ def ordered_markers(markers: DataFrame) -> DataFrame:
     o = F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "marker"))
     chroms = markers.select("chrom").distinct().withColumn("next_chrom", F.lead("chrom").over(Window.orderBy("chrom")))
     return markers.select("chrom", "marker", o.alias("ord")).join(chroms, "chrom")
+
+
+def twin_check(geno: DataFrame, twins: DataFrame) -> DataFrame:
+    """marker, famid, twins, agree, a1, a2: whether the typed twins of each group (famid, twins array) have one genotype, and that
+    genotype, which fills in for an untyped twin; null where they differ."""
+    to = small(twins.select("famid", F.array_join(F.col("twins").cast("array<string>"), "$").alias("twins"), F.explode("twins").alias("pid")))
+    g = typed(geno).join(to, ["famid", "pid"]).select("marker", "famid", "twins", F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2"))
+    one = g.groupBy("marker", "famid", "twins").agg(F.countDistinct("a1", "a2").alias("n"), F.min("a1").alias("a1"), F.min("a2").alias("a2"))
+    agree = F.col("n") == 1
+    return one.select("marker", "famid", "twins", agree.alias("agree"), F.when(agree, F.col("a1")).alias("a1"), F.when(agree, F.col("a2")).alias("a2"))

@@ -6,7 +6,7 @@ no chromosome makes a partition hot. Chromosome and site-list filters belong bef
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -98,3 +98,21 @@ def until_first_end(obs: DataFrame) -> DataFrame:
     later = obs.join(ends, "chrom").where("pos > end").groupBy("chrom").agg(F.min("pos").alias("next"))
     limits = ends.join(later, "chrom", "left").select("chrom", F.coalesce("next", "end").alias("_until"))
     return obs.join(limits, "chrom").where(F.col("pos") <= F.col("_until")).drop("_until")
+
+
+def decode_positions(steps: DataFrame) -> DataFrame:
+    """Adds pos, the running sum of offset over a sample's records of a chromosome, in order of rec_no. A partition is one
+    sample's section, which is what a likelihood file holds."""
+    w = Window.partitionBy("sample_id", "chrom").orderBy("rec_no").rowsBetween(Window.unboundedPreceding, 0)
+    return steps.withColumn("pos", F.sum("offset").over(w))
+
+
+def best_config(scores: DataFrame, n: int = 7) -> DataFrame:
+    """Adds config (the first of the greatest of l0..), posterior (1 / sum of 10^(l - max)) and qual of log10 scores."""
+    from kinfold.functions.scalars import site_quality
+
+    ls = [F.col(f"l{i}") for i in range(n)]
+    top = F.greatest(*ls)
+    config = F.array_position(F.array(*ls), top).cast("int") - 1
+    post = 1 / sum((F.pow(F.lit(10.0), x - top) for x in ls), F.lit(0.0))
+    return scores.withColumns({"config": config, "posterior": post}).withColumn("qual", site_quality(F.col("posterior")))

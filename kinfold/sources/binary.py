@@ -164,3 +164,12 @@ def pack_matrix(dosages: DataFrame, n_people: int) -> DataFrame:
     by_place = F.map_from_entries(F.collect_list(F.struct("person", bed_code(F.col("dosage")).alias("c"))))
     rows = dosages.groupBy("marker").agg(by_place.alias("m"))
     return rows.select("marker", pack_bed(F.transform(F.sequence(F.lit(0), F.lit(n_people - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(1)))).alias("bed"))
+
+
+GL_TABLE = "chrom string, pos int, sample_id int, ref_base int, depth int, map_qual smallint, pl array<smallint>"
+
+
+def read_gl_table(spark: SparkSession, path: str) -> DataFrame:
+    """The columnar form of the likelihoods, with a fixed schema: the usual input at scale. Keep it partitioned by chrom and
+    sorted by pos, so that a chromosome or a region is read alone."""
+    return spark.read.schema(GL_TABLE).parquet(path)
