@@ -97,3 +97,17 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     held = docs.select(F.struct(*docs.columns).alias("_row"))  # whatever the columns are called
     same = F.col("_row.doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("_row.text", F.lit(""))) == F.col("_own"))
     return held.join(found, same, "left_anti").select("_row.*")
+
+
+def oracle_sql(documents: str = "documents", benchmark: str = "benchmark") -> str:
+    """doc_id, contaminated, n_items, item_ids in DuckDB's SQL, for tables whose ids are unique: every equal token is an alignment."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words_ = lambda c: f"list_filter(regexp_split_to_array(translate(translate(coalesce({c}, ''), '{upper}', '{upper.lower()}'), '{PUNCTUATION.replace(chr(39), chr(39) * 2)}', ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    return f"""
+with d as (select doc_id, unnest(w) as tok, generate_subscripts(w, 1) as pos from (select doc_id, {words_('text')} as w from {documents})),
+i as (select item_id, len(w) as n, unnest(w) as tok, generate_subscripts(w, 1) as j from (select item_id, {words_('text')} as w from {benchmark}) where len(w) >= 5),
+m as (select doc_id, item_id, any_value(n) as n, list(j) as js, count(*) as c from d join i using (tok) group by doc_id, item_id, pos - j),
+q as (select *, least(n, {WINDOW}) as width, case when n < {LEAST} then n else cast(ceil(least(n, {WINDOW}) * {SIMILARITY} - 1e-9) as bigint) end as need from m),
+h as (select distinct doc_id, item_id from q where c >= need and list_max(list_transform(range(1, n - width + 2), lambda s: len(list_filter(js, lambda x: x >= s and x < s + width)))) >= need),
+g as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id) as item_ids from h group by doc_id)
+select t.doc_id, n_items is not null as contaminated, coalesce(n_items, 0) as n_items, coalesce(item_ids, '') as item_ids from {documents} t left join g using (doc_id)"""

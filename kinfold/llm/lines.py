@@ -172,3 +172,21 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("nos").isNull(), F.col("_row.text")).otherwise(F.array_join(left, "\n"))
     n = F.when(F.col("nos").isNull(), F.lit(0)).otherwise(F.size("nos")).cast("long")
     return joined.select(F.col("_row.doc_id").alias("doc_id"), text.alias("text"), *[F.col("_row")[c].alias(c) for c in others], n.alias("n_dropped"))
+
+
+def oracle_sql(documents: str = "documents") -> str:
+    """doc_id, n_dropped, n_chars, text_sha256 in DuckDB's SQL, for tables whose ids are unique: variants are compared as texts."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+with raw as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from {documents}),
+l as (select *, list_filter(regexp_split_to_array(translate(line, '{upper}', '{upper.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from raw),
+e as (select doc_id, no, w, len(w) as n, array_to_string(w, ' ') as norm from l where len(w) >= {MIN_WORDS}),
+f0 as (select norm, min((doc_id, no)) as place, any_value(w) as w, any_value(n) as n from e group by norm),
+f as (select *, row_number() over (order by place) as r from f0),
+v as (select norm, r, n, p, array_to_string(list_concat(w[1:p - 1], w[p + 1:]), ' ') as v from f, unnest(range(1, n + 1)) u(p)),
+gone as (select a.norm from v a join (select v, p, n, min(r) as m from v group by all) b using (v, p, n) where b.m < a.r
+  union select a.norm from v a join f on f.norm = a.v where f.r < a.r
+  union select f.norm from f join (select v, min(r) as m from v group by v) b on b.v = f.norm where b.m < f.r),
+d as (select doc_id, no from e join f using (norm) where (doc_id, no) <> place or norm in (select norm from gone)),
+k as (select l.doc_id, coalesce(string_agg(line, chr(10) order by l.no) filter (d.no is null), '') as text, count(d.no) as n_dropped from l left join d on d.doc_id = l.doc_id and d.no = l.no group by l.doc_id)
+select t.doc_id, coalesce(n_dropped, 0) as n_dropped, cast(length(k.text) as bigint) as n_chars, sha256(k.text) as text_sha256 from {documents} t left join k using (doc_id)"""

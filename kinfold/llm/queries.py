@@ -67,4 +67,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_main_text, op3_quality_rules, op4_maxent, op5_simhash, op6_bpe, op7_line_dedup, op8_decontamination, op9_secrets, op10_licenses)}
-ORACLE_SQL: dict[str, str] = {"op10_licenses": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": lines.oracle_sql(), "op8_decontamination": decontaminate.oracle_sql(), "op9_secrets": secrets.oracle_sql(), "op10_licenses": licenses.oracle_sql()}

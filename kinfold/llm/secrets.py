@@ -128,3 +128,21 @@ def digests(per_path: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         F.sha2(listed(F.filter("spans", lambda s: s["kind"] < n_base)), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
+
+
+def oracle_sql(documents: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:
+    """The digests in DuckDB's SQL, rule by rule on every text."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    one = []
+    for n, r in enumerate(rules):
+        held = f"regexp_extract(piece, {quote(r.pattern)}, {r.group})" if r.group else "piece"
+        one.append(f"""select key, {n} as kind, {quote(r.kind)} as name, {r.base} as base, sum_before as a, sum_before + length(piece) as b from (
+  select key, piece, k, sum(length(piece)) over (partition by key order by k) - length(piece) as sum_before from (
+    select key, unnest(ps) as piece, generate_subscripts(ps, 1) as k from (select key, string_split(regexp_replace(t, {quote(r.pattern)}, chr(57344) || '\\0' || chr(57344), 'g'), chr(57344)) as ps from d) where len(ps) > 1))
+  where k % 2 = 0 and length({held}) >= {r.at_least}""")
+    text = "name || ':' || a || ':' || b"
+    counts = ", ".join(f"count(s.kind) filter (kind = {n}) as n_{r.kind}" for n, r in enumerate(rules) if r.base)
+    return f"""
+with d as (select row_number() over () as key, doc_id, replace(coalesce(text, ''), chr(57344), chr(57345)) as t from {documents}),
+s as ({' union all '.join(one)})
+select d.doc_id, {counts}, sha256(coalesce(string_agg({text}, ',' order by a, kind) filter (base), '')) as base_sha256, coalesce(string_agg({text}, ',' order by a, kind) , '') as spans from d left join s using (key) group by d.key, d.doc_id"""
