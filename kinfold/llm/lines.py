@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import cut, lower_bytes, small
 
 MIN_WORDS = 5
-#: Rows that may be broadcast, of 16 to 40 bytes each.
-MAX_KEYS = 1_000_000
+#: Rows that may be broadcast, of 16 to 120 bytes each.
+MAX_KEYS = 300_000
 #: Lengths of compared ends: each the greatest that is at most half the line, so that it is a third of it or more.
 ENDS = sorted({int(2 * 1.5**k) for k in range(60)})
 _BASE = np.uint64(0x9E3779B97F4A7C15)

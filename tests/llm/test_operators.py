@@ -632,6 +632,11 @@ def decontaminate_tokens(t):
     return WORD.findall((t or "").translate(LOW).translate(str.maketrans("", "", decontaminate.PUNCTUATION)))
 
 
+def test_near_duplicate_stage_keeps_one_row(spark, sf):
+    kept = sorted(str(r.doc_id) for r in pipeline.simhash_stage(spark, odd(spark), sf).collect())
+    assert kept == ["1", "4", "5", "6", "None"]
+
+
 def test_pipeline_runs_and_is_registered(spark, sf):
     import __spark_entry__ as e
     import corpus_pipeline
