@@ -32,7 +32,7 @@ LEFT_OUT = 0.02
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|textarea|noscript|template|svg|iframe)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
+    r"|<(?P<close>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(?:[!?/]|[a-zA-Z])[^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _attr = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)

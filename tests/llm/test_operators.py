@@ -120,6 +120,8 @@ def test_main_text_odd(spark):
     w = html_text.fit()
     assert [html_text.extract(x, w) for x in (None, "", "   ", "<p", "<!-- x", "<script>a b c</script>")][:3] == ["", "", ""]
     assert html_text.extract("<article><p>a &lt;b&gt; &amp;amp; &#233;&nbsp; c  d<p>e f g<aside>x y</aside><p>h i", w) == "a <b> &amp; é c d\ne f g\nh i"
+    assert html_text.extract("<article><p title=\"open>a b c d</p><p>e f g h &lt; i &notaref; j</p></article>", w) == "a b c d\ne f g h < i &notaref; j".replace("&not", "¬")
+    assert html_text.extract("<div><p>a b c d e f g<p>h i j<div class='reader-comments'><p>k l</div><form>m <input> n</form></div>", w) == "a b c d e f g\nh i j"
     df = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<p>x y z</p>" * 3000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html_text.main_text(df, w).collect()
     assert len(got) == 3 and max(r.n_chars for r in got) == 3000 * 6 - 1
