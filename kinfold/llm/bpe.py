@@ -27,7 +27,7 @@ from .common import parts, worker_cache
 #: Pieces of up to so many bytes are merged in numpy batches.
 SHORT = 32
 #: Distinct pieces kept between batches by one Python worker; the cache is emptied when it is full.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 250_000
 _NONE = np.int64(2**31 - 1)
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_bytes, small
+from .common import cut, lower_bytes, small, worker_cache
 
 MIN_WORDS = 5
 #: Rows that may be broadcast, of 16 to 120 bytes each.
@@ -69,6 +69,7 @@ def lines(docs: DataFrame) -> DataFrame:
     """doc_id, own (hash of the text), no, h1, h2 (128-bit hash), ends of all lines that take part."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("lines")  # drops those of other operators
         for pdf in batches:
             rows = []
             for doc, own, text in zip(pdf["doc_id"], pdf["own"], pdf["text"], strict=True):

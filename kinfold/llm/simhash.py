@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_bytes, parts, small
+from .common import cut, lower_bytes, parts, small, worker_cache
 from .components import connected_components
 
 BITS, HOT = 64, 2048
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("simhash")  # drops those of other operators
         for pdf in batches:
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], dtype=np.uint64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)})
@@ -133,7 +134,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, hot: int
 WIDE_RADIUS, SHINGLE, SIMILARITY = 6, 5, 0.8
 #: In buckets of up to so many texts every text is compared with every other, in larger ones with the table's leader.
 PAIRED = 8
-MAX_PAIRED_TEXTS = 500_000
+#: Rows that may be broadcast, of 16 bytes.
+MAX_PAIRED_TEXTS, MAX_BUCKETS = 500_000, 1_000_000
 
 
 def word_fingerprint(text: str | None) -> int:
@@ -164,12 +166,14 @@ def similar_pairs(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     texts; in a larger one each text meets the leader, which is another one in every table, so that a text of a large group
     of near copies is compared with up to 127 others and the number of pairs stays linear. Similarity is exact."""
     masks = covering_masks(list(range(BITS)), WIDE_RADIUS)
-    key = F.explode(F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("fp1").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("k")) for t, m in enumerate(masks)]))
-    keyed = nodes.select("own", key.alias("x")).select("own", "x.t", "x.k")
-    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("own", "t").alias("h"), "own"))["own"].alias("leader")).where("n > 1")
-    shared = cut(keyed.join(small(cut(sizes), 1_000_000), ["t", "k"]))
-    led = shared.where((F.col("n") > PAIRED) & (F.col("own") != F.col("leader"))).select("own", F.col("leader").alias("other"))
-    few = shared.where(F.col("n") <= PAIRED).groupBy("t", "k").agg(F.collect_list("own").alias("a")).select(F.explode("a").alias("own"), "a")
+    # a table's number and the kept bits as one hash: a chance match makes a candidate, which similarity turns down
+    key = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp1").bitwiseAND(F.lit(_signed(m)).cast("long"))) for t, m in enumerate(masks)]))
+    keyed = nodes.select("own", key.alias("k"))
+    sizes = cut(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = cut(keyed.join(small(sizes, MAX_BUCKETS), "k"))
+    leaders = shared.where(F.col("n") > PAIRED).groupBy("k").agg(F.min(F.struct(F.xxhash64("own", "k").alias("h"), "own"))["own"].alias("other"))
+    led = shared.where(F.col("n") > PAIRED).join(leaders, "k").where("own <> other").select("own", "other")
+    few = shared.where(F.col("n") <= PAIRED).groupBy("k").agg(F.collect_list("own").alias("a")).select(F.explode("a").alias("own"), "a")
     few = few.select("own", F.explode("a").alias("other")).where("own < other")
     pairs = cut(led.unionByName(few).select(F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v")).distinct())
     wanted = small(cut(pairs.select(F.explode(F.array("u", "v")).alias("own")).distinct()), MAX_PAIRED_TEXTS)
@@ -194,6 +198,7 @@ def near_copies(docs: DataFrame, radius: int = 3, shingle: int = 3, hot: int = H
     SIMILARITY of five-word shingles among texts whose word fingerprints lie within WIDE_RADIUS."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("simhash")  # drops those of other operators
         for pdf in batches:
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], dtype=np.uint64)
             fp1 = np.array([word_fingerprint(t) for t in pdf["text"]], dtype=np.uint64)

@@ -41,7 +41,7 @@ TELLING = 0.05
 #: Margins further out count as these: the machine aims at -1 and 1.
 LOW, HIGH = -1.5, 1.0
 #: Words whose scores one Python worker keeps; emptied when full.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Longer words count as overlapping parts of so many characters.
 MAX_WORD, OVERLAP = 40, 12
 
