@@ -175,7 +175,11 @@ def similar_pairs(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     led = shared.where(F.col("n") > PAIRED).join(leaders, "k").where("own <> other").select("own", "other")
     few = shared.where(F.col("n") <= PAIRED).groupBy("k").agg(F.collect_list("own").alias("a")).select(F.explode("a").alias("own"), "a")
     few = few.select("own", F.explode("a").alias("other")).where("own < other")
-    pairs = cut(led.unionByName(few).select(F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v")).distinct())
+    met = cut(led.unionByName(few).select(F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v")).distinct())
+    # only what lies within the radius is worth its shingles; texts that share a table may differ in many more bits
+    bits = small(nodes, MAX_PAIRED_TEXTS)
+    pairs = met.join(bits.select(F.col("own").alias("u"), F.col("fp1").alias("x")), "u").join(bits.select(F.col("own").alias("v"), F.col("fp1").alias("y")), "v")
+    pairs = cut(pairs.where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= WIDE_RADIUS).select("u", "v"))
     wanted = small(cut(pairs.select(F.explode(F.array("u", "v")).alias("own")).distinct()), MAX_PAIRED_TEXTS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
