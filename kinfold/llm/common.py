@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -51,6 +52,10 @@ def worker_cache(owner: object) -> dict:
     a pipeline, whose tasks share workers, don't add up."""
     if owner not in _caches:
         _caches.clear()
+        try:  # give the freed memory back, where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError, TypeError):
+            pass
         _caches[owner] = {}
     return _caches[owner]
 
