@@ -129,13 +129,18 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, hot: int
 
 # Near copies by similarity: the wider relation that a pipeline wants ---------------------------------------------------
 
-#: Radius on the fingerprint of distinct words, whose bits differ less between near copies than those of shingles, and
-#: the share of equal five-word shingles that makes a near copy.
-WIDE_RADIUS, SHINGLE, SIMILARITY = 6, 5, 0.8
-#: In buckets of up to so many texts every text is compared with every other, in larger ones with the table's leader.
+#: The share of equal five-word shingles that makes a near copy. The arithmetic of similar texts below is that of four fifths.
+SHINGLE, SIMILARITY = 5, 0.8
+#: A radius on word_fingerprint() within which most near copies lie. No relation depends on it.
+WIDE_RADIUS = 6
+#: In buckets of up to so many texts every text is compared with every other at once, in larger ones first with a leader.
 PAIRED = 8
 #: Rows that may be broadcast, of 16 bytes.
 MAX_PAIRED_TEXTS, MAX_BUCKETS = 500_000, 1_000_000
+#: One of so many texts is counted, into so many slots, for the order of shingles; so many slots are kept.
+COUNTED, SLOTS, MAX_COMMON = 8, 1 << 20, 1 << 16
+#: Bits and longs of a text's parities.
+PARITIES, LONGS = 512, 8
 
 
 def word_fingerprint(text: str | None) -> int:
@@ -159,27 +164,53 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def similar_pairs(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v) pairs of texts (hashes, `own`) that share SIMILARITY of their shingles. nodes: own, fp1.
+def prefix(sh: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first shingles in the order of (count of the slot, hash). Texts of n and m shingles, n // 5 of which at most are
+    not shared, have one in common among their first n // 5 + 1 and m // 5 + 1, and two (if n, m > 1) among one more."""
+    return sh[np.lexsort((sh, common[sh & (SLOTS - 1)]))][: len(sh) // 5 + 2]
 
-    Candidates come from covering masks for WIDE_RADIUS. A bucket lists all its pairs only if it has at most PAIRED
-    texts; in a larger one each text meets the leader, which is another one in every table, so that a text of a large group
-    of near copies is compared with up to 127 others and the number of pairs stays linear. Similarity is exact."""
-    masks = covering_masks(list(range(BITS)), WIDE_RADIUS)
-    # a table's number and the kept bits as one hash: a chance match makes a candidate, which similarity turns down
-    key = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp1").bitwiseAND(F.lit(_signed(m)).cast("long"))) for t, m in enumerate(masks)]))
-    keyed = nodes.select("own", key.alias("k"))
-    sizes = cut(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = cut(keyed.join(small(sizes, MAX_BUCKETS), "k"))
-    leaders = shared.where(F.col("n") > PAIRED).groupBy("k").agg(F.min(F.struct(F.xxhash64("own", "k").alias("h"), "own"))["own"].alias("other"))
-    led = shared.where(F.col("n") > PAIRED).join(leaders, "k").where("own <> other").select("own", "other")
-    few = shared.where(F.col("n") <= PAIRED).groupBy("k").agg(F.collect_list("own").alias("a")).select(F.explode("a").alias("own"), "a")
-    few = few.select("own", F.explode("a").alias("other")).where("own < other")
-    met = cut(led.unionByName(few).select(F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v")).distinct())
-    # only what lies within the radius is worth its shingles; texts that share a table may differ in many more bits
-    bits = small(nodes, MAX_PAIRED_TEXTS)
-    pairs = met.join(bits.select(F.col("own").alias("u"), F.col("fp1").alias("x")), "u").join(bits.select(F.col("own").alias("v"), F.col("fp1").alias("y")), "v")
-    pairs = cut(pairs.where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= WIDE_RADIUS).select("u", "v"))
+
+def parities(sh: np.ndarray) -> np.ndarray:
+    """For each of PARITIES slots whether an odd number of the shingles fall in it. Two texts differ in at most as many slots
+    as there are shingles in only one of them."""
+    odd = np.bincount((sh >> 20) & (PARITIES - 1), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def common_slots(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the commonest shingles and their counts. They only order shingles, so that common ones come last and buckets
+    stay small: any counts give the same pairs, so a part of the texts will do."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("simhash")  # drops those of other operators
+        n = np.zeros(SLOTS, dtype=np.int64)
+        for pdf in batches:
+            for t in pdf["text"]:
+                n[shingle_hashes(t) & (SLOTS - 1)] += 1
+        at = np.flatnonzero(n > 1)
+        yield pd.DataFrame({"slot": at, "n": n[at]})
+
+    part = texts.where(F.pmod("own", F.lit(COUNTED)) == 0).select("text")
+    got = part.mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(MAX_COMMON).toPandas()
+    return got["slot"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+
+
+def crossing(own: np.ndarray, root: np.ndarray, n: np.ndarray, i: np.ndarray, par: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket's texts under different roots that may be similar: of its shingles a text has n, i of which precede the
+    bucket's. Of similar texts at most a ninth of both's shingles is in only one of them, and the lengths are alike."""
+    order = np.argsort(n, kind="stable")
+    own, root, n, i, par = own[order], root[order], n[order], i[order], par[order]
+    ends = np.searchsorted(n, n * 5 // 4, side="right")
+    for at in range(len(own) - 1):
+        far = np.arange(at + 1, ends[at])
+        far = far[(root[far] != root[at]) & (9 * (i[far] + i[at]) <= n[far] + n[at])]
+        far = far[9 * np.bitwise_count((par[far] ^ par[at]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= n[far] + n[at]]
+        if len(far):
+            yield np.minimum(own[far], own[at]), np.maximum(own[far], own[at])
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) that share SIMILARITY of their shingles."""
     wanted = small(cut(pairs.select(F.explode(F.array("u", "v")).alias("own")).distinct()), MAX_PAIRED_TEXTS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,27 +228,75 @@ def similar_pairs(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where(similarity("a", "b") >= SIMILARITY).select("u", "v")
 
 
+def similar_links(nodes: DataFrame, edges: DataFrame, docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(node, root) of edges and of all pairs of texts that share SIMILARITY of their shingles. nodes: own, n, par, pre.
+
+    Similar texts share a shingle of their prefixes, so that they meet in its bucket: no pair is missed. Buckets of up to
+    PAIRED texts list their pairs; in larger ones each text first meets a leader. What is then connected needs no
+    further pair. Of the larger buckets that hold more than one component all pairs across components are compared in a
+    task; a bucket over `hot` texts is split by a second shared shingle before. Only pairs that lengths, places and parities
+    allow leave a task, and every pair is verified by its shingles."""
+    near = 9 * sum(F.bit_count(F.col("x")[j].bitwiseXOR(F.col("y")[j])) for j in range(LONGS)) <= F.col("nx") + F.col("ny")
+    side = lambda c, n, x: nodes.select(F.col("own").alias(c), F.col("n").alias(n), F.col("par").alias(x))
+    sift = lambda met: cut(met.join(side("u", "nx", "x"), "u").join(side("v", "ny", "y"), "v").where(near).select("u", "v"))
+    keyed = nodes.select("own", F.col("n").alias("len"), F.posexplode("pre").alias("i", "k")).where(F.col("i") <= F.floor(F.col("len") / 5))
+    sizes = cut(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = cut(keyed.join(small(sizes, MAX_BUCKETS), "k"))
+    leaders = shared.where(F.col("n") > PAIRED).groupBy("k").agg(F.min(F.struct(F.xxhash64("own", "k").alias("h"), "own", "len")).alias("b")).select("k", F.col("b.own").alias("other"), F.col("b.len").alias("lb"))
+    led = shared.where(F.col("n") > PAIRED).join(leaders, "k").where("own <> other and 5 * least(len, lb) >= 4 * greatest(len, lb)").select("own", "other")
+    few = shared.where(F.col("n") <= PAIRED).groupBy("k").agg(F.collect_list(F.struct("own", "len", "i")).alias("a"))
+    few = few.select(F.explode("a").alias("p"), "a").select("p", F.explode("a").alias("q")).where("p.own < q.own and 5 * least(p.len, q.len) >= 4 * greatest(p.len, q.len) and 9 * (p.i + q.i) <= p.len + q.len")
+    met = led.unionByName(few.select(F.col("p.own").alias("own"), F.col("q.own").alias("other")))
+    first = verified(sift(met.select(F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v")).distinct()), docs)
+    roots = cut(connected_components(edges.unionByName(first)))
+
+    large = shared.where(F.col("n") > PAIRED).select("k", "n", "own", "len", "i").join(roots.withColumnRenamed("node", "own"), "own", "left")
+    large = cut(large.withColumn("root", F.coalesce("root", "own")))
+    mixed = large.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
+    large = large.join(mixed, "k").join(nodes.select("own", "par", "pre"), "own")
+    later = F.slice("pre", F.col("i") + 2, F.greatest(F.size("pre") - F.col("i") - 1, F.lit(0)))
+    second = F.when(F.col("n") <= hot, F.array(F.lit(0).cast("long"))).when(F.size(later) == 0, F.array(F.lit(0).cast("long"))).otherwise(later)
+    split = large.select("k", F.explode(second).alias("k2"), "own", "root", "len", "i", "par").groupBy("k", "k2").agg(F.collect_list(F.struct("own", "root", "len", "i", "par")).alias("a")).where(F.size("a") > 1)
+    split = split.select(F.col("a.own").alias("own"), F.col("a.root").alias("root"), F.col("a.len").alias("len"), F.col("a.i").alias("i"), F.flatten("a.par").alias("par"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for own, root, n, i, par in zip(pdf["own"], pdf["root"], pdf["len"], pdf["i"], pdf["par"], strict=True):
+                cols = [np.asarray(c, dtype=np.int64) for c in (own, root, n, i)]
+                for u, v in crossing(*cols, np.asarray(par, dtype=np.int64).reshape(-1, LONGS)):
+                    yield pd.DataFrame({"u": u, "v": v})
+
+    rest = cut(split.mapInPandas(run, "u long, v long").distinct())
+    if rest.isEmpty():
+        return roots
+    more = verified(rest, docs)
+    return cut(connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)))
+
+
 def near_copies(docs: DataFrame, radius: int = 3, shingle: int = 3, hot: int = HOT) -> DataFrame:
     """doc_id, component_id by either relation: fingerprints within the radius, as near_duplicates() has it, or a shared
-    SIMILARITY of five-word shingles among texts whose word fingerprints lie within WIDE_RADIUS."""
+    SIMILARITY of five-word shingles."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), "text")
+    slots, counts = common_slots(texts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_cache("simhash")  # drops those of other operators
-        for pdf in batches:
+        common = np.zeros(SLOTS, dtype=np.int64)
+        common[slots] = counts
+        for pdf in parts(batches):
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], dtype=np.uint64)
-            fp1 = np.array([word_fingerprint(t) for t in pdf["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "own": pdf["own"], "fp": fp.view(np.int64), "fp1": fp1.view(np.int64)})
+            sets = [shingle_hashes(t) for t in pdf["text"]]
+            par, pre = ([f(x) for x in sets] for f in (parities, lambda x: prefix(x, common)))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "own": pdf["own"].array, "fp": fp.view(np.int64), "n": [len(x) for x in sets], "par": pd.Series(par, dtype=object), "pre": pd.Series(pre, dtype=object)})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), "text")
-    prints = cut(texts.mapInPandas(run, "doc_id long, own long, fp long, fp1 long"))
-    nodes = cut(prints.groupBy("own").agg(F.min("fp").alias("fp"), F.min("fp1").alias("fp1")))
+    prints = cut(texts.mapInPandas(run, "doc_id long, own long, fp long, n long, par array<long>, pre array<long>"))
+    nodes = cut(prints.drop("doc_id").dropDuplicates(["own"]))
     heads = cut(nodes.groupBy("fp").agg(F.min("own").alias("head")))
     by_bits = links(heads.select("fp"), radius, hot)
     by_bits = by_bits.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("hu")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("hv")), "v")
     edges = by_bits.select(F.col("hu").alias("u"), F.col("hv").alias("v"))
     edges = edges.unionByName(nodes.join(heads, "fp").where("own <> head").select(F.col("own").alias("u"), F.col("head").alias("v")))
-    edges = edges.unionByName(similar_pairs(nodes.select("own", "fp1"), docs))
-    roots = cut(connected_components(edges)).withColumnRenamed("node", "own")
+    roots = similar_links(nodes.select("own", "n", "par", "pre"), edges, docs, hot).withColumnRenamed("node", "own")
     least = prints.groupBy("own").agg(F.min("doc_id").alias("least")).join(roots, "own", "left").select("own", "least", F.coalesce("root", "own").alias("root"))
     least = cut(least)
     least = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("own", "component_id")

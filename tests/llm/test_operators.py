@@ -327,6 +327,32 @@ def test_near_copies_of_small_groups(spark):
     assert [got[i] for i in range(len(rows))] == want.tolist() and len(set(want.tolist())) < len(rows) - 20
 
 
+def alike(texts):
+    """For each text the places of its near copies, by the bits or by four fifths of the shingles, whatever the words' bits."""
+    u = np.array([simhash.fingerprint(t) for t in texts], dtype=np.uint64)
+    sets = [set(simhash.shingle_hashes(t).tolist()) for t in texts]
+    return [np.array([k for k in range(len(texts)) if np.bitwise_count(u[k] ^ u[i]) <= 3 or 5 * len(sets[i] & sets[k]) >= 4 * len(sets[i] | sets[k])]) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("hot", [2048, 12])
+def test_near_copies_are_all_similar_pairs(spark, hot):
+    """Also in buckets shared by texts that are not similar, and where a few words make up most of a text."""
+    rng = random.Random(10)
+    notice = [f"c{i}" for i in range(30)]
+    rows = [" ".join(notice[:25] + [f"x{i}y{k}" for k in range(5)]) for i in range(60)]
+    rows += [" ".join(notice[: rng.randint(4, 30)] + [f"u{rng.randrange(9)}" for _ in range(rng.randrange(12))]) for _ in range(80)]
+    for g in range(30):
+        base = [f"w{rng.randrange(40)}" for _ in range(rng.randint(30, 300))]
+        rows += [edited(rng, base, rng.randint(0, len(base) // 50 + 1)) for _ in range(6)]
+    for g in range(3):
+        base = [f"g{g}w{rng.randrange(60)}" for _ in range(160)]
+        rows += [edited(rng, base, rng.randint(1, 5)) for _ in range(40)]
+    rows += ["a", "A", " a ", "a b", "a b c d e f", "a b c d e f"]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), hot=hot).collect()}
+    want = components(list(range(len(rows))), alike(rows))
+    assert [got[i] for i in range(len(rows))] == want.tolist()
+
+
 def test_near_copies_of_a_large_group(spark):
     rng = random.Random(9)
     base = [f"w{rng.randrange(3000)}" for _ in range(200)]
