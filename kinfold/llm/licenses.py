@@ -1,7 +1,7 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each is normalised (case, punctuation, comment signs, spelling) and looked up among the
-known licence sentences, which gives it an identifier; sentences with a name or a year in them have a pattern. The
+A text is cut into pieces, each is normalised (case, punctuation, comment signs, spelling), and runs of adjacent pieces are
+looked up among the known licence sentences, which gives them an identifier; sentences with a name or a year in them have a pattern. The
 sequence of a document's identifiers is then matched against ordered rules: each rule that holds replaces its part of
 the sequence by a licence, so that longer rules must stand before the shorter ones they contain. What no rule takes
 is reported by its identifier. All of it is DataFrame expressions on single rows: nothing is shuffled, and texts
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii
+from .common import lower_ascii
 
 # Public licence sentences, normalised, and their identifiers.
 SENTENCES = {
@@ -65,6 +65,8 @@ PATTERNS = (
     ("^spdx license identifier gpl 3 0( only)?$", "gpl3_spdx"),
     ("^copyright (c )?[0-9]{4}.{0,200}$", "copyright"),
 )
+#: Those of them that are long enough to be wrapped.
+WRAPPED = ("bsd_endorse", "bsd_warranty")
 # Ordered rules: identifiers in a row and what they amount to.
 RULES = (
     ("bsd_pre bsd_source bsd_binary bsd_endorse bsd_warranty", "BSD-3-Clause"),
@@ -128,6 +130,19 @@ def _prepared(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, SPDX, "\n\n$1 $2\n\n"), LINE, ". $1")
 
 
+def runs(seq: Column) -> Column:
+    """A text's normalised pieces, "| a b | c |", with every run of pieces that makes up a known sentence replaced by = and its
+    identifier: stops, comment signs and capitals at a line's start cut sentences in their published form."""
+    gap = r"(?: \|)? "
+    for known in sorted(SENTENCES, key=lambda k: (-len(k), k)):
+        seq = F.regexp_replace(seq, r"\| " + known.replace(" ", gap) + r"(?= \|)", f"| ={SENTENCES[known]}")
+    for pattern, name in PATTERNS:
+        if name in WRAPPED:
+            body = pattern[1:-1].replace("(3 )?", "(?:3 )?@").replace(".{1,200}", "[^=]{1,200}?")
+            seq = F.regexp_replace(seq, r"\| " + body.replace(" ", gap).replace(f"(?:3{gap})?@", "(?:3 )?") + r"(?= \|)", f"| ={name}")
+    return seq
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (that have an identifier), sentence_ids (in order, by spaces)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -135,7 +150,9 @@ def identify(docs: DataFrame) -> DataFrame:
     likely = F.lit(False)
     for w in WORDS:
         likely |= low.contains(w)
-    ids = F.filter(F.transform(F.split(_prepared(text), STOP), lambda x: let(normalise(x), lambda s: identifier(s))), lambda i: i.isNotNull())
+    pieces = F.filter(F.transform(F.split(_prepared(text), STOP), normalise), lambda s: s != "")
+    named = F.split(runs(F.concat(F.lit("| "), F.array_join(pieces, " | "), F.lit(" |"))), r" ?\| ?")
+    ids = F.filter(F.transform(named, lambda s: F.when(s.startswith("="), F.substring(s, 2, 100)).otherwise(identifier(s))), lambda i: i.isNotNull())
     found = F.when(likely, ids).otherwise(F.array().cast("array<string>"))
     return docs.select("doc_id", found.alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", " ").alias("sentence_ids"))
 

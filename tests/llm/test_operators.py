@@ -616,6 +616,18 @@ def test_license_tables_agree():
     assert all(re.fullmatch("[a-z0-9 ]+", k) for k in licenses.SENTENCES)
 
 
+def test_licenses_as_published(spark):
+    gpl = "This {0} is free software; you can redistribute it and/or modify\nit under the terms of the GNU {1}General Public License as published by\nthe Free Software Foundation; either version {2} of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details."
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT'
+    bsd = 'Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT'
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"
+    forms = [(gpl.format("program", "", "2"), "GPL-2.0-or-later", ""), (gpl.format("library", "Lesser ", "2.1"), "LGPL-2.1-or-later", "gpl_warranty,gpl_see"), (mit, "MIT", ""), (bsd, "BSD-3-Clause", ""), (mpl, "MPL-2.0", "")]
+    signs = ["", "# ", "// ", " * "]
+    rows = [(k, "\n".join((sign + x).rstrip() for x in text.split("\n"))) for k, (text, sign) in enumerate((f[0], s) for f in forms for s in signs)]
+    got = {r.doc_id: (r.licenses, r.unmatched) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == [f[1:] for f in forms for _ in signs]
+
+
 def test_licenses_odd(spark):
     assert licenses.scan(odd(spark)).where("licenses <> ''").count() == 0 and licenses.scan(odd(spark)).count() == len(ODD)
     assert licenses.scan(empty(spark)).count() == 0
