@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -47,15 +49,21 @@ def let(value: Column, body) -> Column:
 _caches: dict[object, dict] = {}
 
 
+def release() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
 def worker_cache(owner: object) -> dict:
     """A dictionary that a Python worker keeps between tasks for one owner. Another owner's is dropped, so that the operators of
     a pipeline, whose tasks share workers, don't add up."""
     if owner not in _caches:
         _caches.clear()
-        try:  # give the freed memory back, where the C library can
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError, TypeError):
-            pass
+        release()
         _caches[owner] = {}
     return _caches[owner]
 
@@ -68,26 +76,46 @@ def parts(batches: Iterable[pd.DataFrame], rows: int = 1_000) -> Iterator[pd.Dat
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines share; one of our own only where none is set."""
+    """The folder in spark.checkpoint.dir, which all machines share. Where it is unset, one of our own on a single machine, as
+    in tests; a cluster must name one."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="ckpt-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        sc.setCheckpointDir(named)
+    return named
+
+
+_written: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: a table written once in the shared folder and read back, so that lost executors cost no more
-    than their own tasks and the planner knows its size."""
+    than their own tasks and the planner knows its size. drop_cuts() deletes such tables."""
     spark = df.sparkSession
     out = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    _written.append(out)
     df.write.parquet(out)
     return spark.read.schema(df.schema).parquet(out)
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """Marked for broadcast if it has at most so many rows, as counted; else as it is, for a shuffled join. df should be cheap to
-    count, such as one that cut() returned."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete the tables that cut() has written so far. Results that read them must have been written before."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _written:
+        path = hadoop(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, most: int, each: Column | None = None) -> DataFrame:
+    """Marked for broadcast if it has at most so many rows, as counted, or so many of what `each` counts in a row; else as it
+    is, for a shuffled join. df should be cheap to count, such as one that cut() returned."""
+    if each is None:
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if (df.agg(F.sum(each + 1)).first()[0] or 0) <= most else df
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
