@@ -6,8 +6,8 @@ two thirds of the sample, pruned on the other third, and accepted while they sta
 learned on what the former ones leave. The list becomes CASE WHEN rule 1 THEN ... WHEN rule 2 ... ELSE keep.
 
 Defined results: null text has no words; a text without words has all statistics 0 and fails the base test; without
-labelled rows of both classes the list is empty and the verdict is "keep"; rows stay as they are, repeated rows and
-null ids too; equal gains go to the earlier statistic, and of its
+labelled rows of both classes the list is empty and the verdict is "keep"; a labelled id counts once in the fit; rows
+stay as they are, repeated rows and null ids too; equal gains go to the earlier statistic, and of its
 thresholds from below to the highest, which rejects least.
 """
 
@@ -96,11 +96,13 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_FIT_ROWS) -> DataFrame:
-    """Statistics and bad (1 for quality 0) of at most `limit` labelled rows. That bound makes the broadcast one."""
-    ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(limit)
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    return statistics(picked).join(F.broadcast(ids), "doc_id").select(*FEATURES, (F.col("quality") == 0).cast("int").alias("bad"))
+    """Statistics and bad (1 for quality 0) of at most `limit` labelled ids, each once: with its least quality and the least
+    of its rows' statistics. That bound makes the broadcast one."""
+    ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    once = statistics(picked).groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("x"))
+    return once.join(F.broadcast(ids), "doc_id").select("x.*", (F.col("quality") == 0).cast("int").alias("bad"))
 
 
 def learn(rows: list[tuple[float, ...]], bad: list[int]) -> list[tuple[Condition, ...]]:
