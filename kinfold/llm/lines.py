@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line is the words between two newlines, in lower-case A-Z, joined by one space; lines of MIN_WORDS words or more
-take part. A line goes if an earlier one, by (doc_id, line number), is within one edit of words: the same, or one
-word inserted, deleted or replaced. The rest of the document stays as it is, in order.
+A line is the words between two newlines, in lower-case A-Z, joined by one space. A line goes if an earlier one, by
+(doc_id, line number), is the same or, where both have MIN_WORDS words or more, within one edit of words: one word
+inserted, deleted or replaced. The rest of the document stays as it is, in order.
 
 Same lines are found by their 128-bit hash. For the others every distinct line emits the hash of itself and of each
 variant with one word left out. Two lines one replacement apart share the variant without that word, two lines one
@@ -12,9 +12,9 @@ two untouched, so that this loses nothing and spares nearly all lines the emissi
 Keys are 64-bit hashes; one that meets another line's by chance could hide a partner, at a rate of the number of
 variants over 2^64 for each.
 
-Defined results: null text has no lines and stays null; short and blank lines are never dropped; rows that repeat a
+Defined results: null text has no lines and stays null; blank lines are never dropped; rows that repeat a
 (doc_id, text) are one document and treated alike; null ids come first; a text of which every line goes is empty;
-equal lines of one document: the first stays. Further columns are kept.
+equal lines of one document: the first stays. Further columns are kept; one called n_dropped is replaced.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_bytes, small, worker_cache
+from .common import cut, let, lower_bytes, small, worker_cache
 
+#: Of lines with fewer words only equal ones are found: one edit makes another line of them.
 MIN_WORDS = 5
 #: Rows that may be broadcast, of 16 to 120 bytes each.
 MAX_KEYS = 300_000
@@ -66,7 +67,7 @@ def variant_keys(ws: list[bytes]) -> tuple[int, np.ndarray]:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, own (hash of the text), no, h1, h2 (128-bit hash), ends of all lines that take part."""
+    """doc_id, own (hash of the text), no, h1, h2 (128-bit hash), ends (none for short lines) of all lines with a word."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_cache("lines")  # drops those of other operators
@@ -75,9 +76,9 @@ def lines(docs: DataFrame) -> DataFrame:
             for doc, own, text in zip(pdf["doc_id"], pdf["own"], pdf["text"], strict=True):
                 for no, line in enumerate(lower_bytes(text).split(b"\n")):
                     ws = line.split()
-                    if len(ws) >= MIN_WORDS:
+                    if ws:
                         h = xxhash.xxh128_intdigest(b" ".join(ws))
-                        rows.append((doc, own, no, _long(h >> 64), _long(h & (1 << 64) - 1), _end_keys(ws)))
+                        rows.append((doc, own, no, _long(h >> 64), _long(h & (1 << 64) - 1), _end_keys(ws) if len(ws) >= MIN_WORDS else []))
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=["doc_id", "own", "no", "h1", "h2", "ends"]).astype({"doc_id": "Int64"})
                     rows = []
@@ -91,7 +92,7 @@ def _compared(docs: DataFrame, places: DataFrame) -> DataFrame:
     """doc_id, no, own, norm, whole, less of the lines at the places (doc_id, no, own): the key of the line and of its
     variants."""
     per = cut(places.groupBy("doc_id", "own").agg(F.collect_set("no").alias("nos")))
-    per = small(per.withColumnsRenamed({"doc_id": "d", "own": "o"}), MAX_KEYS)
+    per = small(per.withColumnsRenamed({"doc_id": "d", "own": "o"}), MAX_KEYS, F.size("nos"))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text")
     texts = texts.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("own") == F.col("o"))).select("doc_id", "own", "text", "nos")
 
@@ -161,18 +162,23 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return hits.select(*PLACE)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The rows of docs with their text freed of the lines that go, and n_dropped."""
+def parted(docs: DataFrame) -> DataFrame:
+    """_row (a row of docs), _text (its text freed of the lines that go) and _n (how many go)."""
     per = dropped_lines(docs).groupBy("doc_id", "own").agg(F.collect_set("no").alias("nos"))
     per = per.withColumnsRenamed({"doc_id": "_doc", "own": "_own"})
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
     held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
     same = F.col("_row.doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("_row.text") == F.col("_own"))
     joined = held.join(per, same, "left")
-    left = F.filter(F.split("_row.text", "\n"), lambda x, i: ~F.array_contains("nos", i))
+    kept = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "nos"), lambda i: F.get(ls, i))
+    left = let(F.split("_row.text", "\n"), kept)
     text = F.when(F.col("nos").isNull(), F.col("_row.text")).otherwise(F.array_join(left, "\n"))
-    n = F.when(F.col("nos").isNull(), F.lit(0)).otherwise(F.size("nos")).cast("long")
-    return joined.select(F.col("_row.doc_id").alias("doc_id"), text.alias("text"), *[F.col("_row")[c].alias(c) for c in others], n.alias("n_dropped"))
+    return joined.select("_row", text.alias("_text"), F.when(F.col("nos").isNull(), F.lit(0)).otherwise(F.size("nos")).cast("long").alias("_n"))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """The rows of docs with their text freed of the lines that go, and n_dropped."""
+    others = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("doc_id", "text", "n_dropped")]
+    return parted(docs).select(F.col("_row.doc_id").alias("doc_id"), F.col("_text").alias("text"), *others, F.col("_n").alias("n_dropped"))
 
 
 def oracle_sql(documents: str = "documents") -> str:
@@ -181,13 +187,13 @@ def oracle_sql(documents: str = "documents") -> str:
     return f"""
 with raw as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from {documents}),
 l as (select *, list_filter(regexp_split_to_array(translate(line, '{upper}', '{upper.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from raw),
-e as (select doc_id, no, w, len(w) as n, array_to_string(w, ' ') as norm from l where len(w) >= {MIN_WORDS}),
+e as (select doc_id, no, w, len(w) as n, array_to_string(w, ' ') as norm from l where len(w) > 0),
 f0 as (select norm, min((doc_id, no)) as place, any_value(w) as w, any_value(n) as n from e group by norm),
-f as (select *, row_number() over (order by place) as r from f0),
+f as (select *, row_number() over (order by place) as r from f0 where n >= {MIN_WORDS}),
 v as (select norm, r, n, p, array_to_string(list_concat(w[1:p - 1], w[p + 1:]), ' ') as v from f, unnest(range(1, n + 1)) u(p)),
 gone as (select a.norm from v a join (select v, p, n, min(r) as m from v group by all) b using (v, p, n) where b.m < a.r
   union select a.norm from v a join f on f.norm = a.v where f.r < a.r
   union select f.norm from f join (select v, min(r) as m from v group by v) b on b.v = f.norm where b.m < f.r),
-d as (select doc_id, no from e join f using (norm) where (doc_id, no) <> place or norm in (select norm from gone)),
+d as (select doc_id, no from e join f0 using (norm) where (doc_id, no) <> place or norm in (select norm from gone)),
 k as (select l.doc_id, coalesce(string_agg(line, chr(10) order by l.no) filter (d.no is null), '') as text, count(d.no) as n_dropped from l left join d on d.doc_id = l.doc_id and d.no = l.no group by l.doc_id)
 select t.doc_id, coalesce(n_dropped, 0) as n_dropped, cast(length(k.text) as bigint) as n_chars, sha256(k.text) as text_sha256 from {documents} t left join k using (doc_id)"""
