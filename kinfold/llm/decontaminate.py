@@ -25,6 +25,8 @@ MASKS = ("11111", "111011", "11010011")
 WINDOW, SIMILARITY, LEAST = 15, 0.8, 8
 #: Rows that may be broadcast: 24 bytes each, so that a broadcast stays below some 100 MB.
 MAX_SEEDS = MAX_HITS = 2_000_000
+#: Tokens of items that may be broadcast, of some 10 bytes.
+MAX_ITEM_TOKENS = 5_000_000
 
 PUNCTUATION = ".,;:!?\"'()[]{}"
 
@@ -62,41 +64,45 @@ def _similar(doc: Column, item: Column, offset: Column) -> Column:
     return let(equal, slide)
 
 
+def found_in_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """own (hash of a document's text), item_own (hash of an item's tokens), n of every item found in a text, n: the number
+    of alignments at which it is found. Equal texts and equal items are one, so that copies hit once."""
+    own = F.xxhash64(F.coalesce("text", F.lit(""))).alias("own")
+    items = benchmark.select(tokens(F.col("text")).alias("item")).where(F.size("item") >= 5).select(F.xxhash64("item").alias("item_own"), "item")
+    items = cut(items.dropDuplicates(["item_own"]))
+    test = seeds(items, F.col("item")).where("hash is not null").select("item_own", "hash", F.col("pos").alias("item_pos"))
+    test = cut(test.distinct())
+    train = seeds(docs.select(own, "text"), tokens(F.col("text"))).select("own", "pos", "hash")
+    hits = train.join(small(test, MAX_SEEDS), "hash").select("own", "item_own", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
+    hits = cut(hits)
+    # only texts with a hit are read again, and only theirs are shuffled
+    hit = small(cut(hits.select(F.col("own").alias("_hit")).distinct()), MAX_HITS)
+    texts = docs.select(own, "text").join(hit, F.col("own") == F.col("_hit"), "left_semi").dropDuplicates(["own"]).select("own", tokens(F.col("text")).alias("w"))
+    both = texts.join(small(hits, MAX_HITS), "own").join(small(items, MAX_ITEM_TOKENS, F.size("item")), "item_own")
+    return both.where(_similar(F.col("w"), F.col("item"), F.col("offset"))).groupBy("own", "item_own").agg(F.count("*").alias("n"))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n of every item found in a document, n: the number of alignments at which it is found."""
-    own = F.xxhash64(F.coalesce("text", F.lit(""))).alias("own")  # tells rows of one id apart
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("item")).where(F.size("item") >= 5)
-    test = seeds(items.select("item_id", F.xxhash64("item").alias("item_own"), "item"), F.col("item")).where("hash is not null")
-    test = cut(test.select("item_id", "item_own", "hash", F.col("pos").alias("item_pos")).distinct())
-    train = seeds(docs.select("doc_id", own, "text"), tokens(F.col("text"))).select("doc_id", "own", "pos", "hash")
-    hits = train.join(small(test, MAX_SEEDS), "hash").select("doc_id", "own", "item_id", "item_own", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
-    hits = small(cut(hits), MAX_HITS)
-    texts = docs.select("doc_id", own, "text").distinct()
-    same = (texts["own"] == hits["own"]) & texts["doc_id"].eqNullSafe(hits["doc_id"])
-    aligned = texts.join(hits, same).select(texts["doc_id"], texts["own"], "item_id", "item_own", "offset", tokens(texts["text"]).alias("w"))
-    known = items.withColumn("item_own", F.xxhash64("item")).dropDuplicates(["item_id", "item_own"])
-    known = small(known, MAX_SEEDS // 40)
-    both = aligned.join(known, (aligned["item_own"] == known["item_own"]) & aligned["item_id"].eqNullSafe(known["item_id"]))
-    found = both.where(_similar(F.col("w"), F.col("item"), F.col("offset")))
-    return found.groupBy(aligned["doc_id"], "own", aligned["item_id"]).agg(F.count("*").alias("n"))
+    """own, item_id, n: found_in_texts() by the ids of the items, repeated ids once with the sum."""
+    ids = benchmark.select("item_id", F.xxhash64(tokens(F.col("text"))).alias("item_own")).distinct()
+    return found_in_texts(docs, benchmark).join(ids, "item_own").groupBy("own", "item_id").agg(F.sum("n").alias("n"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, own (hash of the text), contaminated, n_items, item_ids (ascending) of every document."""
-    found = overlaps(docs, benchmark).groupBy("doc_id", "own").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    found = small(cut(found), MAX_HITS)
+    found = overlaps(docs, benchmark).groupBy("own").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    found = cut(found)
+    ids = found.schema["item_ids"].dataType
     own = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"))
-    joined = own.join(found, (own["own"] == found["own"]) & own["doc_id"].eqNullSafe(found["doc_id"]), "left")
-    return joined.select(own["doc_id"], own["own"], F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
+    joined = own.join(small(found, MAX_HITS, F.size("item_ids")), "own", "left")
+    return joined.select("doc_id", "own", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast(ids)).alias("item_ids"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("own").alias("_own")).distinct()
-    found = small(cut(found), MAX_HITS)
+    found = small(cut(found_in_texts(docs, benchmark).select(F.col("own").alias("_own")).distinct()), MAX_HITS)
     held = docs.select(F.struct(*docs.columns).alias("_row"))  # whatever the columns are called
-    same = F.col("_row.doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("_row.text", F.lit(""))) == F.col("_own"))
-    return held.join(found, same, "left_anti").select("_row.*")
+    return held.join(found, F.xxhash64(F.coalesce("_row.text", F.lit(""))) == F.col("_own"), "left_anti").select("_row.*")
 
 
 def oracle_sql(documents: str = "documents", benchmark: str = "benchmark") -> str:
