@@ -1,7 +1,7 @@
 """Secret scans over an incremental ledger of blobs.
 
 Every version of every path is addressed by its content (SHA-256). The ledger lists which blobs have been scanned
-under which rule version; only unseen (blob, rule version) pairs are scanned, each blob once however many paths or
+under which version of the rules, a hash of them; only unseen (blob, rule version) pairs are scanned, each blob once however many paths or
 versions hold it, and findings join back to all of them. All of it is DataFrame expressions.
 
 A rule's spans come from one pass of its pattern: matches are fenced with a private-use character that the text is
@@ -14,6 +14,7 @@ too; further columns are not read; a blob without findings has an empty array of
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,7 +49,11 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}", base=False),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{3,128}@", base=False),
 )
-RULE_VERSION = "2024-1"
+
+
+def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
+    """A version that changes whenever a rule does."""
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
 def blob_id(text: Column) -> Column:
@@ -82,40 +87,53 @@ def re_quantified(rule: Rule) -> str:
     return rule.pattern.removesuffix("+") + f"{{{rule.at_least - fixed},}}"
 
 
-def find_secrets(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob, spans: one row for each row of blobs (blob, text) in which a rule finds something."""
+def _scanned(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     text = F.translate(F.coalesce("text", F.lit("")), FENCE, SWAP)
     found = let(text, lambda t: F.concat(*[_spans(t, n, r) for n, r in enumerate(rules)]))
-    return blobs.select("blob", F.array_sort(found).alias("spans")).where(F.size("spans") > 0)
+    return blobs.select("blob", F.array_sort(found).alias("spans"))
+
+
+def find_secrets(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob, spans: one row for each row of blobs (blob, text) in which a rule finds something."""
+    return _scanned(blobs, rules).where(F.size("spans") > 0)
 
 
-def unseen(versions: DataFrame, ledger: DataFrame | None, rule_version: str) -> DataFrame:
+def unseen(versions: DataFrame, ledger: DataFrame | None, version: str) -> DataFrame:
     """blob, text of each distinct blob among versions that the ledger has not under this rule version."""
     blobs = versions.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob").distinct(), "blob", "left_anti")
+        blobs = blobs.join(ledger.where(F.col("rule_version") == version).select("blob").distinct(), "blob", "left_anti")
     return blobs.dropDuplicates(["blob"])
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+def scan(versions: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """The new rows of the ledger (blob, rule_version) and of the findings (blob, rule_version, spans).
 
-    The findings are written once, so that the join back to the paths is one that Spark can split where a blob is hot.
-    versions: (path, version, text) or more columns; only text is read here. findings: those of earlier scans; given,
+    Both come from one pass, written once, so that the join back to the paths is one that Spark can split where a blob is
+    hot. versions: (path, version, text) or more columns; only text is read here. findings: those of earlier scans; given,
     the second result holds them too."""
-    new = unseen(versions, ledger, rule_version)
-    rows = new.select("blob", F.lit(rule_version).alias("rule_version"))
-    found = cut(find_secrets(new, rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans"))
-    return rows, found if findings is None else findings.unionByName(found)
+    version = rule_version(rules)
+    new = cut(_scanned(unseen(versions, ledger, version), rules).select("blob", F.lit(version).alias("rule_version"), "spans"))
+    found = new.where(F.size("spans") > 0)
+    return new.select("blob", "rule_version"), found if findings is None else findings.unionByName(found)
 
 
-def by_path(versions: DataFrame, findings: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
+def by_path(versions: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, blob, spans of every version, through its blob."""
     own = versions.select("doc_id", blob_id(F.col("text")).alias("blob"))
-    got = findings.where(F.col("rule_version") == rule_version).select("blob", "spans")
+    got = findings.where(F.col("rule_version") == rule_version(rules)).select("blob", "spans")
     return own.join(got, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
+def scan_arrivals(versions: DataFrame, arrival: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """by_path() of all versions, scanned as they come in: those with the least value of the column `arrival` first, then
+    all, of which the ledger knows the former blobs and only the others are scanned."""
+    least = versions.agg(F.min(arrival)).first()[0]
+    ledger, found = scan(versions.where(F.col(arrival) == F.lit(least)), rules=rules)
+    _, found = scan(versions, ledger, found, rules)
+    return by_path(versions, found, rules)
+
+
 def digests(per_path: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, n_<base kind> counts, base_sha256 and spans as text, of by_path()."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
