@@ -130,16 +130,24 @@ def _prepared(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, SPDX, "\n\n$1 $2\n\n"), LINE, ". $1")
 
 
-def runs(seq: Column) -> Column:
-    """A text's normalised pieces, "| a b | c |", with every run of pieces that makes up a known sentence replaced by = and its
-    identifier: stops, comment signs and capitals at a line's start cut sentences in their published form."""
-    gap = r"(?: \|)? "
-    for known in sorted(SENTENCES, key=lambda k: (-len(k), k)):
-        seq = F.regexp_replace(seq, r"\| " + known.replace(" ", gap) + r"(?= \|)", f"| ={SENTENCES[known]}")
+GAP = r"(?: |\| \|)"
+
+
+def run_patterns() -> list[tuple[str, str]]:
+    """A pattern of each known sentence over the pieces of a text, "|a b| |c|", and its identifier; the longest first. Stops,
+    comment signs and capitals at a line's start cut sentences in their published form, so any gap may be a cut."""
+    out = [(r"\|" + known.replace(" ", GAP) + r"\|", SENTENCES[known]) for known in sorted(SENTENCES, key=lambda k: (-len(k), k))]
     for pattern, name in PATTERNS:
         if name in WRAPPED:
-            body = pattern[1:-1].replace("(3 )?", "(?:3 )?@").replace(".{1,200}", "[^=]{1,200}?")
-            seq = F.regexp_replace(seq, r"\| " + body.replace(" ", gap).replace(f"(?:3{gap})?@", "(?:3 )?") + r"(?= \|)", f"| ={name}")
+            body = pattern[1:-1].replace("(3 )?", "@").replace(".{1,200}", "[^=]{1,200}?").replace(" ", GAP).replace("@", "(?:3 )?")
+            out.append((r"\|" + body + r"\|", name))
+    return out
+
+
+def runs(seq: Column) -> Column:
+    """A text's pieces with every run of them that makes up a known sentence replaced by = and its identifier."""
+    for pattern, name in run_patterns():
+        seq = F.regexp_replace(seq, pattern, f"|={name}|")
     return seq
 
 
@@ -151,7 +159,7 @@ def identify(docs: DataFrame) -> DataFrame:
     for w in WORDS:
         likely |= low.contains(w)
     pieces = F.filter(F.transform(F.split(_prepared(text), STOP), normalise), lambda s: s != "")
-    named = F.split(runs(F.concat(F.lit("| "), F.array_join(pieces, " | "), F.lit(" |"))), r" ?\| ?")
+    named = F.split(runs(F.concat(F.lit("|"), F.array_join(pieces, "| |"), F.lit("|"))), r"\|(?: \|)?")
     ids = F.filter(F.transform(named, lambda s: F.when(s.startswith("="), F.substring(s, 2, 100)).otherwise(identifier(s))), lambda i: i.isNotNull())
     found = F.when(likely, ids).otherwise(F.array().cast("array<string>"))
     return docs.select("doc_id", found.alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", " ").alias("sentence_ids"))
@@ -183,13 +191,17 @@ def oracle_sql(documents: str = "documents") -> str:
     normal = f"trim(regexp_replace(replace({low('x')}, 'licence', 'license'), '[^a-z0-9]+', ' ', 'g'))"
     known = " ".join(f"when s = {quote(k)} then {quote(v)}" for k, v in SENTENCES.items())
     known += " " + " ".join(f"when regexp_matches(s, {quote(k)}) then {quote(v)}" for k, v in PATTERNS)
+    named = "'|' || array_to_string(ps, '| |') || '|'"
+    for pattern, name in run_patterns():
+        named = f"regexp_replace({named}, {quote(pattern)}, {quote(f'|={name}|')}, 'g')"
     seq = "'  ' || replace(sentence_ids, ' ', '  ') || '  '"
     for ids, licence in RULES:
         seq = f"regexp_replace({seq}, {quote(' ' + ids.replace(' ', '  ') + ' ')}, {quote(f' ={licence} ')}, 'g')"
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from {documents}),
-n as (select doc_id, case when {likely} then list_transform(regexp_split_to_array({prepared}, {quote(STOP)}), lambda x: {normal}) else [] end as ss from d),
-i as (select doc_id, list_filter(list_transform(ss, lambda s: case {known} end), lambda v: v is not null) as ids from n),
+m as (select doc_id, case when {likely} then list_filter(list_transform(regexp_split_to_array({prepared}, {quote(STOP)}), lambda x: {normal}), lambda x: x <> '') else [] end as ps from d),
+n as (select doc_id, case when len(ps) > 0 then string_split_regex({named}, '\\|(?: \\|)?') else [] end as ss from m),
+i as (select doc_id, list_filter(list_transform(ss, lambda s: case when s[1] = '=' then s[2:] {known} end), lambda v: v is not null) as ids from n),
 q as (select doc_id, cast(len(ids) as bigint) as n_sentences, coalesce(array_to_string(ids, ' '), '') as sentence_ids from i),
 r as (select *, list_filter(string_split_regex({seq}, ' +'), lambda v: v <> '') as parts from q),
 l as (select *, list_transform(list_filter(parts, lambda v: v[1] = '='), lambda v: v[2:]) as ls from r)
