@@ -131,10 +131,6 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, hot: int
 
 #: The share of equal five-word shingles that makes a near copy. The arithmetic of similar texts below is that of four fifths.
 SHINGLE, SIMILARITY = 5, 0.8
-#: A radius on word_fingerprint() within which most near copies lie. No relation depends on it.
-WIDE_RADIUS = 6
-#: In buckets of up to so many texts every text is compared with every other at once, in larger ones first with a leader.
-PAIRED = 8
 #: Rows that may be broadcast, of 16 bytes.
 MAX_PAIRED_TEXTS, MAX_BUCKETS = 500_000, 1_000_000
 #: One of so many texts is counted, into so many slots, for the order of shingles; so many slots are kept.
@@ -143,16 +139,6 @@ COUNTED, SLOTS, MAX_COMMON = 8, 1 << 20, 1 << 16
 PARITIES, LONGS = 512, 8
 
 
-def word_fingerprint(text: str | None) -> int:
-    """As fingerprint(), over the distinct words."""
-    ws = sorted(set(lower_bytes(text or "").split()))
-    if not ws:
-        return 0
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in ws), dtype=np.uint64, count=len(ws))
-    votes = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.dot((2 * votes > len(ws)).astype(np.uint64), np.uint64(1) << np.arange(BITS, dtype=np.uint64)))
-
-
 def shingle_hashes(text: str | None, n: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; of a shorter text that of its whole sequence."""
     ws = lower_bytes(text or "").split()
@@ -210,7 +196,7 @@ def crossing(own: np.ndarray, root: np.ndarray, n: np.ndarray, i: np.ndarray, pa
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) that share SIMILARITY of their shingles."""
+    """Those of the pairs (u, v) that share SIMILARITY of their shingles. pairs: a table that is cheap to read again."""
     wanted = small(cut(pairs.select(F.explode(F.array("u", "v")).alias("own")).distinct()), MAX_PAIRED_TEXTS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,32 +217,31 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def similar_links(nodes: DataFrame, edges: DataFrame, docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(node, root) of edges and of all pairs of texts that share SIMILARITY of their shingles. nodes: own, n, par, pre.
 
-    Similar texts share a shingle of their prefixes, so that they meet in its bucket: no pair is missed. Buckets of up to
-    PAIRED texts list their pairs; in larger ones each text first meets a leader. What is then connected needs no
-    further pair. Of the larger buckets that hold more than one component all pairs across components are compared in a
-    task; a bucket over `hot` texts is split by a second shared shingle before. Only pairs that lengths, places and parities
-    allow leave a task, and every pair is verified by its shingles."""
+    Similar texts share a shingle of their prefixes, so that they meet in its bucket: no pair is missed. First each text
+    meets its bucket's leader, the least of a hash, which is nearly always the same one in all buckets of a group of copies.
+    What edges and leaders connect needs no further pair. Of the buckets that hold more than one component then all pairs
+    across components are compared in a task; a bucket over `hot` texts is split by a second shared shingle before. Only
+    pairs that lengths, places and parities allow leave a task, and every pair is verified by its shingles."""
+    roots = cut(connected_components(edges))
     near = 9 * sum(F.bit_count(F.col("x")[j].bitwiseXOR(F.col("y")[j])) for j in range(LONGS)) <= F.col("nx") + F.col("ny")
-    side = lambda c, n, x: nodes.select(F.col("own").alias(c), F.col("n").alias(n), F.col("par").alias(x))
-    sift = lambda met: cut(met.join(side("u", "nx", "x"), "u").join(side("v", "ny", "y"), "v").where(near).select("u", "v"))
     keyed = nodes.select("own", F.col("n").alias("len"), F.posexplode("pre").alias("i", "k")).where(F.col("i") <= F.floor(F.col("len") / 5))
-    sizes = cut(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = cut(keyed.join(small(sizes, MAX_BUCKETS), "k"))
-    leaders = shared.where(F.col("n") > PAIRED).groupBy("k").agg(F.min(F.struct(F.xxhash64("own", "k").alias("h"), "own", "len")).alias("b")).select("k", F.col("b.own").alias("other"), F.col("b.len").alias("lb"))
-    led = shared.where(F.col("n") > PAIRED).join(leaders, "k").where("own <> other and 5 * least(len, lb) >= 4 * greatest(len, lb)").select("own", "other")
-    few = shared.where(F.col("n") <= PAIRED).groupBy("k").agg(F.collect_list(F.struct("own", "len", "i")).alias("a"))
-    few = few.select(F.explode("a").alias("p"), "a").select("p", F.explode("a").alias("q")).where("p.own < q.own and 5 * least(p.len, q.len) >= 4 * greatest(p.len, q.len) and 9 * (p.i + q.i) <= p.len + q.len")
-    met = led.unionByName(few.select(F.col("p.own").alias("own"), F.col("q.own").alias("other")))
-    first = verified(sift(met.select(F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v")).distinct()), docs)
-    roots = cut(connected_components(edges.unionByName(first)))
-
-    large = shared.where(F.col("n") > PAIRED).select("k", "n", "own", "len", "i").join(roots.withColumnRenamed("node", "own"), "own", "left")
-    large = cut(large.withColumn("root", F.coalesce("root", "own")))
-    mixed = large.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
-    large = large.join(mixed, "k").join(nodes.select("own", "par", "pre"), "own")
+    lead = F.min(F.struct(F.xxhash64("own").alias("h"), "own", F.col("len").alias("lb")))
+    buckets = keyed.groupBy("k").agg(F.count("*").alias("n"), lead.alias("b")).where("n > 1")
+    buckets = cut(buckets.select("k", "n", F.col("b.own").alias("other"), F.col("b.lb").alias("lb")))
+    shared = cut(keyed.join(small(buckets, MAX_BUCKETS), "k"))
+    met = shared.where("own <> other and 5 * least(len, lb) >= 4 * greatest(len, lb)").select(F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v")).distinct()
+    side = lambda c, n, x, r: nodes.select(F.col("own").alias(c), F.col("n").alias(n), F.col("par").alias(x)).join(roots.select(F.col("node").alias(c), F.col("root").alias(r)), c, "left")
+    met = met.join(side("u", "nx", "x", "rx"), "u").join(side("v", "ny", "y", "ry"), "v").where(near)
+    first = verified(cut(met.where(F.coalesce("rx", "u") != F.coalesce("ry", "v")).select("u", "v")), docs)
+    roots = cut(connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(first)))
+
+    rooted = shared.select("k", "n", "own", "len", "i").join(roots.withColumnRenamed("node", "own"), "own", "left")
+    rooted = cut(rooted.withColumn("root", F.coalesce("root", "own")))
+    mixed = rooted.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
+    rooted = rooted.join(mixed, "k").join(nodes.select("own", "par", "pre"), "own")
     later = F.slice("pre", F.col("i") + 2, F.greatest(F.size("pre") - F.col("i") - 1, F.lit(0)))
-    second = F.when(F.col("n") <= hot, F.array(F.lit(0).cast("long"))).when(F.size(later) == 0, F.array(F.lit(0).cast("long"))).otherwise(later)
-    split = large.select("k", F.explode(second).alias("k2"), "own", "root", "len", "i", "par").groupBy("k", "k2").agg(F.collect_list(F.struct("own", "root", "len", "i", "par")).alias("a")).where(F.size("a") > 1)
+    second = F.when((F.col("n") <= hot) | (F.size(later) == 0), F.array(F.lit(0).cast("long"))).otherwise(later)
+    split = rooted.select("k", F.explode(second).alias("k2"), "own", "root", "len", "i", "par").groupBy("k", "k2").agg(F.collect_list(F.struct("own", "root", "len", "i", "par")).alias("a")).where(F.size("a") > 1)
     split = split.select(F.col("a.own").alias("own"), F.col("a.root").alias("root"), F.col("a.len").alias("len"), F.col("a.i").alias("i"), F.flatten("a.par").alias("par"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,8 +259,9 @@ def similar_links(nodes: DataFrame, edges: DataFrame, docs: DataFrame, hot: int
 
 
 def near_copies(docs: DataFrame, radius: int = 3, shingle: int = 3, hot: int = HOT) -> DataFrame:
-    """doc_id, component_id by either relation: fingerprints within the radius, as near_duplicates() has it, or a shared
-    SIMILARITY of five-word shingles."""
+    """doc_id, own (hash of the text), component_id by either relation: fingerprints within the radius, as near_duplicates()
+    has it, or a shared SIMILARITY of five-word shingles. head: whether the row's id and text stand for the component,
+    which rows that repeat both share."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), "text")
     slots, counts = common_slots(texts)
 
@@ -297,7 +283,9 @@ def near_copies(docs: DataFrame, radius: int = 3, shingle: int = 3, hot: int = H
     edges = by_bits.select(F.col("hu").alias("u"), F.col("hv").alias("v"))
     edges = edges.unionByName(nodes.join(heads, "fp").where("own <> head").select(F.col("own").alias("u"), F.col("head").alias("v")))
     roots = similar_links(nodes.select("own", "n", "par", "pre"), edges, docs, hot).withColumnRenamed("node", "own")
-    least = prints.groupBy("own").agg(F.min("doc_id").alias("least")).join(roots, "own", "left").select("own", "least", F.coalesce("root", "own").alias("root"))
-    least = cut(least)
-    least = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("own", "component_id")
-    return prints.join(least, "own").select("doc_id", "component_id")
+    ids = prints.groupBy("own").agg(F.min("doc_id").alias("least"))
+    ids = cut(ids.join(roots, "own", "left").select("own", "least", F.coalesce("root", "own").alias("root")))
+    first = ids.groupBy("root").agg(F.min(F.when(F.col("least").isNotNull(), F.struct("least", "own"))).alias("first"))
+    of = ids.join(first, "root").select("own", F.col("first.least").alias("component_id"), (F.col("first.own") == F.col("own")).alias("is_first"))
+    rows = prints.select("doc_id", "own").join(of, "own")
+    return rows.select("doc_id", "own", "component_id", F.coalesce(F.col("is_first") & (F.col("doc_id") == F.col("component_id")), F.lit(False)).alias("head"))
