@@ -224,9 +224,9 @@ def peel(fam: Family, own: np.ndarray, tables: dict[int, np.ndarray], joint: np.
     return total, np.where(sums > 0, out / np.where(sums > 0, sums, 1), 0.0)
 
 
-def bounded_maximum(value, s: int, steps: int = 40, grid: int = 17) -> tuple[np.ndarray, np.ndarray]:
+def bounded_maximum(value, s: int, steps: int = 60, grid: int = 17, width: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """(f, value(f)) maximising value: [S] -> [S] over [LOW, HIGH], each site by itself: the best point of a grid, then
-    golden sections around it for all sites at once."""
+    golden sections around it for all sites at once, until all are within the width."""
     points = np.linspace(LOW, HIGH, grid)
     values = np.stack([value(np.full(s, p)) for p in points])
     best = values.argmax(axis=0)
@@ -234,7 +234,7 @@ def bounded_maximum(value, s: int, steps: int = 40, grid: int = 17) -> tuple[np.
     r = (5**0.5 - 1) / 2
     c, d = b - r * (b - a), a + r * (b - a)
     vc, vd = value(c), value(d)
-    while steps and (b - a).max() > 1e-4:
+    while steps and (b - a).max(initial=0.0) > width:
         left = vc >= vd
         a, b = np.where(left, a, c), np.where(left, d, b)
         new = np.where(left, b - r * (b - a), a + r * (b - a))
@@ -293,3 +293,30 @@ def chi2_tail(x: float, df: int) -> float:
     for k in range(300, 0, -1):
         f = k * (k - a) / (z + 2 * k + 1 - a - f)
     return exp(front) / (z + 1 - a - f)
+
+
+def beta_tail(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function I_x(a, b), by its continued fraction from the tail."""
+    from math import exp, lgamma, log
+
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_tail(1 - x, b, a)
+    f = 0.0
+    for m in range(200, 0, -1):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        f = even / (1 + odd / (1 + f))
+    first = -(a + b) * x / (a + 1)
+    return exp(a * log(x) + b * log(1 - x) + lgamma(a + b) - lgamma(a) - lgamma(b)) / (a * (1 + first / (1 + f)))
+
+
+def t_tail(t: float, df: float) -> float:
+    """P(|T| > |t|) for Student's t with df degrees of freedom."""
+    return beta_tail(df / (df + t * t), df / 2, 0.5)
+
+
+def f_tail(f: float, df1: float, df2: float) -> float:
+    """P(F > f) for Fisher's F with df1 and df2 degrees of freedom."""
+    return 1.0 if f <= 0 else beta_tail(df2 / (df2 + df1 * f), df2 / 2, df1 / 2)

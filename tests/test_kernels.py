@@ -105,3 +105,17 @@ def test_tails():
     assert K.chi2_tail(18.307038053275146, 10) == pytest.approx(0.05, abs=1e-9)
     assert K.chi2_tail(0.5, 4) == pytest.approx(0.9735009788, abs=1e-9)
     assert K.normal_quantile(np.array([0.5, 0.975])) == pytest.approx([0, 1.959963985], abs=1e-8)
+
+
+def test_tails_of_t_and_f():
+    from math import gamma, pi
+
+    for df, t in ((1, 1.0), (3, 2.5), (10, 0.3), (40, 4.0)):
+        x = np.linspace(0, t, 200_001)
+        pdf = gamma((df + 1) / 2) / ((df * pi) ** 0.5 * gamma(df / 2)) * (1 + x * x / df) ** (-(df + 1) / 2)
+        assert K.t_tail(t, df) == pytest.approx(1 - 2 * np.trapezoid(pdf, x), abs=1e-8) and K.t_tail(-t, df) == K.t_tail(t, df)
+    for a, b, f in ((4, 12, 3.0), (2, 5, 0.4), (30, 7, 1.8)):
+        x = np.linspace(0, f, 400_001)[1:]
+        pdf = gamma((a + b) / 2) / (gamma(a / 2) * gamma(b / 2)) * (a / b) ** (a / 2) * x ** (a / 2 - 1) * (1 + a * x / b) ** (-(a + b) / 2)
+        assert K.f_tail(f, a, b) == pytest.approx(1 - np.trapezoid(pdf, x), abs=1e-5)
+    assert K.f_tail(0, 3, 4) == 1 and K.t_tail(0.0, 5) == pytest.approx(1)
