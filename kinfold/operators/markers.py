@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.functions.kernels import chi2_tail, normal_quantile
+from kinfold.functions.kernels import chi2_tail, normal_quantile, t_tail
 from kinfold.functions.scalars import ibs
 from kinfold.operators.pedigrees import with_nulls
 
@@ -39,19 +39,25 @@ def allele_counts(geno: DataFrame, ped: DataFrame, founders_only: bool = False,
     return j.select("marker", F.explode(alleles).alias("allele")).groupBy("marker", "allele").agg(F.count("*").alias("n"))
 
 
-def allele_frequencies(geno: DataFrame, ped: DataFrame, estimator: str = "founders", existing: DataFrame | None = None) -> DataFrame:
-    """marker, allele, freq by estimator founders, all or equal. An allele seen but in no founder counts once; of a marker
-    with one allele the other one, unnamed (0), has 0.00001; given frequencies (marker, allele, freq) win for their markers."""
+def allele_frequencies(geno: DataFrame, ped: DataFrame, estimator: str = "founders", existing: DataFrame | None = None, markers: DataFrame | None = None) -> DataFrame:
+    """marker, allele, freq by estimator founders, all or equal. An allele seen but in no founder counts once, and where no
+    founder is typed all persons count. A marker (of the table markers) at which nobody is typed has alleles 1 and 2 with
+    0.99999 and 0.00001; given frequencies (marker, allele, freq) win for their markers."""
     seen = allele_counts(geno, ped)
     if estimator == "equal":
         counts = seen.withColumn("n", F.lit(1))
     elif estimator == "founders":
         f = allele_counts(geno, ped, founders_only=True).withColumnRenamed("n", "nf")
-        counts = seen.join(f, ["marker", "allele"], "left").select("marker", "allele", F.coalesce("nf", F.lit(1)).alias("n"))
+        typed_founders = F.sum("nf").over(Window.partitionBy("marker")).isNotNull()
+        counts = seen.join(f, ["marker", "allele"], "left").select("marker", "allele", F.when(typed_founders, F.coalesce("nf", F.lit(1))).otherwise(F.col("n")).alias("n"))
     else:
         counts = seen
     total = counts.groupBy("marker").agg(F.sum("n").alias("t"))
     out = counts.join(total, "marker").select("marker", "allele", (F.col("n") / F.col("t")).alias("freq"))
+    if markers is not None:
+        untyped = markers.select("marker").distinct().join(seen.select("marker").distinct(), "marker", "left_anti")
+        two = F.explode(F.array(*[F.struct(F.lit(a).cast(seen.schema["allele"].dataType).alias("allele"), F.lit(x).alias("freq")) for a, x in ((1, 0.99999), (2, 0.00001))]))
+        out = out.unionByName(untyped.select("marker", two.alias("x")).select("marker", "x.*"))
     if existing is not None:
         out = out.join(existing.select("marker").distinct(), "marker", "left_anti").unionByName(existing.select("marker", "allele", "freq"))
     return out
@@ -206,13 +212,22 @@ def eliminate_genotypes(geno: DataFrame, ped: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "marker long, famid string, pid int, possible string")
 
 
+#: Slices of a trait's values that are ranked by themselves.
+SLICES = 64
+
+
 def mid_ranks(values: DataFrame) -> DataFrame:
-    """trait, value, rank (mean 0-based rank of equal values), n, for each distinct value: counts first, so that the window
-    runs over distinct values alone."""
+    """trait, value, rank (mean 0-based rank of equal values), n, for each distinct value. Counts come first; the distinct
+    values of a trait are dealt into slices at approximate quantiles, ranked within a slice, and raised by what the
+    slices below hold, so that no task has a whole trait. Where the quantiles lie does not change a rank."""
     counts = values.where("value is not null").groupBy("trait", "value").agg(F.count("*").alias("k"))
-    w = Window.partitionBy("trait").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("k").over(w), F.lit(0))
-    return counts.select("trait", "value", "k", (below + (F.col("k") - 1) / 2).alias("rank"), F.sum("k").over(Window.partitionBy("trait")).alias("n"))
+    cuts = counts.groupBy("trait").agg(F.percentile_approx(F.col("value").cast("double"), [i / SLICES for i in range(1, SLICES)], 1_000).alias("cuts"))
+    sliced = counts.join(cuts, "trait").select("trait", "value", "k", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("slice"))
+    below = Window.partitionBy("trait").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = sliced.groupBy("trait", "slice").agg(F.sum("k").alias("s")).select("trait", "slice", F.coalesce(F.sum("s").over(below), F.lit(0)).alias("base"), F.sum("s").over(Window.partitionBy("trait")).alias("n"))
+    within = Window.partitionBy("trait", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sliced.select("*", F.coalesce(F.sum("k").over(within), F.lit(0)).alias("own")).join(whole, ["trait", "slice"])
+    return ranked.select("trait", "value", "k", (F.col("base") + F.col("own") + (F.col("k") - 1) / 2).alias("rank"), "n")
 
 
 def inverse_normal(values: DataFrame) -> DataFrame:
@@ -236,17 +251,18 @@ def dichotomize(values: DataFrame, founders: DataFrame) -> DataFrame:
 
 
 def contingency(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """x, y, o (observed), e (expected) of the cells with any count."""
+    """x, y, o (observed), e (expected), r and c (the sums of its row and column), n, of the cells with any count."""
     o = rows.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("o"))
     r, c = o.groupBy("x").agg(F.sum("o").alias("r")), o.groupBy("y").agg(F.sum("o").alias("c"))
     n = o.agg(F.sum("o").alias("n"))
-    return r.crossJoin(c).crossJoin(n).join(o, ["x", "y"], "left").select("x", "y", F.coalesce("o", F.lit(0)).alias("o"), (F.col("r") * F.col("c") / F.col("n")).alias("e"), "r", "c", "n")
+    return o.join(r, "x").join(c, "y").crossJoin(F.broadcast(n)).select("x", "y", "o", (F.col("r") * F.col("c") / F.col("n")).alias("e"), "r", "c", "n")
 
 
 def chi_square(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: chi2, df, p, neg_log10_p (99.999 at most), cramer_v, contingency_c. x and y are categories."""
+    """One row: chi2, df, p, neg_log10_p (99.999 at most), cramer_v, contingency_c. x and y are categories. Cells without a
+    count add what they are expected to hold, so that n * (sum of o * o / (r * c) - 1) needs the others alone."""
     t = contingency(rows, x, y)
-    s = t.agg(F.sum(F.pow(F.col("o") - F.col("e"), F.lit(2)) / F.col("e")).alias("chi2"), F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny"), F.max("n").alias("n"))
+    s = t.agg((F.max("n") * (F.sum(F.col("o") * F.col("o") / (F.col("r").cast("double") * F.col("c"))) - 1)).alias("chi2"), F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny"), F.max("n").alias("n"))
     s = s.select("chi2", ((F.col("nx") - 1) * (F.col("ny") - 1)).alias("df"), "n", F.least(F.col("nx"), F.col("ny")).alias("least"))
 
     @F.pandas_udf("double")
@@ -267,7 +283,8 @@ def entropies(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: n, d2 (sum of squared differences of mid-ranks), r (with ties corrected; null where all are tied), z (r * sqrt(n - 1))."""
+    """One row: n, d2 (sum of squared differences of mid-ranks), r (with ties corrected; null where all are tied), z (r * sqrt(n - 1)),
+    p (two-sided, by Student's t with n - 2 degrees of freedom)."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
     cells = both.groupBy("x", "y").agg(F.count("*").alias("k"))
     rank = lambda c: mid_ranks(both.select(F.lit(0).alias("trait"), F.col(c).alias("value"))).select(F.col("value").alias(c), F.col("rank").alias(f"r{c}"), F.col("k").alias(f"k{c}"))
@@ -277,7 +294,13 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     s = s.crossJoin(ties("x")).crossJoin(ties("y"))
     en = F.pow(F.col("n").cast("double"), F.lit(3)) - F.col("n")
     r = F.try_divide(en / 6 - F.col("d2") - F.col("tx") / 12 - F.col("ty") / 12, F.sqrt((en / 6 - F.col("tx") / 6) * (en / 6 - F.col("ty") / 6)))
-    return s.select("n", "d2", r.alias("r"), (r * F.sqrt(F.col("n") - 1)).alias("z"))
+
+    @F.pandas_udf("double")
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([t_tail(a * ((m - 2) / max(1 - a * a, 1e-300)) ** 0.5, m - 2) if a == a and m > 2 else float("nan") for a, m in zip(r.astype(float), n, strict=True)])
+
+    s = s.select("n", "d2", r.alias("r"))
+    return s.select("n", "d2", "r", (F.col("r") * F.sqrt(F.col("n") - 1)).alias("z"), F.when(F.col("r").isNotNull(), p("r", "n")).alias("p"))
 
 
 def ordered_markers(markers: DataFrame) -> DataFrame:

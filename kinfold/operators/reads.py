@@ -9,21 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.functions.scalars import let
+
 
 def align_sites(obs: DataFrame, persons: list[int]) -> DataFrame:
     """chrom, pos, ref_base, pl array<array<smallint>>, depths array<int>, map_quals array<int>, in the order of persons;
     a person without a record has likelihood 1 everywhere, depth 0 and quality 0. The first sample in that order that
-    has the site gives its reference base. Of repeated records of a sample the one with the greatest depth counts."""
-    own = F.struct(F.col("depth").alias("depth"), F.col("map_qual").cast("int").alias("map_qual"), F.col("ref_base").cast("int").alias("ref_base"), F.col("pl").cast("array<smallint>").alias("pl"))
-    grouped = obs.groupBy("chrom", "pos").agg(F.sort_array(F.collect_list(F.struct("sample_id", own.alias("o")))).alias("s"))
-    by_id = F.map_from_entries(F.filter("s", lambda x, i: F.coalesce(F.get("s", i + 1)["sample_id"] != x["sample_id"], F.lit(True))))
-    rows = grouped.select("chrom", "pos", by_id.alias("m"), F.array(*[F.lit(p) for p in persons]).alias("who"))
-    got = lambda p: F.try_element_at("m", p)
+    has the site gives its reference base. Of repeated records of a sample the one with the greatest depth counts.
+
+    Records carry their person's place, met by a hash join; with one empty record for each place added, sorting by place
+    leaves one for everybody, so that the work is n log n in the samples of a site."""
+    places = obs.sparkSession.createDataFrame([(p, i) for i, p in enumerate(persons)], f"sample_id {obs.schema['sample_id'].dataType.simpleString()}, _ord int")
     none = F.array_repeat(F.lit(0).cast("smallint"), 10)
-    first = F.filter(F.transform("who", lambda p: got(p)["ref_base"]), lambda b: b.isNotNull())
+    record = F.struct(F.col("_ord").alias("ord"), F.coalesce("depth", F.lit(0)).cast("int").alias("depth"), F.coalesce("map_qual", F.lit(0)).cast("int").alias("map_qual"), F.col("ref_base").cast("int").alias("ref_base"), F.coalesce(F.col("pl").cast("array<smallint>"), none).alias("pl"))
+    empty = lambda i: F.struct(i.alias("ord"), F.lit(-1).alias("depth"), F.lit(0).alias("map_qual"), F.lit(None).cast("int").alias("ref_base"), none.alias("pl"))
+    grouped = obs.join(F.broadcast(places), "sample_id").groupBy("chrom", "pos").agg(F.collect_list(record).alias("s"))
+    full = F.sort_array(F.concat("s", F.transform(F.sequence(F.lit(0), F.lit(len(persons) - 1)), empty)))
+    last = let(full, lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["ord"] != x["ord"], F.lit(True))))
+    rows = grouped.select("chrom", "pos", last.alias("s"))
+    first = F.get(F.filter("s", lambda x: x["ref_base"].isNotNull()), F.lit(0))["ref_base"]
     return rows.select(
-        "chrom", "pos", F.get(first, F.lit(0)).alias("ref_base"), F.transform("who", lambda p: F.coalesce(got(p)["pl"], none)).alias("pl"),
-        F.transform("who", lambda p: F.coalesce(got(p)["depth"], F.lit(0))).alias("depths"), F.transform("who", lambda p: F.coalesce(got(p)["map_qual"], F.lit(0))).alias("map_quals"),
+        "chrom", "pos", first.alias("ref_base"), F.transform("s", lambda x: x["pl"]).alias("pl"),
+        F.transform("s", lambda x: F.greatest(x["depth"], F.lit(0))).alias("depths"), F.transform("s", lambda x: x["map_qual"]).alias("map_quals"),
     ).where("ref_base is not null")
 
 
@@ -81,7 +88,7 @@ def family_grid_llk(obs: DataFrame, people: DataFrame, grid: list[float]) -> Dat
     index = lambda a, b: ((F.least(a, b) - 1) * (10 - F.least(a, b)) / 2).cast("int") + F.greatest(a, b) - F.least(a, b)
     lk = [F.pow(F.lit(10.0), -F.get("pl", index(a, b)).cast("double") / 10) for a, b in ((ref, ref), (ref, ts), (ts, ts))]
     term = lambda f: F.log10(f * f * lk[0] + 2 * f * (1 - f) * lk[1] + (1 - f) * (1 - f) * lk[2])
-    rows = obs.where("ref_base between 1 and 4").join(F.broadcast(people.select(F.col("pid").alias("sample_id"))), "sample_id", "left_semi")
+    rows = obs.where("ref_base between 1 and 4").join(people.select(F.col("pid").alias("sample_id")), "sample_id", "left_semi")
     return rows.groupBy("chrom", "pos").agg(*[F.sum(term(f)).alias(f"l{i}") for i, f in enumerate(grid)])
 
 
