@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -11,38 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import kernels as K
-from kinfold.functions.scalars import TRANSITION, TRANSVERSION1, TRANSVERSION2
+from kinfold.functions.scalars import TRANSITION, TRANSVERSION1, TRANSVERSION2, format_index, sample_field
+from kinfold.jobs.options import Options
 from kinfold.operators import reads
 
 
-@dataclass(frozen=True)
-class Options:
-    """Parameters of a run. compat: reproduce a known quirk of earlier tools where the output differs."""
-
-    cutoff: float = 0.5
-    theta: float = 0.001
-    indel_theta: float = 0.0001
-    poly_tstv: float = 2.0
-    prec: float = 1e-4
-    denovo: bool = False
-    rate_denovo: float = 1.5e-8
-    tstv_denovo: float = 2.0
-    min_llr_denovo: float = 0.01
-    chromosomes: tuple[str, ...] = ()
-    min_depth: int = 0
-    max_depth: int = 0
-    min_map_quality: float = 0
-    min_percent_with_data: float = 0
-    all_sites: bool = False
-    quick_call: bool = False
-    gl_off: bool = False
-    chrom_x: str = "X"
-    chrom_y: str = "Y"
-    chrom_mt: str = "MT"
-    batch: int = 2_000
-    compat: bool = False
-
-
 def families(people: list[tuple]) -> list[K.Family]:
     """Families of (famid, pid, fatid, motid, sex) rows, founders first within each, in order of the family's id. The
     pedigree is small: it lives on the driver and travels with the task."""
@@ -98,7 +71,7 @@ class Model:
         """(f, log10 likelihood) at the best frequency; a lone couple needs none."""
         if self.lone:
             return np.full(len(lk), 0.5), self.llk(lk, np.full(len(lk), 0.5))[0]
-        return K.bounded_maximum(lambda f: self.llk(lk, f)[0], len(lk))
+        return K.bounded_maximum(lambda f: self.llk(lk, f)[0], len(lk), width=self.o.prec)
 
 
 def _likelihoods(pl: np.ndarray, a1: np.ndarray, a2: np.ndarray) -> np.ndarray:
@@ -151,21 +124,33 @@ def allele_balance(post: np.ndarray, pl: np.ndarray, depth: np.ndarray) -> np.nd
     return (0.05 + (het * n_ref).sum(axis=1)) / (0.1 + (het * depth).sum(axis=1))
 
 
-CALLS = "chrom string, pos int, ref_base int, a1 int, a2 int, config int, posterior double, qual double, ref_freq double, ab double, n_samples int, depth long, map_quality double, gt array<int>, gq array<int>, dosage array<double>"
+#: Arrays are in the order of the persons' ids; dp and pl3 are each person's depth and phred values of the called alleles.
+CALLS = "chrom string, pos int, ref_base int, a1 int, a2 int, config int, posterior double, qual double, ref_freq double, ab double, n_samples int, depth long, map_quality double, gt array<int>, gq array<int>, dosage array<double>, dp array<int>, pl3 array<array<int>>"
 
 
-def call_variants(obs: DataFrame, people: list[tuple], o: Options = Options(), forced: DataFrame | None = None) -> DataFrame:
-    """Calls of aligned sites. obs: chrom, pos, sample_id, ref_base, depth, map_qual, pl. Without all_sites or a forced
-    list (chrom, pos) only variant sites whose posterior reaches the cutoff are returned."""
-    everything = o.all_sites or forced is not None
-    if forced is not None:  # before the one big shuffle
+def _sites(obs: DataFrame, order: list[int], o: Options, forced: DataFrame | None) -> DataFrame:
+    """Aligned sites that pass the filters, likelihoods in one flat array; chromosomes and the forced list (chrom, pos) are
+    picked before the one big shuffle."""
+    if forced is not None:
         obs = obs.join(forced.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
     if o.chromosomes:
         obs = obs.where(F.col("chrom").isin(*o.chromosomes))
     if o.compat:
         obs = reads.until_first_end(obs)
-    order = sorted(p[1] for p in people)
     sites = reads.site_filters(reads.align_sites(obs, order), len(order), o).where("drop_reason is null")
+    return sites.withColumn("pl", F.flatten("pl"))
+
+
+def _flat(pl: pd.Series) -> np.ndarray:
+    """Likelihoods [S, N, 10]."""
+    return np.stack(pl.tolist()).astype(np.int64).reshape(len(pl), -1, 10)
+
+
+def call_variants(obs: DataFrame, people: list[tuple], o: Options = Options(), forced: DataFrame | None = None) -> DataFrame:
+    """Calls of aligned sites. obs: chrom, pos, sample_id, ref_base, depth, map_qual, pl. Without all_sites or a forced
+    list (chrom, pos) only variant sites whose posterior reaches the cutoff are returned."""
+    everything = o.all_sites or forced is not None
+    sites = _sites(obs, sorted(p[1] for p in people), o, forced)
     names = {o.chrom_x: "X", o.chrom_y: "Y", o.chrom_mt: "MT"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,7 +170,7 @@ def call_variants(obs: DataFrame, people: list[tuple], o: Options = Options(), f
 
 
 def _call(part: pd.DataFrame, model: Model, alone: Model, o: Options, everything: bool) -> pd.DataFrame:
-    pl = np.stack([np.stack(list(x)) for x in part["pl"]]).astype(np.int64)
+    pl = _flat(part["pl"])
     ref = part["ref_base"].to_numpy().astype(np.int64)
     if o.quick_call and not everything:  # first as if all were unrelated
         quick = score_sites(pl, ref, alone, o)
@@ -213,6 +198,7 @@ def _call(part: pd.DataFrame, model: Model, alone: Model, o: Options, everything
         "chrom": part["chrom"].array, "pos": part["pos"].array, "ref_base": ref, "a1": r["a1"], "a2": r["a2"], "config": r["config"], "posterior": r["posterior"], "qual": qual, "ref_freq": f,
         "ab": allele_balance(post, pl3, depth), "n_samples": part["n_samples"].array, "depth": part["total_depth"].array, "map_quality": part["map_quality"].array,
         "gt": list(best), "gq": list(K.genotype_quality(top)), "dosage": list(post[:, :, 1] + 2 * post[:, :, 2]),
+        "dp": list(depth.astype(np.int32)), "pl3": [x.tolist() for x in pl3],
     })
 
 
@@ -253,31 +239,38 @@ class DenovoModel:
         return total, post
 
 
-DENOVO_CALLS = "chrom string, pos int, ref_base int, a1 int, a2 int, config int, posterior double, qual double, ref_freq double, dq double, gt array<string>, gq array<int>"
+DENOVO_CALLS = "chrom string, pos int, ref_base int, a1 int, a2 int, config int, posterior double, qual double, ref_freq double, dq double, n_samples int, depth long, map_quality double, gt array<string>, gq array<int>, dp array<int>, pl array<array<int>>"
 
 
-def call_denovo(obs: DataFrame, people: list[tuple], o: Options = Options(denovo=True)) -> DataFrame:
+def call_denovo(obs: DataFrame, people: list[tuple], o: Options = Options(denovo=True), forced: DataFrame | None = None) -> DataFrame:
     """Sites whose likelihood with mutation exceeds that without by min_llr_denovo (log10), with genotypes of all ten
-    kinds; every configuration is scored under mutation."""
+    kinds; every configuration is scored under mutation. With all_sites or a forced list (chrom, pos) the posterior's
+    cutoff and the quick look as if all were unrelated don't apply."""
     if o.min_llr_denovo < 0:
         raise ValueError("min_llr_denovo is negative")
-    order = sorted(p[1] for p in people)
-    sites = reads.site_filters(reads.align_sites(obs, order), len(order), o).where("drop_reason is null")
+    sites = _sites(obs, sorted(p[1] for p in people), o, forced)
+    everything = o.all_sites or forced is not None
+    alone = [(f"u{p[1]}", p[1], -1, -1, p[4]) for p in people]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = DenovoModel(people, o)
+        model, unrelated = DenovoModel(people, o), Model(alone, "autosome", o)
         for pdf in batches:
             for ref, group in pdf.groupby("ref_base"):
                 for lo in range(0, len(group), o.batch):
-                    got = _denovo(group.iloc[lo : lo + o.batch], int(ref), model, o)
+                    part = group.iloc[lo : lo + o.batch]
+                    if o.quick_call and not everything:
+                        quick = score_sites(_flat(part["pl"]), part["ref_base"].to_numpy().astype(np.int64), unrelated, o)
+                        part = part[(quick["config"] > 0) & (quick["posterior"] >= o.cutoff)]
+                    got = _denovo(part, int(ref), model, o, everything) if len(part) else part
                     if len(got):
                         yield got
 
     return sites.mapInPandas(run, DENOVO_CALLS)
 
 
-def _denovo(part: pd.DataFrame, ref: int, model: DenovoModel, o: Options) -> pd.DataFrame:
-    lk = np.power(10.0, -np.stack([np.stack(list(x)) for x in part["pl"]]).astype(float) / 10)
+def _denovo(part: pd.DataFrame, ref: int, model: DenovoModel, o: Options, everything: bool = False) -> pd.DataFrame:
+    pl = _flat(part["pl"])
+    lk = np.power(10.0, -pl / 10)
     s = len(part)
     bases = [ref, TRANSITION[ref - 1], TRANSVERSION1[ref - 1], TRANSVERSION2[ref - 1]]
     p_ts = o.poly_tstv / (1 + o.poly_tstv)
@@ -293,7 +286,7 @@ def _denovo(part: pd.DataFrame, ref: int, model: DenovoModel, o: Options) -> pd.
         if model.lone:
             f[rows, c], llk[rows, c] = 0.5, value(np.full(len(rows), 0.5))
         else:
-            f[rows, c], llk[rows, c] = K.bounded_maximum(value, len(rows))
+            f[rows, c], llk[rows, c] = K.bounded_maximum(value, len(rows), width=o.prec)
         scores[rows, c] = np.log10(model.prior * weight[c - 1]) + llk[rows, c]
 
     for c in (1, 2, 3):
@@ -305,7 +298,7 @@ def _denovo(part: pd.DataFrame, ref: int, model: DenovoModel, o: Options) -> pd.
     best, posterior = K.config_posterior(scores)
     out = []
     for c in range(7):
-        rows = np.flatnonzero((best == c) & (posterior >= o.cutoff))
+        rows = np.flatnonzero((best == c) & (everything | (posterior >= o.cutoff)))
         if not len(rows):
             continue
         x, y = (ref, bases[1]) if c == 0 else (bases[i] for i in CONFIGS[c - 1])
@@ -316,7 +309,8 @@ def _denovo(part: pd.DataFrame, ref: int, model: DenovoModel, o: Options) -> pd.
         p = posterior[rows]
         out.append(pd.DataFrame({
             "chrom": part["chrom"].to_numpy()[rows], "pos": part["pos"].to_numpy()[rows], "ref_base": ref, "a1": x, "a2": y, "config": c, "posterior": p,
-            "qual": np.where(p > 0.9999999999, 100.0, -10 * np.log10(np.maximum(1 - p, 1e-11))), "ref_freq": q, "dq": dq, "gt": list(labels[post.argmax(axis=2)]), "gq": list(K.genotype_quality(top)),
+            "qual": np.where(p > 0.9999999999, 100.0, -10 * np.log10(np.maximum(1 - p, 1e-11))), "ref_freq": q, "dq": dq, "n_samples": part["n_samples"].to_numpy()[rows], "depth": part["total_depth"].to_numpy()[rows], "map_quality": part["map_quality"].to_numpy()[rows],
+            "gt": list(labels[post.argmax(axis=2)]), "gq": list(K.genotype_quality(top)), "dp": [np.asarray(d, dtype=np.int32) for d in part["depths"].to_numpy()[rows]], "pl": [x.tolist() for x in pl[rows]],
         })[dq >= o.min_llr_denovo])
     return pd.concat(out) if out else pd.DataFrame()
 
@@ -351,13 +345,15 @@ def wide_cohort_frequencies(obs: DataFrame, people: list[tuple], grid: list[floa
     return reads.grid_mle(llk.groupBy("chrom", "pos").agg(*[F.sum(f"l{i}").alias(f"l{i}") for i in range(len(grid))]), grid)
 
 
-UNRELATED = "chrom string, pos int, a1 int, a2 int, ref_freq double, gt array<int>, gq array<int>"
+UNRELATED = "chrom string, pos int, a1 int, a2 int, ref_freq double, gt array<string>, gq array<int>"
+GENOTYPES_TEXT = ["ACGT"[a] + "/" + "ACGT"[b] for a, b in K.GENOTYPES10]
 
 
 def call_unrelated(obs: DataFrame, persons: list[int], o: Options = Options()) -> DataFrame:
     """Genotypes of unrelated persons at a frequency that maximises the product of their likelihoods, for the reference and
-    its transition; quality is the phred ratio of the best to the second best posterior, at most 100."""
-    sites = reads.align_sites(obs, persons)
+    its transition: the best of all ten (in letters), of equal ones the first; quality is the phred ratio of the best to
+    the second best posterior, at most 100."""
+    sites = reads.align_sites(obs, persons).withColumn("pl", F.flatten("pl"))
     people = [(f"u{p}", p, -1, -1, 0) for p in persons]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -368,12 +364,19 @@ def call_unrelated(obs: DataFrame, persons: list[int], o: Options = Options()) -
                 part = pdf.iloc[lo : lo + o.batch]
                 ref = part["ref_base"].to_numpy().astype(np.int64)
                 alt = np.array(TRANSITION)[ref - 1]
-                lk = _likelihoods(np.stack([np.stack(list(x)) for x in part["pl"]]).astype(np.int64), ref, alt)
-                f, _ = model.maximum(lk)
-                _, post = model.llk(lk, f, marginals=True)
-                two = np.sort(post, axis=2)[:, :, -2:]
-                gq = np.minimum(100, np.floor(10 * (np.log10(np.maximum(two[:, :, 1], 1e-300)) - np.log10(np.maximum(two[:, :, 0], 1e-300))) + 0.5)).astype(int)
-                yield pd.DataFrame({"chrom": part["chrom"].array, "pos": part["pos"].array, "a1": ref, "a2": alt, "ref_freq": f, "gt": list(post.argmax(axis=2)), "gq": list(gq)})
+                pl = _flat(part["pl"])
+                f, _ = model.maximum(_likelihoods(pl, ref, alt))
+                # the frequency's prior over all ten genotypes: zero for those with another base
+                index = lambda x, y: ((x - 1) * (10 - x)) // 2 + (y - x)
+                prior = np.zeros((len(ref), 10))
+                at = np.arange(len(ref))
+                prior[at, index(ref, ref)], prior[at, index(alt, alt)] = f * f, (1 - f) * (1 - f)
+                prior[at, index(np.minimum(ref, alt), np.maximum(ref, alt))] = 2 * f * (1 - f)
+                post = np.power(10.0, -pl / 10) * prior[:, None, :]
+                order = np.argsort(-post, axis=2, kind="stable")[:, :, :2]
+                two = np.take_along_axis(post, order, axis=2)
+                gq = np.minimum(100, np.floor(10 * (np.log10(np.maximum(two[:, :, 0], 1e-300)) - np.log10(np.maximum(two[:, :, 1], 1e-300))) + 0.5)).astype(int)
+                yield pd.DataFrame({"chrom": part["chrom"].array, "pos": part["pos"].array, "a1": ref, "a2": alt, "ref_freq": f, "gt": list(np.array(GENOTYPES_TEXT)[order[:, :, 0]]), "gq": list(gq)})
 
     return sites.mapInPandas(run, UNRELATED)
 
@@ -383,7 +386,8 @@ def site_prior_indel(ref: Column, alt: Column, o: Options) -> Column:
     return F.when((F.length(ref) > 1) | (F.length(alt) > 1), F.lit(o.indel_theta)).otherwise(F.lit(o.theta))
 
 
-REFINED = "chrom string, pos int, id string, ref string, alt string, qual double, ref_freq double, gt array<int>, gq array<int>, ac int"
+#: Arrays are in the order of the persons' ids; dp and likelihoods are null for a person without a sample.
+REFINED = "chrom string, pos int, id string, ref string, alt string, qual double, filter string, ref_freq double, gt array<int>, gq array<int>, ac int, dp array<string>, tag string, likelihoods array<string>"
 
 
 def refine_vcf(vcf: DataFrame, sample_names: list[str], people: list[tuple], o: Options = Options()) -> DataFrame:
@@ -398,7 +402,10 @@ def refine_vcf(vcf: DataFrame, sample_names: list[str], people: list[tuple], o:
     order = [str(x) for x in sorted(p[1] for p in people)]
     at = [sample_names.index(x) if x in sample_names else -1 for x in order]
     rows = vcf.where(~F.col("alt").contains(",") & (F.col("ref") != F.col("alt")))
-    rows = rows.select("chrom", "pos", "id", "ref", "alt", likelihood_triples(F.col("format"), F.col("samples"), at).alias("pl3"))
+    field = lambda tag: F.array(*[sample_field(F.get("samples", F.lit(i)), format_index(F.col("format"), tag)) if i >= 0 else F.lit(None).cast("string") for i in at])
+    has_pl = format_index(F.col("format"), "PL") >= 0
+    rows = rows.select("chrom", "pos", "id", "ref", "alt", "filter", likelihood_triples(F.col("format"), F.col("samples"), at).alias("pl3"), field("DP").alias("dp"), F.when(has_pl, F.lit("PL")).otherwise(F.lit("GL")).alias("tag"), F.when(has_pl, field("PL")).otherwise(field("GL")).alias("likelihoods"))
+    here = np.array([i >= 0 for i in at])
     classes = {o.chrom_x: "X", o.chrom_y: "Y", o.chrom_mt: "MT"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -413,12 +420,12 @@ def refine_vcf(vcf: DataFrame, sample_names: list[str], people: list[tuple], o:
                     if o.compat:  # one prior for all chromosomes
                         models[key].prior = o.theta * prior_scale(people, "autosome")
                 for lo in range(0, len(group), o.batch):
-                    yield _refine(group.iloc[lo : lo + o.batch], models[key], bool(key[1]), o)
+                    yield _refine(group.iloc[lo : lo + o.batch], models[key], bool(key[1]), o, here)
 
     return rows.mapInPandas(run, REFINED)
 
 
-def _refine(part: pd.DataFrame, model: Model, indel: bool, o: Options) -> pd.DataFrame:
+def _refine(part: pd.DataFrame, model: Model, indel: bool, o: Options, here: np.ndarray) -> pd.DataFrame:
     pl = np.stack([np.stack([np.zeros(3) if y is None else np.asarray(y, dtype=float) for y in x]) for x in part["pl3"]])
     seen = np.array([any(y is not None for y in x) for x in part["pl3"]])
     lk = np.power(10.0, -np.minimum(pl, 255) / 10)
@@ -437,6 +444,6 @@ def _refine(part: pd.DataFrame, model: Model, indel: bool, o: Options) -> pd.Dat
     best, gq = post.argmax(axis=2), K.genotype_quality(post.max(axis=2))
     gq[~seen] = 0
     return pd.DataFrame({
-        "chrom": part["chrom"].array, "pos": part["pos"].array, "id": part["id"].array, "ref": part["ref"].array, "alt": part["alt"].array, "qual": np.where(seen, qual, np.nan), "ref_freq": f,
-        "gt": list(best), "gq": list(gq), "ac": best.sum(axis=1),
+        "chrom": part["chrom"].array, "pos": part["pos"].array, "id": part["id"].array, "ref": part["ref"].array, "alt": part["alt"].array, "qual": np.where(seen, qual, np.nan), "filter": part["filter"].array, "ref_freq": f,
+        "gt": list(best), "gq": list(gq), "ac": best[:, here].sum(axis=1), "dp": part["dp"].array, "tag": part["tag"].array, "likelihoods": part["likelihoods"].array,
     })

@@ -1,6 +1,6 @@
 """Posteriors of nuclear families and unrelated persons at a fixed reference frequency, in DataFrame expressions alone.
 
-The same formulas as the kernels', spelled out for parents and two children, so that SQL can hold them against an oracle.
+The same formulas as the kernels', over arrays of a family's genotypes, so that SQL can hold them against an oracle.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.kernels import trio_table
-from kinfold.functions.scalars import dosage, genotype_quality
+from kinfold.functions.scalars import dosage, genotype_quality, let
 from kinfold.sources import fixtures as X
 
 FREQ = 0.7
@@ -25,31 +25,59 @@ def _lk(obs: DataFrame) -> DataFrame:
     return obs.where("chrom not in ('X', 'Y', 'MT')").select("site", "chrom", "pos", "sample_id", F.array(*k).alias("k"))
 
 
+#: Nuclear families (father, mother and two children) and persons alone.
+FAMILIES = (("F1", (0, 1, 2, 3)), ("F2", (4, 5, 6, 7)), *((f"U{p}", (p,)) for p in (8, 9, 10, 11)))
+
+
+def _times(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x * y)
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
+def _weights(k: Column) -> Column:
+    """For each person of a family, out of an array of their likelihoods, the weights of the three genotypes. What depends on
+    both parents is an array of nine, the father's genotype changing slowest."""
+    cells = F.sequence(F.lit(0), F.lit(8))
+    given = [F.array(*[F.lit(float(_TRIO[g][f][m])) for f in range(3) for m in range(3)]) for g in range(3)]
+    prior = F.array(*[F.lit(p) for p in _PRIOR])
+    own = lambda i: _times(F.get(k, F.lit(i)), prior)
+    of_child = lambda i: F.transform(cells, lambda c: sum((F.get(given[g], c) * F.get(F.get(k, F.lit(i)), F.lit(g)) for g in range(3)), F.lit(0.0)))
+
+    def family(pair: Column) -> Column:
+        def with_children(child: Column) -> Column:
+            one, two = F.get(child, F.lit(0)), F.get(child, F.lit(1))
+
+            def all_(both: Column) -> Column:
+                at = lambda c: F.get(both, F.lit(c))
+                parents = [F.array(*[at(3 * g) + at(3 * g + 1) + at(3 * g + 2) for g in range(3)]), F.array(*[at(g) + at(g + 3) + at(g + 6) for g in range(3)])]
+                child_ = lambda i, sib: let(_times(pair, sib), lambda w: F.array(*[F.get(F.get(k, F.lit(i)), F.lit(g)) * _total(_times(w, given[g])) for g in range(3)]))
+                return F.array(*parents, child_(2, two), child_(3, one))
+
+            return let(_times(pair, _times(one, two)), all_)
+
+        return let(F.array(of_child(2), of_child(3)), with_children)
+
+    pair = let(F.array(own(0), own(1)), lambda x: F.transform(cells, lambda c: F.get(F.get(x, F.lit(0)), F.floor(c / 3).cast("int")) * F.get(F.get(x, F.lit(1)), c % 3)))
+    return F.when(F.size(k) == 1, F.array(own(0))).otherwise(let(pair, family))
+
+
 def family_calls(obs: DataFrame, pedigree: DataFrame) -> DataFrame:
-    """site, sample_id, best genotype, gq, dosage of everybody, from one grouping by site."""
+    """site, sample_id, best genotype, gq, dosage of everybody, from one grouping by site. A row holds one family at one site, so
+    that the expressions have the size of a family, not of the cohort."""
     by_id = F.map_from_entries(F.collect_list(F.struct("sample_id", "k")))
     rows = _lk(obs).groupBy("site").agg(by_id.alias("m"))
     one = F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))
-    k = {p: F.coalesce(F.try_element_at("m", F.lit(p)), one) for p in range(X.SAMPLES)}
-    rows = rows.select("site", *[k[p].alias(f"k{p}") for p in k])
-    at = lambda p, g: F.get(F.col(f"k{p}"), F.lit(g))
-    out = []
-    for father, mother, c1, c2 in ((0, 1, 2, 3), (4, 5, 6, 7)):
-        child = {(c, f, m): sum((_TRIO[g][f][m] * at(c, g) for g in range(3) if _TRIO[g][f][m]), F.lit(0.0)) for c in (c1, c2) for f in range(3) for m in range(3)}
-        pair = {(f, m): _PRIOR[f] * at(father, f) * _PRIOR[m] * at(mother, m) for f in range(3) for m in range(3)}
-        both = {fm: pair[fm] * child[c1, *fm] * child[c2, *fm] for fm in pair}
-        post = {father: [sum(both[g, m] for m in range(3)) for g in range(3)], mother: [sum(both[f, g] for f in range(3)) for g in range(3)]}
-        for c, sib in ((c1, c2), (c2, c1)):
-            post[c] = [sum(pair[f, m] * child[sib, f, m] * _TRIO[g][f][m] * at(c, g) for f in range(3) for m in range(3) if _TRIO[g][f][m]) for g in range(3)]
-        out += [(p, post[p]) for p in (father, mother, c1, c2)]
-    out += [(p, [_PRIOR[g] * at(p, g) for g in range(3)]) for p in (8, 9, 10, 11)]
-    people = F.array(*[F.struct(F.lit(p).alias("sample_id"), F.array(*w).alias("w")) for p, w in out])
-    rows = rows.select("site", F.explode(people).alias("x")).select("site", "x.sample_id", "x.w")
+    fams = F.explode(F.array(*[F.struct(F.lit(famid).alias("famid"), F.array(*[F.lit(p) for p in ids]).alias("ids")) for famid, ids in FAMILIES]))
+    rows = rows.select("site", "m", fams.alias("x")).select("site", "x.famid", "x.ids", F.transform("x.ids", lambda p: F.coalesce(F.try_element_at("m", p), one)).alias("k"))
+    rows = rows.select("site", "famid", F.explode(F.arrays_zip("ids", _weights(F.col("k")).alias("w"))).alias("x")).select("site", "famid", F.col("x.ids").alias("sample_id"), F.col("x.w").alias("w"))
     w = [F.get("w", F.lit(g)) for g in range(3)]
-    rows = rows.select("site", "sample_id", *[(w[g] / (w[0] + w[1] + w[2])).alias(f"p{g}") for g in range(3)])
+    rows = rows.select("site", "famid", "sample_id", *[(w[g] / (w[0] + w[1] + w[2])).alias(f"p{g}") for g in range(3)])
     p: list[Column] = [F.col(f"p{g}") for g in range(3)]
     best = F.when((p[0] >= p[1]) & (p[0] >= p[2]), F.lit(0)).when(p[1] >= p[2], F.lit(1)).otherwise(F.lit(2))
-    return rows.join(F.broadcast(pedigree.select(F.col("pid").alias("sample_id"), "famid")), "sample_id").select("site", "famid", "sample_id", best.alias("best"), genotype_quality(F.round(F.greatest(*p), 9)).alias("gq"), F.round(dosage(p[1], p[2]), 6).alias("dosage"))
+    return rows.join(pedigree.select("famid", F.col("pid").alias("sample_id")), ["famid", "sample_id"], "left_semi").select("site", "famid", "sample_id", best.alias("best"), genotype_quality(F.round(F.greatest(*p), 9)).alias("gq"), F.round(dosage(p[1], p[2]), 6).alias("dosage"))
 
 
 def sql() -> str:

@@ -43,14 +43,19 @@ _IDX = "((least({0}, {1}) - 1) * (10 - least({0}, {1})) // 2 + greatest({0}, {1}
 FILTERS = calling.Options(min_depth=120, max_depth=250, min_map_quality=44, min_percent_with_data=80)
 
 
-@query(f"with sites as ({X.SITES_SQL}) select site, cast({_IDX.format('ref_base', 'alt_base')} as int) as genotype, 'ACGT'[ref_base] as ref, {_TS.format('ref_base')} as ts, {_TV1.format('ref_base')} as tv1, {_TV2.format('ref_base')} as tv2, alt_base = {_TS.format('ref_base')} as is_ts, case when chrom in ('X', 'Y', 'MT') then chrom else 'autosome' end as klass, {_ORDER} as chrom_order from sites")
+@query(f"with sites as ({X.SITES_SQL}) select site, cast({_IDX.format('ref_base', 'alt_base')} as int) as genotype, 'ACGT'[ref_base] as ref, {_TS.format('ref_base')} as ts, {_TV1.format('ref_base')} "
+    f"as tv1, {_TV2.format('ref_base')} as tv2, alt_base = {_TS.format('ref_base')} as is_ts, case when chrom in ('X', 'Y', 'MT') then chrom else 'autosome' end as klass, {_ORDER} "
+    f"as chrom_order from sites")
 def site_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = X.sites(spark, sf_dir)
     ref = F.col("ref_base")
     return s.select("site", S.genotype_index(ref, F.col("alt_base")).alias("genotype"), S.base_label(ref).alias("ref"), S.transition(ref).alias("ts"), S.transversion1(ref).alias("tv1"), S.transversion2(ref).alias("tv2"), S.is_transition(ref, F.col("alt_base")).alias("is_ts"), S.chrom_class(F.col("chrom")).alias("klass"), S.chrom_order(F.col("chrom")).alias("chrom_order"))
 
 
-@query(f"with sites as ({X.SITES_SQL}) select site, round(pow(10.0, -least(fpct * 4, 255) / 10.0), 9) as lk, cast(trunc(fpct / 7.0 * 10) as int) as pl, case when fpct / 71.0 > 0.9999999999 then 100 else cast(floor(-10 * log10(1 - fpct / 71.0) + 0.5) as int) end as gq, round(0.5 * (1 - exp(-2 * fpct / 100.0)), 9) as haldane, round(0.5 * (exp(4 * fpct / 100.0) - 1) / (exp(4 * fpct / 100.0) + 1), 9) as kosambi, round(-0.5 * ln(1 - 2 * fpct / 200.0), 9) + 0.0 as haldane_inv, round(0.25 * ln((1 + 2 * fpct / 200.0) / (1 - 2 * fpct / 200.0)), 9) as kosambi_inv from sites")
+@query(f"with sites as ({X.SITES_SQL}) select site, round(pow(10.0, -least(fpct * 4, 255) / 10.0), 9) as lk, cast(trunc(fpct / 7.0 * 10) as int) as pl, case when fpct / 71.0 "
+    f"> 0.9999999999 then 100 else cast(floor(-10 * log10(1 - fpct / 71.0) + 0.5) as int) end as gq, round(0.5 * (1 - exp(-2 * fpct / 100.0)), 9) as haldane, round(0.5 * (exp(4 "
+    f"* fpct / 100.0) - 1) / (exp(4 * fpct / 100.0) + 1), 9) as kosambi, round(-0.5 * ln(1 - 2 * fpct / 200.0), 9) + 0.0 as haldane_inv, round(0.25 * ln((1 + 2 * fpct / 200.0) / "
+    f"(1 - 2 * fpct / 200.0)), 9) as kosambi_inv from sites")
 def scale_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = F.col("fpct")
     return X.sites(spark, sf_dir).select("site", F.round(S.phred_to_likelihood(f * 4), 9).alias("lk"), S.gl_to_pl(-f / 7).alias("pl"), S.genotype_quality(f / 71).alias("gq"), F.round(S.haldane(f / 100), 9).alias("haldane"), F.round(S.kosambi(f / 100), 9).alias("kosambi"), F.round(S.haldane_distance(f / 200), 9).alias("haldane_inv"), F.round(S.kosambi_distance(f / 200), 9).alias("kosambi_inv"))
@@ -63,7 +68,9 @@ def align_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("chrom", "pos", "ref_base", F.size(texts).alias("n_present"), F.array_join(texts, ",").alias("present"))
 
 
-_STATS = "select chrom, pos, arg_min(ref_base, sample_id) as ref_base, sum(depth) as total_depth, count(*) filter (depth > 0) as ns, count(*) filter (depth > 0) * 100.0::double / 12 as ps, coalesce(sum(map_qual) filter (depth > 0) / count(*) filter (depth > 0), 0) as mq, sum(depth) / count(*) filter (depth > 0) as avg_depth from obs group by chrom, pos"
+_STATS = ("select chrom, pos, arg_min(ref_base, sample_id) as ref_base, sum(depth) as total_depth, count(*) filter (depth > 0) as ns, count(*) filter (depth > 0) * 100.0::double "
+    "/ 12 as ps, coalesce(sum(map_qual) filter (depth > 0) / count(*) filter (depth > 0), 0) as mq, sum(depth) / count(*) filter (depth > 0) as avg_depth from obs group by chrom, "
+    "pos")
 
 
 @query(X.WITH_OBS + f" select chrom, pos, ref_base, cast(total_depth as bigint) as total_depth, ns, round(ps, 6) as ps, round(mq, 6) as mq, round(avg_depth, 6) as avg_depth from ({_STATS})")
@@ -72,7 +79,8 @@ def site_read_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("chrom", "pos", "ref_base", "total_depth", "ns", *[F.round(c, 6).alias(c) for c in ("ps", "mq", "avg_depth")])
 
 
-_REASON = f"case when ref_base not between 1 and 4 then 'ref_base' when total_depth < {FILTERS.min_depth} then 'min_depth' when total_depth > {FILTERS.max_depth} then 'max_depth' when ps < {FILTERS.min_percent_with_data} then 'coverage' when mq < {FILTERS.min_map_quality} then 'map_quality' end"
+_REASON = (f"case when ref_base not between 1 and 4 then 'ref_base' when total_depth < {FILTERS.min_depth} then 'min_depth' when total_depth > {FILTERS.max_depth} then 'max_depth' "
+    f"when ps < {FILTERS.min_percent_with_data} then 'coverage' when mq < {FILTERS.min_map_quality} then 'map_quality' end")
 
 
 @query(X.WITH_OBS + f" select chrom, pos, {_REASON} as drop_reason from ({_STATS})")
@@ -90,7 +98,8 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.run_summary(st.join(X.sites(spark, sf_dir).select("chrom", "pos", "alt_base", "fpct"), ["chrom", "pos"]))
 
 
-@query(f"with sites as ({X.SITES_SQL}), n as (select chrom, count(*) as n_sites from sites group by chrom) select chrom, n_sites, round(0.001 * list_sum(list_transform(range(1, 1 + case chrom when 'X' then 12 when 'Y' then 4 when 'MT' then 8 else 16 end), lambda i: 1.0 / i)), 9) as prior from n")
+@query(f"with sites as ({X.SITES_SQL}), n as (select chrom, count(*) as n_sites from sites group by chrom) select chrom, n_sites, round(0.001 * list_sum(list_transform(range(1, "
+    f"1 + case chrom when 'X' then 12 when 'Y' then 4 when 'MT' then 8 else 16 end), lambda i: 1.0 / i)), 9) as prior from n")
 def founder_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = X.sites(spark, sf_dir).groupBy("chrom").agg(F.count("*").alias("n_sites"))
     scale = {k: 0.001 * calling.prior_scale(list(X.PEDIGREE12), k) for k in ("autosome", "X", "Y", "MT")}
@@ -109,7 +118,9 @@ def _grid_sql() -> str:
     lk = lambda a, b: f"pow(10.0::double, -pl[{_IDX.format(a, b)} + 1] / 10.0::double)"
     terms = ", ".join(f"round(sum(log10({f * f}::double * k0 + {2 * f * (1 - f)}::double * k1 + {(1 - f) * (1 - f)}::double * k2)), 9) as l{i}" for i, f in enumerate(GRID))
     top = "greatest(" + ", ".join(f"l{i}" for i in range(len(GRID))) + ")"
-    return X.WITH_OBS + f", g as (select chrom, pos, {lk('ref_base', 'ref_base')} as k0, {lk('ref_base', 'ts')} as k1, {lk('ts', 'ts')} as k2 from (select *, {_TS.format('ref_base')} as ts from obs)), s as (select chrom, pos, {terms} from g group by chrom, pos) select chrom, pos, case " + " ".join(f"when l{i} = {top} then {f}::double" for i, f in enumerate(GRID)) + f" end as ref_freq, round({top}, 6) as llk from s"
+    return (X.WITH_OBS + f", g as (select chrom, pos, {lk('ref_base', 'ref_base')} as k0, {lk('ref_base', 'ts')} as k1, {lk('ts', 'ts')} as k2 from (select *, {_TS.format('ref_base')} "
+        f"as ts from obs)), s as (select chrom, pos, {terms} from g group by chrom, pos) select chrom, pos, case " + " ".join(f"when l{i} = {top} then {f}::double" for i, f in enumerate(GRID)) + f" "
+        f"end as ref_freq, round({top}, 6) as llk from s")
 
 
 @query(_grid_sql())
@@ -161,7 +172,8 @@ _DOS = f"list_transform({_GT}, lambda g: case when regexp_full_match(g, '[0-9][/
 _COUNTS = f"select *, list_sum(list_filter(dos, lambda d: d >= 0)) as acn, len(list_filter(dos, lambda d: d >= 0)) * 2 as ann from (select *, {_DOS} as dos from vcf)"
 
 
-@query(X.WITH_VCF + f" select chrom, pos, coalesce(acn, 0)::int as ac, ann::int as an, (12 - ann / 2)::int as n_missing, round(case when ann > 0 then acn / ann else 0 end, 9) as af, least(coalesce(acn, 0), ann - coalesce(acn, 0))::int as mac from ({_COUNTS})")
+@query(X.WITH_VCF + f" select chrom, pos, coalesce(acn, 0)::int as ac, ann::int as an, (12 - ann / 2)::int as n_missing, round(case when ann > 0 then acn / ann else 0 end, "
+    f"9) as af, least(coalesce(acn, 0), ann - coalesce(acn, 0))::int as mac from ({_COUNTS})")
 def vcf_allele_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.allele_counts(X.vcf_rows(spark, sf_dir)).select("chrom", "pos", "ac", "an", "n_missing", F.round("af", 9).alias("af"), "mac")
 
@@ -182,7 +194,8 @@ def vcf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.filter_variant_sites(V.filter_site_mac(v, 2)).select("chrom", "pos", "ref", "alt", V.is_indel().alias("indel"))
 
 
-@query(X.WITH_VCF + f" select chrom, pos, acn / ann > 0.3 as common from ({_COUNTS}) where ann > 0 and acn / ann between 0.25 and 0.75 and list_sum(list_transform(samples, lambda s: coalesce(try_cast(string_split(s, ':')[3] as int), 0))) >= 150")
+@query(X.WITH_VCF + f" select chrom, pos, acn / ann > 0.3 as common from ({_COUNTS}) where ann > 0 and acn / ann between 0.25 and 0.75 and list_sum(list_transform(samples, "
+    f"lambda s: coalesce(try_cast(string_split(s, ':')[3] as int), 0))) >= 150")
 def vcf_extract_by_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = V.filter_site_depth(X.vcf_rows(spark, sf_dir), 150, 0, from_info=False)
     return V.allele_counts(V.filter_site_freq(v, 0.25, 0.75, from_info=False)).select("chrom", "pos", (F.col("af") > 0.3).alias("common"))
@@ -220,9 +233,11 @@ def sites_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sites_in_ranges(X.sites(spark, sf_dir).select("site", "chrom", "pos"), X.ranges(spark, sf_dir))
 
 
-@query(f"with rg as (select row_number() over (order by o_orderkey) as ord_, * from (select o_orderkey, cast(1 + o_custkey % 3 as varchar) as chrom, o_orderkey * 3 % 20000 as beg, o_orderkey * 3 % 20000 + o_custkey % 40 as \"end\" from orders where o_orderkey % 16 = 1)), sites as ({X.SITES_SQL}) select rg.o_orderkey as ord, s.chrom, s.pos + 1 as pos from sites s join rg on rg.chrom = s.chrom and s.pos + 1 between rg.beg and rg.\"end\"")
+@query(f"with rg as (select row_number() over (order by o_orderkey) as ord_, * from (select o_orderkey, cast(1 + o_custkey % 3 as varchar) as chrom, o_orderkey * 3 % 20000 "
+    f"as beg, o_orderkey * 3 % 20000 + o_custkey % 40 as \"end\" from orders)), sites as ({X.SITES_SQL}) select rg.o_orderkey as ord, s.chrom, s.pos + 1 as pos from sites s join "
+    f"rg on rg.chrom = s.chrom and s.pos + 1 between rg.beg and rg.\"end\"")
 def region_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = X.table(spark, sf_dir, "orders").where("o_orderkey % 16 = 1").selectExpr("o_orderkey as ord", "cast(1 + o_custkey % 3 as string) as chrom", "o_orderkey * 3 % 20000 as beg", "o_orderkey * 3 % 20000 + o_custkey % 40 as end")
+    regions = X.table(spark, sf_dir, "orders").selectExpr("o_orderkey as ord", "cast(1 + o_custkey % 3 as string) as chrom", "o_orderkey * 3 % 20000 as beg", "o_orderkey * 3 % 20000 + o_custkey % 40 as end")
     return R.region_query(X.sites(spark, sf_dir).select("chrom", (F.col("pos") + 1).alias("pos")), regions).select("ord", "chrom", "pos")
 
 
@@ -263,7 +278,9 @@ def gene_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Pedigrees and markers. Pedigrees of any size derive from customers: families of ten, whose persons 0 to 3 are founders.
 
-_PED_SQL = "select c_custkey // 10 as fam, 'K' || (c_custkey // 10) as famid, cast(c_custkey % 10 as int) as pid, cast(case c_custkey % 10 when 4 then 0 when 5 then 0 when 6 then 2 when 7 then 4 when 8 then 4 when 9 then 4 else -1 end as int) as fatid, cast(case c_custkey % 10 when 4 then 1 when 5 then 1 when 6 then 3 when 7 then 6 when 8 then 6 when 9 then 6 else -1 end as int) as motid, cast(case when c_custkey % 10 in (0, 2, 4, 7, 9) then 1 else 2 end as int) as sex, c_nationkey as nation from customer"
+_PED_SQL = ("select c_custkey // 10 as fam, 'K' || (c_custkey // 10) as famid, cast(c_custkey % 10 as int) as pid, cast(case c_custkey % 10 when 4 then 0 when 5 then 0 when "
+    "6 then 2 when 7 then 4 when 8 then 4 when 9 then 4 else -1 end as int) as fatid, cast(case c_custkey % 10 when 4 then 1 when 5 then 1 when 6 then 3 when 7 then 6 when 8 then "
+    "6 when 9 then 6 else -1 end as int) as motid, cast(case when c_custkey % 10 in (0, 2, 4, 7, 9) then 1 else 2 end as int) as sex, c_nationkey as nation from customer")
 BIG_PED_SQL = f"select famid, pid, fatid, motid, sex, nation from ({_PED_SQL}) where fam in (select fam from ({_PED_SQL}) group by fam having count(*) = 10)"
 WITH_PED = f"with kp as ({BIG_PED_SQL})"
 
@@ -278,12 +295,17 @@ def big_pedigree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(full, "fam", "left_semi").select(F.concat(F.lit("K"), "fam").alias("famid"), "pid", "fatid", "motid", "sex", "nation")
 
 
-@query(WITH_PED + " select famid, count(*)::int as n, (count(*) filter (fatid < 0))::int as n_founders, 3 as generations, false as is_nuclear from kp group by famid union all select famid, count(*)::int, (count(*) filter (fatid < 0))::int, case when count(*) filter (fatid >= 0) = 0 then 1 else 2 end, count(*) filter (fatid >= 0) > 0 and count(*) filter (fatid < 0) = 2 from (" + X.pedigree_sql() + ") group by famid")
+@query(WITH_PED + " select famid, count(*)::int as n, (count(*) filter (fatid < 0))::int as n_founders, 3 as generations, false as is_nuclear from kp group by famid union "
+    "all select famid, count(*)::int, (count(*) filter (fatid < 0))::int, case when count(*) filter (fatid >= 0) = 0 then 1 else 2 end, count(*) filter (fatid >= 0) > 0 and count(*) "
+    "filter (fatid < 0) = 2 from (" + X.pedigree_sql() + ") group by famid")
 def family_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.family_table(big_pedigree(spark, sf_dir).drop("nation").unionByName(X.pedigree(spark)))
 
 
-@query(WITH_PED + ", b as (select famid, pid, case when pid = 5 and nation = 3 then -1 else fatid end as fatid, case when pid = 8 and nation < 4 then 4 else motid end as motid, case when pid = 0 and nation = 7 then 2 else sex end as sex from kp), j as (select b.*, f.sex as fs, m.sex as ms from b left join b f on f.famid = b.famid and f.pid = b.fatid left join b m on m.famid = b.famid and m.pid = b.motid) select famid, pid, case when (fatid < 0) <> (motid < 0) then 'one_parent' when fs = 2 and ms = 1 then 'swapped_parents' else 'parent_sex' end as problem from j where (fatid < 0) <> (motid < 0) or fs = 2 or ms = 1")
+@query(WITH_PED + ", b as (select famid, pid, case when pid = 5 and nation = 3 then -1 else fatid end as fatid, case when pid = 8 and nation < 4 then 4 else motid end as motid, "
+    "case when pid = 0 and nation = 7 then 2 else sex end as sex from kp), j as (select b.*, f.sex as fs, m.sex as ms from b left join b f on f.famid = b.famid and f.pid = b.fatid "
+    "left join b m on m.famid = b.famid and m.pid = b.motid) select famid, pid, case when (fatid < 0) <> (motid < 0) then 'one_parent' when fs = 2 and ms = 1 then 'swapped_parents' "
+    "else 'parent_sex' end as problem from j where (fatid < 0) <> (motid < 0) or fs = 2 or ms = 1")
 def check_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = big_pedigree(spark, sf_dir)
     return P.check_parents(p.select("famid", "pid", F.when((F.col("pid") == 5) & (F.col("nation") == 3), -1).otherwise(F.col("fatid")).alias("fatid"), F.when((F.col("pid") == 8) & (F.col("nation") < 4), 4).otherwise(F.col("motid")).alias("motid"), F.when((F.col("pid") == 0) & (F.col("nation") == 7), 2).otherwise(F.col("sex")).alias("sex")))
@@ -306,17 +328,30 @@ def pedigree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.ordered(big_pedigree(spark, sf_dir))
 
 
-@query(WITH_PED.replace("with", "with recursive", 1) + ", anc as (select famid, pid, unnest([fatid, motid]) as ancestor from kp where fatid >= 0 union select a.famid, a.pid, unnest([k.fatid, k.motid]) from anc a join kp k on k.famid = a.famid and k.pid = a.ancestor where k.fatid >= 0) select distinct famid, pid, ancestor from anc")
+@query(WITH_PED.replace("with", "with recursive", 1) + ", anc as (select famid, pid, unnest([fatid, motid]) as ancestor from kp where fatid >= 0 union select a.famid, a.pid, "
+    "unnest([k.fatid, k.motid]) from anc a join kp k on k.famid = a.famid and k.pid = a.ancestor where k.fatid >= 0) select distinct famid, pid, ancestor from anc")
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.ancestors(big_pedigree(spark, sf_dir))
 
 
-@query()
+def _kinship_sql(x_linked: bool) -> str:
+    """Pairs go back to the parents of the younger one, with half the weight each; a pair of one person adds its own share.
+    X-linked, a son has his mother alone."""
+    male = "m.sex = 1" if x_linked else "false"
+    step = f"""select k.famid, p1, p2, greatest(f.x, k.b) as a, least(f.x, k.b) as b, case when {male} then (case when f.k = 2 then w else 0 end) else w / 2 end as w
+  from k join kp m on m.famid = k.famid and m.pid = k.a, unnest([1, 2]) u(i), lateral (select case when i = 1 then m.fatid else m.motid end as x, i as k) f where m.fatid >= 0 and k.a <> k.b and k.w > 0
+  union all select k.famid, p1, p2, greatest(m.fatid, m.motid), least(m.fatid, m.motid), case when {male} then 0 else w / 2 end from k join kp m on m.famid = k.famid and m.pid = k.a where m.fatid >= 0 and k.a = k.b and k.w > 0"""
+    return WITH_PED.replace("with", "with recursive", 1) + f""", k(famid, p1, p2, a, b, w) as (select x.famid, x.pid, y.pid, y.pid, x.pid, 1.0::double from kp x join kp y on x.famid = y.famid and x.pid <= y.pid
+  union all select * from ({step}))
+ select k.famid, p1 as pid1, p2 as pid2, coalesce(sum(case when a = b then w * (case when {male} then 1 else 0.5 end) end), 0)::double as phi, false as inbred from k join kp m on m.famid = k.famid and m.pid = k.a group by all"""
+
+
+@query(_kinship_sql(False))
 def kinship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.kinship(big_pedigree(spark, sf_dir))
 
 
-@query()
+@query(_kinship_sql(True))
 def kinship_x(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.kinship(big_pedigree(spark, sf_dir), x_linked=True)
 
@@ -338,21 +373,25 @@ def twin_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.twin_groups(z).select("famid", F.array_join(F.col("twins").cast("array<string>"), "$").alias("twins"), "same_sex")
 
 
-@query()
+@query(WITH_PED + " select famid, case when pid in (7, 9) then '7$9' else pid::varchar end as pid, fatid::varchar as fatid, motid::varchar as motid, sex, max(1 + nation % 2)::int as affected from kp group by all")
 def merge_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = big_pedigree(spark, sf_dir).withColumn("zygosity", F.when(F.col("pid").isin(7, 9), 1).otherwise(0)).withColumn("affected", 1 + F.col("nation") % 2)
     return P.merge_twins(z)
 
 
-@query(WITH_PED + ", k as (select a.famid, a.pid as pid1, b.pid as pid2, case when a.pid = b.pid then 3 when a.fatid < 0 and b.fatid < 0 then 1 when b.fatid = a.pid or b.motid = a.pid or a.fatid = b.pid or a.motid = b.pid then 2 end as r from kp a join kp b on a.famid = b.famid and a.pid <= b.pid) select famid, pid1, pid2, case when r is not null then (r = 1)::int::double end as p0, case when r is not null then (r = 2)::int::double end as p1, case when r is not null then (r = 3)::int::double end as p2 from k")
+@query(WITH_PED + ", k as (select a.famid, a.pid as pid1, b.pid as pid2, case when a.pid = b.pid then 3 when a.fatid < 0 and b.fatid < 0 then 1 when b.fatid = a.pid or b.motid "
+    "= a.pid or a.fatid = b.pid or a.motid = b.pid then 2 end as r from kp a join kp b on a.famid = b.famid and a.pid <= b.pid) select famid, pid1, pid2, case when r is not null "
+    "then (r = 1)::int::double end as p0, case when r is not null then (r = 2)::int::double end as p1, case when r is not null then (r = 3)::int::double end as p2 from k")
 def ibd_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.ibd_prior(big_pedigree(spark, sf_dir))
 
 
-_COUNTS_SQL = "cnt as (select marker, u.allele, count(*) as n, count(*) filter (fatid < 0) as nf from (select marker, ped.fatid, case when chrom = 'X' and sex = 1 then [a1] else [a1, a2] end as al from geno join ped using (famid, pid)), unnest(al) u(allele) group by marker, u.allele)"
+_COUNTS_SQL = ("cnt as (select marker, u.allele, count(*) as n, count(*) filter (fatid < 0) as nf from (select marker, ped.fatid, case when chrom = 'X' and sex = 1 then [a1] "
+    "else [a1, a2] end as al from geno join ped using (famid, pid)), unnest(al) u(allele) group by marker, u.allele)")
 
 
-@query(X.WITH_GENO + f", {_COUNTS_SQL}, f as (select marker, allele, case when nf > 0 then nf else 1 end as n from cnt) select marker, allele, round(n / sum(n) over (partition by marker), 9) as freq from f")
+@query(X.WITH_GENO + f", {_COUNTS_SQL}, f as (select marker, allele, case when sum(nf) over (partition by marker) = 0 then n when nf > 0 then nf else 1 end as n from cnt) "
+    f"select marker, allele, round(n / sum(n) over (partition by marker), 9) as freq from f")
 def allele_frequencies_founders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.allele_frequencies(X.genotypes(spark, sf_dir), X.pedigree(spark)).select("marker", "allele", F.round("freq", 9).alias("freq"))
 
@@ -362,12 +401,17 @@ def allele_frequencies_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.allele_frequencies(X.genotypes(spark, sf_dir), X.pedigree(spark), "all").select("marker", "allele", F.round("freq", 9).alias("freq"))
 
 
-@query(X.WITH_GENO + f", {_COUNTS_SQL}, r as (select *, n <= floor(sum(n) over (partition by marker) * 0.2) as rare from cnt) select marker, allele, (case when rare then count(*) filter (not rare) over (partition by marker) + 1 else row_number() over (partition by marker order by rare, n desc, allele) end)::int as code, case when rare then 'OTHER' else allele::varchar end as label from r")
+@query(X.WITH_GENO + f", {_COUNTS_SQL}, r as (select *, n <= floor(sum(n) over (partition by marker) * 0.2) as rare from cnt) select marker, allele, (case when rare then count(*) "
+    f"filter (not rare) over (partition by marker) + 1 else row_number() over (partition by marker order by rare, n desc, allele) end)::int as code, case when rare then 'OTHER' "
+    f"else allele::varchar end as label from r")
 def lump_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.lump_alleles(M.allele_counts(X.genotypes(spark, sf_dir), X.pedigree(spark)), 0.2)
 
 
-_TRIO_SQL = "tr as (select c.marker, c.famid, c.pid, c.a1, c.a2, p.sex, f.a1 as f1, f.a2 as f2, m.a1 as m1, m.a2 as m2 from geno c join ped p using (famid, pid) left join geno f on f.marker = c.marker and f.famid = c.famid and f.pid = p.fatid left join geno m on m.marker = c.marker and m.famid = c.famid and m.pid = p.motid where p.fatid >= 0), ok as (select *, (f1 is null or a1 in (f1, f2)) and (m1 is null or a2 in (m1, m2)) as one, (f1 is null or a2 in (f1, f2)) and (m1 is null or a1 in (m1, m2)) as two from tr)"
+_TRIO_SQL = ("tr as (select c.marker, c.famid, c.pid, c.a1, c.a2, p.sex, f.a1 as f1, f.a2 as f2, m.a1 as m1, m.a2 as m2 from geno c join ped p using (famid, pid) left join "
+    "geno f on f.marker = c.marker and f.famid = c.famid and f.pid = p.fatid left join geno m on m.marker = c.marker and m.famid = c.famid and m.pid = p.motid where p.fatid >= "
+    "0), ok as (select *, (f1 is null or a1 in (f1, f2)) and (m1 is null or a2 in (m1, m2)) as one, (f1 is null or a2 in (f1, f2)) and (m1 is null or a1 in (m1, m2)) as two from "
+    "tr)")
 
 
 @query(X.WITH_GENO + f", {_TRIO_SQL} select marker, famid, pid from ok where not one and not two")
@@ -375,28 +419,38 @@ def mendel_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mendel_errors(X.genotypes(spark, sf_dir), X.pedigree(spark))
 
 
-@query(X.WITH_GENO + f", {_TRIO_SQL} select g.marker, g.famid, g.pid, 'het_male' as problem from geno g join ped using (famid, pid) where sex = 1 and a1 <> a2 union all select marker, famid, pid, 'son' from tr where sex = 1 and a1 = a2 and m1 is not null and a1 not in (m1, m2) union all select marker, famid, pid, 'daughter' from tr where sex = 2 and not ((f1 is null or a1 = f1) and (m1 is null or a2 in (m1, m2))) and not ((f1 is null or a2 = f1) and (m1 is null or a1 in (m1, m2)))")
+@query(X.WITH_GENO + f", {_TRIO_SQL} select g.marker, g.famid, g.pid, 'het_male' as problem from geno g join ped using (famid, pid) where sex = 1 and a1 <> a2 union all select "
+    f"marker, famid, pid, 'son' from tr where sex = 1 and a1 = a2 and m1 is not null and a1 not in (m1, m2) union all select marker, famid, pid, 'daughter' from tr where sex = 2 "
+    f"and not ((f1 is null or a1 = f1) and (m1 is null or a2 in (m1, m2))) and not ((f1 is null or a2 = f1) and (m1 is null or a1 in (m1, m2)))")
 def mendel_errors_x(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mendel_errors_x(X.genotypes(spark, sf_dir), X.pedigree(spark))
 
 
-# For sibships of three: a genotype for everybody of the big pedigree at the sites of six parts.
-_BIG_GENO = "select marker, chrom, famid, pid, (1 + (marker * 7 + pid * 3 + nation) % 4)::int as a1, (1 + (marker * 5 + pid * pid + nation * 3) % 4)::int as a2 from kp, (select p_partkey as marker, '1' as chrom from part where p_partkey % 97 = 1) where (marker + pid + nation) % 9 > 0"
+# For sibships of three: every part is a marker at which one family of the big pedigree is typed, dealt by the part's number.
+_BIG_GENO = ("select marker, famid, pid, (1 + (marker * 7 + pid * 3 + nation) % 4)::int as a1, (1 + (marker * 5 + pid * pid + nation * 3) % 4)::int as a2 from kp join (select "
+    "p_partkey as marker, 'K' || (p_partkey % (select count(distinct famid) from kp)) as famid from part) using (famid) where (marker + pid + nation) % 9 > 0")
 WITH_BIG = WITH_PED + f", bg as ({_BIG_GENO})"
 
 
 def big_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = big_pedigree(spark, sf_dir)
-    m = X.table(spark, sf_dir, "part").where("p_partkey % 97 = 1").select(F.col("p_partkey").alias("marker"))
-    return p.crossJoin(F.broadcast(m)).where("(marker + pid + nation) % 9 > 0").selectExpr("marker", "famid", "pid", "cast(1 + (marker * 7 + pid * 3 + nation) % 4 as int) as a1", "cast(1 + (marker * 5 + pid * pid + nation * 3) % 4 as int) as a2")
+    n = p.agg(F.countDistinct("famid").alias("n"))
+    m = X.table(spark, sf_dir, "part").crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("marker"), F.concat(F.lit("K"), F.col("p_partkey") % F.col("n")).alias("famid"))
+    return p.join(m, "famid").where("(marker + pid + nation) % 9 > 0").selectExpr("marker", "famid", "pid", "cast(1 + (marker * 7 + pid * 3 + nation) % 4 as int) as a1", "cast(1 "
+        "+ (marker * 5 + pid * pid + nation * 3) % 4 as int) as a2")
 
 
-@query(WITH_BIG + ", c as (select distinct marker, bg.famid, fatid, motid, least(a1, a2) as lo, greatest(a1, a2) as hi from bg join kp using (famid, pid) where fatid >= 0), n as (select marker, famid, fatid, motid, count(*) as kinds, count(*) filter (lo = hi) as hom from c group by all), a as (select marker, famid, fatid, motid, allele, count(*) as k from (select *, unnest(list_distinct([lo, hi])) as allele from c) group by all), m as (select marker, famid, fatid, motid, count(*) as alleles, max(k) as most from a group by all) select marker, famid, fatid, motid from n join m using (marker, famid, fatid, motid) where kinds > 4 or alleles + hom > 4 or (alleles = 4 and most > 2)")
+@query(WITH_BIG + ", c as (select distinct marker, bg.famid, fatid, motid, least(a1, a2) as lo, greatest(a1, a2) as hi from bg join kp using (famid, pid) where fatid >= 0), "
+    "n as (select marker, famid, fatid, motid, count(*) as kinds, count(*) filter (lo = hi) as hom from c group by all), a as (select marker, famid, fatid, motid, allele, count(*) "
+    "as k from (select *, unnest(list_distinct([lo, hi])) as allele from c) group by all), m as (select marker, famid, fatid, motid, count(*) as alleles, max(k) as most from a "
+    "group by all) select marker, famid, fatid, motid from n join m using (marker, famid, fatid, motid) where kinds > 4 or alleles + hom > 4 or (alleles = 4 and most > 2)")
 def sibship_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.sibship_errors(big_genotypes(spark, sf_dir), big_pedigree(spark, sf_dir))
 
 
-@query(WITH_BIG + ", c as (select marker, bg.famid, bg.pid, fatid, motid, a1, a2 from bg join kp using (famid, pid) where fatid >= 0) select x.marker, x.famid, x.pid as pid1, y.pid as pid2, case when (x.a1 = y.a1 and x.a2 = y.a2) or (x.a1 = y.a2 and x.a2 = y.a1) then 2 when x.a1 in (y.a1, y.a2) or x.a2 in (y.a1, y.a2) then 1 else 0 end as ibs from c x join c y on x.marker = y.marker and x.famid = y.famid and x.fatid = y.fatid and x.motid = y.motid and x.pid < y.pid")
+@query(WITH_BIG + ", c as (select marker, bg.famid, bg.pid, fatid, motid, a1, a2 from bg join kp using (famid, pid) where fatid >= 0) select x.marker, x.famid, x.pid as pid1, "
+    "y.pid as pid2, case when (x.a1 = y.a1 and x.a2 = y.a2) or (x.a1 = y.a2 and x.a2 = y.a1) then 2 when x.a1 in (y.a1, y.a2) or x.a2 in (y.a1, y.a2) then 1 else 0 end as ibs from "
+    "c x join c y on x.marker = y.marker and x.famid = y.famid and x.fatid = y.fatid and x.motid = y.motid and x.pid < y.pid")
 def sib_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.sib_sharing(big_genotypes(spark, sf_dir), big_pedigree(spark, sf_dir))
 
@@ -411,7 +465,11 @@ def _ibd_sql() -> str:
                     ways[(i == i2) + (k == k2)].append(f"coalesce(({fits('x', i, k)} and {fits('y', i2, k2)})::int, 0)")
     n = [" + ".join(ways[z]) for z in range(3)]
     g = lambda a, who: f"left join geno {a} on {a}.marker = s.marker and {a}.famid = s.famid and {a}.pid = s.{who}"
-    return X.WITH_GENO + f", s as (select mk.marker, p.famid, p.pid as pid1, q.pid as pid2, p.fatid, p.motid from ped p join ped q on p.famid = q.famid and p.fatid = q.fatid and p.motid = q.motid and p.pid < q.pid and p.fatid >= 0 join (select distinct marker, famid from geno) mk on mk.famid = p.famid), w as (select s.*, {n[0]} as n0, {n[1]} as n1, {n[2]} as n2 from s {g('x', 'pid1')} {g('y', 'pid2')} {g('f', 'fatid')} {g('m', 'motid')}) select marker, famid, pid1, pid2, round(case when n0 + n1 + n2 > 0 then n0 / (n0 + n1 + n2) else 0.25 end, 9) as p0, round(case when n0 + n1 + n2 > 0 then n1 / (n0 + n1 + n2) else 0.5 end, 9) as p1, round(case when n0 + n1 + n2 > 0 then n2 / (n0 + n1 + n2) else 0.25 end, 9) as p2 from w"
+    return (X.WITH_GENO + f", s as (select mk.marker, p.famid, p.pid as pid1, q.pid as pid2, p.fatid, p.motid from ped p join ped q on p.famid = q.famid and p.fatid = q.fatid "
+        f"and p.motid = q.motid and p.pid < q.pid and p.fatid >= 0 join (select distinct marker, famid from geno) mk on mk.famid = p.famid), w as (select s.*, {n[0]} as n0, {n[1]} as "
+        f"n1, {n[2]} as n2 from s {g('x', 'pid1')} {g('y', 'pid2')} {g('f', 'fatid')} {g('m', 'motid')}) select marker, famid, pid1, pid2, round(case when n0 + n1 + n2 > 0 then n0 / "
+        f"(n0 + n1 + n2) else 0.25 end, 9) as p0, round(case when n0 + n1 + n2 > 0 then n1 / (n0 + n1 + n2) else 0.5 end, 9) as p1, round(case when n0 + n1 + n2 > 0 then n2 / (n0 + "
+        f"n1 + n2) else 0.25 end, 9) as p2 from w")
 
 
 @query(_ibd_sql())
@@ -420,7 +478,8 @@ def sib_ibd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("marker", "famid", "pid1", "pid2", *[F.round(f"p{i}", 9).alias(f"p{i}") for i in range(3)])
 
 
-@query(X.WITH_GENO + f", {_TRIO_SQL} select marker, famid, pid, case when a1 = a2 and one then a1 when one and not two then a1 when two and not one then a2 end as paternal, case when a1 = a2 and one then a1 when one and not two then a2 when two and not one then a1 end as maternal from ok")
+@query(X.WITH_GENO + f", {_TRIO_SQL} select marker, famid, pid, case when a1 = a2 and one then a1 when one and not two then a1 when two and not one then a2 end as paternal, "
+    f"case when a1 = a2 and one then a1 when one and not two then a2 when two and not one then a1 end as maternal from ok")
 def phase_trios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.phase_trios(X.genotypes(spark, sf_dir), X.pedigree(spark))
 
@@ -430,7 +489,8 @@ def eliminate_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.eliminate_genotypes(X.genotypes(spark, sf_dir), X.pedigree(spark))
 
 
-@query(f"with t as ({X.TRAITS_SQL}), v as (select trait, value, count(*) as k from t where value is not null group by all) select trait, value, k, round(coalesce(sum(k) over (partition by trait order by value rows between unbounded preceding and 1 preceding), 0) + (k - 1) / 2, 6) as rank, (sum(k) over (partition by trait))::bigint as n from v")
+@query(f"with t as ({X.TRAITS_SQL}), v as (select trait, value, count(*) as k from t where value is not null group by all) select trait, value, k, round(coalesce(sum(k) over "
+    f"(partition by trait order by value rows between unbounded preceding and 1 preceding), 0) + (k - 1) / 2, 6) as rank, (sum(k) over (partition by trait))::bigint as n from v")
 def mid_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mid_ranks(X.traits(spark, sf_dir)).withColumn("rank", F.round("rank", 6))
 
@@ -440,45 +500,61 @@ def inverse_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.inverse_normal(X.traits(spark, sf_dir))
 
 
-@query(f"with t as ({X.TRAITS_SQL}), m as (select trait, avg(value) as mean from t where pid % 3 <> 0 and value is not null group by trait) select famid, pid, trait, value, case when pid % 3 = 0 or value is null then 0 when value > mean then 2 else 1 end as status from t left join m using (trait)")
+@query(f"with t as ({X.TRAITS_SQL}), m as (select trait, avg(value) as mean from t where pid % 3 <> 0 and value is not null group by trait) select famid, pid, trait, value, "
+    f"case when pid % 3 = 0 or value is null then 0 when value > mean then 2 else 1 end as status from t left join m using (trait)")
 def dichotomize(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.traits(spark, sf_dir)
     return M.dichotomize(t, t.where("pid % 3 = 0").select("famid", "pid"))
 
 
-@query("with o as (select p_size % 5 as x, p_brand as y, count(*) as o from part group by all), n as (select sum(o) as n from o), r as (select x, sum(o) as r from o group by x), c as (select y, sum(o) as c from o group by y), e as (select coalesce(o.o, 0) as o, r * c / n as e from r cross join c cross join n left join o on o.x = r.x and o.y = c.y), s as (select sum((o - e) * (o - e) / e) as chi2 from e) select round(chi2, 6) as chi2, (select ((count(distinct x) - 1) * (count(distinct y) - 1)) from o) as df, round(sqrt(chi2 / ((select n from n) * (select least(count(distinct x), count(distinct y)) - 1 from o))), 6) as cramer_v, round(sqrt(chi2 / (chi2 + (select n from n))), 6) as contingency_c from s")
+@query("with o as (select p_size % 5 as x, p_brand as y, count(*) as o from part group by all), n as (select sum(o) as n from o), r as (select x, sum(o) as r from o group "
+    "by x), c as (select y, sum(o) as c from o group by y), e as (select coalesce(o.o, 0) as o, r * c / n as e from r cross join c cross join n left join o on o.x = r.x and o.y "
+    "= c.y), s as (select sum((o - e) * (o - e) / e) as chi2 from e) select round(chi2, 6) as chi2, (select ((count(distinct x) - 1) * (count(distinct y) - 1)) from o) as df, round(sqrt(chi2 "
+    "/ ((select n from n) * (select least(count(distinct x), count(distinct y)) - 1 from o))), 6) as cramer_v, round(sqrt(chi2 / (chi2 + (select n from n))), 6) as contingency_c "
+    "from s")
 def chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = X.table(spark, sf_dir, "part").select((F.col("p_size") % 5).alias("x"), F.col("p_brand").alias("y"))
     return M.chi_square(p, "x", "y").select(F.round("chi2", 6).alias("chi2"), "df", F.round("cramer_v", 6).alias("cramer_v"), F.round("contingency_c", 6).alias("contingency_c"))
 
 
-@query("with o as (select p_size % 5 as x, p_brand as y, count(*) as o from part group by all), n as (select sum(o)::double as n from o), h as (select sum(-o / n * ln(o / n)) as h from o, n), hx as (select sum(-r / n * ln(r / n)) as hx from (select sum(o) as r from o group by x), n), hy as (select sum(-r / n * ln(r / n)) as hy from (select sum(o) as r from o group by y), n) select round(h, 6) as h, round(hx, 6) as hx, round(hy, 6) as hy, round(h - hx, 6) as hy_x, round(h - hy, 6) as hx_y, round(2 * (hx + hy - h) / (hx + hy), 6) as uxy from h, hx, hy")
+@query("with o as (select p_size % 5 as x, p_brand as y, count(*) as o from part group by all), n as (select sum(o)::double as n from o), h as (select sum(-o / n * ln(o / "
+    "n)) as h from o, n), hx as (select sum(-r / n * ln(r / n)) as hx from (select sum(o) as r from o group by x), n), hy as (select sum(-r / n * ln(r / n)) as hy from (select "
+    "sum(o) as r from o group by y), n) select round(h, 6) as h, round(hx, 6) as hx, round(hy, 6) as hy, round(h - hx, 6) as hy_x, round(h - hy, 6) as hx_y, round(2 * (hx + hy "
+    "- h) / (hx + hy), 6) as uxy from h, hx, hy")
 def entropies(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = X.table(spark, sf_dir, "part").select((F.col("p_size") % 5).alias("x"), F.col("p_brand").alias("y"))
     return M.entropies(p, "x", "y").select(*[F.round(c, 6).alias(c) for c in ("h", "hx", "hy", "hy_x", "hx_y", "uxy")])
 
 
-@query("with d as (select p_size as x, p_partkey * 7 % 41 as y from part), r as (select (rank() over (order by x) + count(*) over (partition by x) * 0.5 - 0.5)::double as rx, (rank() over (order by y) + count(*) over (partition by y) * 0.5 - 0.5)::double as ry from d) select count(*) as n, round(sum((rx - ry) * (rx - ry)), 3) as d2, round(corr(rx, ry), 6) as r from r")
+@query("with d as (select p_size as x, p_partkey * 7 % 41 as y from part), r as (select (rank() over (order by x) + count(*) over (partition by x) * 0.5 - 0.5)::double as "
+    "rx, (rank() over (order by y) + count(*) over (partition by y) * 0.5 - 0.5)::double as ry from d) select count(*) as n, round(sum((rx - ry) * (rx - ry)), 3) as d2, round(corr(rx, "
+    "ry), 6) as r from r")
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = X.table(spark, sf_dir, "part").selectExpr("p_size as x", "p_partkey * 7 % 41 as y")
     return M.spearman(p, "x", "y").select("n", F.round("d2", 3).alias("d2"), F.round("r", 6).alias("r"))
 
 
-@query(f"with sites as ({X.SITES_SQL}), o as (select chrom, site as marker, (row_number() over (partition by chrom order by pos, site))::int as ord from sites), c as (select chrom, lead(chrom) over (order by chrom) as next_chrom from (select distinct chrom from sites)) select o.chrom, marker, ord, next_chrom from o join c using (chrom)")
+@query(f"with sites as ({X.SITES_SQL}), o as (select chrom, site as marker, (row_number() over (partition by chrom order by pos, site))::int as ord from sites), c as (select "
+    f"chrom, lead(chrom) over (order by chrom) as next_chrom from (select distinct chrom from sites)) select o.chrom, marker, ord, next_chrom from o join c using (chrom)")
 def ordered_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.ordered_markers(X.sites(spark, sf_dir).select("chrom", F.col("site").alias("marker"), "pos"))
 
 
-@query("with c as (select p_partkey, array_to_string([substr('ACGU', (1 + p_partkey % 4)::int, 1), substr('acgt', (1 + p_partkey // 4 % 4)::int, 1), substr('ACGT', (1 + p_partkey // 16 % 4)::int, 1)], '') as codon from part), u as (select *, replace(upper(codon), 'U', 'T') as k from c) select p_partkey, codon, substr('" + codons.CODE + "', (instr('TCAG', k[1]) - 1) * 16 + (instr('TCAG', k[2]) - 1) * 4 + instr('TCAG', k[3]), 1) as letter from u")
+@query("with c as (select p_partkey, array_to_string([substr('ACGU', (1 + p_partkey % 4)::int, 1), substr('acgt', (1 + p_partkey // 4 % 4)::int, 1), substr('ACGT', (1 + p_partkey "
+    "// 16 % 4)::int, 1)], '') as codon from part), u as (select *, replace(upper(codon), 'U', 'T') as k from c) select p_partkey, codon, substr('" + codons.CODE + "', (instr('TCAG', "
+    "k[1]) - 1) * 16 + (instr('TCAG', k[2]) - 1) * 4 + instr('TCAG', k[3]), 1) as letter from u")
 def codon_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = X.table(spark, sf_dir, "part").selectExpr("p_partkey", "concat(substring('ACGU', cast(1 + p_partkey % 4 as int), 1), substring('acgt', cast(1 + p_partkey div 4 % 4 as int), 1), substring('ACGT', cast(1 + p_partkey div 16 % 4 as int), 1)) as codon")
+    p = X.table(spark, sf_dir, "part").selectExpr("p_partkey", "concat(substring('ACGU', cast(1 + p_partkey % 4 as int), 1), substring('acgt', cast(1 + p_partkey div 4 % 4 "
+        "as int), 1), substring('ACGT', cast(1 + p_partkey div 16 % 4 as int), 1)) as codon")
     return p.select("p_partkey", "codon", codons.amino_acid(F.col("codon")).alias("letter"))
 
 
 _BED = f"list_transform({_DOS}, lambda d: case d when 0 then 0 when 1 then 2 when 2 then 3 else 1 end)"
 
 
-@query(X.WITH_VCF + f", k as (select *, {_BED} as c from vcf where length(ref) = 1 and length(alt) = 1) select case chrom when 'X' then 23 when 'Y' then 24 when 'MT' then 25 else chrom::int end as chrom, case when id = '.' then chrom || ':' || pos else id end as name, 0 as cm, pos, ref, alt, array_to_string(list_transform(range(3), lambda b: lpad(printf('%X', (c[b * 4 + 1] + c[b * 4 + 2] * 4 + c[b * 4 + 3] * 16 + c[b * 4 + 4] * 64)::int), 2, '0')), '') as bed from k")
+@query(X.WITH_VCF + f", k as (select *, {_BED} as c from vcf where length(ref) = 1 and length(alt) = 1) select case chrom when 'X' then 23 when 'Y' then 24 when 'MT' then "
+    f"25 else chrom::int end as chrom, case when id = '.' then chrom || ':' || pos else id end as name, 0 as cm, pos, ref, alt, array_to_string(list_transform(range(3), lambda b: "
+    f"lpad(printf('%X', (c[b * 4 + 1] + c[b * 4 + 2] * 4 + c[b * 4 + 3] * 16 + c[b * 4 + 4] * 64)::int), 2, '0')), '') as bed from k")
 def plink_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.plink_markers(X.vcf_rows(spark, sf_dir))
 
@@ -488,7 +564,8 @@ def dosage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.dosages(X.vcf_rows(spark, sf_dir))
 
 
-@query(f"with k as (select c_custkey as pid, 'F' || (c_custkey % 7) as famid, c_custkey % 5 as glf from customer), ix as (select '2' as key, 'a.bin' as file union all select '3', 'b.bin') select famid, pid, file from k left join ix on key = nullif(glf, 0)::varchar")
+@query(f"with k as (select c_custkey as pid, 'F' || (c_custkey % 7) as famid, c_custkey % 5 as glf from customer), ix as (select '2' as key, 'a.bin' as file union all select "
+    f"'3', 'b.bin') select famid, pid, file from k left join ix on key = nullif(glf, 0)::varchar")
 def bind_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ped = X.table(spark, sf_dir, "customer").selectExpr("concat('F', c_custkey % 7) as famid", "c_custkey as pid", "cast(c_custkey % 5 as double) as glf")
     index = spark.createDataFrame([("2", "a.bin"), ("3", "b.bin")], "key string, file string")
@@ -497,7 +574,7 @@ def bind_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def call_vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.genome_sorted(T.call_lines(calling.call_variants(X.gl_obs(spark, sf_dir), list(X.PEDIGREE12)))).select("value")
+    return R.genome_sorted(T.call_lines(calling.call_variants(X.gl_obs(spark, sf_dir), list(X.PEDIGREE12)), list(X.PEDIGREE12))).select("value")
 
 
 @query()
@@ -512,15 +589,18 @@ def call_unrelated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def refine_vcf_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.refined_lines(calling.refine_vcf(X.vcf_rows(spark, sf_dir), [str(i) for i in range(X.SAMPLES)], list(X.PEDIGREE12), calling.Options(compat=True)))
+    names, o = [str(i) for i in range(X.SAMPLES)], calling.Options(compat=True)
+    return T.refined_lines(calling.refine_vcf(X.vcf_rows(spark, sf_dir), names, list(X.PEDIGREE12), o), names, list(X.PEDIGREE12), o)
 
 
 @query()
 def denovo_vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.denovo_lines(calling.call_denovo(X.gl_obs(spark, sf_dir), list(X.PEDIGREE12), calling.Options(denovo=True, rate_denovo=1.5e-7)))
+    return T.denovo_lines(calling.call_denovo(X.gl_obs(spark, sf_dir), list(X.PEDIGREE12), calling.Options(denovo=True, rate_denovo=1.5e-7)), list(X.PEDIGREE12))
 
 
-@query(X.WITH_OBS + ", e as (select chrom, min(last) as e from (select chrom, sample_id, max(pos) as last from obs group by all) group by chrom), n as (select chrom, min(pos) as nxt from obs join e using (chrom) where pos > e group by chrom) select o.chrom, o.pos, sample_id from obs o join e using (chrom) left join n using (chrom) where o.pos <= coalesce(nxt, e)")
+@query(X.WITH_OBS + ", e as (select chrom, min(last) as e from (select chrom, sample_id, max(pos) as last from obs group by all) group by chrom), n as (select chrom, min(pos) "
+    "as nxt from obs join e using (chrom) where pos > e group by chrom) select o.chrom, o.pos, sample_id from obs o join e using (chrom) left join n using (chrom) where o.pos <= "
+    "coalesce(nxt, e)")
 def until_first_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.until_first_end(X.gl_obs(spark, sf_dir)).select("chrom", "pos", "sample_id")
 
@@ -539,7 +619,8 @@ def extract_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.extract_on_affection(people, "status", 1, ["value"]).select("famid", "pid", "value")
 
 
-@query(X.WITH_VCF + f", k as (select site as marker, {_BED} as c from vcf) select marker, array_to_string(list_transform(range(3), lambda b: lpad(printf('%X', (c[b * 4 + 1] + c[b * 4 + 2] * 4 + c[b * 4 + 3] * 16 + c[b * 4 + 4] * 64)::int), 2, '0')), '') as bed from k")
+@query(X.WITH_VCF + f", k as (select site as marker, {_BED} as c from vcf) select marker, array_to_string(list_transform(range(3), lambda b: lpad(printf('%X', (c[b * 4 + 1] "
+    f"+ c[b * 4 + 2] * 4 + c[b * 4 + 3] * 16 + c[b * 4 + 4] * 64)::int), 2, '0')), '') as bed from k")
 def pack_dosage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = V.dosages(X.vcf_rows(spark, sf_dir)).select(F.floor(F.col("pos") / 10).alias("marker"), F.col("sample").alias("person"), "dosage")
     return B.pack_matrix(d, X.SAMPLES)
@@ -554,20 +635,26 @@ def decode_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _L = [f"-(p_partkey * {7 + 3 * i} % {41 + 2 * i}) / 4.0::double" for i in range(7)]
 
 
-@query("with s as (select p_partkey, " + ", ".join(f"{x} as l{i}" for i, x in enumerate(_L)) + " from part), m as (select *, greatest(l0, l1, l2, l3, l4, l5, l6) as m from s), p as (select p_partkey, (list_position([l0, l1, l2, l3, l4, l5, l6], m) - 1)::int as config, 1 / (" + " + ".join(f"pow(10.0::double, l{i} - m)" for i in range(7)) + ") as posterior from m) select p_partkey, config, round(posterior, 9) as posterior, round(case when posterior > 0.9999999999 then 100 else -10 * log10(1 - posterior) end, 5) as qual from p")
+@query("with s as (select p_partkey, " + ", ".join(f"{x} as l{i}" for i, x in enumerate(_L)) + " from part), m as (select *, greatest(l0, l1, l2, l3, l4, l5, l6) as m from "
+    "s), p as (select p_partkey, (list_position([l0, l1, l2, l3, l4, l5, l6], m) - 1)::int as config, 1 / (" + " + ".join(f"pow(10.0::double, l{i} - m)" for i in range(7)) + ") "
+    "as posterior from m) select p_partkey, config, round(posterior, 9) as posterior, round(case when posterior > 0.9999999999 then 100 else -10 * log10(1 - posterior) end, 5) "
+    "as qual from p")
 def best_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     s = X.table(spark, sf_dir, "part").select(key, *[(-(key * (7 + 3 * i) % (41 + 2 * i)) / 4.0).cast("double").alias(f"l{i}") for i in range(7)])
     return reads.best_config(s).select("p_partkey", "config", F.round("posterior", 9).alias("posterior"), F.round("qual", 5).alias("qual"))
 
 
-@query("select p_partkey, substr(p_name, 1, 1) as label, instr('ACGT', upper(substr(p_name, 1, 1)))::int as code, case when p_partkey % 6 between 1 and 4 then substr('ACGT', (p_partkey % 6)::int, 1) else 'N' end as back from part")
+@query("select p_partkey, substr(p_name, 1, 1) as label, instr('ACGT', upper(substr(p_name, 1, 1)))::int as code, case when p_partkey % 6 between 1 and 4 then substr('ACGT', "
+    "(p_partkey % 6)::int, 1) else 'N' end as back from part")
 def base_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.substring("p_name", 1, 1)
     return X.table(spark, sf_dir, "part").select("p_partkey", label.alias("label"), S.base_code(label).alias("code"), S.base_label((F.col("p_partkey") % 6).cast("int")).alias("back"))
 
 
-@query(WITH_BIG + ", g as (select marker, famid, least(a1, a2) as a1, greatest(a1, a2) as a2 from bg where pid in (7, 9)) select marker, famid, '7$9' as twins, count(distinct (a1, a2)) = 1 as agree, case when count(distinct (a1, a2)) = 1 then min(a1) end as a1, case when count(distinct (a1, a2)) = 1 then min(a2) end as a2 from g group by marker, famid")
+@query(WITH_BIG + ", g as (select marker, famid, least(a1, a2) as a1, greatest(a1, a2) as a2 from bg where pid in (7, 9)) select marker, famid, '7$9' as twins, count(distinct "
+    "(a1, a2)) = 1 as agree, case when count(distinct (a1, a2)) = 1 then min(a1) end as a1, case when count(distinct (a1, a2)) = 1 then min(a2) end as a2 from g group by marker, "
+    "famid")
 def twin_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = big_pedigree(spark, sf_dir).withColumn("zygosity", F.when(F.col("pid").isin(7, 9), 1).otherwise(0))
     return M.twin_check(big_genotypes(spark, sf_dir), P.twin_groups(z).select("famid", "twins"))

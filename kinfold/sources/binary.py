@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.functions.scalars import gt_dosage
+from kinfold.functions.scalars import gt_dosage, let
 from kinfold.operators.vcf import sample_values
 
 OBS = "chrom string, pos int, sample_id string, ref_base int, depth int, map_qual int, min_llk int, pl array<int>, contig_length int"
@@ -84,10 +84,14 @@ def bed_code(dosage: Column) -> Column:
 
 def pack_bed(codes: Column) -> Column:
     """The bytes, in hexadecimal, of an array of two-bit codes: four in a byte, the first in the low bits."""
-    at = lambda i: F.coalesce(F.get(codes, i), F.lit(0))
-    byte = lambda b: at(b * 4) + at(b * 4 + 1) * 4 + at(b * 4 + 2) * 16 + at(b * 4 + 3) * 64
-    n = F.ceil(F.size(codes) / 4).cast("int")
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda b: F.lpad(F.hex(byte(b)), 2, "0")), "")
+
+    def packed(c: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(c, i), F.lit(0))
+        byte = lambda b: at(b * 4) + at(b * 4 + 1) * 4 + at(b * 4 + 2) * 16 + at(b * 4 + 3) * 64
+        n = F.ceil(F.size(c) / 4).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda b: F.lpad(F.hex(byte(b)), 2, "0")), "")
+
+    return let(codes, packed)
 
 
 def plink_markers(vcf: DataFrame) -> DataFrame:
@@ -106,15 +110,40 @@ def plink_markers(vcf: DataFrame) -> DataFrame:
     return rows.select(F.col("_c").alias("chrom"), name.alias("name"), F.lit(0).alias("cm"), "pos", "ref", "alt", pack_bed(F.transform(sample_values("GT"), code)).alias("bed"))
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Adds ord, the place of a row from 0, by partition and place in it. rows must read the same each time, as files do; only
+    one count for each partition reaches the driver."""
+    placed = rows.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    n = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    before, total = {}, 0
+    for part in sorted(n):
+        before[part], total = total, total + n[part]
+    if not before:
+        return placed.select(*rows.columns, F.lit(0).cast("long").alias("ord"))
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_part"))
+    return placed.select(*rows.columns, (F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + offset).cast("long").alias("ord"))
+
+
 def write_plink(vcf: DataFrame, names: list[str], path: str) -> None:
-    """bim and fam as text, genotypes as a table of (ord, bed): SNP-major rows are whole bytes, so that the .bed file is the
-    three magic bytes and the rows in order, each marker packed by itself."""
+    """markers: a table of (part, at, the .bim columns, bed) in genome order, part and at giving the order; bim and fam as text,
+    bim in the same order by part files. SNP-major rows are whole bytes, each marker packed by itself; bed_bytes() streams
+    the .bed file that they make up."""
     spark = vcf.sparkSession
-    rows = plink_markers(vcf).repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos", "name")
-    rows.write.mode("overwrite").parquet(f"{path}/bed")
-    done = spark.read.parquet(f"{path}/bed")
+    rows = plink_markers(vcf).repartitionByRange("chrom", "pos", "name").sortWithinPartitions("chrom", "pos", "name", "ref", "alt")
+    placed = rows.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"), "*")
+    placed.write.mode("overwrite").parquet(f"{path}/markers")
+    done = spark.read.parquet(f"{path}/markers").repartitionByRange("part").sortWithinPartitions("part", "at")
     done.select(F.concat_ws("\t", F.col("chrom").cast("string"), "name", F.lit("0"), F.col("pos").cast("string"), "ref", "alt").alias("value")).write.mode("overwrite").text(f"{path}/bim")
-    spark.createDataFrame([("\t".join((n, n, "0", "0", "0", "-9")),) for n in names], "value string").write.mode("overwrite").text(f"{path}/fam")
+    spark.createDataFrame([("\t".join((n, n, "0", "0", "0", "-9")),) for n in names], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/fam")
+
+
+def bed_bytes(spark: SparkSession, path: str) -> Iterator[bytes]:
+    """The .bed file of what write_plink() wrote, in pieces and in order, one partition held at a time: for an export to a
+    single machine's file."""
+    yield b"\x6c\x1b\1"
+    rows = spark.read.parquet(f"{path}/markers").repartitionByRange("part").sortWithinPartitions("part", "at").select("bed")
+    for r in rows.toLocalIterator():
+        yield bytes.fromhex(r.bed)
 
 
 def decode_bed(data: bytes, n_people: int, n_markers: int) -> np.ndarray:
@@ -130,40 +159,51 @@ def decode_bed(data: bytes, n_people: int, n_markers: int) -> np.ndarray:
     return out.T if by_marker else out
 
 
-def read_plink(spark: SparkSession, prefix: str, people: list[str] | None = None, markers: list[str] | None = None) -> DataFrame:
-    """iid, marker, person, place, dosage in long form: .bim and .fam as text (of repeated names the first counts), .bed rows
-    decoded in one task for each file. people, markers: only these."""
+def read_plink(spark: SparkSession, prefix: str, people: list[str] | None = None, markers: list[str] | None = None, block: int = 4_096) -> DataFrame:
+    """iid, marker, person, place, dosage in long form: .bim and .fam as text (of repeated names the first counts). people,
+    markers: only these, and then iid_ord and marker_ord, their places in the lists.
+
+    The bytes of a .bed file are cut into blocks of whole rows, which are dealt out and decoded by themselves; a file as
+    Spark reads it has 2 GB at most."""
     f = F.split(F.trim("value"), r"\s+")
-    numbered = lambda suffix, i: spark.createDataFrame([(k, r.x) for k, r in enumerate(spark.read.text(f"{prefix}.{suffix}").where("trim(value) <> ''").select(F.get(f, F.lit(i)).alias("x")).collect())], "place int, name string")
-    bim, fam = numbered("bim", 1), numbered("fam", 1)
+    numbered = lambda suffix: in_order(spark.read.text(f"{prefix}.{suffix}").where("trim(value) <> ''").select(F.get(f, F.lit(1)).alias("name"))).select(F.col("ord").cast("int").alias("place"), "name")
+    bim, fam = numbered("bim"), numbered("fam")
     n_markers, n_people = bim.count(), fam.count()
+    head = F.col("content").substr(F.lit(1), F.lit(3))
+    by_marker = head == F.lit(b"\x6c\x1b\1")
+    n_rows = F.when(by_marker, F.lit(n_markers)).otherwise(F.lit(n_people))
+    step = F.when(by_marker, F.lit((n_people + 3) // 4)).otherwise(F.lit((n_markers + 3) // 4))
+    files = spark.read.format("binaryFile").load(f"{prefix}.bed").select(head.alias("head"), "content", n_rows.alias("n"), step.alias("step"))
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(block)))
+    blocks = files.select("head", "content", "step", "n", starts.alias("lo"))
+    blocks = blocks.select("head", "lo", F.least(F.col("n") - F.col("lo"), F.lit(block)).alias("n"), F.col("content").substr(F.col("lo") * F.col("step") + 4, F.col("step") * block).alias("bytes"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for content in pdf["content"]:
-                d = decode_bed(bytes(content), n_people, n_markers)
-                for lo in range(0, n_markers, max(1, 200_000 // n_people)):
-                    part = d[:, lo : lo + max(1, 200_000 // n_people)]
+            for head, lo, n, content in zip(pdf["head"], pdf["lo"].tolist(), pdf["n"].tolist(), pdf["bytes"], strict=True):
+                major = bytes(head)[2:] == b"\1"
+                d = decode_bed(bytes(head) + bytes(content), *((n_people, n) if major else (n, n_markers)))
+                for at in range(0, d.shape[1], max(1, 200_000 // d.shape[0])):
+                    part = d[:, at : at + max(1, 200_000 // d.shape[0])]
                     i, k = np.indices(part.shape)
-                    yield pd.DataFrame({"person": i.ravel(), "place": k.ravel() + lo, "dosage": part.ravel()})
+                    yield pd.DataFrame({"person": i.ravel() + (0 if major else lo), "place": k.ravel() + at + (lo if major else 0), "dosage": part.ravel()})
 
-    rows = spark.read.format("binaryFile").load(f"{prefix}.bed").select("content").mapInPandas(run, "person int, place int, dosage int")
+    rows = blocks.repartition(F.col("lo")).mapInPandas(run, "person int, place int, dosage int")
     first = lambda df: df.groupBy("name").agg(F.min("place").alias("place"))
-    who, what = first(fam), first(bim)
-    if people is not None:
-        who = who.where(F.col("name").isin(people))
-    if markers is not None:
-        what = what.where(F.col("name").isin(markers))
-    out = rows.join(who.select(F.col("name").alias("iid"), F.col("place").alias("person")), "person")
-    return out.join(what.select(F.col("name").alias("marker"), "place"), "place").select("iid", "marker", "person", "place", "dosage")
+    chosen = lambda df, names, ord_: df if names is None else df.join(spark.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(names))], f"name string, {ord_} int"), "name")
+    who, what = chosen(first(fam), people, "iid_ord"), chosen(first(bim), markers, "marker_ord")
+    out = rows.join(who.withColumnsRenamed({"name": "iid", "place": "person"}), "person").join(what.withColumnRenamed("name", "marker"), "place")
+    return out.select("iid", "marker", "person", "place", "dosage", *(["iid_ord"] if people is not None else []), *(["marker_ord"] if markers is not None else []))
 
 
 def pack_matrix(dosages: DataFrame, n_people: int) -> DataFrame:
     """marker, bed of a long table (marker, person, dosage): the genotypes of a marker in order of the persons' places,
-    those without a row missing."""
-    by_place = F.map_from_entries(F.collect_list(F.struct("person", bed_code(F.col("dosage")).alias("c"))))
-    rows = dosages.groupBy("marker").agg(by_place.alias("m"))
-    return rows.select("marker", pack_bed(F.transform(F.sequence(F.lit(0), F.lit(n_people - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(1)))).alias("bed"))
+    those without a row missing. One missing code for each place is added and sorted before the person's own."""
+    given = F.collect_list(F.struct(F.col("person").cast("int").alias("person"), F.lit(1).alias("own"), bed_code(F.col("dosage")).alias("c")))
+    missing = F.transform(F.sequence(F.lit(0), F.lit(n_people - 1)), lambda i: F.struct(i.alias("person"), F.lit(0).alias("own"), F.lit(1).alias("c")))
+    rows = dosages.groupBy("marker").agg(F.sort_array(F.concat(given, missing)).alias("s"))
+    last = F.filter("s", lambda x, i: F.coalesce(F.get(F.col("s"), i + 1)["person"] != x["person"], F.lit(True)))
+    return rows.select("marker", pack_bed(F.transform(last, lambda x: x["c"])).alias("bed"))
 
 
 GL_TABLE = "chrom string, pos int, sample_id int, ref_base int, depth int, map_qual smallint, pl array<smallint>"

@@ -89,7 +89,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_BASE_SQL = "select l_partkey as site, cast(l_orderkey % 12 as int) as p, min(l_orderkey * 8 + l_linenumber) as t, " + ", ".join(x.replace("site", "l_partkey").replace("as string", "as varchar") for x in _SITE) + " from lineitem group by l_partkey, l_orderkey % 12"
+_BASE_SQL = ("select l_partkey as site, cast(l_orderkey % 12 as int) as p, min(l_orderkey * 8 + l_linenumber) as t, " + ", ".join(x.replace("site", "l_partkey").replace("as "
+    "string", "as varchar") for x in _SITE) + " from lineitem group by l_partkey, l_orderkey % 12")
 _s1, _s2, _s3 = _observations("//", "[{}]", "int")
 #: Common table expressions: sites, obs (observations), ped (the pedigree of twelve).
 WITH_OBS = f"with sites as ({SITES_SQL}), o0 as ({_BASE_SQL}), o1 as ({_s1.format('o0')}), o2 as ({_s2.format('o1')}), obs as ({_s3.format('o2')}), ped as ({pedigree_sql()})"
@@ -102,10 +103,12 @@ def gl_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "part").agg(F.count("*").alias("n_parts"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").crossJoin(F.broadcast(n)).selectExpr("cast(1 + o_custkey % 3 as string) as chrom", "cast((o_orderkey * 37) % (10 * n_parts) as int) as beg", "cast((o_orderkey * 37) % (10 * n_parts) + 1 + o_custkey % 60 as int) as end")
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").crossJoin(F.broadcast(n)).selectExpr("cast(1 + o_custkey % 3 as string) as chrom", "cast((o_orderkey "
+        "* 37) % (10 * n_parts) as int) as beg", "cast((o_orderkey * 37) % (10 * n_parts) + 1 + o_custkey % 60 as int) as end")
 
 
-RANGES_SQL = 'select cast(1 + o_custkey % 3 as varchar) as chrom, cast((o_orderkey * 37) % (10 * (select count(*) from part)) as int) as beg, cast((o_orderkey * 37) % (10 * (select count(*) from part)) + 1 + o_custkey % 60 as int) as "end" from orders'
+RANGES_SQL = ('select cast(1 + o_custkey % 3 as varchar) as chrom, cast((o_orderkey * 37) % (10 * (select count(*) from part)) as int) as beg, cast((o_orderkey * 37) % (10 '
+    '* (select count(*) from part)) + 1 + o_custkey % 60 as int) as "end" from orders')
 
 
 def site_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,11 +141,11 @@ def vcf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _vcf_sql() -> str:
     index = lambda a, b: "pl[" + _INDEX.format(a=a, b=b, div="//") + " + 1]"
     label = lambda c: f"'{BASES}'[{c}]"
-    return f"""
+    return (f"""
 v0 as (select *, cast({index('ref_base', 'ref_base')} as int) as p0, cast({index('ref_base', 'alt_base')} as int) as p1, cast({index('alt_base', 'alt_base')} as int) as p2 from obs),
 v1 as (select *, case when site % 31 = 0 and sample_id = 4 then '.' else (case when p0 <= p1 and p0 <= p2 then '0/0' when p1 <= p2 then '0/1' else '1/1' end) || ':' || least(p0 + p1 + p2 - greatest(p0, p1, p2) - least(p0, p1, p2), 100) || ':' || depth || ':' || p0 || ',' || p1 || ',' || p2 end as txt from v0),
 v2 as (select site, chrom, pos, ref_base, alt_base, map_from_entries(list((sample_id, txt))) as s, sum(depth) as dp from v1 group by all),
-vcf as (select site, chrom, pos + 1 as pos, case when site % 2 = 0 then 'rs' || site else '.' end as id, {label('ref_base')} as ref, case when site % 23 = 0 then 'A,C' when site % 29 = 0 then {label('alt_base')} || 'A' else {label('alt_base')} end as alt, cast(site % 101 as double) as qual, 'PASS' as filter, 'DP=' || dp || ';AF=0.' || lpad(cast(site % 100 as varchar), 2, '0') || ';ANNO=intronic:G' || (site % 50) || case when site % 3 = 0 then ';HM3' else '' end as info, 'GT:GQ:DP:PL' as format, list_transform(range(12), lambda k: coalesce(s[k::int], './.')) as samples from v2)"""
+vcf as (select site, chrom, pos + 1 as pos, case when site % 2 = 0 then 'rs' || site else '.' end as id, {label('ref_base')} as ref, case when site % 23 = 0 then 'A,C' when site % 29 = 0 then {label('alt_base')} || 'A' else {label('alt_base')} end as alt, cast(site % 101 as double) as qual, 'PASS' as filter, 'DP=' || dp || ';AF=0.' || lpad(cast(site % 100 as varchar), 2, '0') || ';ANNO=intronic:G' || (site % 50) || case when site % 3 = 0 then ';HM3' else '' end as info, 'GT:GQ:DP:PL' as format, list_transform(range(12), lambda k: coalesce(s[k::int], './.')) as samples from v2)""")
 
 
 #: WITH_OBS and vcf (with the site number).
@@ -157,13 +160,15 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("site").alias("marker"), "chrom", "famid", "pid", F.when(broken, other).otherwise(F.col("a1")).cast("int").alias("a1"), F.col("a2").cast("int").alias("a2"))
 
 
-GENOTYPES_SQL = "select site as marker, chrom, famid, pid, cast(case when site % 53 = 7 and pid = 2 then case when ref_base in (1, 2) and alt_base in (1, 2) then 4 when ref_base <> 1 and alt_base <> 1 then 1 else 2 end else a1 end as int) as a1, cast(a2 as int) as a2 from obs join ped on sample_id = pid"
+GENOTYPES_SQL = ("select site as marker, chrom, famid, pid, cast(case when site % 53 = 7 and pid = 2 then case when ref_base in (1, 2) and alt_base in (1, 2) then 4 when ref_base "
+    "<> 1 and alt_base <> 1 then 1 else 2 end else a1 end as int) as a1, cast(a2 as int) as a2 from obs join ped on sample_id = pid")
 WITH_GENO = WITH_OBS + f", geno as ({GENOTYPES_SQL})"
 
 
 def traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """famid, pid, trait, value: customers' balances in whole hundreds, so that ties occur; some are missing."""
-    return table(spark, sf_dir, "customer").selectExpr("concat('C', c_custkey % 50) as famid", "c_custkey as pid", "cast(c_nationkey as int) as trait", "case when c_custkey % 17 = 0 then null else cast(floor(c_acctbal / 100) as double) end as value")
+    return table(spark, sf_dir, "customer").selectExpr("concat('C', c_custkey % 50) as famid", "c_custkey as pid", "cast(c_nationkey as int) as trait", "case when c_custkey "
+        "% 17 = 0 then null else cast(floor(c_acctbal / 100) as double) end as value")
 
 
 TRAITS_SQL = "select 'C' || (c_custkey % 50) as famid, c_custkey as pid, cast(c_nationkey as int) as trait, case when c_custkey % 17 = 0 then null else cast(floor(c_acctbal / 100) as double) end as value from customer"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.functions.scalars import chrom_class, genotype_label
+from kinfold.jobs.options import Options
 from kinfold.operators import vcf as V
 from kinfold.operators.ranges import genome_sorted, parse_ranges
 
@@ -35,15 +37,49 @@ def write_vcf(vcf: DataFrame, names: list[str], path: str, meta: tuple[str, ...]
     V.to_lines(genome_sorted(vcf)).write.mode("overwrite").option("compression", compression).text(f"{path}/1-records")
 
 
-def call_lines(calls: DataFrame) -> DataFrame:
-    """value: VCF lines of calls from likelihoods. AF is the reference allele's frequency; positions become 1-based."""
-    base = lambda c: F.element_at(F.array(*[F.lit(x) for x in "ACGT"]), F.col(c))
+def _letter(c: str) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in "ACGT"]), F.col(c))
+
+
+def _lone_couple(people: list[tuple]) -> bool:
+    """One nuclear family: its frequency is not estimated."""
+    return len({p[0] for p in people}) == 1 and sum(p[2] < 0 for p in people) == 2 and len(people) > 2
+
+
+def _reads_info() -> Column:
+    share = 100.0 * F.col("n_samples") / F.size("dp")
+    return F.format_string("NS=%d;PS=%.1f;DP=%d;MQ=%.1f", F.col("n_samples"), share, F.col("depth"), F.col("map_quality"))
+
+
+def _alt() -> tuple[Column, Column]:
+    """Whether the first called allele is the reference, and ALT: both called alleles where it is not."""
     is_ref = F.col("a1") == F.col("ref_base")
-    alt = F.when(is_ref, base("a2")).otherwise(F.concat_ws(",", base("a1"), base("a2")))
-    info = F.concat(F.format_string("NS=%d;DP=%d;MQ=%.1f", F.col("n_samples"), F.col("depth"), F.col("map_quality")), F.when(F.col("config") > 0, F.format_string(";AF=%.4f;AB=%.4f", "ref_freq", "ab")).otherwise(F.lit("")), F.when(is_ref, F.lit("")).otherwise(F.lit(";BA=2")))
-    label = F.when(is_ref, F.array(F.lit("0/0"), F.lit("0/1"), F.lit("1/1"))).otherwise(F.array(F.lit("1/1"), F.lit("1/2"), F.lit("2/2")))
-    samples = F.zip_with(F.zip_with("gt", "gq", lambda g, q: F.concat_ws(":", F.get(label, g), q)), "dosage", lambda s, d: F.concat(s, F.format_string(":%.3f", d)))
-    return calls.select("chrom", "pos", F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), F.lit("."), base("ref_base"), alt, F.floor(F.col("qual") + 0.5).cast("string"), F.lit("."), info, F.lit("GT:GQ:DS"), F.array_join(samples, "\t")).alias("value"))
+    return is_ref, F.when(is_ref, _letter("a2")).otherwise(F.concat_ws(",", _letter("a1"), _letter("a2")))
+
+
+def _record(alt: Column, info: Column, format_: str, samples: Column) -> Column:
+    """A VCF line of a called site; positions become 1-based."""
+    return F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), F.lit("."), _letter("ref_base"), alt, F.floor(F.col("qual") + 0.5).cast("string"), F.lit("."), info, F.lit(format_), F.array_join(samples, "\t"))
+
+
+def call_lines(calls: DataFrame, people: list[tuple], o: Options = Options()) -> DataFrame:
+    """chrom, pos, value: VCF lines of calls from likelihoods, samples in the order of the persons' ids. AF is the reference
+    allele's frequency (not of a lone couple), AB the allele balance (on autosomes); a site without a variant has ALT "."
+    and the best candidate as BA. Labels have one digit where a person is haploid, "." for a female Y. gl_off leaves PL out."""
+    is_ref, alt = _alt()
+    mono = F.col("config") == 0
+    klass = chrom_class(F.col("chrom"), o.chrom_x, o.chrom_y, o.chrom_mt)
+    freq = F.lit("") if _lone_couple(people) else F.concat(F.format_string(";AF=%.4f", "ref_freq"), F.when(klass == "autosome", F.format_string(";AB=%.3f", "ab")).otherwise(F.lit("")))
+    info = F.concat(_reads_info(), freq, F.when(mono, F.concat(F.lit(";BA="), _letter("a2"))).otherwise(F.lit("")))
+    sexes = F.array(*[F.lit(p[4]) for p in sorted(people, key=lambda p: p[1])])
+
+    def sample(x: Column, i: Column) -> Column:
+        label = genotype_label(x["gt"], klass, F.get(sexes, i), is_ref)
+        parts = [label, x["gq"], x["dp"], F.format_string("%.2f", x["dosage"])]
+        return F.concat_ws(":", *parts, *([] if o.gl_off else [F.concat_ws(",", x["pl3"].cast("array<string>"))]))
+
+    samples = F.transform(F.arrays_zip("gt", "gq", "dp", "dosage", "pl3"), sample)
+    return calls.select("chrom", "pos", _record(F.when(mono, F.lit(".")).otherwise(alt), info, "GT:GQ:DP:DS" + ("" if o.gl_off else ":PL"), samples).alias("value"))
 
 
 def read_pedigree(spark: SparkSession, ped: str, dat: list[tuple[str, str]] = ()) -> DataFrame:
@@ -96,11 +132,36 @@ def read_dat(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     return out
 
 
-def pedigree_lines(ped: DataFrame, traits: list[str]) -> DataFrame:
-    """value: tab-separated lines, x for what is missing, three decimals."""
-    t = [F.when(F.col(c).isNull(), F.lit("x")).otherwise(F.format_string("%.3f", F.col(c))) for c in traits]
+def pedigree_lines(ped: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    """value: tab-separated lines by the declared columns (letter, name): Z the column zygosity (0, MZ, DZ, then numbers), M
+    a pair of alleles as a/b (0 for an unknown one), T and C with three decimals, A as it is, $ as text; x for a missing
+    value, "." for a missing text. pedigree_end() closes the file."""
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0"))
-    return ped.select(F.concat_ws("\t", "famid", F.col("pid").cast("string"), none("fatid"), none("motid"), F.col("sex").cast("string"), *t).alias("value"))
+
+    def field(letter: str, name: str) -> Column:
+        if letter == "Z":
+            z = F.coalesce(F.col("zygosity"), F.lit(0))
+            return F.when(z == 1, F.lit("MZ")).when(z == 2, F.lit("DZ")).otherwise(z.cast("string"))
+        if letter == "M":
+            return F.concat_ws("/", *[F.coalesce(F.get(F.col(name), F.lit(i)).cast("string"), F.lit("0")) for i in (0, 1)])
+        if letter == "A":
+            return F.coalesce(F.col(name).cast("string"), F.lit("x"))
+        if letter == "$":
+            return F.when(F.coalesce(name, F.lit("")) == "", F.lit(".")).otherwise(F.col(name))
+        return F.when(F.col(name).isNull(), F.lit("x")).otherwise(F.format_string("%.3f", F.col(name)))
+
+    written = [field(letter, name) for letter, name in columns if letter not in "SE"]
+    return ped.select(F.concat_ws("\t", "famid", F.col("pid").cast("string"), none("fatid"), none("motid"), F.col("sex").cast("string"), *written).alias("value"))
+
+
+def write_pedigree(ped: DataFrame, columns: list[tuple[str, str]], path: str) -> None:
+    """The persons' lines, the closing line "end" and the declarations, in folders whose concatenation in order gives the
+    pedigree file (0, 1) and the data file (2)."""
+    spark = ped.sparkSession
+    declared = [c for c in columns if c[0] not in "SE"]
+    pedigree_lines(ped, declared).write.mode("overwrite").text(f"{path}/0-persons")
+    spark.createDataFrame([("end",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/1-end")
+    spark.createDataFrame([(dat_lines(declared).rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/2-dat")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -200,21 +261,38 @@ def dat_lines(columns: list[tuple[str, str]]) -> str:
     return "".join(f"{letter} {name}\n" for letter, name in columns) + "E END-OF-DATA\n"
 
 
-def denovo_lines(calls: DataFrame) -> DataFrame:
-    """chrom, pos, value: VCF lines of de novo calls; genotypes as letters, DQ in INFO."""
-    base = lambda c: F.element_at(F.array(*[F.lit(x) for x in "ACGT"]), F.col(c))
-    info = F.format_string("AF=%.4f;DQ=%.3f", "ref_freq", "dq")
-    samples = F.zip_with("gt", "gq", lambda g, q: F.concat_ws(":", g, q))
-    return calls.select("chrom", "pos", F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), F.lit("."), base("ref_base"), base("a2"), F.floor(F.col("qual") + 0.5).cast("string"), F.lit("."), info, F.lit("GT:GQ"), F.array_join(samples, "\t")).alias("value"))
+def denovo_lines(calls: DataFrame, people: list[tuple], o: Options = Options()) -> DataFrame:
+    """chrom, pos, value: VCF lines of de novo calls, samples in the order of the persons' ids; genotypes as letters, DQ in
+    INFO, all ten phred values unless gl_off. At a site without another variant ALT is the first allele again."""
+    alt = F.when(F.col("config") == 0, _letter("a1")).otherwise(_alt()[1])
+    freq = F.lit("") if _lone_couple(people) else F.format_string(";AF=%.4f", "ref_freq")
+    info = F.concat(_reads_info(), freq, F.format_string(";DQ=%.3f", "dq"))
+
+    def sample(x: Column) -> Column:
+        return F.concat_ws(":", x["gt"], x["gq"], x["dp"], *([] if o.gl_off else [F.concat_ws(",", x["pl"].cast("array<string>"))]))
+
+    samples = F.transform(F.arrays_zip("gt", "gq", "dp", "pl"), sample)
+    return calls.select("chrom", "pos", _record(alt, info, "GT:GQ:DP" + ("" if o.gl_off else ":PL"), samples).alias("value"))
+
+
+def refined_lines(refined: DataFrame, sample_names: list[str], people: list[tuple], o: Options = Options()) -> DataFrame:
+    """chrom, pos, value: VCF lines of refined records, for the pedigree's persons that have a sample, in the samples' order.
+    AF is the alternative allele's frequency, AC its count and DP the depth over these samples; FILTER, the samples' DP and
+    their PL or GL stay as they were; ./. where GQ is 0."""
+    by_id = sorted(people, key=lambda p: p[1])
+    at = {str(p[1]): (i, p[4]) for i, p in enumerate(by_id)}
+    picked = F.array(*[F.struct(F.lit(at[n][0]).alias("i"), F.lit(at[n][1]).alias("sex")) for n in sample_names if n in at])
+    klass = chrom_class(F.col("chrom"), o.chrom_x, o.chrom_y, o.chrom_mt)
 
+    def sample(x: Column) -> Column:
+        of = lambda c: F.get(F.col(c), x["i"])
+        label = genotype_label(of("gt"), klass, x["sex"], F.lit(True))
+        return F.concat_ws(":", F.when((of("gq") > 0) | (label == "."), label).otherwise(F.lit("./.")), of("gq"), F.coalesce(of("dp"), F.lit(".")), F.coalesce(of("likelihoods"), F.lit(".")))
 
-def refined_lines(refined: DataFrame) -> DataFrame:
-    """chrom, pos, value: VCF lines of refined records; AF is the alternative allele's frequency; ./. where GQ is 0."""
-    label = F.array(F.lit("0/0"), F.lit("0/1"), F.lit("1/1"))
-    samples = F.zip_with("gt", "gq", lambda g, q: F.concat_ws(":", F.when(q == 0, F.lit("./.")).otherwise(F.get(label, g)), q))
+    depth = F.aggregate(picked, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(F.get(F.col("dp"), x["i"]).try_cast("long"), F.lit(0).cast("long")))
     qual = F.when(F.col("qual").isNull() | F.isnan("qual"), F.lit(".")).otherwise(F.format_string("%.2f", "qual"))
-    info = F.concat(F.format_string("AF=%.4f;AC=%d", 1 - F.col("ref_freq"), F.col("ac")))
-    return refined.select("chrom", "pos", F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", qual, F.lit("."), info, F.lit("GT:GQ"), F.array_join(samples, "\t")).alias("value"))
+    info = F.concat(F.format_string("AF=%.2f;AC=%d;DP=%d", 1 - F.col("ref_freq"), F.col("ac"), depth))
+    return refined.select("chrom", "pos", F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", qual, F.coalesce("filter", F.lit(".")), info, F.concat(F.lit("GT:GQ:DP:"), F.col("tag")), F.array_join(F.transform(picked, sample), "\t")).alias("value"))
 
 
 def copy_vcf(vcf: DataFrame, names: list[str], path: str, include: list[str] | None = None, exclude: list[str] | None = None, compression: str = "none") -> list[str]:

@@ -82,7 +82,16 @@ def test_pedigree_files(spark, tmp_path):
     ped = T.read_pedigree(spark, str(tmp_path / "p"), T.read_dat(spark, str(tmp_path / "d")))
     got = sorted(map(tuple, ped.collect()))
     assert got == [("f", "1", None, None, 1, 70.5, 2, 0), ("f", "2", None, None, 2, None, 1, 0), ("f", "3", "1", "2", 0, 12.0, None, 1)]
-    assert sorted(r.value for r in T.pedigree_lines(ped, ["weight"]).collect())[1] == "f\t2\t0\t0\t2\tx"
+    assert sorted(r.value for r in T.pedigree_lines(ped, [("T", "weight")]).collect())[1] == "f\t2\t0\t0\t2\tx"
+    columns = T.read_dat(spark, str(tmp_path / "d"))
+    more = ped.withColumns({"m": F.array(F.lit("1"), F.lit(None).cast("string")), "note": F.lit("")})
+    T.write_pedigree(more, [*columns, ("M", "m"), ("$", "note")], str(tmp_path / "w"))
+    text = "".join(p.read_text() for d in ("0-persons", "1-end") for p in sorted((tmp_path / "w" / d).glob("part-*")))
+    assert sorted(text.splitlines()) == ["end", "f\t1\t0\t0\t1\t70.500\t2\t0\t1/0\t.", "f\t2\t0\t0\t2\tx\t1\t0\t1/0\t.", "f\t3\t1\t2\t0\t12.000\tx\tMZ\t1/0\t."] and text.splitlines()[-1] == "end"
+    (tmp_path / "w.ped").write_text(text)
+    (tmp_path / "w.dat").write_text("".join(p.read_text() for p in sorted((tmp_path / "w" / "2-dat").glob("part-*"))))
+    back = T.read_pedigree(spark, str(tmp_path / "w.ped"), T.read_dat(spark, str(tmp_path / "w.dat")))
+    assert sorted(map(tuple, back.select(*ped.columns).collect())) == got
 
 
 def test_maps_frequencies_ibd(spark, tmp_path):
@@ -111,12 +120,29 @@ def test_plink(spark, tmp_path):
     rows = B.read_plink(spark, str(tmp_path / "t"))
     assert {(r.person, r.place): r.dosage for r in rows.collect()} == {(p, m): want[p][m] for p in range(6) for m in range(3)}
     part = B.read_plink(spark, str(tmp_path / "t"), people=["p1", "p9"], markers=["snp2", "snp0"])
-    assert sorted((r.iid, r.marker, r.dosage) for r in part.collect()) == [("p1", "snp0", 2), ("p1", "snp2", 1)]
+    assert sorted((r.iid, r.marker, r.dosage, r.iid_ord, r.marker_ord) for r in part.collect()) == [("p1", "snp0", 2, 0, 1), ("p1", "snp2", 1, 0, 0)]
+    blocks = B.read_plink(spark, str(tmp_path / "t"), block=1)
+    assert {(r.person, r.place): r.dosage for r in blocks.collect()} == {(p, m): want[p][m] for p in range(6) for m in range(3)}
     packed = spark.createDataFrame([([code[want[p][m]] for p in range(6)],) for m in range(3)], "c array<int>").select(B.pack_bed(F.col("c")).alias("h"))
     assert bytes.fromhex("".join(r.h for r in packed.collect())) == body
     by_person = B.decode_bed(b"\x6c\x1b\0" + bytes(sum(code[want[p][m]] << 2 * m for m in range(3)) for p in range(6)), 6, 3)
     assert by_person.tolist() == want
-
+    (tmp_path / "t.bed").write_bytes(b"\x6c\x1b\0" + bytes(sum(code[want[p][m]] << 2 * m for m in range(3)) for p in range(6)))
+    for block in (4, 100):
+        assert {(r.person, r.place): r.dosage for r in B.read_plink(spark, str(tmp_path / "t"), block=block).collect()} == {(p, m): want[p][m] for p in range(6) for m in range(3)}
+
+
+def test_plink_files_are_written_in_order(spark, sf, tmp_path):
+    vcf = X.vcf_rows(spark, sf).repartition(5)
+    B.write_plink(vcf, [f"s{i}" for i in range(12)], str(tmp_path / "w"))
+    bim = "".join(p.read_text() for p in sorted((tmp_path / "w" / "bim").glob("part-*"))).splitlines()
+    body = b"".join(B.bed_bytes(spark, str(tmp_path / "w")))
+    want = {(str(r.chrom), r["name"], str(r.pos)): bytes.fromhex(r.bed) for r in B.plink_markers(vcf).collect()}
+    places = [(int(x.split("\t")[0]), int(x.split("\t")[3])) for x in bim]
+    assert places == sorted(places) and len(bim) == len(want)
+    assert body == b"\x6c\x1b\1" + b"".join(want[x.split("\t")[0], x.split("\t")[1], x.split("\t")[3]] for x in bim)
+    wide = spark.createDataFrame([(1, p, p % 3) for p in range(0, 4000, 2)], "marker long, person int, dosage int")
+    assert bytes.fromhex(B.pack_matrix(wide, 4000).first().bed) == bytes(sum((1 if p % 2 else (0, 2, 3)[p % 3]) << 2 * (p % 4) for p in range(b, b + 4)) for b in range(0, 4000, 4))
 
 def test_pedigree_rules(spark):
     k = {(r.pid1, r.pid2): r.phi for r in P.kinship(X.pedigree(spark, X.PEDIGREE_EXT)).where("famid = 'G'").collect()}
