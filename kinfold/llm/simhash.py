@@ -135,8 +135,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 MAX_PAIRED_TEXTS, MAX_BUCKETS = 500_000, 1_000_000
 #: One of so many texts is counted, into so many slots, for the order of shingles; so many slots are kept.
 COUNTED, SLOTS, MAX_COMMON = 8, 1 << 20, 1 << 16
-#: Bits and longs of a text's parities.
-PARITIES, LONGS = 512, 8
+#: Longs of the parities that travel with a text into its buckets; of its wide ones there are as many as it has shingles / 64.
+LONGS = 8
 
 
 def shingle_hashes(text: str | None, n: int = SHINGLE) -> np.ndarray:
@@ -157,12 +157,29 @@ def prefix(sh: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def parities(sh: np.ndarray) -> np.ndarray:
-    """For each of PARITIES slots whether an odd number of the shingles fall in it. Two texts differ in at most as many slots
-    as there are shingles in only one of them."""
-    odd = np.bincount((sh >> 20) & (PARITIES - 1), minlength=PARITIES) & 1
+    """For each of a power of two of slots, no fewer than there are shingles, whether an odd number of them fall in it. Two texts
+    differ in at most as many slots as there are shingles in only one of them. The two halves, one over the other, are the
+    parities of half the slots."""
+    longs = max(LONGS, 1 << (max(1, -(-len(sh) // 64)) - 1).bit_length())
+    odd = np.bincount((sh >> 20) & (64 * longs - 1), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def narrow(wide: np.ndarray) -> np.ndarray:
+    return np.bitwise_xor.reduce(wide.reshape(-1, LONGS), axis=0)
+
+
+def sifted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v), whose lengths are alike, that their wide parities allow."""
+    side = lambda c, n, x: nodes.select(F.col("own").alias(c), F.col("n").alias(n), F.col("wide").alias(x))
+    xor = lambda a, b: a.bitwiseXOR(b)
+    longs = F.least(F.size("x"), F.size("y"))
+    folded = lambda c: F.when(F.size(c) == longs, F.col(c)).otherwise(F.zip_with(F.slice(c, 1, longs), F.slice(c, longs + 1, longs), xor))
+    apart = F.aggregate(F.zip_with(folded("x"), folded("y"), lambda a, b: F.bit_count(xor(a, b))), F.lit(0), lambda n, k: n + k)
+    met = pairs.join(side("u", "nx", "x"), "u").join(side("v", "ny", "y"), "v")
+    return cut(met.where(9 * apart <= F.col("nx") + F.col("ny")).select("u", "v"))
+
+
 def common_slots(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the commonest shingles and their counts. They only order shingles, so that common ones come last and buckets
     stay small: any counts give the same pairs, so a part of the texts will do."""
@@ -215,7 +232,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame, edges: DataFrame, docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(node, root) of edges and of all pairs of texts that share SIMILARITY of their shingles. nodes: own, n, par, pre.
+    """(node, root) of edges and of all pairs of texts that share SIMILARITY of their shingles. nodes: own, n, wide, par, pre.
 
     Similar texts share a shingle of their prefixes, so that they meet in its bucket: no pair is missed. First each text
     meets its bucket's leader, the least of a hash, which is nearly always the same one in all buckets of a group of copies.
@@ -223,16 +240,15 @@ def similar_links(nodes: DataFrame, edges: DataFrame, docs: DataFrame, hot: int
     across components are compared in a task; a bucket over `hot` texts is split by a second shared shingle before. Only
     pairs that lengths, places and parities allow leave a task, and every pair is verified by its shingles."""
     roots = cut(connected_components(edges))
-    near = 9 * sum(F.bit_count(F.col("x")[j].bitwiseXOR(F.col("y")[j])) for j in range(LONGS)) <= F.col("nx") + F.col("ny")
     keyed = nodes.select("own", F.col("n").alias("len"), F.posexplode("pre").alias("i", "k")).where(F.col("i") <= F.floor(F.col("len") / 5))
-    lead = F.min(F.struct(F.xxhash64("own").alias("h"), "own", F.col("len").alias("lb")))
-    buckets = keyed.groupBy("k").agg(F.count("*").alias("n"), lead.alias("b")).where("n > 1")
-    buckets = cut(buckets.select("k", "n", F.col("b.own").alias("other"), F.col("b.lb").alias("lb")))
-    shared = cut(keyed.join(small(buckets, MAX_BUCKETS), "k"))
-    met = shared.where("own <> other and 5 * least(len, lb) >= 4 * greatest(len, lb)").select(F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v")).distinct()
-    side = lambda c, n, x, r: nodes.select(F.col("own").alias(c), F.col("n").alias(n), F.col("par").alias(x)).join(roots.select(F.col("node").alias(c), F.col("root").alias(r)), c, "left")
-    met = met.join(side("u", "nx", "x", "rx"), "u").join(side("v", "ny", "y", "ry"), "v").where(near)
-    first = verified(cut(met.where(F.coalesce("rx", "u") != F.coalesce("ry", "v")).select("u", "v")), docs)
+    sizes = cut(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = cut(keyed.join(small(sizes, MAX_BUCKETS), "k"))
+    lead = F.min(F.struct(F.xxhash64("own").alias("h"), "own", "len"))
+    leaders = shared.groupBy("k").agg(lead.alias("b")).select("k", F.col("b.own").alias("other"), F.col("b.len").alias("lb"))
+    met = shared.select("k", "own", "len").join(leaders, "k").where("own <> other and 5 * least(len, lb) >= 4 * greatest(len, lb)").select(F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v")).distinct()
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    met = met.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+    first = verified(sifted(met, nodes), docs)
     roots = cut(connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(first)))
 
     rooted = shared.select("k", "n", "own", "len", "i").join(roots.withColumnRenamed("node", "own"), "own", "left")
@@ -251,7 +267,7 @@ def similar_links(nodes: DataFrame, edges: DataFrame, docs: DataFrame, hot: int
                 for u, v in crossing(*cols, np.asarray(par, dtype=np.int64).reshape(-1, LONGS)):
                     yield pd.DataFrame({"u": u, "v": v})
 
-    rest = cut(split.mapInPandas(run, "u long, v long").distinct())
+    rest = sifted(split.mapInPandas(run, "u long, v long").distinct(), nodes)
     if rest.isEmpty():
         return roots
     more = verified(rest, docs)
@@ -272,17 +288,17 @@ def near_copies(docs: DataFrame, radius: int = 3, shingle: int = 3, hot: int = H
         for pdf in parts(batches):
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], dtype=np.uint64)
             sets = [shingle_hashes(t) for t in pdf["text"]]
-            par, pre = ([f(x) for x in sets] for f in (parities, lambda x: prefix(x, common)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "own": pdf["own"].array, "fp": fp.view(np.int64), "n": [len(x) for x in sets], "par": pd.Series(par, dtype=object), "pre": pd.Series(pre, dtype=object)})
+            wide, pre = [parities(x) for x in sets], [prefix(x, common) for x in sets]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "own": pdf["own"].array, "fp": fp.view(np.int64), "n": [len(x) for x in sets], "wide": pd.Series(wide, dtype=object), "par": pd.Series([narrow(x) for x in wide], dtype=object), "pre": pd.Series(pre, dtype=object)})
 
-    prints = cut(texts.mapInPandas(run, "doc_id long, own long, fp long, n long, par array<long>, pre array<long>"))
+    prints = cut(texts.mapInPandas(run, "doc_id long, own long, fp long, n long, wide array<long>, par array<long>, pre array<long>"))
     nodes = cut(prints.drop("doc_id").dropDuplicates(["own"]))
     heads = cut(nodes.groupBy("fp").agg(F.min("own").alias("head")))
     by_bits = links(heads.select("fp"), radius, hot)
     by_bits = by_bits.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("hu")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("hv")), "v")
     edges = by_bits.select(F.col("hu").alias("u"), F.col("hv").alias("v"))
     edges = edges.unionByName(nodes.join(heads, "fp").where("own <> head").select(F.col("own").alias("u"), F.col("head").alias("v")))
-    roots = similar_links(nodes.select("own", "n", "par", "pre"), edges, docs, hot).withColumnRenamed("node", "own")
+    roots = similar_links(nodes.select("own", "n", "wide", "par", "pre"), edges, docs, hot).withColumnRenamed("node", "own")
     ids = prints.groupBy("own").agg(F.min("doc_id").alias("least"))
     ids = cut(ids.join(roots, "own", "left").select("own", "least", F.coalesce("root", "own").alias("root")))
     first = ids.groupBy("root").agg(F.min(F.when(F.col("least").isNotNull(), F.struct("least", "own"))).alias("first"))

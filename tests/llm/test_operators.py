@@ -457,6 +457,31 @@ def test_near_copies_are_all_similar_pairs(spark, hot):
     assert [got[i] for i in range(len(rows))] == want.tolist()
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (3, 500, 1000, 5000):
+        a = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        b = np.unique(np.concatenate([a[: n - n // 10], rng.integers(-(2**63), 2**63 - 1, n // 12)]))
+        x, y = simhash.parities(a), simhash.parities(b)
+        assert 64 * len(x) >= n and len(x) & (len(x) - 1) == 0
+        while len(x) != len(y):
+            x, y = (x, y) if len(x) > len(y) else (y, x)
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        apart = len(np.setxor1d(a, b))
+        assert apart / 2 <= np.bitwise_count((x ^ y).view(np.uint64)).sum() <= apart
+        assert np.bitwise_count((simhash.narrow(x) ^ simhash.narrow(y)).view(np.uint64)).sum() <= apart
+
+
+def test_near_copies_of_long_texts(spark):
+    """Parities of different widths meet, and long texts that share less are told apart."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(1010)]
+    rows = [" ".join(base), " ".join(base + [f"x{i}" for i in range(120)]), edited(rng, base, 10), edited(rng, base, 60), edited(rng, base[:900] + [f"y{i}" for i in range(240)], 2)]
+    rows += [edited(rng, [f"z{i}" for i in range(4100)], k) for k in (0, 40, 400)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == components(list(range(len(rows))), alike(rows)).tolist() and len(set(got.values())) == 5
+
+
 def test_near_copies_of_a_large_group(spark):
     rng = random.Random(9)
     base = [f"w{rng.randrange(3000)}" for _ in range(200)]
