@@ -101,9 +101,10 @@ def find_secrets(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 def unseen(versions: DataFrame, ledger: DataFrame | None, version: str) -> DataFrame:
     """blob, text of each distinct blob among versions that the ledger has not under this rule version."""
     blobs = versions.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    blobs = blobs.dropDuplicates(["blob"])  # copies go before the shuffle that the ledger's join shares
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rule_version") == version).select("blob").distinct(), "blob", "left_anti")
-    return blobs.dropDuplicates(["blob"])
+    return blobs
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
