@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,25 +91,40 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-_written: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("kinfold_cuts", default=None)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a table written once in the shared folder and read back, so that lost executors cost no more
-    than their own tasks and the planner knows its size. drop_cuts() deletes such tables."""
-    spark = df.sparkSession
-    out = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    _written.append(out)
-    df.write.parquet(out)
-    return spark.read.schema(df.schema).parquet(out)
+@contextmanager
+def cuts(spark: SparkSession) -> Iterator[None]:
+    """A run of its own: the tables that cut() writes inside are deleted when it ends, and no others. Results that read them
+    must have been written by then. Runs in other threads, or around this one, keep theirs. Tables written outside of any run
+    stay, as results not yet read may need them, in a folder that bears the application's id."""
+    mine: list[str] = []
+    token = _scope.set(mine)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        for out in mine:
+            path = hadoop(out)
+            path.getFileSystem(conf).delete(path, True)
+
 
+def new_folder(spark: SparkSession) -> str:
+    """A name below the shared folder, which belongs to the run that is under way."""
+    out = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    if (mine := _scope.get()) is not None:
+        mine.append(out)
+    return out
 
-def drop_cuts(spark: SparkSession) -> None:
-    """Delete the tables that cut() has written so far. Results that read them must have been written before."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _written:
-        path = hadoop(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Cut the lineage: a table written once in the shared folder and read back, so that lost executors cost no more
+    than their own tasks and the planner knows its size. by: a column that parts the table's files."""
+    spark, out = df.sparkSession, new_folder(df.sparkSession)
+    (df.write.partitionBy(by) if by else df.write).parquet(out)
+    return spark.read.schema(df.schema).parquet(out)
 
 
 def small(df: DataFrame, most: int, each: Column | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, lines, simhash, toxicity
-from .common import drop_cuts, held_out, shared_folder, table
+from .common import cuts, held_out, shared_folder, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -89,8 +89,8 @@ def run(spark: SparkSession, sf_dir: str, stages: list[tuple[str, Stage]]) -> Da
     try:
         for k, (name, stage) in enumerate(stages):
             out = f"{folder}/{k}-{name}"
-            stage(spark, docs, sf_dir).write.parquet(out)
-            drop_cuts(spark)
+            with cuts(spark):
+                stage(spark, docs, sf_dir).write.parquet(out)
             docs = spark.read.parquet(out)
     finally:
         spark.conf.set(_BATCH, before)
