@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, chat, decontaminate, html_text, licenses, lines, maxent, rules, secrets, simhash, toxicity
+from . import alignment, bpe, centroids, chat, decontaminate, html_text, licenses, lines, maxent, rules, secrets, simhash, toxicity
 from .common import held_out, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -65,6 +65,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), *paths)[0]
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.digests(table(spark, sf_dir, "embeddings"))
 
@@ -73,5 +80,5 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_main_text, op3_quality_rules, op4_maxent, op5_simhash, op6_bpe, op7_line_dedup, op8_decontamination, op9_secrets, op10_licenses, op12_centroids, op13_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_main_text, op3_quality_rules, op4_maxent, op5_simhash, op6_bpe, op7_line_dedup, op8_decontamination, op9_secrets, op10_licenses, op11_alignment, op12_centroids, op13_chat_format)}
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": lines.oracle_sql(), "op8_decontamination": decontaminate.oracle_sql(), "op9_secrets": secrets.oracle_sql(), "op10_licenses": licenses.oracle_sql(), "op13_chat_format": chat.oracle_sql()}
