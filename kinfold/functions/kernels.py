@@ -247,6 +247,57 @@ def bounded_maximum(value, s: int, steps: int = 60, grid: int = 17, width: float
     return np.where(at_grid, points[best], f), np.where(at_grid, values.max(axis=0), v)
 
 
+def founder_copies(klass: str, sex: int) -> int:
+    """Alleles that a founder brings in on a class of chromosome."""
+    if klass == "Y" and sex == 2:
+        return 0
+    return 1 if klass in ("MT", "Y") or (klass == "X" and sex == 1) else 2
+
+
+def frequency_maximum(evaluate, value_of, s: int, width: float = 1e-4, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(f, log10 likelihood) maximising over [LOW, HIGH], each site by itself, from expected counts.
+
+    evaluate(f [R], rows [R]) gives the log10 likelihood and the reference share among the founders' alleles as expected at f;
+    value_of(f, rows) the likelihood alone.
+    What the share lies above f has the sign of the likelihood's slope, and is a straight line in f where data leave
+    no doubt: the secant between points of both signs then meets its root at once, and a point beside it on the other side
+    proves it. A step that does not halve the bracket is followed by one that does. Sites in doubt, whose bracket is wider than
+    `width` after all steps, or whose signs or ends tell of two maxima, go through bounded_maximum()."""
+    rows = np.arange(s)
+    ends = np.stack([np.full(s, x) for x in (LOW, 0.5, HIGH)])
+    seen = [evaluate(x, rows) for x in ends]
+    value, over = np.stack([v for v, _ in seen]), np.stack([e for _, e in seen]) - ends
+    up = over >= 0
+    lower = np.where(up[1], 1, 0)  # the bracket's lower end among the three
+    lo, hi = ends[lower, rows], ends[lower + 1, rows]
+    at_lo, at_hi, v_lo, v_hi = over[lower, rows], over[lower + 1, rows], value[lower, rows], value[lower + 1, rows]
+    todo, halve = np.flatnonzero(up[0] & ~up[2]), np.zeros(s, dtype=bool)
+    beside = width / 2
+    while len(todo) and steps:
+        steps -= 1
+        span = hi[todo] - lo[todo]
+        x = np.clip(lo[todo] + span * at_lo[todo] / (at_lo[todo] - at_hi[todo]), lo[todo] + beside, hi[todo] - beside)
+        x = np.where(halve[todo], lo[todo] + span / 2, x)
+        v, e = evaluate(x, todo)
+        right = e >= x  # the root is to the right of x
+        for here, bound, at, values in ((right, lo, at_lo, v_lo), (~right, hi, at_hi, v_hi)):
+            k = todo[here]
+            bound[k], at[k], values[k] = x[here], (e - x)[here], v[here]
+        now = hi[todo] - lo[todo]
+        halve[todo] = (now > span / 2) & ~halve[todo]
+        todo = todo[now > width]
+    edge = np.where(up[0] & up[2], 2, 0)
+    inner = up[0] & ~up[2]
+    f = np.where(inner, np.where(v_lo >= v_hi, lo, hi), ends[edge, rows])
+    best = np.where(inner, np.maximum(v_lo, v_hi), value[edge, rows])
+    doubt = (~up[0] & (up[1] | up[2])) | (up[0] & ~up[1] & up[2]) | (best < value.max(axis=0) - 1e-9)
+    doubt[todo] = True
+    if doubt.any():
+        k = np.flatnonzero(doubt)
+        f[k], best[k] = bounded_maximum(lambda x: value_of(x, k), len(k), width=width)
+    return f, best
+
+
 def config_posterior(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(best config, its posterior) of log10 scores [S, K]; ties keep the first."""
     best = scores.argmax(axis=1)

@@ -48,6 +48,9 @@ class Model:
         self.lone = len(self.fams) == 1 and self.fams[0].nuclear and not always_optimise
         self.tables = [{c: K.trio_table(klass, f.sex[c]) for c in range(len(f.ids)) if f.father[c] >= 0} for f in self.fams]
         self.prior = options.theta * prior_scale(people, klass)
+        founders = [(self.place[f.ids[i]], K.founder_copies(klass, f.sex[i])) for f in self.fams for i in f.founders]
+        self.copies = np.zeros(self.n)
+        self.copies[[i for i, _ in founders]] = [c for _, c in founders]
 
     def llk(self, lk: np.ndarray, f: np.ndarray, marginals: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """log10 likelihood [S] and posteriors [S, N, 3] of likelihoods [S, N, 3] at reference frequencies f."""
@@ -71,7 +74,14 @@ class Model:
         """(f, log10 likelihood) at the best frequency; a lone couple needs none."""
         if self.lone:
             return np.full(len(lk), 0.5), self.llk(lk, np.full(len(lk), 0.5))[0]
-        return K.bounded_maximum(lambda f: self.llk(lk, f)[0], len(lk), width=self.o.prec)
+        return K.frequency_maximum(lambda f, rows: self.expected(lk[rows], f), lambda f, rows: self.llk(lk[rows], f)[0], len(lk), width=self.o.prec)
+
+    def expected(self, lk: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 likelihood and the expected reference share among the founders' alleles (f itself where they have none)."""
+        got, post = self.llk(lk, f, marginals=True)
+        if not self.copies.any():
+            return got, f
+        return got, (post[:, :, 0] + post[:, :, 1] / 2) @ self.copies / self.copies.sum()
 
 
 def _likelihoods(pl: np.ndarray, a1: np.ndarray, a2: np.ndarray) -> np.ndarray:
@@ -239,6 +249,15 @@ class DenovoModel:
         return total, post
 
 
+    def expected(self, lk: np.ndarray, a1: int, a2: int, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 likelihood with mutation and the expected share of a1 among the founders' alleles."""
+        lo, hi = sorted((a1 - 1, a2 - 1))
+        got, post = self.llk(lk, a1, a2, f, True, marginals=True)
+        founders = np.concatenate([at[fam.founders] for fam, at in zip(self.fams, self.index, strict=True)])
+        share = post[:, founders, K.INDEX10[a1 - 1, a1 - 1]] + post[:, founders, K.INDEX10[lo, hi]] / 2
+        return got, share.mean(axis=1)
+
+
 DENOVO_CALLS = "chrom string, pos int, ref_base int, a1 int, a2 int, config int, posterior double, qual double, ref_freq double, dq double, n_samples int, depth long, map_quality double, gt array<string>, gq array<int>, dp array<int>, pl array<array<int>>"
 
 
@@ -282,11 +301,10 @@ def _denovo(part: pd.DataFrame, ref: int, model: DenovoModel, o: Options, everyt
 
     def fill(rows: np.ndarray, c: int) -> None:
         x, y = (bases[i] for i in CONFIGS[c - 1])
-        value = lambda q: model.llk(lk[rows], x, y, q, True)[0]
         if model.lone:
-            f[rows, c], llk[rows, c] = 0.5, value(np.full(len(rows), 0.5))
+            f[rows, c], llk[rows, c] = 0.5, model.llk(lk[rows], x, y, np.full(len(rows), 0.5), True)[0]
         else:
-            f[rows, c], llk[rows, c] = K.bounded_maximum(value, len(rows), width=o.prec)
+            f[rows, c], llk[rows, c] = K.frequency_maximum(lambda q, k: model.expected(lk[rows[k]], x, y, q), lambda q, k: model.llk(lk[rows[k]], x, y, q, True)[0], len(rows), width=o.prec)
         scores[rows, c] = np.log10(model.prior * weight[c - 1]) + llk[rows, c]
 
     for c in (1, 2, 3):

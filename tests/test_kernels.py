@@ -119,3 +119,29 @@ def test_tails_of_t_and_f():
         pdf = gamma((a + b) / 2) / (gamma(a / 2) * gamma(b / 2)) * (a / b) ** (a / 2) * x ** (a / 2 - 1) * (1 + a * x / b) ** (-(a + b) / 2)
         assert K.f_tail(f, a, b) == pytest.approx(1 - np.trapezoid(pdf, x), abs=1e-5)
     assert K.f_tail(0, 3, 4) == 1 and K.t_tail(0.0, 5) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("klass", ["autosome", "X", "Y", "MT"])
+def test_frequency_from_expected_counts(klass):
+    """The same maximum as a grid and golden sections, clear data, doubtful data and data with two maxima, in few evaluations."""
+    from kinfold.jobs.calling import Model, Options
+    from kinfold.sources.fixtures import PEDIGREE12, PEDIGREE_EXT
+
+    rng = np.random.default_rng(7)
+    for people in (PEDIGREE12, PEDIGREE_EXT):
+        model = Model(list(people), klass, Options())
+        kinds = rng.integers(0, 3, (200, model.n))
+        clear = 10.0 ** -(rng.integers(40, 200, (200, model.n, 3)) / 10 * (np.arange(3) != kinds[:, :, None]))
+        lk = np.concatenate([clear, rng.random((100, model.n, 3)), np.tile([1.0, 1e-9, 1.0], (5, model.n, 1)), np.ones((2, model.n, 3))])
+        calls = np.zeros(len(lk))
+
+        def evaluate(f, rows):
+            calls[rows] += 1
+            return model.expected(lk[rows], f)
+
+        f, v = K.frequency_maximum(evaluate, lambda x, rows: model.llk(lk[rows], x)[0], len(lk))
+        want_f, want = K.bounded_maximum(lambda x: model.llk(lk, x)[0], len(lk))
+        assert (v > want - 2e-5).mean() > 0.99 and (v > want - 0.02).all()  # a little off the top, or the lower of two tops
+        sharp = np.abs(want - model.llk(lk, np.clip(want_f + 2e-3, K.LOW, K.HIGH))[0]) > 1e-4
+        assert np.abs(f - want_f)[sharp & (np.abs(v - want) < 1e-6)].max(initial=0) < 3e-4
+        assert np.median(calls[:200]) < 8
