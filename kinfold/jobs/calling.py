@@ -367,10 +367,10 @@ UNRELATED = "chrom string, pos int, a1 int, a2 int, ref_freq double, gt array<st
 GENOTYPES_TEXT = ["ACGT"[a] + "/" + "ACGT"[b] for a, b in K.GENOTYPES10]
 
 
-def call_unrelated(obs: DataFrame, persons: list[int], o: Options = Options()) -> DataFrame:
-    """Genotypes of unrelated persons at a frequency that maximises the product of their likelihoods, for the reference and
-    its transition: the best of all ten (in letters), of equal ones the first; quality is the phred ratio of the best to
-    the second best posterior, at most 100."""
+def call_unrelated(obs: DataFrame, persons: list[int], o: Options = Options(), freq: float | None = None) -> DataFrame:
+    """Genotypes of unrelated persons at a frequency that maximises the product of their likelihoods (or the one given), for
+    the reference and its transition: the best of all ten (in letters), of equal ones the first; quality is -10 log10 of
+    what the others hold of the sum of likelihood times prior, at most 100."""
     sites = reads.align_sites(obs, persons).withColumn("pl", F.flatten("pl"))
     people = [(f"u{p}", p, -1, -1, 0) for p in persons]
 
@@ -383,7 +383,7 @@ def call_unrelated(obs: DataFrame, persons: list[int], o: Options = Options()) -
                 ref = part["ref_base"].to_numpy().astype(np.int64)
                 alt = np.array(TRANSITION)[ref - 1]
                 pl = _flat(part["pl"])
-                f, _ = model.maximum(_likelihoods(pl, ref, alt))
+                f = model.maximum(_likelihoods(pl, ref, alt))[0] if freq is None else np.full(len(ref), freq)
                 # the frequency's prior over all ten genotypes: zero for those with another base
                 index = lambda x, y: ((x - 1) * (10 - x)) // 2 + (y - x)
                 prior = np.zeros((len(ref), 10))
@@ -391,10 +391,9 @@ def call_unrelated(obs: DataFrame, persons: list[int], o: Options = Options()) -
                 prior[at, index(ref, ref)], prior[at, index(alt, alt)] = f * f, (1 - f) * (1 - f)
                 prior[at, index(np.minimum(ref, alt), np.maximum(ref, alt))] = 2 * f * (1 - f)
                 post = np.power(10.0, -pl / 10) * prior[:, None, :]
-                order = np.argsort(-post, axis=2, kind="stable")[:, :, :2]
-                two = np.take_along_axis(post, order, axis=2)
-                gq = np.minimum(100, np.floor(10 * (np.log10(np.maximum(two[:, :, 0], 1e-300)) - np.log10(np.maximum(two[:, :, 1], 1e-300))) + 0.5)).astype(int)
-                yield pd.DataFrame({"chrom": part["chrom"].array, "pos": part["pos"].array, "a1": ref, "a2": alt, "ref_freq": f, "gt": list(np.array(GENOTYPES_TEXT)[order[:, :, 0]]), "gq": list(gq)})
+                best, total = post.argmax(axis=2), post.sum(axis=2)
+                gq = K.genotype_quality(np.round(post.max(axis=2) / np.where(total > 0, total, 1), 12))
+                yield pd.DataFrame({"chrom": part["chrom"].array, "pos": part["pos"].array, "a1": ref, "a2": alt, "ref_freq": f, "gt": list(np.array(GENOTYPES_TEXT)[best]), "gq": list(gq)})
 
     return sites.mapInPandas(run, UNRELATED)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import codons
 from kinfold.functions import scalars as S
-from kinfold.jobs import calling, fixed
+from kinfold.jobs import calling, fixed, wide
 from kinfold.operators import markers as M
 from kinfold.operators import pedigrees as P
 from kinfold.operators import ranges as R
@@ -433,9 +433,14 @@ def mendel_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mendel_errors(X.genotypes(spark, sf_dir), X.pedigree(spark))
 
 
-@query(X.WITH_GENO + f", {_TRIO_SQL} select g.marker, g.famid, g.pid, 'het_male' as problem from geno g join ped using (famid, pid) where sex = 1 and a1 <> a2 union all select "
-    f"marker, famid, pid, 'son' from tr where sex = 1 and a1 = a2 and m1 is not null and a1 not in (m1, m2) union all select marker, famid, pid, 'daughter' from tr where sex = 2 "
-    f"and not ((f1 is null or a1 = f1) and (m1 is null or a2 in (m1, m2))) and not ((f1 is null or a2 = f1) and (m1 is null or a1 in (m1, m2)))")
+_HET = "(sex = 1 and a1 <> a2)"
+_TRIO_X_SQL = f"gx as (select g.* from geno g join ped using (famid, pid) where not {_HET}), " + _TRIO_SQL.replace("geno ", "gx ")
+
+
+@query(X.WITH_GENO + f""", {_TRIO_X_SQL} select g.marker, g.famid, g.pid, 'het_male' as problem from geno g join ped using (famid, pid) where {_HET}
+    union all select marker, famid, pid, 'son' from tr where sex = 1 and m1 is not null and a1 not in (m1, m2)
+    union all select marker, famid, pid, 'daughter' from tr where sex = 2
+        and not ((f1 is null or a1 = f1) and (m1 is null or a2 in (m1, m2))) and not ((f1 is null or a2 = f1) and (m1 is null or a1 in (m1, m2)))""")
 def mendel_errors_x(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mendel_errors_x(X.genotypes(spark, sf_dir), X.pedigree(spark))
 
@@ -498,11 +503,62 @@ def phase_trios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.phase_trios(X.genotypes(spark, sf_dir), X.pedigree(spark))
 
 
-@query()
+# X-linked genotypes of the big pedigree: mostly equal alleles of males, and two alleles only at every second marker.
+_BIG_X = """bx as (select marker, famid, pid, (1 + (a1 - 1) % k)::int as a1, (1 + (case when sex = 1 and (marker + pid) % 11 > 0 then a1 else a2 end - 1) % k)::int as a2
+    from (select bg.*, sex, case when marker % 2 = 0 then 2 else 4 end as k from bg join kp using (famid, pid)))"""
+
+
+def big_x_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = big_genotypes(spark, sf_dir).join(big_pedigree(spark, sf_dir).select("famid", "pid", "sex"), ["famid", "pid"])
+    k = "case when marker % 2 = 0 then 2 else 4 end"
+    return g.selectExpr("marker", "famid", "pid", f"cast(1 + (a1 - 1) % {k} as int) as a1", f"cast(1 + (case when sex = 1 and (marker + pid) % 11 > 0 then a1 else a2 end - 1) % {k} as int) as a2")
+
+
+@query(WITH_BIG + f""", {_BIG_X}, geno as (select bx.* from bx join kp using (famid, pid) where not {_HET}),
+    tr as (select c.marker, c.famid, c.pid, p.sex, p.fatid, p.motid, c.a1, c.a2, f.a1 as f1, m.a1 as m1, m.a2 as m2 from geno c join kp p using (famid, pid)
+        left join geno f on f.marker = c.marker and f.famid = c.famid and f.pid = p.fatid left join geno m on m.marker = c.marker and m.famid = c.famid and m.pid = p.motid where p.fatid >= 0),
+    fine as (select * from tr where case sex when 1 then m1 is null or a1 in (m1, m2)
+        else ((f1 is null or a1 = f1) and (m1 is null or a2 in (m1, m2))) or ((f1 is null or a2 = f1) and (m1 is null or a1 in (m1, m2))) end),
+    al as (select unnest([1, 2, 3, 4]) as allele), mothers as (select a.allele as p, b.allele as q from al a, al b where a.allele <= b.allele),
+    ways as (select marker, famid, fatid, motid, x.allele as x, p, q, bool_and(case sex when 1 then a1 in (p, q) else (a1 = x.allele and a2 in (p, q)) or (a2 = x.allele and a1 in (p, q)) end) as ok
+        from fine, al x, mothers where (f1 is null or f1 = x.allele) and (m1 is null or (least(m1, m2) = p and greatest(m1, m2) = q)) group by all)
+    select marker, famid, fatid, motid from ways group by all having not bool_or(ok)""")
+def mendel_errors_x_sibships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.mendel_errors_x_sibships(big_x_genotypes(spark, sf_dir), big_pedigree(spark, sf_dir))
+
+
+def _elimination_sql(x_linked: bool) -> str:
+    """The families of the twelve are nuclear: all genotypes of a couple with what each child can have of them."""
+    male, fits = "true", "(least(fx, mx), greatest(fx, mx)) = (x, y) or (least(fx, my), greatest(fx, my)) = (x, y) or (least(fy, mx), greatest(fy, mx)) = (x, y) or (least(fy, my), greatest(fy, my)) = (x, y)"
+    if x_linked:
+        male, fits = "(sex <> 1 or x = y)", f"case sex when 1 then x = y and x in (mx, my) else {fits} end"
+    return X.WITH_GENO + f""", k as (select distinct marker, famid from geno), al as (select distinct * from (select marker, famid, unnest([a1, a2, 0]) as allele from geno)),
+    own as (select k.marker, famid, pid, sex, fatid, a.allele as x, b.allele as y from k join ped using (famid) join al a using (marker, famid) join al b using (marker, famid) left join geno g using (marker, famid, pid)
+        where a.allele <= b.allele and (g.a1 is null or (least(a1, a2) = a.allele and greatest(a1, a2) = b.allele)) and {male.replace("x = y", "a.allele = b.allele")}),
+    couple as (select f.marker, f.famid, f.x as fx, f.y as fy, m.x as mx, m.y as my from own f join own m using (marker, famid) where f.pid in (0, 4) and m.pid in (1, 5)),
+    child as (select c.*, o.pid, x, y from couple c join own o using (marker, famid) where fatid >= 0 and ({fits})),
+    fine as (select marker, famid, fx, fy, mx, my from child group by all having count(distinct pid) = 2),
+    left_ as (select marker, famid, case famid when 'F1' then 0 else 4 end as pid, fx as x, fy as y from fine union select marker, famid, case famid when 'F1' then 1 else 5 end, mx, my from fine
+        union select marker, famid, pid, x, y from child join fine using (marker, famid, fx, fy, mx, my) union select marker, famid, pid, x, y from own where pid >= 8)
+    select k.marker, famid, pid, coalesce(string_agg(x || '/' || y, ',' order by x, y), '') as possible from k join ped using (famid) left join left_ l using (marker, famid, pid) group by all"""
+
+
+@query(_elimination_sql(False))
 def eliminate_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.eliminate_genotypes(X.genotypes(spark, sf_dir), X.pedigree(spark))
 
 
+@query(_elimination_sql(True))
+def eliminate_genotypes_x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.eliminate_genotypes(X.genotypes(spark, sf_dir), X.pedigree(spark), x_linked=True)
+
+
+@query()
+def eliminate_genotypes_big(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families of three generations, X-linked."""
+    return M.eliminate_genotypes(big_x_genotypes(spark, sf_dir), big_pedigree(spark, sf_dir), x_linked=True)
+
+
 @query(f"with t as ({X.TRAITS_SQL}), v as (select trait, value, count(*) as k from t where value is not null group by all) select trait, value, k, round(coalesce(sum(k) over "
     f"(partition by trait order by value rows between unbounded preceding and 1 preceding), 0) + (k - 1) / 2, 6) as rank, (sum(k) over (partition by trait))::bigint as n from v")
 def mid_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -593,7 +649,59 @@ def call_vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def wide_cohort_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calling.wide_cohort_frequencies(X.gl_obs(spark, sf_dir).where("chrom in ('1', '2', '3')"), list(X.PEDIGREE12), GRID)
+    return calling.wide_cohort_frequencies(X.gl_obs(spark, sf_dir).where("chrom not in ('X', 'Y', 'MT')"), list(X.PEDIGREE12), GRID)
+
+
+_WIDE_F = 0.7
+
+
+def _wide_sql() -> str:
+    """Nuclear families of two children and persons alone, autosomes, the alleles ref and its transition."""
+    ts = _TS.format("ref_base")
+    lk = ", ".join(f"pow(10.0::double, -pl[{_IDX.format(a, b)} + 1] / 10.0::double)" for a, b in (("ref_base", "ref_base"), ("ref_base", ts), (ts, ts)))
+    prior = f"[{_WIDE_F**2}::double, {2 * _WIDE_F * (1 - _WIDE_F)}::double, {(1 - _WIDE_F) ** 2}::double]"
+    pass_alt = lambda g: f"(({g} - 1) / 2.0::double)"
+    given = f"(k[1] * (1 - {pass_alt('gf')}) * (1 - {pass_alt('gm')}) + k[2] * ({pass_alt('gf')} * (1 - {pass_alt('gm')}) + {pass_alt('gm')} * (1 - {pass_alt('gf')})) + k[3] * {pass_alt('gf')} * {pass_alt('gm')})"
+    return X.WITH_OBS + f""", s as (select distinct chrom, pos from obs where chrom not in ('X', 'Y', 'MT')), g3 as (select unnest([1, 2, 3]) as g),
+    lk as (select chrom, pos, pid, famid, fatid, coalesce(k, [1.0::double, 1.0, 1.0]) as k from s cross join ped left join (select chrom, pos, sample_id as pid, [{lk}] as k from obs) using (chrom, pos, pid)),
+    fm as (select f.chrom, f.pos, f.famid, gf.g as gf, gm.g as gm, {prior}[gf.g] * f.k[gf.g] * {prior}[gm.g] * m.k[gm.g] as w from lk f join lk m using (chrom, pos, famid), g3 gf, g3 gm where f.pid in (0, 4) and m.pid in (1, 5)),
+    ch as (select chrom, pos, famid, gf, gm, product({given}) as w from (select lk.*, gf.g as gf, gm.g as gm from lk, g3 gf, g3 gm where fatid >= 0) group by all),
+    fam as (select chrom, pos, famid, sum(fm.w * ch.w) as l from fm join ch using (chrom, pos, famid, gf, gm) group by all union all select chrom, pos, famid, sum({prior}[g] * k[g]) from lk, g3 where pid >= 8 group by all)
+    select chrom, pos, round(sum(log10(l)), 6) as llk from fam group by all"""
+
+
+@query(_wide_sql())
+def wide_cohort_llk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of the wide cohort's search, at a fixed frequency."""
+    obs = X.gl_obs(spark, sf_dir).where("chrom not in ('X', 'Y', 'MT')")
+    return wide.wide_llk(obs, X.pedigree(spark), (_WIDE_F,)).select("chrom", "pos", F.round("l0", 6).alias("llk"))
+
+
+@query()
+def call_wide_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide.call_wide_cohort(X.gl_obs(spark, sf_dir), X.pedigree(spark))[0]
+
+
+_UNRELATED_F = 0.8
+
+
+def _unrelated_sql() -> str:
+    ts = _TS.format("ref_base")
+    pair = "(x = ref_base and y = ref_base)", f"(x = least(ref_base, {ts}) and y = greatest(ref_base, {ts}))", f"(x = {ts} and y = {ts})"
+    prior = f"case when {pair[0]} then {_UNRELATED_F**2} when {pair[1]} then {2 * _UNRELATED_F * (1 - _UNRELATED_F)} when {pair[2]} then {(1 - _UNRELATED_F) ** 2} else 0.0 end"
+    return X.WITH_OBS + f""", s as (select chrom, pos, min(ref_base) as ref_base from obs group by all), who as (select unnest(range(12)) as p), b as (select unnest([1, 2, 3, 4]) as n),
+    w as (select s.chrom, s.pos, p, x, y, {prior}::double * pow(10.0::double, -coalesce(pl[{_IDX.format('x', 'y')} + 1], 0) / 10.0::double) as w
+        from (select s.*, p, x.n as x, y.n as y from s, who, b x, b y where x.n <= y.n) s left join (select chrom, pos, sample_id as p, pl from obs) using (chrom, pos, p)),
+    one as (select chrom, pos, p, round(max(w) / sum(w), 12) as q, min('ACGT'[x] || '/' || 'ACGT'[y]) filter (w = top) as gt from (select *, max(w) over (partition by chrom, pos, p) as top from w) group by all)
+    select chrom, pos, p as sample_id, gt, case when q > 0.9999999999 then 100 else floor(-10 * log10(greatest(1 - q, 1e-11)) + 0.5)::int end as gq from one"""
+
+
+@query(_unrelated_sql())
+def call_unrelated_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genotypes of unrelated persons at a fixed frequency, a row each."""
+    got = calling.call_unrelated(X.gl_obs(spark, sf_dir), list(range(X.SAMPLES)), freq=_UNRELATED_F)
+    one = F.transform(F.arrays_zip("gt", "gq"), lambda x, i: F.struct(i.alias("sample_id"), x["gt"].alias("gt"), x["gq"].alias("gq")))
+    return got.select("chrom", "pos", F.explode(one).alias("x")).select("chrom", "pos", "x.*")
 
 
 @query()

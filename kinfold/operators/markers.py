@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,16 +95,46 @@ def mendel_errors(geno: DataFrame, ped: DataFrame) -> DataFrame:
     return j.where(~fits).select("marker", "famid", "pid")
 
 
+def without_het_males(geno: DataFrame, ped: DataFrame) -> DataFrame:
+    """X-linked genotypes less those of males with two alleles, which are reported by themselves and tell nothing of others."""
+    males = small(with_nulls(ped).where("sex = 1").select("famid", "pid", F.lit(True).alias("_male")))
+    g = typed(geno).join(males, ["famid", "pid"], "left")
+    return g.where(F.col("_male").isNull() | (F.col("a1") == F.col("a2"))).drop("_male")
+
+
+def _fits_x(j: DataFrame) -> Column:
+    """Whether a child's X-linked genotype can come from its typed parents. A father's alleles are equal."""
+    in_m = lambda a: F.col("m1").isNull() | (F.col(a) == F.col("m1")) | (F.col(a) == F.col("m2"))
+    of_f = lambda a: F.col("f1").isNull() | (F.col(a) == F.col("f1"))
+    return F.when(F.col("sex") == 1, in_m("a1")).when(F.col("sex") == 2, (of_f("a1") & in_m("a2")) | (of_f("a2") & in_m("a1"))).otherwise(F.lit(True))
+
+
 def mendel_errors_x(geno: DataFrame, ped: DataFrame) -> DataFrame:
-    """marker, famid, pid, problem: heterozygous males, sons against their mother, daughters against both parents."""
+    """marker, famid, pid, problem: heterozygous males, whose genotypes are then left out, sons against their mother, daughters
+    against both parents."""
     p = small(with_nulls(ped).select("famid", "pid", "sex"))
     het = typed(geno).join(p, ["famid", "pid"]).where("sex = 1 and a1 <> a2").select("marker", "famid", "pid", F.lit("het_male").alias("problem"))
-    j = _with_parents(geno, ped)
-    in_m = lambda a: F.col("m1").isNull() | (F.col(a) == F.col("m1")) | (F.col(a) == F.col("m2"))
-    of_f = lambda a: F.col("f1").isNull() | (F.col(a) == F.col("f1"))
-    son = j.where((F.col("sex") == 1) & (F.col("a1") == F.col("a2")) & ~in_m("a1")).select("marker", "famid", "pid", F.lit("son").alias("problem"))
-    daughter = j.where((F.col("sex") == 2) & ~((of_f("a1") & in_m("a2")) | (of_f("a2") & in_m("a1")))).select("marker", "famid", "pid", F.lit("daughter").alias("problem"))
-    return het.unionByName(son).unionByName(daughter)
+    j = _with_parents(without_het_males(geno, ped), ped)
+    child = j.where(~_fits_x(j)).select("marker", "famid", "pid", F.when(F.col("sex") == 1, "son").otherwise("daughter").alias("problem"))
+    return het.unionByName(child)
+
+
+def mendel_errors_x_sibships(geno: DataFrame, ped: DataFrame) -> DataFrame:
+    """marker, famid, fatid, motid of sibships that no parents can have, though each child fits its typed parents.
+
+    Constraints are folded: the father's allele is his own or one that all sisters share; given it, each sister's other allele and each
+    brother's allele are the mother's, who has two, her own if she is typed. Sibships with no such father's allele are errors. Only
+    distinct genotypes are folded, so that a row holds as many as there are kinds."""
+    j = _with_parents(without_het_males(geno, ped), ped)
+    kinds = j.where(_fits_x(j) & F.col("sex").isin(1, 2)).select("marker", "famid", "fatid", "motid", "sex", F.least("a1", "a2").alias("lo"), F.greatest("a1", "a2").alias("hi"), "f1", "m1", "m2")
+    kind = F.struct("lo", "hi")
+    s = kinds.groupBy("marker", "famid", "fatid", "motid").agg(F.max("f1").alias("f"), F.max("m1").alias("m1"), F.max("m2").alias("m2"), F.collect_set(F.when(F.col("sex") == 1, F.col("lo"))).alias("sons"), F.collect_set(F.when(F.col("sex") == 2, kind)).alias("sisters"))
+    alleles = F.transform("sisters", lambda k: F.array(k["lo"], k["hi"]))
+    shared = F.aggregate(alleles, F.get(alleles, F.lit(0)), F.array_intersect)
+    fathers = F.when(F.size("sisters") == 0, F.array(F.lit(0))).when(F.col("f").isNotNull(), F.array("f")).otherwise(shared)
+    of_mother = lambda x: F.array_distinct(F.concat("sons", F.transform("sisters", lambda k: F.when(k["lo"] == x, k["hi"]).otherwise(k["lo"]))))
+    fits = lambda x: F.when(F.col("m1").isNotNull(), F.size(F.array_except(of_mother(x), F.array("m1", "m2"))) == 0).otherwise(F.size(of_mother(x)) <= 2)
+    return s.where(~F.exists(fathers, fits)).select("marker", "famid", "fatid", "motid")
 
 
 def sibship_errors(geno: DataFrame, ped: DataFrame) -> DataFrame:
@@ -161,53 +192,114 @@ def phase_trios(geno: DataFrame, ped: DataFrame) -> DataFrame:
     return j.select("marker", "famid", "pid", paternal.alias("paternal"), maternal.alias("maternal"))
 
 
-def _prune(people: list[tuple], genotypes: dict[int, tuple[int, int]]) -> dict[int, set[tuple[int, int]]]:
-    """The genotypes that are left of each person (pid, fatid, motid) of a family at one marker."""
-    alleles = sorted({a for g in genotypes.values() for a in g} | {0})
-    every = {(a, b) for a in alleles for b in alleles if a <= b}
-    own = {p[0]: ({tuple(sorted(genotypes[p[0]]))} if p[0] in genotypes else set(every)) for p in people}
-    couples: dict[tuple, list] = {}
-    for p, f, m in people:
-        if f is not None:
-            couples.setdefault((f, m), []).append(p)
-    changed = True
-    while changed:
-        changed = False
-        for (f, m), children in couples.items():
-            keep: dict[int, set] = {q: set() for q in (f, m, *children)}
-            for x in own[f]:
-                for y in own[m]:
-                    can = {(min(a, b), max(a, b)) for a in x for b in y}
-                    left = [own[c] & can for c in children]
-                    if all(left):
-                        keep[f].add(x)
-                        keep[m].add(y)
-                        for c, some in zip(children, left, strict=True):
-                            keep[c] |= some
-            for q, some in keep.items():
-                if some != own[q]:
-                    own[q], changed = some, True
-    return own
-
-
-def eliminate_genotypes(geno: DataFrame, ped: DataFrame) -> DataFrame:
+class Elimination:
+    """Genotype sets as bit masks, and their pruning over many markers of families of one shape and count of alleles.
+
+    Genotype (i, j), i <= j, of alleles numbered 0..n-1 is a bit; a set is one or more 64-bit words."""
+
+    #: Elements of the largest temporary array.
+    CELLS = 1 << 22
+
+    def __init__(self, n_alleles: int, x_linked: bool):
+        self.pairs = [(i, j) for i in range(n_alleles) for j in range(i, n_alleles)]
+        self.at = {p: k for k, p in enumerate(self.pairs)}
+        self.words, self.x = -(-len(self.pairs) // 64), x_linked
+        self.bit = np.stack([self.mask([k]) for k in range(len(self.pairs))])
+        self.every, self.same = self.mask(range(len(self.pairs))), self.mask([k for k, (i, j) in enumerate(self.pairs) if i == j])
+        pair = lambda a, b: self.at[min(a, b), max(a, b)]
+        n = len(self.pairs)
+        self.child, self.son = np.zeros((n, n, self.words), np.uint64), np.zeros((n, n, self.words), np.uint64)
+        for f, x in enumerate(self.pairs):
+            for m, y in enumerate(self.pairs):
+                self.child[f, m] = self.mask({pair(a, b) for a in x for b in y})
+                self.son[f, m] = self.mask({pair(b, b) for b in y})
+
+    def mask(self, bits) -> np.ndarray:
+        out = np.zeros(self.words, np.uint64)
+        for k in bits:
+            out[k // 64] |= np.uint64(1 << k % 64)
+        return out
+
+    def start(self, g: np.ndarray, sex: list[int]) -> np.ndarray:
+        """[S, n, words] of genotypes g [S, n, 2] (-1: untyped)."""
+        lo, hi = g.min(axis=2), g.max(axis=2)
+        index = np.full(len(self.pairs), 0)
+        table = np.full((max(p[1] for p in self.pairs) + 1,) * 2, 0)
+        for k, (i, j) in enumerate(self.pairs):
+            table[i, j] = k
+        index = table[np.maximum(lo, 0), np.maximum(hi, 0)]
+        out = np.where((lo >= 0)[:, :, None], self.bit[index], self.every)
+        if self.x:
+            males = np.array([s == 1 for s in sex])
+            out[:, males] &= self.same  # a typed male with two alleles has none left
+        return out
+
+    def prune(self, own: np.ndarray, couples: dict[tuple[int, int], list[int]], sex: list[int]) -> np.ndarray:
+        """Sets that no nuclear family narrows further; all that a family's conflict reaches become empty."""
+        step = max(1, self.CELLS // (len(self.pairs) ** 2 * self.words))
+        out = own.copy()
+        for lo in range(0, len(own), step):
+            part = out[lo : lo + step]
+            changed = np.arange(len(part))
+            while len(changed):
+                now = part[changed]
+                for (f, m), children in couples.items():
+                    self.family(now, f, m, children, sex)
+                moved = (now != part[changed]).any(axis=(1, 2))
+                part[changed] = now
+                changed = changed[moved]
+        return out
+
+    def family(self, own: np.ndarray, f: int, m: int, children: list[int], sex: list[int]) -> None:
+        """Narrow a couple and its children in place."""
+        has = lambda p: ((own[:, p, None, :] & self.bit[None]) != 0).any(axis=2)  # noqa: E731  [S, G]
+        fits = has(f)[:, :, None] & has(m)[:, None, :]
+        can = [self.son if self.x and sex[c] == 1 else self.child for c in children]
+        left = [own[:, c, None, None, :] & t[None] for c, t in zip(children, can, strict=True)]
+        for some in left:
+            fits &= (some != 0).any(axis=3)
+        own[:, f] = np.bitwise_or.reduce(np.where(fits.any(axis=2)[:, :, None], self.bit[None], np.uint64(0)), axis=1)
+        own[:, m] = np.bitwise_or.reduce(np.where(fits.any(axis=1)[:, :, None], self.bit[None], np.uint64(0)), axis=1)
+        for c, some in zip(children, left, strict=True):
+            own[:, c] = np.bitwise_or.reduce(np.where(fits[:, :, :, None], some, np.uint64(0)), axis=(1, 2))
+
+    def listed(self, mask: np.ndarray) -> list[tuple[int, int]]:
+        return [p for k, p in enumerate(self.pairs) if int(mask[k // 64]) >> (k % 64) & 1]
+
+
+def eliminate_genotypes(geno: DataFrame, ped: DataFrame, x_linked: bool = False) -> DataFrame:
     """marker, famid, pid, possible (genotypes "a/b" that no nuclear family rules out, sorted), pruned family by family until
     nothing changes; an empty list tells of an inconsistency. Untyped persons start with all pairs of the marker's alleles
-    in the family and one further allele, 0. One row
-    holds a family at a marker."""
-    g = typed(geno).select("marker", "famid", "pid", F.struct("a1", "a2").alias("g"))
+    in the family and one further allele, 0. X-linked, males have equal alleles (a typed one with two has none left), sons come
+    from their mother alone. One row holds a family at a marker; families of equal shape are pruned together."""
+    g = typed(geno).select("marker", "famid", "pid", F.array("a1", "a2").alias("g"))
     per = g.groupBy("marker", "famid").agg(F.map_from_entries(F.collect_list(F.struct("pid", "g"))).alias("m"))
-    family = with_nulls(ped).groupBy("famid").agg(F.collect_list(F.struct("pid", "fatid", "motid")).alias("people"))
-    rows = per.join(small(family), "famid")
+    person = F.struct("pid", F.coalesce("fatid", F.lit(-1)).alias("fatid"), F.coalesce("motid", F.lit(-1)).alias("motid"), F.coalesce("sex", F.lit(0)).alias("sex"))
+    family = with_nulls(ped).groupBy("famid").agg(F.sort_array(F.collect_list(person)).alias("people"))
+    place = lambda c: F.transform(c, lambda q: (F.array_position("people.pid", q) - 1).cast("int"))
+    family = family.select("famid", F.col("people.pid").alias("pids"), place("people.fatid").alias("father"), place("people.motid").alias("mother"), F.col("people.sex").alias("sex"))
+    alleles = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.flatten(F.map_values("m")))))
+    rows = per.join(small(family), "famid").withColumn("alleles", alleles)
+    number = F.transform("pids", lambda p: F.transform(F.coalesce(F.try_element_at("m", p), F.array(F.lit(-1), F.lit(-1))), lambda a: (F.array_position("alleles", a) - 1).cast("int")))
+    rows = rows.select("marker", "famid", "pids", "father", "mother", "sex", "alleles", F.flatten(number).alias("g"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: dict[int, Elimination] = {}
         for pdf in batches:
-            out = []
-            for marker, famid, m, people in zip(pdf["marker"], pdf["famid"], pdf["m"], pdf["people"], strict=True):
-                who = [(q["pid"], None if pd.isna(q["fatid"]) else int(q["fatid"]), None if pd.isna(q["motid"]) else int(q["motid"])) for q in people]
-                left = _prune(who, {k: (v["a1"], v["a2"]) for k, v in dict(m).items()})
-                out += [(marker, famid, q, ",".join(f"{a}/{b}" for a, b in sorted(s))) for q, s in left.items()]
-            yield pd.DataFrame(out, columns=["marker", "famid", "pid", "possible"])
+            shape = [(tuple(f), tuple(m), tuple(x), len(a)) for f, m, x, a in zip(pdf["father"], pdf["mother"], pdf["sex"], pdf["alleles"], strict=True)]
+            for (father, mother, sex, n), part in pdf.groupby(pd.Series(shape, index=pdf.index)):
+                if n not in made:
+                    made[n] = Elimination(n, x_linked)
+                e, couples = made[n], {}
+                for c, (f, m) in enumerate(zip(father, mother, strict=True)):
+                    if f >= 0 and m >= 0:
+                        couples.setdefault((f, m), []).append(c)
+                own = e.start(np.stack(part["g"].to_numpy()).reshape(len(part), len(father), 2), list(sex))
+                left = e.prune(own, couples, list(sex))
+                out = []
+                for marker, famid, pids, names, masks in zip(part["marker"], part["famid"], part["pids"], part["alleles"], left, strict=True):
+                    out += [(marker, famid, q, ",".join(f"{names[i]}/{names[j]}" for i, j in e.listed(mask))) for q, mask in zip(pids, masks, strict=True)]
+                yield pd.DataFrame(out, columns=["marker", "famid", "pid", "possible"])
 
     return rows.mapInPandas(run, "marker long, famid string, pid int, possible string")
 
