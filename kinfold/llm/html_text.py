@@ -9,8 +9,10 @@ Labelled pages are (html, text) pairs: a few written here, for constructs that a
 of pages of which the text is known (`MAX_FIT_PAGES`).
 
 Contexts are the names of elements that often stand apart (a sidebar, a comment), within an article or outside of one,
-and the tags of blocks; a name that wraps most of a page's words, or an article, is none. What a context says is learned
-like all else: a heading in an article's header is main text if labelled pages hold such ones.
+and the tags of blocks. A name that wraps an article, or all words of a page, is none. On a page without an article neither is a name
+that a page's own box may bear (a form around it all), if it wraps most of the words that stand in no footer, menu,
+comment or other such name: how long those are never counts for them. What a context says is learned like all else: a
+heading in an article's header is main text if labelled pages hold such ones.
 
 Defined results: null, empty or blank html and pages without any positive word give an empty text; broken or missing
 end tags are closed by their parents; script, style and comments end at their own end or at the page's; a tag without an
@@ -36,8 +38,9 @@ MAX_FIT_PAGES = 400
 LEFT_OUT = 0.02
 
 _tag = re.compile(r"<(/)?([a-zA-Z][^\s/>]*)")
-#: The rest of a tag up to its end, quotes observed; possessive, so that a failure costs one pass.
-_rest = re.compile(r"(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>")
+#: The rest of a tag up to its end. A quote opens a value right behind an equals sign only; any other is part of a name. Possessive, so
+#: that a failure costs one pass; of quotes that never end there is one of each kind at most.
+_rest = re.compile(r"(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+>")
 _attr = re.compile(r"(?<![^\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _piece = re.compile(r"[A-Za-z]+")
 # Fixed values of HTML.
@@ -50,6 +53,10 @@ _raw_end = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 APART = frozenset("nav footer aside form header menu button select dialog head".split())
 NAMES = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies copyright disqus footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar widget".split())
 
+# Names that a page's own box may bear, and words that make a class tell of a state (comments-open, has-sidebar) instead of a place.
+SOFT = frozenset("form hidden search tags widget".split())
+STATE = frozenset("allowed closed disabled enabled has no off on open with without".split())
+
 # Labelled pages: the text between the brackets of each is main text.
 _FRAMES = (
     "<body><header class='masthead'><h1>Site name here</h1><form><input><button>Go now</button></form></header><nav><ul><li><a>Home</a></li><li><a>News</a></li><li><a>About us</a></li></ul></nav><main><article>{}</article><aside class='sidebar'><h3>Most read</h3><ul><li><a>Other story one</a></li><li><a>Other story two</a></li></ul></aside></main><footer><p>All rights reserved by us</p></footer></body>",
@@ -77,13 +84,13 @@ def labelled_frames() -> list[tuple[str, str]]:
 
 
 class Element:
-    """An open element: its tag, its own name as a context, what encloses it, how many words it holds, and whether an
-    article or main element stands in it."""
+    """An open element: its tag, its own name as a context, what encloses it, how many words it holds, how many of them outside of
+    names that are not SOFT, and whether an article or main element stands in it."""
 
-    __slots__ = ("tag", "name", "parent", "block", "words", "holds_main", "context")
+    __slots__ = ("tag", "name", "parent", "block", "words", "own", "holds_main", "context")
 
     def __init__(self, tag: str, name: str, parent: Element | None):
-        self.tag, self.name, self.parent, self.words, self.holds_main = tag, name, parent, 0, False
+        self.tag, self.name, self.parent, self.words, self.own, self.holds_main = tag, name, parent, 0, 0, False
         self.block = self if tag in BLOCK else parent.block if parent else None
         self.context: tuple[str, bool] | None = None
 
@@ -96,12 +103,16 @@ def _name_of(tag: str, attrs: str) -> str:
         for a in _attr.finditer(attrs):
             for word in (a[1] or a[2] or a[3] or "").lower().split():
                 pieces = _piece.findall(word)
-                for p in (pieces[-1:] + pieces[:1]) if pieces else ():
+                for p in (pieces[-1:] + pieces[:1]) if pieces and not STATE.intersection(pieces) else ():
                     if p in NAMES:
                         return f"name:{p}"
     return ""
 
 
+def _soft(name: str) -> bool:
+    return name == "" or name.rpartition(":")[2] in SOFT
+
+
 def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, tag, rest) of a page, in one pass: text, open, close or raw; rest is the text or the attributes. A quote that never
     ends is none; a tag that never ends is dropped with what follows, as browsers do."""
@@ -144,7 +155,7 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
 def parse(page: str) -> list[tuple[str, str | None, int]]:
     """The sequence of (key, text, block): text is None for tags, block the number of the block that a run lies in. The key of a
     run is its context: the innermost name that encloses it, within an article or not, or else its block's tag. A name
-    does not count if its element holds an article, or most words of the page: it is a wrapper then."""
+    does not count if its element is a wrapper (see above)."""
     out: list[tuple[str | Element, str | None, int]] = []
     top = Element("", "", None)
     opened: Counter[str] = Counter()
@@ -154,13 +165,15 @@ def parse(page: str) -> list[tuple[str, str | None, int]]:
         nonlocal top
         opened[top.tag] -= 1
         top.parent.words += top.words
+        top.parent.own += top.own if _soft(top.name) or top.holds_main or top.tag in ("article", "main") else 0
         top.parent.holds_main |= top.holds_main or top.tag in ("article", "main")
         top = top.parent
 
     for kind, tag, rest in _tokens(page):
         if kind == "text":
             text = html.unescape(rest)
-            top.words += len(text.split())
+            n = len(text.split())
+            top.words, top.own = top.words + n, top.own + n
             out.append((top, text, block))
             continue
         if kind == "raw":
@@ -187,7 +200,10 @@ def parse(page: str) -> list[tuple[str, str | None, int]]:
             top = Element(tag, _name_of(tag, rest), top)
     while top.parent is not None:
         close()
-    total = top.words
+    total, own, has_main = top.words, top.own, top.holds_main
+
+    def wraps(e: Element) -> bool:
+        return e.holds_main or e.words == total or (not has_main and e.name != "" and _soft(e.name) and 2 * e.own > own)
 
     def context(e: Element) -> tuple[str, bool]:
         """The innermost name that counts and whether an article encloses the element, from the outside in."""
@@ -199,7 +215,7 @@ def parse(page: str) -> list[tuple[str, str | None, int]]:
         for e in reversed(path):
             if e.tag in ("article", "main"):
                 at = ("", True)
-            elif e.name and not e.holds_main and 2 * e.words <= total:
+            elif e.name and not wraps(e):
                 at = (e.name, at[1])
             e.context = at
         return at
