@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import cut, let
 
 FENCE, SWAP = "\ue000", "\ue001"
+#: Pieces of a fenced text whose spans are gathered at once; even.
+CHUNK = 512
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -67,17 +69,26 @@ def _spans(text: Column, n: int, rule: Rule) -> Column:
     else:
         cheap = rule.pattern
     fenced = F.regexp_replace(text, cheap, f"{FENCE}$0{FENCE}")
-    step = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit(None).cast(SPANS).alias("out"))
+    none = F.array().cast(SPANS)
 
     def take(acc: Column, piece: Column) -> Column:
         end = acc["at"] + F.char_length(piece)
         held = F.regexp_extract(piece, rule.pattern, rule.group) if rule.group else piece
         good = acc["inside"] & (F.char_length(held) >= rule.at_least)
         one = F.array(F.struct(acc["at"].alias("start"), F.lit(n).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(good, F.concat(F.coalesce(acc["out"], F.array().cast(SPANS)), one)).otherwise(acc["out"]).alias("out"))
-
-    found = F.aggregate(F.split(fenced, FENCE), step, take, lambda acc: acc["out"])
-    return F.coalesce(F.when(F.contains(fenced, F.lit(FENCE)), found), F.array().cast(SPANS))
+        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    def found(pieces: Column) -> Column:
+        """Appending copies an array, so spans are gathered in chunks of pieces, each of which knows where it starts."""
+        chunk = lambda i: F.slice(pieces, i * CHUNK + 1, F.lit(CHUNK))
+        chunks = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / CHUNK).cast("int"))
+        lengths = F.transform(chunks, lambda i: F.aggregate(chunk(i), F.lit(0), lambda a, p: a + F.char_length(p)))
+        starts = F.aggregate(lengths, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        # a chunk has an even number of pieces, so that it starts outside of a match
+        first = lambda at: F.struct(at.alias("at"), F.lit(False).alias("inside"), none.alias("out"))
+        return let(starts, lambda s: F.flatten(F.transform(chunks, lambda i: F.aggregate(chunk(i), first(F.get(s, i)), take, lambda acc: acc["out"]))))
+
+    return F.when(F.contains(fenced, F.lit(FENCE)), let(F.split(fenced, FENCE), found)).otherwise(none)
 
 
 def re_quantified(rule: Rule) -> str:
