@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.kernels import chi2_tail, normal_quantile, t_tail
 from kinfold.functions.scalars import ibs
 from kinfold.operators.pedigrees import with_nulls
+from kinfold.operators.scans import prefix_sums
 
 #: Persons of a pedigree that may be broadcast: 40 bytes each.
 MAX_PERSONS = 500_000
@@ -396,10 +397,11 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def ordered_markers(markers: DataFrame) -> DataFrame:
-    """chrom, marker, ord: map order within a chromosome (by pos, then name), and next_chrom, the next larger one."""
-    o = F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "marker"))
+    """chrom, marker, ord: map order within a chromosome (by pos, then name), and next_chrom, the next larger one. A chromosome may
+    be split over many tasks."""
+    placed = prefix_sums(markers.select("chrom", "pos", "marker", F.lit(1).alias("_one")), ["chrom"], ["pos", "marker"], "_one", "ord")
     chroms = markers.select("chrom").distinct().withColumn("next_chrom", F.lead("chrom").over(Window.orderBy("chrom")))
-    return markers.select("chrom", "marker", o.alias("ord")).join(chroms, "chrom")
+    return placed.select("chrom", "marker", F.col("ord").cast("int").alias("ord")).join(F.broadcast(chroms), "chrom")
 
 
 def twin_check(geno: DataFrame, twins: DataFrame) -> DataFrame:

@@ -13,19 +13,22 @@ from kinfold.functions.scalars import OPEN_END, chrom_order, strip_chr
 
 
 def merge_ranges(ranges: DataFrame, slice_width: int = 1 << 20) -> DataFrame:
-    """chrom, beg, end of the union of ranges that overlap or touch. Two steps keep a chromosome with very many ranges off
-    a single task: ranges are merged within slices of positions, then the merged ones, far fewer, along the chromosome."""
-
-    def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy("beg", "end")
-        reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        new = F.when(reach.isNull() | (F.col("beg") > reach), 1).otherwise(0)
-        grouped = rows.select(*keys, "beg", "end", new.alias("new")).withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return grouped.groupBy(*keys, "g").agg(F.min("beg").alias("beg"), F.max("end").alias("end")).drop("g")
-
-    rows = ranges.where("beg < end").select("chrom", "beg", "end").distinct()
-    sliced = merged(rows.withColumn("_slice", F.floor(F.col("beg") / slice_width)), ["chrom", "_slice"]).drop("_slice")
-    return merged(sliced, ["chrom"])
+    """chrom, beg, end of the union of ranges that overlap or touch.
+
+    A prefix maximum of ends in two levels: within slices of positions, which hold a range for each beginning at most, and
+    over the slices of a chromosome, one row each. A range that begins behind all ends before it starts a run; the run
+    ends where the maximum before the next start lies, in its slice or in a later one. No task holds more than a slice, or a
+    row for each slice."""
+    rows = ranges.where("beg < end").groupBy("chrom", "beg").agg(F.max("end").alias("end")).withColumn("_slice", F.floor(F.col("beg") / slice_width))
+    slices = rows.groupBy("chrom", "_slice").agg(F.max("end").alias("top"))
+    chrom = Window.partitionBy("chrom").orderBy("_slice")
+    slices = slices.select("chrom", "_slice", F.max("top").over(chrom.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"), F.max("top").over(Window.partitionBy("chrom")).alias("_last"))
+    within = Window.partitionBy("chrom", "_slice").orderBy("beg")
+    reach = rows.withColumn("_reach", F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1))).join(slices, ["chrom", "_slice"])
+    starts = reach.withColumn("_before", F.greatest("_reach", "_carry")).where("_before is null or beg > _before").select("chrom", "_slice", "beg", "_before", "_last")
+    later = starts.groupBy("chrom", "_slice").agg(F.min_by("_before", "beg").alias("_first")).select("chrom", "_slice", F.lead("_first").over(chrom).alias("_later"))
+    ended = starts.withColumn("_next", F.lead("_before").over(within)).join(later, ["chrom", "_slice"])
+    return ended.select("chrom", "beg", F.coalesce("_next", "_later", "_last").alias("end"))
 
 
 def union_ranges(*lists: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.scalars import let
+from kinfold.operators.scans import prefix_sums
 
 
 def align_sites(obs: DataFrame, persons: list[int]) -> DataFrame:
@@ -108,10 +109,9 @@ def until_first_end(obs: DataFrame) -> DataFrame:
 
 
 def decode_positions(steps: DataFrame) -> DataFrame:
-    """Adds pos, the running sum of offset over a sample's records of a chromosome, in order of rec_no. A partition is one
-    sample's section, which is what a likelihood file holds."""
-    w = Window.partitionBy("sample_id", "chrom").orderBy("rec_no").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("pos", F.sum("offset").over(w))
+    """Adds pos, the running sum of offset over a sample's records of a chromosome, in order of rec_no. A section may be split over
+    many tasks."""
+    return prefix_sums(steps, ["sample_id", "chrom"], ["rec_no"], "offset", "pos")
 
 
 def best_config(scores: DataFrame, n: int = 7) -> DataFrame:
