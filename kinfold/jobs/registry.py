@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import codons
 from kinfold.functions import scalars as S
+from kinfold.functions.lineage import new_folder
 from kinfold.jobs import calling, fixed, wide
 from kinfold.operators import markers as M
 from kinfold.operators import pedigrees as P
@@ -629,6 +630,15 @@ def plink_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.plink_markers(X.vcf_rows(spark, sf_dir))
 
 
+@query(X.WITH_VCF + f""" select case when id = '.' then chrom || ':' || pos else id end as marker, 's' || k as iid, k::int as person, d::int as dosage
+    from (select chrom, pos, id, unnest(range(12)) as k, unnest({_DOS}) as d from vcf where length(ref) = 1 and length(alt) = 1)""")
+def plink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as .bed, .bim and .fam and read back."""
+    prefix = f"{new_folder(spark)}.plink"
+    B.write_plink(X.vcf_rows(spark, sf_dir), [f"s{i}" for i in range(X.SAMPLES)], prefix)
+    return B.read_plink(spark, prefix).select("marker", "iid", "person", "dosage")
+
+
 @query(X.WITH_VCF + f" select chrom, pos, k::int as sample, d::int as dosage from (select chrom, pos, unnest(range(12)) as k, unnest({_DOS}) as d from vcf)")
 def dosage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.dosages(X.vcf_rows(spark, sf_dir))

@@ -399,7 +399,7 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
 def ordered_markers(markers: DataFrame) -> DataFrame:
     """chrom, marker, ord: map order within a chromosome (by pos, then name), and next_chrom, the next larger one. A chromosome may
     be split over many tasks."""
-    placed = prefix_sums(markers.select("chrom", "pos", "marker", F.lit(1).alias("_one")), ["chrom"], ["pos", "marker"], "_one", "ord")
+    placed = prefix_sums(markers.select("chrom", "pos", "marker", F.lit(1).alias("_one")), ["chrom"], ["pos", "marker"], {"ord": "_one"})
     chroms = markers.select("chrom").distinct().withColumn("next_chrom", F.lead("chrom").over(Window.orderBy("chrom")))
     return placed.select("chrom", "marker", F.col("ord").cast("int").alias("ord")).join(F.broadcast(chroms), "chrom")
 

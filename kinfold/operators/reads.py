@@ -111,7 +111,7 @@ def until_first_end(obs: DataFrame) -> DataFrame:
 def decode_positions(steps: DataFrame) -> DataFrame:
     """Adds pos, the running sum of offset over a sample's records of a chromosome, in order of rec_no. A section may be split over
     many tasks."""
-    return prefix_sums(steps, ["sample_id", "chrom"], ["rec_no"], "offset", "pos")
+    return prefix_sums(steps, ["sample_id", "chrom"], ["rec_no"], {"pos": "offset"})
 
 
 def best_config(scores: DataFrame, n: int = 7) -> DataFrame:

@@ -11,8 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.functions.lineage import written
 from kinfold.functions.scalars import gt_dosage, let
+from kinfold.operators.scans import prefix_sums
 from kinfold.operators.vcf import sample_values
+from kinfold.sources import plink
 
 OBS = "chrom string, pos int, sample_id string, ref_base int, depth int, map_qual int, min_llk int, pl array<int>, contig_length int"
 # 4-bit base codes to 1..4.
@@ -124,26 +127,22 @@ def in_order(rows: DataFrame) -> DataFrame:
     return placed.select(*rows.columns, (F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + offset).cast("long").alias("ord"))
 
 
-def write_plink(vcf: DataFrame, names: list[str], path: str) -> None:
-    """markers: a table of (part, at, the .bim columns, bed) in genome order, part and at giving the order; bim and fam as text,
-    bim in the same order by part files. SNP-major rows are whole bytes, each marker packed by itself; bed_bytes() streams
-    the .bed file that they make up."""
-    spark = vcf.sparkSession
-    rows = plink_markers(vcf).repartitionByRange("chrom", "pos", "name").sortWithinPartitions("chrom", "pos", "name", "ref", "alt")
-    placed = rows.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"), "*")
-    placed.write.mode("overwrite").parquet(f"{path}/markers")
-    done = spark.read.parquet(f"{path}/markers").repartitionByRange("part").sortWithinPartitions("part", "at")
-    done.select(F.concat_ws("\t", F.col("chrom").cast("string"), "name", F.lit("0"), F.col("pos").cast("string"), "ref", "alt").alias("value")).write.mode("overwrite").text(f"{path}/bim")
-    spark.createDataFrame([("\t".join((n, n, "0", "0", "0", "-9")),) for n in names], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/fam")
+def write_plink(vcf: DataFrame, names: list[str], prefix: str) -> None:
+    """prefix.bed, prefix.bim and prefix.fam, markers in genome order, on a folder that all machines mount.
 
-
-def bed_bytes(spark: SparkSession, path: str) -> Iterator[bytes]:
-    """The .bed file of what write_plink() wrote, in pieces and in order, one partition held at a time: for an export to a
-    single machine's file."""
-    yield b"\x6c\x1b\1"
-    rows = spark.read.parquet(f"{path}/markers").repartitionByRange("part").sortWithinPartitions("part", "at").select("bed")
-    for r in rows.toLocalIterator():
-        yield bytes.fromhex(r.bed)
+    A marker's place and where its line stands are prefix sums over ranges of markers; rows of a .bed file have one width, so
+    every task writes its own bytes of both files. Only two sums reach the driver, and the names that came from it."""
+    step = max(1, (len(names) + 3) // 4)
+    line = F.concat(F.concat_ws("\t", F.col("chrom").cast("string"), "name", F.lit("0"), F.col("pos").cast("string"), "ref", "alt"), F.lit("\n"))
+    rows = plink_markers(vcf).withColumn("line", line.cast("binary")).withColumns({"_all": F.lit(0), "_one": F.lit(1), "_len": F.octet_length("line")})
+    placed = written(prefix_sums(rows, ["_all"], ["chrom", "pos", "name", "ref", "alt", "bed"], {"n": "_one", "end": "_len"}))
+    n, size = placed.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max("end"), F.lit(0))).first()
+    head = vcf.sparkSession.createDataFrame([(0, b"\x6c\x1b\1")], "at long, data binary")
+    data = placed.select((3 + (F.col("n") - 1) * step).alias("at"), F.unhex("bed").alias("data"))
+    plink.write_bytes(head.unionByName(data), f"{prefix}.bed", 3 + n * step)
+    plink.write_bytes(placed.select((F.col("end") - F.col("_len")).alias("at"), F.col("line").alias("data")), f"{prefix}.bim", size)
+    fam = "".join("\t".join((n, n, "0", "0", "0", "-9")) + "\n" for n in names).encode()
+    plink.write_bytes(vcf.sparkSession.createDataFrame([(0, fam)], "at long, data binary"), f"{prefix}.fam", len(fam))
 
 
 def decode_bed(data: bytes, n_people: int, n_markers: int) -> np.ndarray:
@@ -159,39 +158,29 @@ def decode_bed(data: bytes, n_people: int, n_markers: int) -> np.ndarray:
     return out.T if by_marker else out
 
 
-def read_plink(spark: SparkSession, prefix: str, people: list[str] | None = None, markers: list[str] | None = None, block: int = 4_096) -> DataFrame:
+def read_plink(spark: SparkSession, prefix: str, people: list[str] | None = None, markers: list[str] | None = None, block: int | None = None, chromosomes: list[str] | None = None) -> DataFrame:
     """iid, marker, person, place, dosage in long form: .bim and .fam as text (of repeated names the first counts). people,
-    markers: only these, and then iid_ord and marker_ord, their places in the lists.
+    markers: only these, and then iid_ord and marker_ord, their places in the lists; chromosomes: only markers on these.
 
-    The bytes of a .bed file are cut into blocks of whole rows, which are dealt out and decoded by themselves; a file as
-    Spark reads it has 2 GB at most."""
+    The .bed file, of any size, is read by byte ranges of whole rows (block: rows of a task); of markers and chromosomes asked
+    for only their rows' bytes are."""
     f = F.split(F.trim("value"), r"\s+")
-    numbered = lambda suffix: in_order(spark.read.text(f"{prefix}.{suffix}").where("trim(value) <> ''").select(F.get(f, F.lit(1)).alias("name"))).select(F.col("ord").cast("int").alias("place"), "name")
+    numbered = lambda suffix: in_order(spark.read.text(f"{prefix}.{suffix}").where("trim(value) <> ''").select(F.get(f, F.lit(1)).alias("name"), F.get(f, F.lit(0)).alias("group"))).select(F.col("ord").cast("int").alias("place"), "name", "group")
     bim, fam = numbered("bim"), numbered("fam")
     n_markers, n_people = bim.count(), fam.count()
-    head = F.col("content").substr(F.lit(1), F.lit(3))
-    by_marker = head == F.lit(b"\x6c\x1b\1")
-    n_rows = F.when(by_marker, F.lit(n_markers)).otherwise(F.lit(n_people))
-    step = F.when(by_marker, F.lit((n_people + 3) // 4)).otherwise(F.lit((n_markers + 3) // 4))
-    files = spark.read.format("binaryFile").load(f"{prefix}.bed").select(head.alias("head"), "content", n_rows.alias("n"), step.alias("step"))
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(block)))
-    blocks = files.select("head", "content", "step", "n", starts.alias("lo"))
-    blocks = blocks.select("head", "lo", F.least(F.col("n") - F.col("lo"), F.lit(block)).alias("n"), F.col("content").substr(F.col("lo") * F.col("step") + 4, F.col("step") * block).alias("bytes"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for head, lo, n, content in zip(pdf["head"], pdf["lo"].tolist(), pdf["n"].tolist(), pdf["bytes"], strict=True):
-                major = bytes(head)[2:] == b"\1"
-                d = decode_bed(bytes(head) + bytes(content), *((n_people, n) if major else (n, n_markers)))
-                for at in range(0, d.shape[1], max(1, 200_000 // d.shape[0])):
-                    part = d[:, at : at + max(1, 200_000 // d.shape[0])]
-                    i, k = np.indices(part.shape)
-                    yield pd.DataFrame({"person": i.ravel() + (0 if major else lo), "place": k.ravel() + at + (lo if major else 0), "dosage": part.ravel()})
-
-    rows = blocks.repartition(F.col("lo")).mapInPandas(run, "person int, place int, dosage int")
     first = lambda df: df.groupBy("name").agg(F.min("place").alias("place"))
     chosen = lambda df, names, ord_: df if names is None else df.join(spark.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(names))], f"name string, {ord_} int"), "name")
-    who, what = chosen(first(fam), people, "iid_ord"), chosen(first(bim), markers, "marker_ord")
+    what = first(bim)
+    if chromosomes is not None:
+        what = what.join(bim.where(F.col("group").isin(*chromosomes)).select("place"), "place", "left_semi")
+    who, what = chosen(first(fam), people, "iid_ord"), chosen(what, markers, "marker_ord")
+    places = None
+    if markers is not None:  # no more of them than were asked for
+        places = plink.runs_of([r.place for r in what.select("place").collect()])
+    elif chromosomes is not None:  # one stretch for each, which in a sorted file holds nothing else
+        ends = bim.where(F.col("group").isin(*chromosomes)).groupBy("group").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).collect()
+        places = plink.merged_runs([(r.lo, r.hi + 1) for r in ends])
+    rows = plink.bed_rows(spark, f"{prefix}.bed", n_people, n_markers, places, task_rows=block)
     out = rows.join(who.withColumnsRenamed({"name": "iid", "place": "person"}), "person").join(what.withColumnRenamed("name", "marker"), "place")
     return out.select("iid", "marker", "person", "place", "dosage", *(["iid_ord"] if people is not None else []), *(["marker_ord"] if markers is not None else []))
 

@@ -17,13 +17,13 @@ def test_prefix_sums_across_tasks(spark):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "k string, i int, v int")
     for n in (1, 3, 16):
-        got = {(r.k, r.i): r.s for r in prefix_sums(df, ["k"], ["i"], "v", "s", n).collect()}
+        got = {(r.k, r.i): r.s for r in prefix_sums(df, ["k"], ["i"], {"s": "v"}, n).collect()}
         want = {}
         for k in ("a", "b", "c", None):
             own = sorted((i, v or 0) for x, i, v in rows if x == k)
             want |= {(k, i): s for (i, _), s in zip(own, itertools.accumulate(v for _, v in own))}
         assert got == want
-    assert prefix_sums(df.limit(0), ["k"], ["i"], "v", "s").count() == 0
+    assert prefix_sums(df.limit(0), ["k"], ["i"], {"s": "v"}).count() == 0
 
 
 def test_one_section_in_many_tasks(spark):
