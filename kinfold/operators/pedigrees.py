@@ -1,16 +1,16 @@
 """Pedigrees: parents, families, pairs, kinship, checks.
 
-Rows are famid, pid, fatid, motid, sex; a founder's parents are null (or below 0). Everything that needs a whole family
-works within it; families are bounded by nature and grouped by famid.
+Rows are famid, pid, fatid, motid, sex; a founder's parents are null (or below 0). What follows relations through a family
+does so by joins in rounds, whose tables are written, so that a family may have any number of persons.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.functions.lineage import written
+
 
 def with_nulls(ped: DataFrame) -> DataFrame:
     """Parents below 0 as null."""
@@ -81,114 +81,138 @@ def ancestors(ped: DataFrame, max_depth: int = 64) -> DataFrame:
     return known
 
 
-def _generations_first(g: pd.DataFrame) -> list[int]:
-    """Rows of a family with parents before children."""
-    place = {p: i for i, p in enumerate(g["pid"])}
-    father = [place.get(x, -1) if pd.notna(x) else -1 for x in g["fatid"]]
-    mother = [place.get(x, -1) if pd.notna(x) else -1 for x in g["motid"]]
-    done: dict[int, None] = {}
-    while len(done) < len(g):
-        new = [i for i in range(len(g)) if i not in done and all(q < 0 or q in done for q in (father[i], mother[i]))]
-        if not new:
+def generations(ped: DataFrame) -> list[DataFrame]:
+    """The persons (famid, pid, fatid, motid, sex and what else ped has) of each generation: founders, and then those whose
+    parents both stand in earlier ones. A person with a parent that is not listed counts as a founder."""
+    known = lambda c: F.when(F.col(c) >= 0, F.col(c))
+    p = ped.withColumns({"fatid": known("fatid"), "motid": known("motid")})
+    listed = lambda c: p.select("famid", F.col("pid").alias(c), F.lit(True).alias(f"_{c}")).distinct()
+    p = p.join(listed("fatid"), ["famid", "fatid"], "left").join(listed("motid"), ["famid", "motid"], "left").withColumn("_child", F.col("_fatid") & F.col("_motid"))
+    p = written(p.select("famid", "pid", *[F.when(F.col("_child"), F.col(c)).alias(c) for c in ("fatid", "motid")], *[c for c in ped.columns if c not in ("famid", "pid", "fatid", "motid")]))
+    out, rest = [p.where("fatid is null")], p.where("fatid is not null")
+    placed = out[0].select("famid", "pid")
+    while not rest.isEmpty():
+        here = lambda c: placed.select("famid", F.col("pid").alias(c))  # noqa: B023, E731
+        ready = written(rest.join(here("fatid"), ["famid", "fatid"], "left_semi").join(here("motid"), ["famid", "motid"], "left_semi"))
+        if ready.isEmpty():
             raise ValueError("a person is an ancestor of itself")
-        done.update(dict.fromkeys(new))
-    return list(done)
+        out.append(ready)
+        placed = placed.unionByName(ready.select("famid", "pid"))
+        rest = written(rest.join(ready.select("famid", "pid"), ["famid", "pid"], "left_anti"))
+    return out
+
+
+def _one_of_twins(ped: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The pedigree with monozygotic twins (equal odd zygosity of full sibs) as the least of them, parents too, and (famid, pid, least)."""
+    if "zygosity" not in ped.columns:
+        return ped, None
+    z = with_nulls(ped).join(ped.select("famid", "pid", "zygosity"), ["famid", "pid"]).where("zygosity % 2 = 1 and fatid is not null")
+    w = Window.partitionBy("famid", "fatid", "motid", "zygosity")
+    to = written(z.select("famid", "pid", F.min("pid").over(w).alias("least")).where("pid <> least"))
+    name = lambda c: to.select("famid", F.col("pid").alias(c), F.col("least").alias(f"_{c}"))
+    p = ped.join(to.select("famid", "pid"), ["famid", "pid"], "left_anti")
+    for c in ("fatid", "motid"):
+        p = p.join(name(c), ["famid", c], "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+    return p, to
+
+
+def kinship_pairs(ped: DataFrame, x_linked: bool = False) -> DataFrame:
+    """famid, pid1, pid2, phi of the pairs pid1 <= pid2 whose phi is not zero.
+
+    Built from generation to generation by joins: a person's row is half of each parent's (X-linked, a male's is his mother's), with
+    persons of earlier generations first and then, by the others' rows just made, with those of the same one. Only pairs that
+    are related stand in a table, and no task holds a family. An optional column zygosity marks monozygotic twins by equal
+    odd numbers among full sibs: they have one row."""
+    ped, twins = _one_of_twins(ped)
+    levels = generations(ped)
+    male = F.lit(x_linked) & (F.col("sex") == 1)
+    keys = ["famid", "a", "b"]
+    known = written(levels[0].select("famid", F.col("pid").alias("a"), F.col("pid").alias("b"), F.when(male, 1.0).otherwise(0.5).alias("phi")))
+    for level in levels[1:]:
+        from_mother = F.struct(F.col("motid").alias("p"), F.when(male, 1.0).otherwise(0.5).alias("w"))
+        edges = level.select("famid", F.col("pid").alias("c"), F.explode(F.when(male, F.array(from_mother)).otherwise(F.array(from_mother, F.struct(F.col("fatid").alias("p"), F.lit(0.5).alias("w"))))).alias("e")).select("famid", "c", "e.p", "e.w")
+        row = edges.join(known.select("famid", F.col("a").alias("p"), "b", "phi"), ["famid", "p"])
+        older = written(row.groupBy("famid", F.col("c").alias("a"), "b").agg(F.sum(F.col("w") * F.col("phi")).alias("phi")))
+        # with the others of this generation: half of what those have with this one's parents
+        peers = edges.join(older.select("famid", F.col("a").alias("other"), F.col("b").alias("p"), "phi"), ["famid", "p"]).where("c <> other")
+        peers = peers.groupBy("famid", F.col("c").alias("a"), F.col("other").alias("b")).agg(F.sum(F.col("w") * F.col("phi")).alias("phi"))
+        # a parent's phi with the other one is in the table of the generations before
+        both = level.join(known.select("famid", F.col("a").alias("fatid"), F.col("b").alias("motid"), "phi"), ["famid", "fatid", "motid"], "left")
+        own = both.select("famid", F.col("pid").alias("a"), F.col("pid").alias("b"), F.when(male, 1.0).otherwise(0.5 + 0.5 * F.coalesce("phi", F.lit(0.0))).alias("phi"))
+        turned = older.select("famid", F.col("b").alias("a"), F.col("a").alias("b"), "phi")
+        known = known.unionByName(written(older.unionByName(turned).unionByName(peers).unionByName(own).select(*keys, "phi")))
+    if twins is not None and not twins.isEmpty():  # twins stand for themselves and for each other
+        every = twins.select("famid", F.col("least").alias("of"), "pid").unionByName(known.where("a = b").select("famid", F.col("a").alias("of"), F.col("a").alias("pid")))
+        name = lambda c, to: every.select("famid", F.col("of").alias(c), F.col("pid").alias(to))
+        known = known.join(name("a", "x"), ["famid", "a"]).join(name("b", "y"), ["famid", "b"]).select("famid", F.col("x").alias("a"), F.col("y").alias("b"), "phi")
+    return known.where("a <= b").select("famid", F.col("a").alias("pid1"), F.col("b").alias("pid2"), "phi")
+
+
+def inbred_families(ped: DataFrame, related: DataFrame, x_linked: bool = False) -> DataFrame:
+    """famid of the families with a person whose parents are related; X-linked, a woman."""
+    p = with_nulls(ped).where("fatid is not null" + (" and sex <> 1" if x_linked else ""))
+    pair = p.select("famid", F.least("fatid", "motid").alias("pid1"), F.greatest("fatid", "motid").alias("pid2"))
+    return pair.join(related.where("phi > 0").select("famid", "pid1", "pid2"), ["famid", "pid1", "pid2"], "left_semi").select("famid").distinct()
 
 
 def kinship(ped: DataFrame, x_linked: bool = False) -> DataFrame:
-    """famid, pid1, pid2, phi of every pair pid1 <= pid2, and whether somebody of the family is inbred. A family's table is
-    built row by row from the founders on; X-linked, a male has 1 with himself and his mother's row. An optional column
-    zygosity marks monozygotic twins by equal odd numbers among full sibs."""
-    cols = [c for c in ("zygosity",) if c in ped.columns]
-    p = with_nulls(ped) if not cols else with_nulls(ped).join(ped.select("famid", "pid", "zygosity"), ["famid", "pid"])
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pid", ignore_index=True)
-        place = {q: i for i, q in enumerate(g["pid"])}
-        phi = np.zeros((len(g), len(g)))
-        inbred = False
-        earlier: list[int] = []
-        for i in _generations_first(g):
-            r = g.loc[i]
-            if pd.isna(r["fatid"]):
-                phi[i, i] = 1.0 if x_linked and r["sex"] == 1 else 0.5
-            else:
-                f, m = place[r["fatid"]], place[r["motid"]]
-                twin = None
-                if "zygosity" in g and pd.notna(r["zygosity"]) and r["zygosity"] % 2 == 1:
-                    twin = next((j for j in earlier if g.at[j, "zygosity"] == r["zygosity"] and g.at[j, "fatid"] == r["fatid"] and g.at[j, "motid"] == r["motid"]), None)
-                if twin is not None:
-                    row = phi[twin].copy()
-                    phi[i, :], phi[:, i] = row, row
-                    phi[i, i] = phi[twin, twin]
-                else:
-                    row = phi[m].copy() if x_linked and r["sex"] == 1 else (phi[f] + phi[m]) / 2
-                    phi[i, :], phi[:, i] = row, row
-                    phi[i, i] = 1.0 if x_linked and r["sex"] == 1 else 0.5 + 0.5 * phi[f, m]
-                    inbred |= not (x_linked and r["sex"] == 1) and phi[f, m] > 0
-            earlier.append(i)
-        a, b = np.triu_indices(len(g))
-        return pd.DataFrame({"famid": g["famid"].iloc[0], "pid1": g["pid"].to_numpy()[a], "pid2": g["pid"].to_numpy()[b], "phi": phi[a, b], "inbred": inbred})
-
-    return p.groupBy("famid").applyInPandas(run, "famid string, pid1 int, pid2 int, phi double, inbred boolean")
+    """famid, pid1, pid2, phi of every pair pid1 <= pid2, and whether somebody of the family is inbred. See kinship_pairs(), which
+    leaves out the pairs that are not related."""
+    related = written(kinship_pairs(ped, x_linked))
+    inbred = inbred_families(ped, related, x_linked).withColumn("inbred", F.lit(True))
+    every = pairs(ped.select("famid", "pid")).join(related, ["famid", "pid1", "pid2"], "left").join(inbred, "famid", "left")
+    return every.select("famid", "pid1", "pid2", F.coalesce("phi", F.lit(0.0)).alias("phi"), F.coalesce("inbred", F.lit(False)).alias("inbred"))
 
 
 def connected_groups(ped: DataFrame) -> DataFrame:
-    """famid, pid, grp: the least person of the part of the family that parents and children connect."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        root = {p: p for p in g["pid"]}
-
-        def find(p):
-            while root[p] != p:
-                root[p] = root[root[p]]
-                p = root[p]
-            return p
-
-        for p, f, m in zip(g["pid"], g["fatid"], g["motid"], strict=True):
-            for q in (f, m):
-                if pd.notna(q) and q in root:
-                    a, b = sorted((find(p), find(q)))
-                    root[b] = a
-        return pd.DataFrame({"famid": g["famid"], "pid": g["pid"], "grp": [find(p) for p in g["pid"]]})
-
-    return with_nulls(ped).groupBy("famid").applyInPandas(run, "famid string, pid int, grp int")
+    """famid, pid, grp: the least person of the part of the family that parents and children connect.
+
+    Labels are contracted in rounds: every label takes the least of its neighbours', chains of labels are shortened by doubling, and
+    links between labels that have become one go, so that fewer links are left each time; no task holds a family."""
+    p = with_nulls(ped).distinct()
+    listed = p.select("famid", "pid").distinct()
+    links = p.select("famid", F.col("pid").alias("a"), F.explode(F.array("fatid", "motid")).alias("b")).where("b is not null")
+    links = written(links.join(listed.withColumnRenamed("pid", "b"), ["famid", "b"], "left_semi").select("famid", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    labels = written(listed.withColumn("grp", F.col("pid")))
+    while not links.isEmpty():
+        to = written(links.groupBy("famid", F.col("b").alias("was")).agg(F.min("a").alias("now")))
+        while True:  # a label's label is less than it, so that doubling ends in as many steps as a chain's length has digits
+            jump = to.select("famid", F.col("was").alias("now"), F.col("now").alias("_far"))
+            shorter = written(to.join(jump, ["famid", "now"], "left").select("famid", "was", F.coalesce("_far", "now").alias("now"), F.col("_far").isNotNull().alias("moved")))
+            to = shorter.select("famid", "was", "now")
+            if shorter.where("moved").isEmpty():
+                break
+        name = lambda c: to.select("famid", F.col("was").alias(c), F.col("now").alias(f"_{c}"))  # noqa: B023, E731
+        labels = written(labels.join(name("grp"), ["famid", "grp"], "left").select("famid", "pid", F.coalesce("_grp", "grp").alias("grp")))
+        ends = links.join(name("a"), ["famid", "a"], "left").join(name("b"), ["famid", "b"], "left").select("famid", F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"))
+        links = written(ends.select("famid", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct())
+    return labels
 
 
 def trim(ped: DataFrame, has_data: DataFrame) -> DataFrame:
     """The persons that stay when families without data go, and then, again and again, childless persons without data
-    and founder couples without data of one child only."""
-    rows = with_nulls(ped).join(has_data.select("famid", "pid", F.lit(True).alias("data")).distinct(), ["famid", "pid"], "left")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        data = set(g["pid"][g["data"].notna()])
-        people = {p: (f, m) if pd.notna(f) else None for p, f, m in zip(g["pid"], g["fatid"], g["motid"], strict=True)}
-        if not data:
-            people = {}
-        changed = True
-        while changed and people:
-            changed = False
-            children: dict = {}
-            for p, parents in people.items():
-                for q in parents or ():
-                    children.setdefault(q, set()).add(p)
-            for p in [p for p in people if p not in data and p not in children]:
-                del people[p]
-                changed = True
-            if changed:
-                continue
-            for c, parents in list(people.items()):
-                if parents and all(q in people and people[q] is None and q not in data and children.get(q) == {c} for q in parents):
-                    people[c] = None
-                    for q in parents:
-                        del people[q]
-                    changed = True
-                    break
-        keep = g[g["pid"].isin(list(people))].copy()
-        founder = [people[p] is None for p in keep["pid"]]
-        keep.loc[founder, ["fatid", "motid"]] = None
-        return keep[["famid", "pid", "fatid", "motid", "sex"]]
-
-    return rows.groupBy("famid").applyInPandas(run, "famid string, pid int, fatid int, motid int, sex int")
+    and founder couples without data of one child only, which becomes a founder. Leaves are stripped in rounds of joins; the
+    order in which persons go does not change what stays."""
+    data = has_data.select("famid", "pid", F.lit(True).alias("data")).distinct()
+    rows = with_nulls(ped).join(data, ["famid", "pid"], "left").withColumn("data", F.coalesce("data", F.lit(False)))
+    state = written(rows.join(rows.where("data").select("famid").distinct(), "famid", "left_semi").select("famid", "pid", "fatid", "motid", "sex", "data"))
+    while True:
+        kids = state.select("famid", F.col("pid").alias("kid"), F.explode(F.array("fatid", "motid")).alias("pid")).where("pid is not null")
+        kids = kids.groupBy("famid", "pid").agg(F.countDistinct("kid").alias("n"), F.min("kid").alias("kid"))
+        p = written(state.join(kids, ["famid", "pid"], "left"))
+        leaves = p.where("not data and n is null")
+        if not leaves.isEmpty():
+            state = written(p.where("data or n is not null").drop("n", "kid"))
+            continue
+        # a couple of founders without data whose one child is the same
+        ready = p.where("fatid is null and not data and n = 1").select("famid", "pid", "kid")
+        both = ready.select("famid", F.col("pid").alias("fatid"), F.col("kid").alias("pid")).join(ready.select("famid", F.col("pid").alias("motid"), F.col("kid").alias("pid")), ["famid", "pid"])
+        freed = written(p.join(both.select("famid", "pid", "fatid", "motid"), ["famid", "pid", "fatid", "motid"], "left_semi").select("famid", "pid", "fatid", "motid"))
+        if freed.isEmpty():
+            return p.select("famid", "pid", "fatid", "motid", "sex")
+        gone = freed.select("famid", F.explode(F.array("fatid", "motid")).alias("pid")).distinct()
+        left = p.join(gone, ["famid", "pid"], "left_anti").join(freed.select("famid", "pid", F.lit(True).alias("_free")), ["famid", "pid"], "left")
+        state = written(left.select("famid", "pid", *[F.when(F.col("_free").isNull(), F.col(c)).alias(c) for c in ("fatid", "motid")], "sex", "data"))
 
 
 def twin_groups(ped: DataFrame) -> DataFrame:
