@@ -296,11 +296,28 @@ def big_pedigree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(full, "fam", "left_semi").select(F.concat(F.lit("K"), "fam").alias("famid"), "pid", "fatid", "motid", "sex", "nation")
 
 
-@query(WITH_PED + " select famid, count(*)::int as n, (count(*) filter (fatid < 0))::int as n_founders, 3 as generations, false as is_nuclear from kp group by famid union "
-    "all select famid, count(*)::int, (count(*) filter (fatid < 0))::int, case when count(*) filter (fatid >= 0) = 0 then 1 else 2 end, count(*) filter (fatid >= 0) > 0 and count(*) "
-    "filter (fatid < 0) = 2 from (" + X.pedigree_sql() + ") group by famid")
+# The same persons, families varied by number: those of a third fall into parts, in a third the youngest's parents are full sibs, and
+# some have founders alone.
+_KIND = "case when fam % 12 = 5 then 3 else fam % 3 end"
+VARIED_PED_SQL = f"""select famid, pid, (case when kind = 3 or (kind = 1 and pid >= 7) then -1 when kind = 2 and pid = 9 then 7 else fatid end)::int as fatid,
+    (case when kind = 3 or (kind = 1 and pid >= 7) then -1 when kind = 2 and pid = 9 then 8 else motid end)::int as motid, sex, nation
+    from (select *, {_KIND} as kind from (select *, substr(famid, 2)::int as fam from ({BIG_PED_SQL})))"""
+WITH_VARIED = f"with kp as ({VARIED_PED_SQL})"
+
+
+def varied_pedigree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = big_pedigree(spark, sf_dir).withColumn("fam", F.expr("cast(substr(famid, 2) as int)")).withColumn("kind", F.expr(_KIND))
+    alone = (F.col("kind") == 3) | ((F.col("kind") == 1) & (F.col("pid") >= 7))
+    parent = lambda c, sib: F.when(alone, -1).when((F.col("kind") == 2) & (F.col("pid") == 9), sib).otherwise(F.col(c)).cast("int").alias(c)
+    return p.select("famid", "pid", parent("fatid", 7), parent("motid", 8), "sex", "nation")
+
+
+@query(WITH_VARIED + f""", every as (select famid, pid, fatid, motid from kp union all select famid, pid, fatid, motid from ({X.pedigree_sql()})),
+    g as (select c.famid, count(*)::int as n, (count(*) filter (c.fatid < 0))::int as n_founders, coalesce(bool_or(c.fatid >= 0 and (f.fatid >= 0 or m.fatid >= 0)), false) as far
+        from every c left join every f on f.famid = c.famid and f.pid = c.fatid left join every m on m.famid = c.famid and m.pid = c.motid group by c.famid)
+    select famid, n, n_founders, case when n = n_founders then 1 when far then 3 else 2 end as generations, n > n_founders and not far and n_founders = 2 as is_nuclear from g""")
 def family_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.family_table(big_pedigree(spark, sf_dir).drop("nation").unionByName(X.pedigree(spark)))
+    return P.family_table(varied_pedigree(spark, sf_dir).drop("nation").unionByName(X.pedigree(spark)))
 
 
 @query(WITH_PED + ", b as (select famid, pid, case when pid = 5 and nation = 3 then -1 else fatid end as fatid, case when pid = 8 and nation < 4 then 4 else motid end as motid, "
@@ -312,7 +329,9 @@ def check_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.check_parents(p.select("famid", "pid", F.when((F.col("pid") == 5) & (F.col("nation") == 3), -1).otherwise(F.col("fatid")).alias("fatid"), F.when((F.col("pid") == 8) & (F.col("nation") < 4), 4).otherwise(F.col("motid")).alias("motid"), F.when((F.col("pid") == 0) & (F.col("nation") == 7), 2).otherwise(F.col("sex")).alias("sex")))
 
 
-@query(WITH_PED + " select famid, pid, nullif(fatid, -1) as fatid, nullif(motid, -1) as motid, sex from kp")
+@query(WITH_PED + """, b as (select famid, pid, case when nation % 2 = 0 then motid else fatid end as fatid, case when nation % 2 = 0 then fatid else motid end as motid, sex from kp),
+    j as (select b.*, coalesce(f.sex = 2 and m.sex = 1, false) as swap from b left join b f on f.famid = b.famid and f.pid = b.fatid left join b m on m.famid = b.famid and m.pid = b.motid)
+    select famid, pid, nullif(case when swap then motid else fatid end, -1) as fatid, nullif(case when swap then fatid else motid end, -1) as motid, sex from j""")
 def fix_swapped_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = big_pedigree(spark, sf_dir)
     swap = F.col("nation") % 2 == 0
@@ -342,24 +361,28 @@ def _kinship_sql(x_linked: bool) -> str:
     step = f"""select k.famid, p1, p2, greatest(f.x, k.b) as a, least(f.x, k.b) as b, case when {male} then (case when f.k = 2 then w else 0 end) else w / 2 end as w
   from k join kp m on m.famid = k.famid and m.pid = k.a, unnest([1, 2]) u(i), lateral (select case when i = 1 then m.fatid else m.motid end as x, i as k) f where m.fatid >= 0 and k.a <> k.b and k.w > 0
   union all select k.famid, p1, p2, greatest(m.fatid, m.motid), least(m.fatid, m.motid), case when {male} then 0 else w / 2 end from k join kp m on m.famid = k.famid and m.pid = k.a where m.fatid >= 0 and k.a = k.b and k.w > 0"""
-    return WITH_PED.replace("with", "with recursive", 1) + f""", k(famid, p1, p2, a, b, w) as (select x.famid, x.pid, y.pid, y.pid, x.pid, 1.0::double from kp x join kp y on x.famid = y.famid and x.pid <= y.pid
-  union all select * from ({step}))
- select k.famid, p1 as pid1, p2 as pid2, coalesce(sum(case when a = b then w * (case when {male} then 1 else 0.5 end) end), 0)::double as phi, false as inbred from k join kp m on m.famid = k.famid and m.pid = k.a group by all"""
+    women = "and sex <> 1" if x_linked else ""
+    return WITH_VARIED.replace("with", "with recursive", 1) + f""", k(famid, p1, p2, a, b, w) as (select x.famid, x.pid, y.pid, y.pid, x.pid, 1.0::double from kp x join kp y on x.famid = y.famid and x.pid <= y.pid
+  union all select * from ({step})),
+ kin as (select k.famid, p1 as pid1, p2 as pid2, coalesce(sum(case when a = b then w * (case when {male} then 1 else 0.5 end) end), 0)::double as phi from k join kp m on m.famid = k.famid and m.pid = k.a group by all),
+ inbred as (select distinct kp.famid from kp join kin on kin.famid = kp.famid and pid1 = least(fatid, motid) and pid2 = greatest(fatid, motid) where phi > 0 {women})
+ select famid, pid1, pid2, phi, famid in (select famid from inbred) as inbred from kin"""
 
 
 @query(_kinship_sql(False))
 def kinship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.kinship(big_pedigree(spark, sf_dir))
+    return P.kinship(varied_pedigree(spark, sf_dir))
 
 
 @query(_kinship_sql(True))
 def kinship_x(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.kinship(big_pedigree(spark, sf_dir), x_linked=True)
+    return P.kinship(varied_pedigree(spark, sf_dir), x_linked=True)
 
 
-@query(WITH_PED + " select famid, pid, 0 as grp from kp")
+@query(WITH_VARIED.replace("with", "with recursive", 1) + """, e as (select famid, pid as a, unnest([fatid, motid]) as b from kp where fatid >= 0), ways as (select * from e union all select famid, b, a from e),
+    r as (select famid, pid, pid as o from kp union select r.famid, r.pid, ways.b from r join ways on ways.famid = r.famid and ways.a = r.o) select famid, pid, min(o)::int as grp from r group by famid, pid""")
 def connected_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.connected_groups(big_pedigree(spark, sf_dir))
+    return P.connected_groups(varied_pedigree(spark, sf_dir))
 
 
 def _trim_sql() -> str:
@@ -597,12 +620,14 @@ def entropies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.entropies(p, "x", "y").select(*[F.round(c, 6).alias(c) for c in ("h", "hx", "hy", "hy_x", "hx_y", "uxy")])
 
 
-@query("with d as (select p_size as x, p_partkey * 7 % 41 as y from part), r as (select (rank() over (order by x) + count(*) over (partition by x) * 0.5 - 0.5)::double as "
-    "rx, (rank() over (order by y) + count(*) over (partition by y) * 0.5 - 0.5)::double as ry from d) select count(*) as n, round(sum((rx - ry) * (rx - ry)), 3) as d2, round(corr(rx, "
-    "ry), 6) as r from r")
+@query("""with d as (select p_size as x, p_partkey * 7 % 41 as y from part), r as (select x, y, (rank() over (order by x) + count(*) over (partition by x) * 0.5 - 0.5)::double as rx,
+        (rank() over (order by y) + count(*) over (partition by y) * 0.5 - 0.5)::double as ry from d),
+    tx as (select sum(k * k * k - k)::double as tx from (select count(*) as k from d group by x)), ty as (select sum(k * k * k - k)::double as ty from (select count(*) as k from d group by y)),
+    s as (select count(*) as n, sum((rx - ry) * (rx - ry)) as d2, corr(rx, ry) as r, count(*)::double as m, m * m * m - m as en from r)
+    select n, round(d2, 3) as d2, round(r, 6) as r, round(r * sqrt(n - 1), 6) as z, round((d2 - (en / 6 - (tx + ty) / 12)) / sqrt((m - 1) * m * m * (m + 1) * (m + 1) / 36 * (1 - tx / en) * (1 - ty / en)), 6) as z_d from s, tx, ty""")
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = X.table(spark, sf_dir, "part").selectExpr("p_size as x", "p_partkey * 7 % 41 as y")
-    return M.spearman(p, "x", "y").select("n", F.round("d2", 3).alias("d2"), F.round("r", 6).alias("r"))
+    return M.spearman(p, "x", "y").select("n", F.round("d2", 3).alias("d2"), F.round("r", 6).alias("r"), F.round("z", 6).alias("z"), F.round("z_d", 6).alias("z_d"))
 
 
 @query(f"with sites as ({X.SITES_SQL}), o as (select chrom, site as marker, (row_number() over (partition by chrom order by pos, site))::int as ord from sites), c as (select "
@@ -790,3 +815,59 @@ def base_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def twin_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = big_pedigree(spark, sf_dir).withColumn("zygosity", F.when(F.col("pid").isin(7, 9), 1).otherwise(0))
     return M.twin_check(big_genotypes(spark, sf_dir), P.twin_groups(z).select("famid", "twins"))
+
+
+_TWO_LISTS = f"""rg as (select * from ({X.RANGES_SQL}) union all select chrom, pos as beg, pos + 2 as "end" from ({X.SITE_LIST_SQL}))"""
+
+
+@query("with " + _TWO_LISTS + _MERGED[_MERGED.index(", w1 as") :] + " select * from merged")
+def union_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.union_ranges(X.ranges(spark, sf_dir), X.site_list(spark, sf_dir).selectExpr("chrom", "pos as beg", "pos + 2 as end"))
+
+
+@query("""select chrom, count(distinct contig_length) as lengths from (select 'c' || (l_partkey % 40) as chrom, 1000 + l_partkey % 40 + case when l_suppkey % 5 = 0 and l_partkey % 40 % 3 = 0 then 1 else 0 end as contig_length
+    from lineitem) group by chrom having count(distinct contig_length) > 1""")
+def incompatible_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = X.table(spark, sf_dir, "lineitem").selectExpr("concat('c', l_partkey % 40) as chrom", "1000 + l_partkey % 40 + case when l_suppkey % 5 = 0 and l_partkey % 40 % 3 = 0 then 1 else 0 end as contig_length")
+    return B.incompatible_contigs(o)
+
+
+@query("select p_size as marker, p_partkey as allele, round((p_partkey % 11 + 1) / sum(p_partkey % 11 + 1) over (partition by p_size), 9)::double as freq from part")
+def scale_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = X.table(spark, sf_dir, "part").selectExpr("p_size as marker", "p_partkey as allele", "p_partkey % 11 + 1 as freq")
+    return M.scale_frequencies(f).withColumn("freq", F.round("freq", 9))
+
+
+@query(f"with t as ({X.TRAITS_SQL}) select famid, pid, case when value >= 0 then trait end as trait, case when value >= 0 then value end as value from t")
+def blank_phenotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = X.traits(spark, sf_dir)
+    return P.blank_phenotypes(t, ["trait", "value"], F.coalesce(F.col("value") < 0, F.lit(True)))
+
+
+# A table of shared alleles for every third pair of the varied families, some listed twice with other values.
+_LISTED = "select famid, a.pid as pid1, b.pid as pid2, 1 as marker, {0} as p0, {1} as p1, {2} as p2 from kp a join kp b using (famid) where a.pid <= b.pid and (a.pid + b.pid + a.nation) % 3 = 0"
+_IBD_TABLE = _LISTED.format("0.25", "0.5", "0.25")
+
+
+def _listed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = varied_pedigree(spark, sf_dir)
+    a, b = p.select("famid", F.col("pid").alias("pid1"), "nation"), p.select("famid", F.col("pid").alias("pid2"))
+    listed = a.join(b, "famid").where("pid1 <= pid2 and (pid1 + pid2 + nation) % 3 = 0")
+    return listed.select("famid", "pid1", "pid2", F.lit(1).alias("marker"), F.lit(0.25).alias("p0"), F.lit(0.5).alias("p1"), F.lit(0.25).alias("p2"), "nation")
+
+
+@query(WITH_VARIED + f""", t as ({_IBD_TABLE}), w as (select a.famid, a.pid as pid1, b.pid as pid2, m.marker::int as marker, case when a.pid = b.pid then 3 when a.fatid < 0 and b.fatid < 0 then 1
+        when b.fatid = a.pid or b.motid = a.pid or a.fatid = b.pid or a.motid = b.pid then 2 end as r from kp a join kp b on a.famid = b.famid and a.pid <= b.pid, (select unnest([1, 2]) as marker) m)
+    select famid, pid1, pid2, marker, coalesce(p0, case when r is not null then (r = 1)::int end)::double as p0, coalesce(p1, case when r is not null then (r = 2)::int end)::double as p1,
+        coalesce(p2, case when r is not null then (r = 3)::int end)::double as p2 from w left join t using (famid, pid1, pid2, marker)""")
+def ibd_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = varied_pedigree(spark, sf_dir).drop("nation")
+    wanted = P.pairs(p).select("famid", "pid1", "pid2", F.explode(F.array(F.lit(1), F.lit(2))).alias("marker"))
+    return P.ibd_lookup(wanted, _listed_pairs(spark, sf_dir).drop("nation"), p)
+
+
+@query(WITH_VARIED + f" select famid, a.pid as pid1, b.pid as pid2, 1 as marker, 2::bigint as n from kp a join kp b using (famid) where a.pid <= b.pid and (a.pid + b.pid + a.nation) % 3 = 0 and a.nation % 2 = 1")
+def ibd_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _listed_pairs(spark, sf_dir)
+    again = t.withColumn("p0", F.when(F.col("nation") % 2 == 1, F.lit(0.3)).otherwise(F.col("p0")))  # even ones are listed twice alike
+    return P.ibd_conflicts(t.drop("nation").unionByName(again.drop("nation")))

@@ -6,6 +6,7 @@ family, with the missing genotypes dropped before it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -377,7 +378,8 @@ def entropies(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """One row: n, d2 (sum of squared differences of mid-ranks), r (with ties corrected; null where all are tied), z (r * sqrt(n - 1)),
-    p (two-sided, by Student's t with n - 2 degrees of freedom)."""
+    p (two-sided, by Student's t with n - 2 degrees of freedom), z_d (how many standard deviations d2 lies above what independent
+    ranks with these ties give) and p_d (two-sided, normal)."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
     cells = both.groupBy("x", "y").agg(F.count("*").alias("k"))
     rank = lambda c: mid_ranks(both.select(F.lit(0).alias("trait"), F.col(c).alias("value"))).select(F.col("value").alias(c), F.col("rank").alias(f"r{c}"), F.col("k").alias(f"k{c}"))
@@ -392,8 +394,16 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     def p(r: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([t_tail(a * ((m - 2) / max(1 - a * a, 1e-300)) ** 0.5, m - 2) if a == a and m > 2 else float("nan") for a, m in zip(r.astype(float), n, strict=True)])
 
-    s = s.select("n", "d2", r.alias("r"))
-    return s.select("n", "d2", "r", (F.col("r") * F.sqrt(F.col("n") - 1)).alias("z"), F.when(F.col("r").isNotNull(), p("r", "n")).alias("p"))
+    @F.pandas_udf("double")
+    def two_sided(z: pd.Series) -> pd.Series:
+        return pd.Series([math.erfc(abs(x) / math.sqrt(2)) for x in z])
+
+    n = F.col("n").cast("double")
+    spread = (n - 1) / 36 * F.pow(n * (n + 1), F.lit(2)) * (1 - F.col("tx") / en) * (1 - F.col("ty") / en)
+    z_d = F.try_divide(F.col("d2") - (en / 6 - (F.col("tx") + F.col("ty")) / 12), F.sqrt(spread))
+    s = s.select("n", "d2", r.alias("r"), F.when(r.isNotNull(), z_d).alias("z_d"))
+    some = lambda c: F.when(F.col("r").isNotNull(), c)
+    return s.select("n", "d2", "r", (F.col("r") * F.sqrt(F.col("n") - 1)).alias("z"), some(p("r", "n")).alias("p"), "z_d", some(two_sided("z_d")).alias("p_d"))
 
 
 def ordered_markers(markers: DataFrame) -> DataFrame:
