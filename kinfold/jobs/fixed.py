@@ -25,8 +25,20 @@ def _lk(obs: DataFrame) -> DataFrame:
     return obs.where("chrom not in ('X', 'Y', 'MT')").select("site", "chrom", "pos", "sample_id", F.array(*k).alias("k"))
 
 
-#: Nuclear families (father, mother and two children) and persons alone.
-FAMILIES = (("F1", (0, 1, 2, 3)), ("F2", (4, 5, 6, 7)), *((f"U{p}", (p,)) for p in (8, 9, 10, 11)))
+def units(people: list[tuple]) -> list[tuple[str, tuple[int, ...]]]:
+    """(famid, ids) of the nuclear families among (famid, pid, fatid, motid, sex) rows: father, mother and their children; and of
+    the persons alone. Like every pedigree of calls in rows it lives on the driver; wider ones are for jobs.wide."""
+    couples: dict[tuple, list[int]] = {}
+    for famid, pid, father, mother, _ in people:
+        if father is not None and father >= 0:
+            couples.setdefault((famid, father, mother), []).append(pid)
+    parents = {(f, p) for f, a, b in couples for p in (a, b)}
+    listed = {(p[0], p[1]) for p in people}
+    children = {(f, c) for (f, _, _), cs in couples.items() for c in cs}
+    if parents & children or len(parents) < 2 * len(couples) or not parents <= listed:
+        raise ValueError("a family is not nuclear")
+    alone = [(f, (p,)) for f, p in sorted(listed - parents - children)]
+    return [(f, (a, b, *sorted(cs))) for (f, a, b), cs in sorted(couples.items())] + alone
 
 
 def _times(a: Column, b: Column) -> Column:
@@ -44,40 +56,42 @@ def _weights(k: Column) -> Column:
     given = [F.array(*[F.lit(float(_TRIO[g][f][m])) for f in range(3) for m in range(3)]) for g in range(3)]
     prior = F.array(*[F.lit(p) for p in _PRIOR])
     own = lambda i: _times(F.get(k, F.lit(i)), prior)
-    of_child = lambda i: F.transform(cells, lambda c: sum((F.get(given[g], c) * F.get(F.get(k, F.lit(i)), F.lit(g)) for g in range(3)), F.lit(0.0)))
+    of_child = lambda own: F.transform(cells, lambda c: sum((F.get(given[g], c) * F.get(own, F.lit(g)) for g in range(3)), F.lit(0.0)))
 
     def family(pair: Column) -> Column:
-        def with_children(child: Column) -> Column:
-            one, two = F.get(child, F.lit(0)), F.get(child, F.lit(1))
+        children = F.slice(k, 3, F.size(k) - 2)
 
-            def all_(both: Column) -> Column:
+        def with_children(terms: Column) -> Column:
+            def parents(both: Column) -> Column:
                 at = lambda c: F.get(both, F.lit(c))
-                parents = [F.array(*[at(3 * g) + at(3 * g + 1) + at(3 * g + 2) for g in range(3)]), F.array(*[at(g) + at(g + 3) + at(g + 6) for g in range(3)])]
-                child_ = lambda i, sib: let(_times(pair, sib), lambda w: F.array(*[F.get(F.get(k, F.lit(i)), F.lit(g)) * _total(_times(w, given[g])) for g in range(3)]))
-                return F.array(*parents, child_(2, two), child_(3, one))
+                return F.array(F.array(*[at(3 * g) + at(3 * g + 1) + at(3 * g + 2) for g in range(3)]), F.array(*[at(g) + at(g + 3) + at(g + 6) for g in range(3)]))
 
-            return let(_times(pair, _times(one, two)), all_)
+            def child(own: Column, i: Column) -> Column:
+                others = F.aggregate(F.filter(terms, lambda t, j: j != i), pair, _times)
+                return let(others, lambda w: F.array(*[F.get(own, F.lit(g)) * _total(_times(w, given[g])) for g in range(3)]))
 
-        return let(F.array(of_child(2), of_child(3)), with_children)
+            return F.concat(let(F.aggregate(terms, pair, _times), parents), F.transform(children, child))
+
+        return let(F.transform(children, of_child), with_children)
 
     pair = let(F.array(own(0), own(1)), lambda x: F.transform(cells, lambda c: F.get(F.get(x, F.lit(0)), F.floor(c / 3).cast("int")) * F.get(F.get(x, F.lit(1)), c % 3)))
     return F.when(F.size(k) == 1, F.array(own(0))).otherwise(let(pair, family))
 
 
 def family_calls(obs: DataFrame, pedigree: DataFrame) -> DataFrame:
-    """site, sample_id, best genotype, gq, dosage of everybody, from one grouping by site. A row holds one family at one site, so
-    that the expressions have the size of a family, not of the cohort."""
+    """site, sample_id, best genotype, gq, dosage of everybody in a pedigree of nuclear families and persons alone, from one
+    grouping by site. A row holds one family at one site, so that the expressions have the size of a family, not of the cohort."""
     by_id = F.map_from_entries(F.collect_list(F.struct("sample_id", "k")))
     rows = _lk(obs).groupBy("site").agg(by_id.alias("m"))
     one = F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))
-    fams = F.explode(F.array(*[F.struct(F.lit(famid).alias("famid"), F.array(*[F.lit(p) for p in ids]).alias("ids")) for famid, ids in FAMILIES]))
+    fams = F.explode(F.array(*[F.struct(F.lit(famid).alias("famid"), F.array(*[F.lit(p) for p in ids]).alias("ids")) for famid, ids in units([tuple(r) for r in pedigree.select("famid", "pid", "fatid", "motid", "sex").collect()])]))
     rows = rows.select("site", "m", fams.alias("x")).select("site", "x.famid", "x.ids", F.transform("x.ids", lambda p: F.coalesce(F.try_element_at("m", p), one)).alias("k"))
     rows = rows.select("site", "famid", F.explode(F.arrays_zip("ids", _weights(F.col("k")).alias("w"))).alias("x")).select("site", "famid", F.col("x.ids").alias("sample_id"), F.col("x.w").alias("w"))
     w = [F.get("w", F.lit(g)) for g in range(3)]
     rows = rows.select("site", "famid", "sample_id", *[(w[g] / (w[0] + w[1] + w[2])).alias(f"p{g}") for g in range(3)])
     p: list[Column] = [F.col(f"p{g}") for g in range(3)]
     best = F.when((p[0] >= p[1]) & (p[0] >= p[2]), F.lit(0)).when(p[1] >= p[2], F.lit(1)).otherwise(F.lit(2))
-    return rows.join(pedigree.select("famid", F.col("pid").alias("sample_id")), ["famid", "sample_id"], "left_semi").select("site", "famid", "sample_id", best.alias("best"), genotype_quality(F.round(F.greatest(*p), 9)).alias("gq"), F.round(dosage(p[1], p[2]), 6).alias("dosage"))
+    return rows.select("site", "famid", "sample_id", best.alias("best"), genotype_quality(F.round(F.greatest(*p), 9)).alias("gq"), F.round(dosage(p[1], p[2]), 6).alias("dosage"))
 
 
 def sql() -> str:

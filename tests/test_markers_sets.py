@@ -101,3 +101,20 @@ def test_x_linked_sibships(spark):
     assert {r.marker for r in M.mendel_errors_x_sibships(geno, pedigree).collect()} == {1, 3, 4, 5, 10}
     assert {(r.marker, r.pid, r.problem) for r in M.mendel_errors_x(geno, pedigree).collect()} == {(7, 0, "het_male"), (8, 2, "son")}
     assert M.mendel_errors_x_sibships(geno.limit(0), pedigree).count() == 0
+
+
+def test_spearman_by_differences_of_ranks(spark):
+    """z_d and p_d from mid-ranks worked out in plain Python."""
+    import math
+
+    rng = np.random.default_rng(8)
+    rows = [(int(a), int(a * 0.3 + rng.integers(0, 9))) for a in rng.integers(0, 12, 80)]
+    ranks = lambda v: [sum(x < y for x in v) + (sum(x == y for x in v) + 1) / 2 for y in v]
+    x, y = ranks([a for a, _ in rows]), ranks([b for _, b in rows])
+    ties = lambda v: sum(v.count(u) ** 3 - v.count(u) for u in set(v))
+    n, d2 = len(rows), sum((a - b) ** 2 for a, b in zip(x, y, strict=True))
+    en, tx, ty = n**3 - n, ties(x), ties(y)
+    z = (d2 - (en / 6 - (tx + ty) / 12)) / math.sqrt((n - 1) * n**2 * (n + 1) ** 2 / 36 * (1 - tx / en) * (1 - ty / en))
+    got = M.spearman(spark.createDataFrame(rows, "x int, y int"), "x", "y").first()
+    assert (got.z_d, got.p_d) == pytest.approx((z, math.erfc(abs(z) / math.sqrt(2))))
+    assert M.spearman(spark.createDataFrame([(1, 2), (1, 3)], "x int, y int"), "x", "y").first().p_d is None
