@@ -145,3 +145,11 @@ def test_frequency_from_expected_counts(klass):
         sharp = np.abs(want - model.llk(lk, np.clip(want_f + 2e-3, K.LOW, K.HIGH))[0]) > 1e-4
         assert np.abs(f - want_f)[sharp & (np.abs(v - want) < 1e-6)].max(initial=0) < 3e-4
         assert np.median(calls[:200]) < 8
+
+
+def test_normal_quantile():
+    from statistics import NormalDist
+
+    p = np.concatenate([np.linspace(0.001, 0.999, 999), 10.0 ** -np.arange(3, 300, 7), 1 - 10.0 ** -np.arange(3, 16), [0.075, 0.925]])
+    assert np.allclose(K.normal_quantile(p), [NormalDist().inv_cdf(x) for x in p], rtol=1e-13, atol=1e-15)
+    assert np.isnan(K.normal_quantile(np.array([0.0, 1.0, -1.0, np.nan]))).all()
