@@ -169,3 +169,23 @@ def digests(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, dims: int = DI
         "vec_id", "cluster", "distance", F.element_at(each, F.col("cluster") + 1).alias("cluster_inertia"), F.lit(sum(sums.values())).cast("long").alias("inertia"),
         F.element_at(F.lit(names or [""]), F.col("cluster") + 1).alias("centroid_sha256"), "computed",
     )
+
+
+def oracle_sql(k: int = K, rounds: int = ROUNDS, dims: int = DIMS, scale: int = SCALE) -> str:
+    """digests() but for `computed` in DuckDB's SQL: every distance of every round."""
+    square = "list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} as (select r, arg_min(struct_pack(c := c.c, d := {square}), struct_pack(d := {square}, c := c.c)) as best from v, c{i} c group by r)")
+        if i < rounds:
+            steps.append(f"""s{i} as (select c, i, sum(x)::bigint as s, count(*)::bigint as n from (select best.c as c, unnest(v) as x, generate_subscripts(v, 1) as i from v join a{i} using (r)) group by c, i),
+n{i} as (select c, list((s - ((s % n) + n) % n) // n order by i) as v from s{i} group by c),
+c{i + 1} as (select c, coalesce(n{i}.v, c{i}.v) as v from c{i} left join n{i} using (c))""")
+    return f"""
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v from embeddings
+  where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is not null and isfinite(x::double))) = {dims}),
+c0 as (select (row_number() over (order by sha256('1:' || vec_id), v) - 1)::int as c, v from v qualify row_number() over (order by sha256('1:' || vec_id), v) <= {k}),
+{", ".join(steps)},
+o as (select vec_id, best.c as cluster, best.d as distance from v join a{rounds} using (r))
+select vec_id, cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+from o join c{rounds} c on c.c = cluster"""

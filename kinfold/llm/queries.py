@@ -73,7 +73,7 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centroids.digests(table(spark, sf_dir, "embeddings"))
+    return centroids.digests(table(spark, sf_dir, "embeddings")).drop("computed")
 
 
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +81,4 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_main_text, op3_quality_rules, op4_maxent, op5_simhash, op6_bpe, op7_line_dedup, op8_decontamination, op9_secrets, op10_licenses, op11_alignment, op12_centroids, op13_chat_format)}
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": lines.oracle_sql(), "op8_decontamination": decontaminate.oracle_sql(), "op9_secrets": secrets.oracle_sql(), "op10_licenses": licenses.oracle_sql(), "op13_chat_format": chat.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": lines.oracle_sql(), "op8_decontamination": decontaminate.oracle_sql(), "op9_secrets": secrets.oracle_sql(), "op10_licenses": licenses.oracle_sql(), "op12_centroids": centroids.oracle_sql(), "op13_chat_format": chat.oracle_sql()}

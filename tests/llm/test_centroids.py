@@ -53,7 +53,7 @@ def test_bounds_spare_distances(spark):
     rows = [(i, [float(x) for x in 1000 * (np.arange(3) == i % 3) + rng.normal(size=3)]) for i in range(600)]
     got, _ = centroids.cluster(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3, 3, 3, 1)
     assert got.agg(F.avg("computed")).first()[0] < 2
-    got = queries.op12_centroids(spark, "/root/testdata/sf0.1")
+    got = centroids.digests(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
     assert got.agg(F.avg("computed")).first()[0] < 14
 
 
