@@ -682,30 +682,32 @@ def call_vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.genome_sorted(T.call_lines(calling.call_variants(X.gl_obs(spark, sf_dir), list(X.PEDIGREE12)), list(X.PEDIGREE12))).select("value")
 
 
-@query()
-def wide_cohort_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calling.wide_cohort_frequencies(X.gl_obs(spark, sf_dir).where("chrom not in ('X', 'Y', 'MT')"), list(X.PEDIGREE12), GRID)
-
-
 _WIDE_F = 0.7
 
 
-def _wide_sql() -> str:
-    """Nuclear families of two children and persons alone, autosomes, the alleles ref and its transition."""
+def _wide_sql(points: list[float]) -> str:
+    """chrom, pos, f, l: nuclear families of two children and persons alone, autosomes, the alleles ref and its transition, at each point."""
     ts = _TS.format("ref_base")
     lk = ", ".join(f"pow(10.0::double, -pl[{_IDX.format(a, b)} + 1] / 10.0::double)" for a, b in (("ref_base", "ref_base"), ("ref_base", ts), (ts, ts)))
-    prior = f"[{_WIDE_F**2}::double, {2 * _WIDE_F * (1 - _WIDE_F)}::double, {(1 - _WIDE_F) ** 2}::double]"
     pass_alt = lambda g: f"(({g} - 1) / 2.0::double)"
     given = f"(k[1] * (1 - {pass_alt('gf')}) * (1 - {pass_alt('gm')}) + k[2] * ({pass_alt('gf')} * (1 - {pass_alt('gm')}) + {pass_alt('gm')} * (1 - {pass_alt('gf')})) + k[3] * {pass_alt('gf')} * {pass_alt('gm')})"
+    grid = ", ".join(f"{p}::double" for p in points)
     return X.WITH_OBS + f""", s as (select distinct chrom, pos from obs where chrom not in ('X', 'Y', 'MT')), g3 as (select unnest([1, 2, 3]) as g),
+    pts as (select f, [f * f, 2 * f * (1 - f), (1 - f) * (1 - f)] as pr from (select unnest([{grid}]) as f)),
     lk as (select chrom, pos, pid, famid, fatid, coalesce(k, [1.0::double, 1.0, 1.0]) as k from s cross join ped left join (select chrom, pos, sample_id as pid, [{lk}] as k from obs) using (chrom, pos, pid)),
-    fm as (select f.chrom, f.pos, f.famid, gf.g as gf, gm.g as gm, {prior}[gf.g] * f.k[gf.g] * {prior}[gm.g] * m.k[gm.g] as w from lk f join lk m using (chrom, pos, famid), g3 gf, g3 gm where f.pid in (0, 4) and m.pid in (1, 5)),
+    fm as (select f.chrom, f.pos, f.famid, gf.g as gf, gm.g as gm, f.k[gf.g] * m.k[gm.g] as w from lk f join lk m using (chrom, pos, famid), g3 gf, g3 gm where f.pid in (0, 4) and m.pid in (1, 5)),
     ch as (select chrom, pos, famid, gf, gm, product({given}) as w from (select lk.*, gf.g as gf, gm.g as gm from lk, g3 gf, g3 gm where fatid >= 0) group by all),
-    fam as (select chrom, pos, famid, sum(fm.w * ch.w) as l from fm join ch using (chrom, pos, famid, gf, gm) group by all union all select chrom, pos, famid, sum({prior}[g] * k[g]) from lk, g3 where pid >= 8 group by all)
-    select chrom, pos, round(sum(log10(l)), 6) as llk from fam group by all"""
+    fam as (select chrom, pos, famid, f, sum(pr[gf] * pr[gm] * fm.w * ch.w) as l from fm join ch using (chrom, pos, famid, gf, gm), pts group by all
+        union all select chrom, pos, famid, f, sum(pr[g] * k[g]) from lk, g3, pts where pid >= 8 group by all),
+    wide as (select chrom, pos, f, sum(log10(l)) as l from fam group by all)"""
+
+
+@query(_wide_sql(GRID) + ", r as (select chrom, pos, f, round(l, 9) as l from wide) select chrom, pos, arg_max(f, (l, -f)) as ref_freq, round(max(l), 6) as llk from r group by chrom, pos")
+def wide_cohort_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calling.wide_cohort_frequencies(X.gl_obs(spark, sf_dir).where("chrom not in ('X', 'Y', 'MT')"), list(X.PEDIGREE12), GRID)
 
 
-@query(_wide_sql())
+@query(_wide_sql([_WIDE_F]) + " select chrom, pos, round(l, 6) as llk from wide")
 def wide_cohort_llk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One round of the wide cohort's search, at a fixed frequency."""
     obs = X.gl_obs(spark, sf_dir).where("chrom not in ('X', 'Y', 'MT')")
