@@ -1,12 +1,12 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-log P(token | history) is a sum of three softmaxes. The HEAD most frequent tokens are leaves of a tree of 16 x 16 x 16, in
+log P(token | history) is a sum of softmaxes. The HEAD most frequent tokens are leaves of a tree of 16 x 16 x 16, in
 order of their spelling from the end, so that a class holds alike endings: P(class), P(subclass | class), P(token |
-subclass), each given the history. All other tokens lie in TAIL_CLASSES further classes by the hash of their last two
-characters and have within it the add-one share of their count, unseen ones a single further place; so a history's
-probabilities sum to one. The features of a history are the last token, the last two, and the skips: the second
-last token and, at the first level, the third last; each is hashed to a row of weights, below the first level together
-with the parent.
+subclass), each given the history. All other tokens are one more outcome of the first level, the tail; they lie in TAIL_CLASSES
+classes by the hash of their last two characters, P(tail class | tail, history), and have within it the add-one share of their
+count, unseen ones a single further place; so a history's probabilities sum to one. The features of a history are the last token,
+the last two, and the skips: the second last token and, at the first level and the tail's, the third last; each is hashed to a
+row of weights, together with the level and the parent.
 
 Counts run over all training tokens. Every training position is learned from once. Texts are dealt into shards by the hash
 of their id and their text, shards into ROUNDS; in a round each shard takes minibatch gradient steps (AdaGrad) from the round's
@@ -40,12 +40,14 @@ from .common import cut, lower_bytes, worker_cache
 
 FAN = 16
 HEAD, TAIL_CLASSES = FAN**3, 48
-#: Outcomes of the three levels.
-WIDTHS = (FAN + TAIL_CLASSES, FAN, FAN)
+#: Outcomes of the levels: the first sixteenth of the head or else the tail (and one that never comes, as sums take two at a time), the
+#: next two sixteenths of the head, the tail's class.
+WIDTHS = (FAN + 2, FAN, FAN, TAIL_CLASSES)
+TAIL = 3
 KNOWN, LONGEST = 150_000, 48
 #: Rows of weights of each level: as many as there are distinct tokens, between these.
 LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 15
-BATCH, RATE, ROUNDS, FAN_IN, BLOCK = 2048, 0.15, 4, 16, 2048
+BATCH, RATE, ROUNDS, FAN_IN, BLOCK = 4096, 0.15, 4, 16, 2048
 #: Training tokens of a shard, and how many shards a round has at least and at most; beyond that shards grow.
 SHARD_TOKENS, LEAST_SHARDS, MOST_SHARDS = 3_000_000, 2, 1024
 #: The end of a text, which no word can be.
@@ -145,11 +147,12 @@ def initial(vocab: Vocabulary) -> Weights:
     """Log shares of the counts as biases, no features yet."""
     leaves = np.zeros(HEAD)
     np.add.at(leaves, vocab.leaf, vocab.counts[: len(vocab.leaf)])
-    first = np.concatenate([leaves.reshape(FAN, -1).sum(axis=1), 10.0**vocab.tail_log])
+    tail = 10.0**vocab.tail_log
+    first = np.concatenate([leaves.reshape(FAN, -1).sum(axis=1), [tail.sum(), 0]])
     free = np.zeros(HEAD, dtype=bool)
     free[vocab.leaf] = True  # leaves without a token get no share
-    has = [np.concatenate([free.reshape(FAN, -1).any(axis=1), np.ones(TAIL_CLASSES, dtype=bool)])[None], free.reshape(FAN, FAN, FAN).any(axis=2), free.reshape(FAN * FAN, FAN)]
-    mass = [first[None], leaves.reshape(FAN, FAN, FAN).sum(axis=2), leaves.reshape(FAN * FAN, FAN)]
+    has = [np.concatenate([free.reshape(FAN, -1).any(axis=1), [True, False]])[None], free.reshape(FAN, FAN, FAN).any(axis=2), free.reshape(FAN * FAN, FAN), np.ones((1, TAIL_CLASSES), dtype=bool)]
+    mass = [first[None], leaves.reshape(FAN, FAN, FAN).sum(axis=2), leaves.reshape(FAN * FAN, FAN), tail[None]]
     n = 1 << max(vocab.v - 1, 1).bit_length()
     n = min(max(n, LEAST_ROWS), MOST_ROWS)
     return Weights([np.where(h, np.log(m + 0.5), -30.0).astype(np.float32) for h, m in zip(has, mass, strict=True)], [np.zeros((n, w), dtype=np.float32) for w in WIDTHS])
@@ -176,8 +179,9 @@ class Batch:
         leaf = np.zeros(len(ids), dtype=np.int64)
         leaf[self.is_head] = vocab.leaf[ids[self.is_head]]
         self.tail, self.leaf = tail, leaf
-        self.target = np.where(self.is_head, leaf // (FAN * FAN), FAN + tail), leaf // FAN % FAN, leaf % FAN
-        self.parent = np.zeros(len(ids), dtype=np.int64), leaf // (FAN * FAN), leaf // FAN
+        none = np.zeros(len(ids), dtype=np.int64)
+        self.target = np.where(self.is_head, leaf // (FAN * FAN), FAN), leaf // FAN % FAN, leaf % FAN, tail
+        self.parent = none, leaf // (FAN * FAN), leaf // FAN, none
         seen, begin = np.where(known, ids, n_known - 1 - ids), n_known + TAIL_CLASSES
         self.back = []  # the last token of each history, the second and the third last
         for k in (1, 2, 3):
@@ -185,37 +189,37 @@ class Batch:
             w[k:] = np.where(self.place[k:] >= k, seen[:-k], begin)
             self.back.append(w)
 
+    def at(self, level: int) -> np.ndarray:
+        """The positions that a level tells apart."""
+        return np.arange(len(self.ids)) if level == 0 else np.flatnonzero(self.is_head != (level == TAIL))
+
     def rows(self, level: int, at: np.ndarray, n: int) -> np.ndarray:
         """The rows of the histories before the positions."""
         w1, w2, w3 = (w[at] for w in self.back)
         up, salt = (self.parent[level][at] + 1) * level, 8 * level
-        pairs = [(w1, 0), (w2, 0), (w1, w2 + 1)] + ([(w3, 0)] if level == 0 else [])
+        pairs = [(w1, 0), (w2, 0), (w1, w2 + 1)] + ([(w3, 0)] if level in (0, TAIL) else [])
         return np.stack([_mix(a, b, up, salt + k, n) for k, (a, b) in enumerate(pairs)], axis=1)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
-
-
-def _scores(w: Weights, b: Batch, level: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _raised(w: Weights, b: Batch, level: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The scores of each position's outcomes, less the greatest."""
     table = w.rows[level]
     z = w.bias[level][b.parent[level][at]]
     for k in range(rows.shape[1]):
         z += table[rows[:, k]]
-    return _log_softmax(z)
+    z -= z.max(axis=1, keepdims=True)
+    return z
 
 
 def log_prob(b: Batch, w: Weights, vocab: Vocabulary) -> np.ndarray:
     """log10 of each token's probability, less log10(c + 1) of the tokens that the vocabulary does not hold."""
     out = np.zeros(len(b.ids))
     for level in range(len(WIDTHS)):
-        at = np.flatnonzero(b.is_head) if level else np.arange(len(out))
+        at = b.at(level)
         for lo in range(0, len(at), 1_024):
             i = at[lo : lo + 1_024]
-            p = _scores(w, b, level, i, b.rows(level, i, len(w.rows[level])))
-            out[i] += p[np.arange(len(i)), b.target[level][i]]
+            z = _raised(w, b, level, i, b.rows(level, i, len(w.rows[level])))
+            out[i] += z[np.arange(len(i)), b.target[level][i]] - np.log(np.exp(z, out=z).sum(axis=1))
     out /= np.log(10.0)
     low = np.flatnonzero(~b.is_head)
     out[low] -= vocab.tail_log[b.tail[low]]
@@ -234,11 +238,13 @@ class Trainer:
 
     def learn(self, b: Batch) -> None:
         for level in range(len(WIDTHS)):
-            at = np.flatnonzero(b.is_head) if level else np.arange(len(b.ids))
+            at = b.at(level)
             for lo in range(0, len(at), BATCH):
                 i = at[lo : lo + BATCH]
                 rows = b.rows(level, i, len(self.w.rows[level]))
-                grad = np.exp(_scores(self.w, b, level, i, rows))
+                grad = _raised(self.w, b, level, i, rows)
+                np.exp(grad, out=grad)
+                grad /= grad.sum(axis=1, keepdims=True)
                 grad[np.arange(len(i)), b.target[level][i]] -= 1
                 self._step(level, rows, grad)
 
