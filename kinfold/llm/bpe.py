@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,7 +63,7 @@ class BytePairEncoder:
             self.table_key[at[free]], self.table_id[at[free]] = left_key[free], left_id[free]
             lost = self.table_key[at] != left_key
             left_key, left_id, at = left_key[lost], left_id[lost], (at[lost] + 1) & (self.slots - 1)
-        self.cache: dict[str, tuple[int, ...]] = {}  # pieces and their ids; a worker's tasks share it through encoder()
+        self.cache: dict[str, bytes] = {}  # pieces and their packed ids; a worker's tasks share it through encoder()
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key * np.int64(0x9E3779B97F4A7C1)) >> np.int64(20)) & (self.slots - 1)
@@ -173,19 +174,23 @@ class BytePairEncoder:
             b = s.encode("utf-8", "replace")
             whole = self.ranks.get(b)
             if whole is not None:
-                self.cache[s] = (whole,)
+                self.cache[s] = _packed([whole])
             elif len(b) > SHORT:
-                self.cache[s] = tuple(self.merge_long(b))
+                self.cache[s] = _packed(self.merge_long(b))
             else:
                 groups.setdefault(1 << (len(b) - 1).bit_length(), []).append((s, b))
         for size, members in groups.items():
             for at in range(0, len(members), 16_384):
                 part = members[at : at + 16_384]
                 for (s, _), got in zip(part, self.merge_short([b for _, b in part], size), strict=True):
-                    self.cache[s] = tuple(got)
+                    self.cache[s] = _packed(got)
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text, in blocks that bound what is held at once."""
+        """The ids of each text."""
+        return (x.tolist() for x in self.packed_batch(texts))
+
+    def packed_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text as int32, in blocks that bound what is held at once."""
         block: list[list[str]] = []
         held = 0
         for text in texts:
@@ -196,20 +201,20 @@ class BytePairEncoder:
                 block, held = [], 0
         yield from self._block(block)
 
-    def _block(self, block: list[list[str]]) -> Iterator[list[int]]:
+    def _block(self, block: list[list[str]]) -> Iterator[np.ndarray]:
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
         self.learn([p for p in set().union(*block) if p not in self.cache])
         cache = self.cache
         for pieces in block:
-            yield [i for p in pieces for i in cache[p]]
+            yield np.frombuffer(b"".join(map(cache.__getitem__, pieces)), dtype=np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-def _int_array(ids: list[int]) -> np.ndarray:
-    return np.array(ids, dtype=np.int32)
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
 
 _encoders: dict[tuple[str, str], BytePairEncoder] = {}
@@ -231,7 +236,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         enc = encoder(ranks_path, pattern)
         for pdf in parts(batches):
             texts = pdf["text"].fillna("").tolist()
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "ids": pd.Series(list(map(_int_array, enc.encode_batch(texts))), dtype=object)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "ids": pd.Series(list(enc.packed_batch(texts)), dtype=object)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids array<int>")
 
@@ -254,7 +259,7 @@ def encode_checked(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         enc = encoder(ranks_path, pattern)
         for pdf in parts(batches):
             texts = pdf["text"].fillna("").tolist()
-            ids = list(map(_int_array, enc.encode_batch(texts)))
+            ids = list(enc.packed_batch(texts))
             same = [enc.decode(x.tolist()) == t.encode("utf-8", "replace") for x, t in zip(ids, texts, strict=True)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "ids": pd.Series(ids, dtype=object), "n_tokens": [len(x) for x in ids], "round_trip": same})
 

@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,8 +53,9 @@ _caches: dict[object, dict] = {}
 
 
 def release() -> None:
-    """Give freed memory back to the system, where the C library can."""
+    """Give freed memory back to the system: Arrow's pool, and the C library's where it can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError, TypeError):
