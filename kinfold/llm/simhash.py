@@ -133,8 +133,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, hot: int
 SHINGLE = 5
 #: Rows that may be broadcast, of 16 bytes.
 MAX_PAIRED_TEXTS, MAX_BUCKETS = 500_000, 1_000_000
-#: One of so many texts is counted, into so many slots, for the order of shingles; so many slots are kept.
-COUNTED, SLOTS, MAX_COMMON = 8, 1 << 20, 1 << 16
+#: Slots into which the shingles of all texts are counted for their order.
+SLOTS = 1 << 20
 #: Longs of the parities that travel with a text into its buckets; of its wide ones there are as many as it has shingles / 64.
 LONGS = 8
 
@@ -146,7 +146,7 @@ def shingle_hashes(text: str | None, n: int = SHINGLE) -> np.ndarray:
 
 
 def prefix(sh: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles in the order of (count of the slot, hash). Texts of n and m shingles, n // 5 of which at most are
+    """The first shingles in the order of (rank of the slot, hash). Texts of n and m shingles, n // 5 of which at most are
     not shared, have one in common among their first n // 5 + 1 and m // 5 + 1, and two (if n, m > 1) among one more."""
     return sh[np.lexsort((sh, common[sh & (SLOTS - 1)]))][: len(sh) // 5 + 2]
 
@@ -175,22 +175,23 @@ def sifted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut(met.where(9 * apart <= F.col("nx") + F.col("ny")).select("u", "v"))
 
 
-def common_slots(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the commonest shingles and their counts. They only order shingles, so that common ones come last and buckets
-    stay small: any counts give the same pairs, so a part of the texts will do."""
+def common_slots(texts: DataFrame) -> np.ndarray:
+    """For each slot the rank of its count among the counts of all slots. Every text's distinct shingles count, so that common
+    ones come last and buckets stay small. Any ranks give the same pairs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_cache("simhash")  # drops those of other operators
         n = np.zeros(SLOTS, dtype=np.int64)
         for pdf in batches:
             for t in pdf["text"]:
-                n[shingle_hashes(t) & (SLOTS - 1)] += 1
-        at = np.flatnonzero(n > 1)
-        yield pd.DataFrame({"slot": at, "n": n[at]})
+                np.add.at(n, shingle_hashes(t) & (SLOTS - 1), 1)  # two shingles of a text may share a slot
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"slot": at.astype(np.int32), "n": n[at]})
 
-    part = texts.where(F.pmod("own", F.lit(COUNTED)) == 0).select("text")
-    got = part.mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(MAX_COMMON).toPandas()
-    return got["slot"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    got = texts.select("text").mapInPandas(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    counts[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return np.unique(counts, return_inverse=True)[1].astype(np.int32)
 
 
 def crossing(own: np.ndarray, root: np.ndarray, n: np.ndarray, i: np.ndarray, par: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -271,12 +272,10 @@ def near_copies(docs: DataFrame, radius: int = 3, shingle: int = 3, hot: int = H
     has it, or four fifths of equal five-word shingles. head: whether the row's id and text stand for the component,
     which rows that repeat both share."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), "text")
-    slots, counts = common_slots(texts)
+    common = common_slots(texts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_cache("simhash")  # drops those of other operators
-        common = np.zeros(SLOTS, dtype=np.int64)
-        common[slots] = counts
         for pdf in parts(batches):
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], dtype=np.uint64)
             sets = [shingle_hashes(t) for t in pdf["text"]]
