@@ -7,6 +7,8 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -422,36 +424,40 @@ def refine_vcf(vcf: DataFrame, sample_names: list[str], people: list[tuple], o:
     field = lambda tag: F.array(*[sample_field(F.get("samples", F.lit(i)), format_index(F.col("format"), tag)) if i >= 0 else F.lit(None).cast("string") for i in at])
     has_pl = format_index(F.col("format"), "PL") >= 0
     rows = rows.select("chrom", "pos", "id", "ref", "alt", "filter", likelihood_triples(F.col("format"), F.col("samples"), at).alias("pl3"), field("DP").alias("dp"), F.when(has_pl, F.lit("PL")).otherwise(F.lit("GL")).alias("tag"), F.when(has_pl, field("PL")).otherwise(field("GL")).alias("likelihoods"))
+    # one flat array a record: three numbers of each person, nulls without likelihoods
+    none = F.array(*[F.lit(None).cast("double")] * 3)
+    rows = rows.withColumn("pl3", F.flatten(F.transform("pl3", lambda x: F.coalesce(x, none))))
     here = np.array([i >= 0 for i in at])
     classes = {o.chrom_x: "X", o.chrom_y: "Y", o.chrom_mt: "MT"}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models: dict[tuple, Model] = {}
-        for pdf in batches:
-            klass = pdf["chrom"].map(lambda c: classes.get(c, "autosome"))
-            indel = (pdf["ref"].str.len() > 1) | (pdf["alt"].str.len() > 1)
-            for key, group in pdf.groupby([klass, indel]):
-                if key not in models:
-                    own = replace(o, theta=o.indel_theta) if key[1] and not o.compat else o
-                    models[key] = Model(people, key[0], own, always_optimise=True)
-                    if o.compat:  # one prior for all chromosomes
-                        models[key].prior = o.theta * prior_scale(people, "autosome")
-                for lo in range(0, len(group), o.batch):
-                    yield _refine(group.iloc[lo : lo + o.batch], models[key], bool(key[1]), o, here)
-
-    return rows.mapInPandas(run, REFINED)
-
-
-def _refine(part: pd.DataFrame, model: Model, indel: bool, o: Options, here: np.ndarray) -> pd.DataFrame:
-    pl = np.stack([np.stack([np.zeros(3) if y is None else np.asarray(y, dtype=float) for y in x]) for x in part["pl3"]])
-    seen = np.array([any(y is not None for y in x) for x in part["pl3"]])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, o.batch):  # no more than this is unpacked at once
+                part = batch.slice(lo, o.batch)
+                kind = pd.DataFrame({"klass": [classes.get(c, "autosome") for c in part["chrom"].to_pylist()], "indel": pc.or_kleene(*[pc.greater(pc.utf8_length(part[c]), 1) for c in ("ref", "alt")]).to_pylist()})
+                for key, places in kind.groupby(["klass", "indel"]).indices.items():
+                    if key not in models:
+                        own = replace(o, theta=o.indel_theta) if key[1] and not o.compat else o
+                        models[key] = Model(people, key[0], own, always_optimise=True)
+                        if o.compat:  # one prior for all chromosomes
+                            models[key].prior = o.theta * prior_scale(people, "autosome")
+                    yield _refine(part.take(pa.array(places)), models[key], bool(key[1]), o, here)
+
+    return rows.mapInArrow(run, REFINED)
+
+
+def _refine(part: pa.RecordBatch, model: Model, indel: bool, o: Options, here: np.ndarray) -> pa.RecordBatch:
+    pl = part["pl3"].flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1, 3)
+    seen = ~np.isnan(pl).all(axis=(1, 2))
+    pl = np.nan_to_num(pl)
     lk = np.power(10.0, -np.minimum(pl, 255) / 10)
     f, llk = model.maximum(lk)
     mono = np.log10(1 - model.prior) - pl[:, :, 0].sum(axis=1) / 10
     kinds = ("AG", "CT") if o.compat else ("AG", "GA", "CT", "TC")
-    ts = [(a + b).upper() in kinds for a, b in zip(part["ref"], part["alt"], strict=True)]
+    ts = [(a + b).upper() in kinds for a, b in zip(part["ref"].to_pylist(), part["alt"].to_pylist(), strict=True)]
     p_ts = 2 / 3 if o.compat else o.poly_tstv / (1 + o.poly_tstv)
-    share = np.ones(len(part)) if indel else np.where(ts, p_ts, (1 - p_ts) / 2)
+    share = np.ones(part.num_rows) if indel else np.where(ts, p_ts, (1 - p_ts) / 2)
     # compat: the prior of a polymorphism is lost from the score of a substitution
     poly = np.log10(share if o.compat and not indel else model.prior * share) + llk
     _, p = K.config_posterior(np.stack([mono, poly], axis=1))
@@ -460,7 +466,7 @@ def _refine(part: pd.DataFrame, model: Model, indel: bool, o: Options, here: np.
     _, post = model.llk(lk, f, marginals=True)
     best, gq = post.argmax(axis=2), K.genotype_quality(post.max(axis=2))
     gq[~seen] = 0
-    return pd.DataFrame({
-        "chrom": part["chrom"].array, "pos": part["pos"].array, "id": part["id"].array, "ref": part["ref"].array, "alt": part["alt"].array, "qual": np.where(seen, qual, np.nan), "filter": part["filter"].array, "ref_freq": f,
-        "gt": list(best), "gq": list(gq), "ac": best[:, here].sum(axis=1), "dp": part["dp"].array, "tag": part["tag"].array, "likelihoods": part["likelihoods"].array,
-    })
+    lists = lambda x: pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.astype(np.int32).ravel())
+    new = {"qual": pa.array(np.where(seen, qual, np.nan), from_pandas=True), "ref_freq": pa.array(f), "gt": lists(best), "gq": lists(gq), "ac": pa.array(best[:, here].sum(axis=1).astype(np.int32))}
+    names = [x.split()[0] for x in REFINED.split(", ")]
+    return pa.RecordBatch.from_arrays([new[x] if x in new else part[x] for x in names], names=names)
