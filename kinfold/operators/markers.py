@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.kernels import chi2_tail, normal_quantile, t_tail
-from kinfold.functions.scalars import ibs
+from kinfold.functions.scalars import ibs, let
 from kinfold.operators.pedigrees import with_nulls
 from kinfold.operators.scans import prefix_sums
 
@@ -144,10 +144,13 @@ def sibship_errors(geno: DataFrame, ped: DataFrame) -> DataFrame:
     over four, or with four alleles of which one stands in over two genotypes."""
     c = typed(geno).join(small(with_nulls(ped).where("fatid is not null")), ["famid", "pid"])
     keys = ["marker", "famid", "fatid", "motid"]
-    kinds = c.select(*keys, F.least("a1", "a2").alias("lo"), F.greatest("a1", "a2").alias("hi")).distinct()
-    n = kinds.groupBy(*keys).agg(F.count("*").alias("kinds"), F.count(F.when(F.col("lo") == F.col("hi"), 1)).alias("hom"))
-    per = kinds.select(*keys, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("allele")).groupBy(*keys, "allele").agg(F.count("*").alias("k")).groupBy(*keys).agg(F.count("*").alias("alleles"), F.max("k").alias("most"))
-    return n.join(per, keys).where("kinds > 4 or alleles + hom > 4 or (alleles = 4 and most > 2)").select(*keys)
+    # one state a sibship: its distinct genotypes, no more than it has typed children
+    s = c.groupBy(*keys).agg(F.collect_set(F.struct(F.least("a1", "a2").alias("lo"), F.greatest("a1", "a2").alias("hi"))).alias("kinds"))
+    alleles = F.array_distinct(F.flatten(F.transform("kinds", lambda k: F.array(k["lo"], k["hi"]))))
+    most = lambda a: F.array_max(F.transform(a, lambda x: F.size(F.filter("kinds", lambda k: (k["lo"] == x) | (k["hi"] == x)))))
+    hom = F.size(F.filter("kinds", lambda k: k["lo"] == k["hi"]))
+    wrong = lambda a: (F.size("kinds") > 4) | (F.size(a) + hom > 4) | ((F.size(a) == 4) & (most(a) > 2))
+    return s.where(let(alleles, wrong)).select(*keys)
 
 
 def sib_sharing(geno: DataFrame, ped: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 MAGIC = b"\x6c\x1b"
-#: Bytes of one task's rows, and genotypes of one batch.
-TASK_BYTES, BATCH = 4 << 20, 200_000
+#: Bytes of one task's rows (four genotypes a byte), genotypes of one batch, and bytes written at once.
+TASK_BYTES, BATCH, HELD = 1 << 20, 200_000, 1 << 20
 Runs = list[tuple[int, int]]
 
 
@@ -148,13 +148,14 @@ class ByteWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         n, file = 0, os.open(self.part, os.O_RDWR | os.O_CREAT, 0o644)
         try:
-            held, start, end = [], 0, -1
+            held, size, start, end = [], 0, 0, -1
             for batch in iterator:
                 for at, data in zip(batch.column("at").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                    if at != end or sum(map(len, held)) > 1 << 20:  # neighbours are written at once
+                    if at != end or size > HELD:  # neighbours are written at once
                         self.put(file, held, start)
-                        held, start, end = [], at, at
+                        held, size, start, end = [], 0, at, at
                     held.append(data)
+                    size += len(data)
                     end += len(data)
                     n += len(data)
             self.put(file, held, start)
