@@ -134,7 +134,8 @@ def write_plink(vcf: DataFrame, names: list[str], prefix: str) -> None:
     every task writes its own bytes of both files. Only two sums reach the driver, and the names that came from it."""
     step = max(1, (len(names) + 3) // 4)
     line = F.concat(F.concat_ws("\t", F.col("chrom").cast("string"), "name", F.lit("0"), F.col("pos").cast("string"), "ref", "alt"), F.lit("\n"))
-    rows = plink_markers(vcf).withColumn("line", line.cast("binary")).withColumns({"_all": F.lit(0), "_one": F.lit(1), "_len": F.octet_length("line")})
+    # written first, as ranges are found in one pass over the rows and dealt out in another
+    rows = written(plink_markers(vcf)).withColumn("line", line.cast("binary")).withColumns({"_all": F.lit(0), "_one": F.lit(1), "_len": F.octet_length("line")})
     placed = written(prefix_sums(rows, ["_all"], ["chrom", "pos", "name", "ref", "alt", "bed"], {"n": "_one", "end": "_len"}))
     n, size = placed.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max("end"), F.lit(0))).first()
     head = vcf.sparkSession.createDataFrame([(0, b"\x6c\x1b\1")], "at long, data binary")

@@ -80,13 +80,24 @@ def _observations(div: str, array: str, ints: str) -> list[str]:
     ]
 
 
+# Alleles in which genotype g differs from the true one, by [true][g]. A table, as the same in ten expressions makes a method that Java
+# never compiles.
+_FAR = [[2 - max((x == a) + (y == b), (x == b) + (y == a)) for a, b in GENOTYPES] for x, y in GENOTYPES]
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """site, chrom, pos, ref_base, alt_base, sample_id, depth, map_qual, the true alleles a1 and a2, pl[10]."""
     base = table(spark, sf_dir, "lineitem").groupBy("l_partkey", (F.col("l_orderkey") % SAMPLES).cast("int").alias("p")).agg(F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("t"))
-    out = with_site(base, "l_partkey").drop("l_partkey")
-    for step in _observations("div", "array({})", "int"):
-        out = spark.sql(step.format("{df}"), df=out)
-    return out
+    out = spark.sql(_observations("div", "array({})", "int")[0].format("{df}"), df=with_site(base, "l_partkey").drop("l_partkey"))
+    index = lambda a, b: F.expr(_INDEX.format(a=a, b=b, div="div")).cast("int")
+    het = F.when(index("a1", "a2") == index("ref_base", "alt_base"), index("ref_base", "ref_base")).otherwise(index("ref_base", "alt_base"))
+    out = out.withColumns({"g_true": index("a1", "a2"), "g_other": het})
+    far = F.coalesce(F.get(F.lit(_FAR), "g_true"), F.lit([2] * len(GENOTYPES)))
+    pl = lambda n: F.least(F.lit(255), 4 * F.col("depth") * n).cast("smallint")
+    other = lambda g: F.when(g == F.col("g_true"), F.col("g_other")).when(g == F.col("g_other"), F.col("g_true")).otherwise(g)
+    swapped = F.transform(F.lit(list(range(len(GENOTYPES)))), lambda g: pl(F.get(far, other(g))))
+    out = out.withColumn("pl", F.when(F.col("t") % 19 == 0, swapped).otherwise(F.transform(far, pl)))
+    return out.select("site", "chrom", "pos", "ref_base", "alt_base", F.col("p").alias("sample_id"), "depth", "map_qual", "a1", "a2", "pl")
 
 
 _BASE_SQL = ("select l_partkey as site, cast(l_orderkey % 12 as int) as p, min(l_orderkey * 8 + l_linenumber) as t, " + ", ".join(x.replace("site", "l_partkey").replace("as "
@@ -123,14 +134,17 @@ def vcf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chrom, pos (1-based), id, ref, alt, qual, filter, info, format, samples array<string> of twelve samples."""
     from kinfold.functions.scalars import base_label
 
-    o = observations(spark, sf_dir)
     ref, alt = F.col("ref_base"), F.col("alt_base")
     index = lambda a, b: F.expr(_INDEX.format(a=a, b=b, div="div"))
-    pl = [F.get("pl", index(a, b)) for a, b in (("ref_base", "ref_base"), ("ref_base", "alt_base"), ("alt_base", "alt_base"))]
+    # columns in steps: what is named often is computed once
+    o = observations(spark, sf_dir).withColumns({f"p{k}": F.get("pl", index(*x)).cast("int") for k, x in enumerate((("ref_base", "ref_base"), ("ref_base", "alt_base"), ("alt_base", "alt_base")))})
+    pl = [F.col(f"p{k}") for k in range(3)]
     best = F.when((pl[0] <= pl[1]) & (pl[0] <= pl[2]), F.lit("0/0")).when(pl[1] <= pl[2], F.lit("0/1")).otherwise(F.lit("1/1"))
-    second = pl[0] + pl[1] + pl[2] - F.greatest(*pl) - F.least(*pl)
-    text = F.when((F.col("site") % 31 == 0) & (F.col("sample_id") == 4), F.lit(".")).otherwise(F.concat_ws(":", best, F.least(second, F.lit(100)), "depth", F.concat_ws(",", *pl)))
-    g = o.withColumn("text", text).groupBy("site", "chrom", "pos", "ref_base", "alt_base").agg(F.collect_list(F.struct("sample_id", "text")).alias("s"), F.sum("depth").alias("dp"))
+    o = o.withColumns({"best": best, "second": pl[0] + pl[1] + pl[2] - F.greatest(*pl) - F.least(*pl)})
+    text = F.when((F.col("site") % 31 == 0) & (F.col("sample_id") == 4), F.lit(".")).otherwise(F.concat_ws(":", "best", F.least("second", F.lit(100)), "depth", F.concat_ws(",", *pl)))
+    # the site's values as minima, not keys, so that filters on them are not computed for every row of lineitem
+    of_site = [F.min(c).alias(c) for c in ("chrom", "pos", "ref_base", "alt_base")]
+    g = o.withColumn("text", text).groupBy("site").agg(*of_site, F.collect_list(F.struct("sample_id", "text")).alias("s"), F.sum("depth").alias("dp"))
     by_id = F.map_from_entries("s")
     samples = F.array(*[F.coalesce(F.try_element_at(by_id, F.lit(k)), F.lit("./.")) for k in range(SAMPLES)])
     alt_text = F.when(F.col("site") % 23 == 0, F.lit("A,C")).when(F.col("site") % 29 == 0, F.concat(base_label(alt), F.lit("A"))).otherwise(base_label(alt))
