@@ -224,6 +224,69 @@ def peel(fam: Family, own: np.ndarray, tables: dict[int, np.ndarray], joint: np.
     return total, np.where(sums > 0, out / np.where(sums > 0, sums, 1), 0.0)
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials [.., degree, S]."""
+    if a.shape[-2] < b.shape[-2]:
+        a, b = b, a
+    n = a.shape[-2]
+    out = np.zeros((*np.broadcast_shapes(a.shape[:-2], b.shape[:-2]), n + b.shape[-2] - 1, a.shape[-1]))
+    for j in range(b.shape[-2]):
+        out[..., j : j + n, :] += a * b[..., j : j + 1, :]
+    return out
+
+
+def allele_counts(fam: Family, own: np.ndarray, tables: dict[int, np.ndarray], klass: str) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 of a scale [S], c [k + 1, S]): at the frequency f the family's likelihood is the scale times the sum over j of
+    c[j] f^j (1 - f)^(k - j), where j counts the reference alleles among the founders' k. own: [S, n, 3], without a prior.
+
+    Messages run towards the root as in peel(); each is a polynomial with terms above zero only, so that nothing cancels."""
+    s = len(own)
+    data = np.ascontiguousarray(np.moveaxis(own, 0, 2))[:, :, None, :]  # [n, 3, 1, S]
+    persons = list(data)
+    for i in fam.founders:
+        k = founder_copies(klass, fam.sex[i])
+        persons[i] = np.zeros((3, k + 1, s))
+        for g, j in ((0, k), (1, 1), (2, 0)) if k == 2 else ((0, k), (2, 0)) if k else ((0, 0),):
+            persons[i][g, j] = data[i, g, 0] * (2 if g == 1 else 1)
+    messages: dict[tuple, np.ndarray] = {}
+    total = np.zeros(s)
+
+    def of_person(p: int, but: tuple[int, int] | None) -> np.ndarray:
+        out = persons[p]
+        for couple in fam.couples:
+            if couple != but and ("c", couple, p) in messages:
+                out = _times(out, messages["c", couple, p])
+        return out
+
+    def to_person(couple: tuple[int, int], p: int) -> np.ndarray:
+        f, m = couple
+        both = np.ones((3, 3, 1, s))
+        for c in fam.couples[couple]:
+            if c != p:
+                both = _times(both, np.tensordot(tables[c], messages["p", c, couple], axes=(0, 0)))
+        if p != f:
+            both = _times(both, messages["p", f, couple][:, None])
+        if p != m:
+            both = _times(both, messages["p", m, couple][None])
+        return both.sum(axis=1) if p == f else both.sum(axis=0) if p == m else np.tensordot(tables[p], both, axes=2)
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        top = x.max(axis=tuple(range(x.ndim - 1)))
+        with np.errstate(divide="ignore"):
+            total[:] += np.log10(top)
+        return x / np.where(top > 0, top, 1.0)
+
+    for kind, p, couple in fam.order:
+        if kind == "up":
+            messages["p", p, couple] = scaled(of_person(p, couple))
+        else:
+            messages["c", couple, p] = scaled(to_person(couple, p))
+    c = np.ones((1, s))
+    for root in fam.roots:
+        c = scaled(_times(c, of_person(root, None).sum(axis=0)))
+    return total, c
+
+
 def bounded_maximum(value, s: int, steps: int = 60, grid: int = 17, width: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """(f, value(f)) maximising value: [S] -> [S] over [LOW, HIGH], each site by itself: the best point of a grid, then
     golden sections around it for all sites at once, until all are within the width."""

@@ -54,15 +54,23 @@ class Model:
         self.copies = np.zeros(self.n)
         self.copies[[i for i, _ in founders]] = [c for _, c in founders]
 
+    def _own(self, fam: K.Family, own: np.ndarray) -> np.ndarray:
+        if self.klass == "Y":
+            for i, sex in enumerate(fam.sex):
+                if sex == 2:
+                    own[:, i] = 1.0 if fam.father[i] < 0 else 1 / 3  # her data count nothing
+        return own
+
+    def allele_counts(self, lk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The likelihood of a pedigree of one family as a polynomial of the reference frequency."""
+        (fam,), (at,), (tables,) = self.fams, self.index, self.tables
+        return K.allele_counts(fam, self._own(fam, lk[:, at].copy()), tables, self.klass)
+
     def llk(self, lk: np.ndarray, f: np.ndarray, marginals: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """log10 likelihood [S] and posteriors [S, N, 3] of likelihoods [S, N, 3] at reference frequencies f."""
         total, post = np.zeros(len(lk)), np.zeros_like(lk) if marginals else None
         for fam, at, tables in zip(self.fams, self.index, self.tables, strict=True):
-            own = lk[:, at].copy()
-            if self.klass == "Y":
-                for i, sex in enumerate(fam.sex):
-                    if sex == 2:
-                        own[:, i] = 1.0 if fam.father[i] < 0 else 1 / 3  # her data count nothing
+            own = self._own(fam, lk[:, at].copy())
             if not self.lone:
                 for i in fam.founders:
                     own[:, i] *= K.founder_prior(f, self.klass, fam.sex[i])

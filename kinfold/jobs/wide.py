@@ -1,8 +1,9 @@
 """Calling of cohorts that are too wide for one row: nothing is wider than a family at a site.
 
 Observations become rows of one family at one site, bucketed by site once. Frequencies are searched in rounds: a table of
-brackets, one row for each site and configuration of alleles, asks for points; family rows answer with their log10
-likelihood and expected founder alleles, whose sums (partial in each task) move the brackets. The rounds end when all
+brackets, one row for each site and configuration of alleles, asks for points; families answer with their log10
+likelihood and expected founder alleles, whose sums move the brackets. A family's likelihood is a polynomial of the frequency,
+whose coefficients are computed once, so that a round is a join and a sum of plain expressions. The rounds end when all
 brackets are narrower than `prec`; sites in doubt start once more from the best point of a grid. The frequency found is then
 joined back for one up-down pass per family. The pedigree is a table too; families of equal shape are computed together.
 """
@@ -10,9 +11,11 @@ joined back for one up-down pass per family. The pedigree is a table too; famili
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ ENDS = (K.LOW, 0.5, K.HIGH)
 GRID = tuple(np.linspace(K.LOW, K.HIGH, 17).tolist())
 #: Rounds of the search from the ends and of the one from a grid's best point, which needs 10 to halve a cell down to 1e-4.
 SECANTS, HALVINGS = 8, 14
+#: Founder alleles of a family whose likelihood is kept as a polynomial: its terms stay within a double's range from LOW to HIGH.
+MOST_ALLELES = 32
 
 
 def families(ped: DataFrame) -> DataFrame:
@@ -104,6 +109,11 @@ def _alleles(ref: np.ndarray, config: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def answers(rows: DataFrame, asked: DataFrame, points: int, o: Options) -> DataFrame:
     """chrom, pos, config and for each asked point l<i> (log10 likelihood), e<i> (expected reference share). asked: chrom, pos, ref_base,
     config, x (array of points). Family rows stay where their bucket is; what is asked comes to them."""
+    return _shares(_sums(rows, asked, points, o), points)
+
+
+def _sums(rows: DataFrame, asked: DataFrame, points: int, o: Options) -> DataFrame:
+    """What answers() divides: n, the founders' alleles, and for each point l<i> and the expected reference alleles e<i>."""
     by_site = asked.groupBy(*KEYS).agg(F.first("ref_base").alias("ref_base"), F.collect_list(F.struct("config", "x")).alias("q"))
     j = rows.select(*KEYS, "shape", "pl").join(by_site.hint("shuffle_hash"), list(KEYS)).select(*KEYS, "shape", "pl", "ref_base", F.col("q.config").alias("configs"), F.flatten("q.x").alias("x"))
     names = [f"{c}{i}" for c in "le" for i in range(points)]
@@ -122,10 +132,65 @@ def answers(rows: DataFrame, asked: DataFrame, points: int, o: Options) -> DataF
                 yield pd.DataFrame({"chrom": part["chrom"].to_numpy()[of], "pos": part["pos"].to_numpy()[of], "config": config, "n": n} | dict(zip(names, [v for v, _ in got] + [e * n for _, e in got], strict=True)))
 
     kind = "chrom string, pos int, config int, n double, " + ", ".join(f"{x} double" for x in names)
-    s = j.mapInPandas(run, kind).groupBy(*KEYS, "config").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names])
+    return j.mapInPandas(run, kind).groupBy(*KEYS, "config").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names])
+
+
+def _shares(s: DataFrame, points: int, *others: str) -> DataFrame:
     # without founder alleles of this class the frequency has no say
     share = lambda i: F.when(F.col("n") > 0, F.col(f"e{i}") / F.col("n"))
-    return s.select(*KEYS, "config", *[f"l{i}" for i in range(points)], *[share(i).alias(f"e{i}") for i in range(points)])
+    return s.select(*KEYS, "config", *others, *[f"l{i}" for i in range(points)], *[share(i).alias(f"e{i}") for i in range(points)])
+
+
+def _counted(rows: DataFrame, which: DataFrame, configs: tuple[int, ...], degree: int, o: Options) -> DataFrame:
+    """chrom, pos, config, n, scale, c0 to c<degree>: each family's likelihood as a polynomial of the frequency (kernels.allele_counts())."""
+    j = rows.select(*KEYS, "shape", "pl").join(which.select(*KEYS, "ref_base").hint("shuffle_hash"), list(KEYS))
+    names = [f"c{i}" for i in range(degree + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = Shapes(o)
+        for batch in batches:
+            pdf = batch.select(["chrom", "pos", "shape", "ref_base"]).to_pandas()
+            lists = batch.column("pl")
+            begin, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for model, at in shapes.groups(pdf):
+                pl = flat[begin[at][:, None] + np.arange(model.n * 10)].astype(np.int64).reshape(len(at), model.n, 10)
+                part, ref = pdf.iloc[at], pdf["ref_base"].to_numpy()[at].astype(int)
+                for config in configs:
+                    scale, c = model.allele_counts(_likelihoods(pl, *_alleles(ref, np.full(len(at), config))))
+                    c = np.concatenate([c, np.zeros((degree + 1 - len(c), len(at)))])
+                    out = {"chrom": part["chrom"], "pos": part["pos"], "config": np.full(len(at), config, dtype=np.int32), "n": np.full(len(at), model.copies.sum()), "scale": scale}
+                    yield pa.RecordBatch.from_pydict(out | dict(zip(names, c, strict=True)))
+
+    return j.mapInArrow(run, "chrom string, pos int, config int, n double, scale double, " + ", ".join(f"{x} double" for x in names))
+
+
+class Cohort:
+    """The families' likelihoods of some sites and configurations, ready to be asked at frequencies: polynomials of their founders'
+    alleles, made once; families with more than MOST_ALLELES of these are computed at each point by answers()."""
+
+    def __init__(self, rows: DataFrame, which: DataFrame, configs: tuple[int, ...], o: Options):
+        alleles = 2 * F.size(F.filter(F.split("shape", ";"), lambda x: x.startswith("-1,-1,")))
+        few, many = alleles <= MOST_ALLELES, alleles > MOST_ALLELES
+        r = rows.select("shape").distinct().agg(F.max(F.when(few, alleles)).alias("degree"), F.count(F.when(many, 1)).alias("many")).first()
+        self.o, self.degree = o, r.degree or 0
+        self.counted = bucketed(_counted(rows.where(few), which, configs, self.degree, o), *KEYS, "config")
+        self.rest = rows.where(many) if r.many else None
+
+    def answered(self, what: DataFrame, points: int) -> DataFrame:
+        """what (chrom, pos, config, x (array of points) and others) and, without x, for each point l<i> and e<i> as answers() has them."""
+        keys, own = [*KEYS, "config"], [c for c in what.columns if c not in (*KEYS, "config", "x")]
+        j = self.counted.join(what.select(*keys, *own, *[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(points)]).hint("shuffle_hash"), keys)
+        j = j.withColumns({f"t{i}": F.col(f"x{i}") / (1 - F.col(f"x{i}")) for i in range(points)})
+        sums = lambda i, weight: reduce(lambda a, k: a * F.col(f"t{i}") + F.col(f"c{k}") * weight(k), range(self.degree - 1, -1, -1), F.col(f"c{self.degree}") * weight(self.degree))
+        j = j.withColumns({f"s{i}": sums(i, lambda k: F.lit(1.0)) for i in range(points)} | {f"d{i}": sums(i, lambda k: F.lit(float(k))) for i in range(points)})
+        some = lambda i: F.col(f"s{i}") > 0
+        l = {f"l{i}": F.when(some(i), F.log10(f"s{i}") + F.col("n") * F.log10(1 - F.col(f"x{i}")) + F.col("scale")).otherwise(F.lit(float("-inf"))) for i in range(points)}
+        e = {f"e{i}": F.when(some(i), F.col(f"d{i}") / F.col(f"s{i}")).otherwise(F.lit(0.0)) for i in range(points)}
+        total = [F.sum("n").alias("n"), *[F.sum(c).alias(k) for k, c in (l | e).items()]]
+        if self.rest is None:
+            return _shares(j.groupBy(*keys).agg(*[F.first(c).alias(c) for c in own], *total), points, *own)
+        s = j.groupBy(*keys).agg(*total).unionByName(_sums(self.rest, what, points, self.o))
+        return what.drop("x").join(_shares(s.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", *l, *e)]), points), keys)
 
 
 def _bracket(r: DataFrame, points: tuple[float, ...], low: Column) -> DataFrame:
@@ -139,7 +204,7 @@ def _bracket(r: DataFrame, points: tuple[float, ...], low: Column) -> DataFrame:
 _BRACKET = ("lo", "hi", "r_lo", "r_hi", "v_lo", "v_hi", "halve")
 
 
-def _narrowed(state: DataFrame, rows: DataFrame, o: Options, rounds: int) -> tuple[DataFrame, DataFrame]:
+def _narrowed(state: DataFrame, cohort: Cohort, o: Options, rounds: int) -> tuple[DataFrame, DataFrame]:
     """Brackets that `rounds` steps bring below prec, and those that are still wider."""
     done, beside = None, o.prec / 2
     span = F.col("hi") - F.col("lo")
@@ -151,8 +216,7 @@ def _narrowed(state: DataFrame, rows: DataFrame, o: Options, rounds: int) -> tup
             return done, open_
         secant = F.when((F.col("r_lo") > 0) & (F.col("r_hi") < 0), F.col("lo") + span * F.col("r_lo") / (F.col("r_lo") - F.col("r_hi"))).otherwise(F.col("lo") + span / 2)
         x = F.when(F.col("halve"), F.col("lo") + span / 2).otherwise(F.greatest(F.least(secant, F.col("hi") - beside), F.col("lo") + beside))
-        asked = open_.withColumn("next", x)
-        got = asked.join(answers(rows, asked.withColumn("x", F.array("next")), 1, o), [*KEYS, "config"])
+        got = cohort.answered(open_.withColumn("next", x).withColumn("x", F.array("next")), 1)
         over = F.coalesce(F.col("e0") - F.col("next"), F.lit(0.0))
         right = over >= 0
         new = {"lo": F.when(right, F.col("next")).otherwise(F.col("lo")), "hi": F.when(right, F.col("hi")).otherwise(F.col("next")), "r_lo": F.when(right, over).otherwise(F.col("r_lo")), "r_hi": F.when(right, F.col("r_hi")).otherwise(over), "v_lo": F.when(right, F.col("l0")).otherwise(F.col("v_lo")), "v_hi": F.when(right, F.col("v_hi")).otherwise(F.col("l0"))}
@@ -161,14 +225,14 @@ def _narrowed(state: DataFrame, rows: DataFrame, o: Options, rounds: int) -> tup
     return done.unionByName(state.where(span <= o.prec)), state.where(span > o.prec)
 
 
-def best_frequencies(rows: DataFrame, wanted: DataFrame, o: Options) -> DataFrame:
+def best_frequencies(cohort: Cohort, wanted: DataFrame, o: Options) -> DataFrame:
     """chrom, pos, config, f, llk at the greatest likelihood of each wanted (chrom, pos, ref_base, config)."""
-    ask = lambda what, points: written(what.join(answers(rows, what.withColumn("x", F.array(*map(F.lit, points))), len(points), o), [*KEYS, "config"]))
+    ask = lambda what, points: written(cohort.answered(what.withColumn("x", F.array(*map(F.lit, points))), len(points)))
     first = ask(wanted, ENDS)
     up = [F.coalesce(F.col(f"e{i}") - p, F.lit(0.0)) >= 0 for i, p in enumerate(ENDS)]
     inner, odd = up[0] & ~up[2], (~up[0] & (up[1] | up[2])) | (up[0] & ~up[1] & up[2])
     edge = first.where(~inner & ~odd).select(*KEYS, "ref_base", "config", F.when(up[2], K.HIGH).otherwise(K.LOW).alias("f"), F.when(up[2], F.col("l2")).otherwise(F.col("l0")).alias("llk"), F.greatest("l0", "l1", "l2").alias("top"))
-    done, wide = _narrowed(_bracket(first.where(inner), ENDS, F.when(up[1], 1).otherwise(0)), rows, o, SECANTS)
+    done, wide = _narrowed(_bracket(first.where(inner), ENDS, F.when(up[1], 1).otherwise(0)), cohort, o, SECANTS)
     ends = first.select(*KEYS, "config", F.greatest("l0", "l1", "l2").alias("top"))
     settled = lambda d: d.select(*KEYS, "ref_base", "config", F.when(F.col("v_lo") >= F.col("v_hi"), F.col("lo")).otherwise(F.col("hi")).alias("f"), F.greatest("v_lo", "v_hi").alias("llk"))
     found = written(edge.unionByName(settled(done).join(ends, [*KEYS, "config"])))
@@ -184,7 +248,7 @@ def best_frequencies(rows: DataFrame, wanted: DataFrame, o: Options) -> DataFram
     last = len(GRID) - 1
     at_end = (F.col("_up") & (F.col("_top") == last)) | (~F.col("_up") & (F.col("_top") == 0))
     ended = grid.where(at_end).select(*KEYS, "config", F.when(F.col("_up"), K.HIGH).otherwise(K.LOW).alias("f"), F.array_max(values).alias("llk"))
-    done, _ = _narrowed(_bracket(grid.where(~at_end), GRID, F.when(F.col("_up"), F.col("_top")).otherwise(F.col("_top") - 1)), rows, o, HALVINGS)
+    done, _ = _narrowed(_bracket(grid.where(~at_end), GRID, F.when(F.col("_up"), F.col("_top")).otherwise(F.col("_top") - 1)), cohort, o, HALVINGS)
     return out.unionByName(ended).unionByName(settled(done).select(*KEYS, "config", "f", "llk"))
 
 
@@ -212,9 +276,9 @@ def call_wide_cohort(obs: DataFrame, ped: DataFrame, o: Options = Options()) ->
     p_ts = o.poly_tstv / (1 + o.poly_tstv)
     weight = (p_ts, (1 - p_ts) / 2, (1 - p_ts) / 2, 0.001, 0.001, 0.001)
 
-    def scored(configs: range, which: DataFrame) -> DataFrame:
+    def scored(configs: tuple[int, ...], which: DataFrame) -> DataFrame:
         wanted = which.select(*KEYS, "ref_base", F.explode(F.array(*map(F.lit, configs))).alias("config"))
-        got = best_frequencies(rows, wanted, o)
+        got = best_frequencies(Cohort(rows, which, configs, o), wanted, o)
         return got.groupBy(*KEYS).agg(*[F.max(F.when(F.col("config") == c, F.col(x))).alias(f"{x}{c}") for c in configs for x in ("f", "llk")])
 
     def posterior(scores: list[Column]) -> tuple[Column, Column]:
@@ -223,9 +287,9 @@ def call_wide_cohort(obs: DataFrame, ped: DataFrame, o: Options = Options()) ->
 
     score = lambda c: F.log10(F.col("prior") * weight[c - 1]) + F.col(f"llk{c}")
     mono = F.log10(1 - F.col("prior")) + F.col("mono")
-    table = written(site.withColumn("prior", prior).join(scored(range(1, 4), site), list(KEYS)))
+    table = written(site.withColumn("prior", prior).join(scored((1, 2, 3), site), list(KEYS)))
     doubt = table.where(posterior([mono, *map(score, (1, 2, 3))])[1] < 0.99)
-    table = table.join(scored(range(4, 7), doubt), list(KEYS), "left")
+    table = table.join(scored((4, 5, 6), doubt), list(KEYS), "left")
     scores = [mono, *map(score, (1, 2, 3)), *[F.coalesce(score(c), F.lit(float("-inf"))) for c in (4, 5, 6)]]
     config, post = posterior(scores)
     table = table.select("*", config.alias("config"), post.alias("posterior"), F.array_position(F.array(*scores[1:4]), F.greatest(*scores[1:4])).cast("int").alias("likeliest"))
