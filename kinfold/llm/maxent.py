@@ -53,6 +53,8 @@ SHARD_TOKENS, LEAST_SHARDS, MOST_SHARDS = 3_000_000, 2, 1024
 #: The end of a text, which no word can be.
 END = "\n"
 _NONE = -(1 << 31)
+#: Bounds of a score; e to their power, times the outcomes of a level, is a float32.
+MOST_SCORE = 80.0
 
 
 def token_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
@@ -155,12 +157,18 @@ def initial(vocab: Vocabulary) -> Weights:
     mass = [first[None], leaves.reshape(FAN, FAN, FAN).sum(axis=2), leaves.reshape(FAN * FAN, FAN), tail[None]]
     n = 1 << max(vocab.v - 1, 1).bit_length()
     n = min(max(n, LEAST_ROWS), MOST_ROWS)
-    return Weights([np.where(h, np.log(m + 0.5), -30.0).astype(np.float32) for h, m in zip(has, mass, strict=True)], [np.zeros((n, w), dtype=np.float32) for w in WIDTHS])
+    share = lambda m: np.log((m + 0.5) / (m + 0.5).sum(axis=1, keepdims=True))
+    return Weights([np.where(h, share(m), -30.0).astype(np.float32) for h, m in zip(has, mass, strict=True)], [np.zeros((n, w), dtype=np.float32) for w in WIDTHS])
 
 
-def _mix(a: np.ndarray, b: np.ndarray | int, c: np.ndarray | int, salt: int, rows: int) -> np.ndarray:
-    x = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0x165667B1 + salt * 0xC2B2AE3D) & 0x7FFFFFFFFFFF
-    return ((x ^ (x >> 17)) * 0x27D4EB2F >> 13) & (rows - 1)
+def _mixed(x: np.ndarray, rows: int) -> np.ndarray:
+    """Rows that sums of multiplied features fall in; x is written over."""
+    x &= 0x7FFFFFFFFFFF
+    x ^= x >> 17
+    x *= 0x27D4EB2F
+    x >>= 13
+    x &= rows - 1
+    return x
 
 
 class Batch:
@@ -194,21 +202,25 @@ class Batch:
         return np.arange(len(self.ids)) if level == 0 else np.flatnonzero(self.is_head != (level == TAIL))
 
     def rows(self, level: int, at: np.ndarray, n: int) -> np.ndarray:
-        """The rows of the histories before the positions."""
-        w1, w2, w3 = (w[at] for w in self.back)
-        up, salt = (self.parent[level][at] + 1) * level, 8 * level
-        pairs = [(w1, 0), (w2, 0), (w1, w2 + 1)] + ([(w3, 0)] if level in (0, TAIL) else [])
-        return np.stack([_mix(a, b, up, salt + k, n) for k, (a, b) in enumerate(pairs)], axis=1)
-
-
-def _raised(w: Weights, b: Batch, level: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The scores of each position's outcomes, less the greatest."""
-    table = w.rows[level]
-    z = w.bias[level][b.parent[level][at]]
-    for k in range(rows.shape[1]):
-        z += table[rows[:, k]]
-    z -= z.max(axis=1, keepdims=True)
-    return z
+        """The rows of the histories before the positions, a line for each feature."""
+        w1, w2, w3 = (w[at] * 0x9E3779B1 if level in (0, TAIL) or w is not self.back[2] else None for w in self.back)
+        up = (self.parent[level][at] + 1) * (level * 0x165667B1) + 8 * level * 0xC2B2AE3D
+        sums = [up + w1, up + w2, up + w1 + (self.back[1][at] + 1) * 0x85EBCA77] + ([up + w3] if w3 is not None else [])
+        return np.stack([_mixed(x + k * 0xC2B2AE3D, n) for k, x in enumerate(sums)])
+
+
+def _raised(w: Weights, b: Batch, level: int, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The scores of each position's outcomes raised to powers of e, and their sums. The biases are logarithms of shares, so
+    that scores lie well within the bounds that keep float32 from running over."""
+    table, bias = w.rows[level], w.bias[level]
+    z = np.take(table, rows[0], axis=0, mode="clip")
+    more = np.empty_like(z)
+    for r in rows[1:]:
+        z += np.take(table, r, axis=0, mode="clip", out=more)
+    z += bias if len(bias) == 1 else np.take(bias, b.parent[level][at], axis=0, mode="clip", out=more)
+    np.clip(z, -MOST_SCORE, MOST_SCORE, out=z)
+    np.exp(z, out=z)
+    return z, np.einsum("ij->i", z)
 
 
 def log_prob(b: Batch, w: Weights, vocab: Vocabulary) -> np.ndarray:
@@ -216,10 +228,10 @@ def log_prob(b: Batch, w: Weights, vocab: Vocabulary) -> np.ndarray:
     out = np.zeros(len(b.ids))
     for level in range(len(WIDTHS)):
         at = b.at(level)
-        for lo in range(0, len(at), 1_024):
-            i = at[lo : lo + 1_024]
-            z = _raised(w, b, level, i, b.rows(level, i, len(w.rows[level])))
-            out[i] += z[np.arange(len(i)), b.target[level][i]] - np.log(np.exp(z, out=z).sum(axis=1))
+        for lo in range(0, len(at), 4_096):
+            i = at[lo : lo + 4_096]
+            z, total = _raised(w, b, level, i, b.rows(level, i, len(w.rows[level])))
+            out[i] += np.log(z[np.arange(len(i)), b.target[level][i]] / total)
     out /= np.log(10.0)
     low = np.flatnonzero(~b.is_head)
     out[low] -= vocab.tail_log[b.tail[low]]
@@ -228,6 +240,12 @@ def log_prob(b: Batch, w: Weights, vocab: Vocabulary) -> np.ndarray:
     return out
 
 
+def _put(table: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
+    """table[row] = values, whole rows at a time."""
+    whole = f"V{table.shape[1] * table.itemsize}"
+    table.view(whole)[row] = values.view(whole)
+
+
 class Trainer:
     """Gradient steps of one shard, from the round's start."""
 
@@ -242,30 +260,32 @@ class Trainer:
             for lo in range(0, len(at), BATCH):
                 i = at[lo : lo + BATCH]
                 rows = b.rows(level, i, len(self.w.rows[level]))
-                grad = _raised(self.w, b, level, i, rows)
-                np.exp(grad, out=grad)
-                grad /= grad.sum(axis=1, keepdims=True)
+                grad, total = _raised(self.w, b, level, i, rows)
+                grad *= (1 / total)[:, None]
                 grad[np.arange(len(i)), b.target[level][i]] -= 1
                 self._step(level, rows, grad)
 
     def _step(self, level: int, rows: np.ndarray, grad: np.ndarray) -> None:
-        """One AdaGrad step; rows: (n, k), grad: (n, width), the same for each of the k rows of a position."""
+        """One AdaGrad step; rows: (k, n), grad: (n, width), the same for each of the k rows of a position."""
         flat = rows.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
-        of = flat[order]
+        of = np.take(flat, order)
         ends = np.flatnonzero(np.append(of[1:] != of[:-1], True))
         row = of[ends]
         n = np.diff(ends, prepend=-1)
-        g = grad[order[ends] // rows.shape[1]]
+        position = np.take(np.tile(np.arange(rows.shape[1]), len(rows)), order)
+        g = np.take(grad, position[ends], axis=0, mode="clip")
         many = np.flatnonzero(n > 1)
         if len(many):  # most rows are touched once; the others' sums are taken two floats at a time
-            of_many = order[np.repeat(n > 1, n)] // rows.shape[1]
+            of_many = position[np.repeat(n > 1, n)]
             first = np.cumsum(n[many]) - n[many]
-            g[many] = np.add.reduceat(grad[of_many].view(np.complex64), first, axis=0).view(np.float32)
+            _put(g, many, np.add.reduceat(np.take(grad, of_many, axis=0, mode="clip").view(np.complex64), first, axis=0).view(np.float32))
         square = self.square[level][row] + np.einsum("ij,ij->i", g, g) / g.shape[1]
         self.square[level][row] = square
         self.touched[level][row] += n
-        self.w.rows[level][row] -= (RATE / np.sqrt(square))[:, None] * g
+        g *= (RATE / np.sqrt(square))[:, None]
+        table = self.w.rows[level]
+        _put(table, row, np.subtract(np.take(table, row, axis=0, mode="clip"), g, out=g))
 
     def blocks(self, shard: int) -> pd.DataFrame:
         """The touched rows' weights times their positions, and these, by blocks of BLOCK rows."""
