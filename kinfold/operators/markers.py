@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.kernels import chi2_tail, normal_quantile, t_tail
+from kinfold.functions.lineage import written
 from kinfold.functions.scalars import ibs, let
 from kinfold.operators.pedigrees import with_nulls
 from kinfold.operators.scans import prefix_sums
 
 #: Persons of a pedigree that may be broadcast: 40 bytes each.
 MAX_PERSONS = 500_000
+#: Rows of children that a task gathers into sibships.
+CHILDREN_A_TASK = 250_000
 
 
 def small(ped: DataFrame) -> DataFrame:
@@ -121,6 +124,14 @@ def mendel_errors_x(geno: DataFrame, ped: DataFrame) -> DataFrame:
     return het.unionByName(child)
 
 
+def _spread(children: DataFrame) -> DataFrame:
+    """The rows, a family's at a marker together, in as many partitions as hold CHILDREN_A_TASK each. They are written once before,
+    where they are counted; sibships are then gathered behind this shuffle alone, not in the few tasks that read a small table of markers."""
+    rows = written(children)
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // CHILDREN_A_TASK))
+    return rows.repartition(n, "marker", "famid")
+
+
 def mendel_errors_x_sibships(geno: DataFrame, ped: DataFrame) -> DataFrame:
     """marker, famid, fatid, motid of sibships that no parents can have, though each child fits its typed parents.
 
@@ -130,7 +141,7 @@ def mendel_errors_x_sibships(geno: DataFrame, ped: DataFrame) -> DataFrame:
     j = _with_parents(without_het_males(geno, ped), ped)
     kinds = j.where(_fits_x(j) & F.col("sex").isin(1, 2)).select("marker", "famid", "fatid", "motid", "sex", F.least("a1", "a2").alias("lo"), F.greatest("a1", "a2").alias("hi"), "f1", "m1", "m2")
     kind = F.struct("lo", "hi")
-    s = kinds.groupBy("marker", "famid", "fatid", "motid").agg(F.max("f1").alias("f"), F.max("m1").alias("m1"), F.max("m2").alias("m2"), F.collect_set(F.when(F.col("sex") == 1, F.col("lo"))).alias("sons"), F.collect_set(F.when(F.col("sex") == 2, kind)).alias("sisters"))
+    s = _spread(kinds).groupBy("marker", "famid", "fatid", "motid").agg(F.max("f1").alias("f"), F.max("m1").alias("m1"), F.max("m2").alias("m2"), F.collect_set(F.when(F.col("sex") == 1, F.col("lo"))).alias("sons"), F.collect_set(F.when(F.col("sex") == 2, kind)).alias("sisters"))
     alleles = F.transform("sisters", lambda k: F.array(k["lo"], k["hi"]))
     shared = F.aggregate(alleles, F.get(alleles, F.lit(0)), F.array_intersect)
     fathers = F.when(F.size("sisters") == 0, F.array(F.lit(0))).when(F.col("f").isNotNull(), F.array("f")).otherwise(shared)
@@ -145,7 +156,8 @@ def sibship_errors(geno: DataFrame, ped: DataFrame) -> DataFrame:
     c = typed(geno).join(small(with_nulls(ped).where("fatid is not null")), ["famid", "pid"])
     keys = ["marker", "famid", "fatid", "motid"]
     # one state a sibship: its distinct genotypes, no more than it has typed children
-    s = c.groupBy(*keys).agg(F.collect_set(F.struct(F.least("a1", "a2").alias("lo"), F.greatest("a1", "a2").alias("hi"))).alias("kinds"))
+    c = _spread(c.select(*keys, F.least("a1", "a2").alias("lo"), F.greatest("a1", "a2").alias("hi")))
+    s = c.groupBy(*keys).agg(F.collect_set(F.struct("lo", "hi")).alias("kinds"))
     alleles = F.array_distinct(F.flatten(F.transform("kinds", lambda k: F.array(k["lo"], k["hi"]))))
     most = lambda a: F.array_max(F.transform(a, lambda x: F.size(F.filter("kinds", lambda k: (k["lo"] == x) | (k["hi"] == x)))))
     hom = F.size(F.filter("kinds", lambda k: k["lo"] == k["hi"]))
