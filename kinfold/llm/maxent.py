@@ -25,18 +25,19 @@ of its class; further columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice, repeat
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lower_bytes, worker_cache
+from .common import cut, release, worker_cache
 
 FAN = 16
 HEAD, TAIL_CLASSES = FAN**3, 48
@@ -53,32 +54,58 @@ SHARD_TOKENS, LEAST_SHARDS, MOST_SHARDS = 3_000_000, 2, 1024
 #: The end of a text, which no word can be.
 END = "\n"
 _NONE = -(1 << 31)
+#: How many of a row's positions a step adds to those of all rows at once; what few rows have left is summed row by row.
+LAYERS = 8
 #: Bounds of a score; e to their power, times the outcomes of a level, is a float32.
 MOST_SCORE = 80.0
 
 
+def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of some texts in lower case, and where each text's begin. White space at either end of a text leaves an empty
+    piece, which is no word."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    begin = lists.offsets.to_numpy()
+    return lists.values.slice(begin[0], begin[-1] - begin[0]), begin - begin[0]
+
+
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have so many bytes at most (one text may have more)."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(), dtype=np.int64)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def token_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
     """token, c over the texts of docs, the ends counted too. Tasks count ahead of the shuffle, up to `most` tokens at a time."""
 
-    def counted(held: Counter[bytes]) -> Iterator[pd.DataFrame]:
-        rows = iter(held.items())
-        while part := list(islice(rows, 20_000)):
-            yield pd.DataFrame({"token": [w.decode() for w, _ in part], "c": [c for _, c in part]})
+    def counted(rows: pa.RecordBatch) -> pa.Table:
+        got = pc.value_counts(_pieces(rows.column("text"))[0])
+        token, c = got.field("values"), got.field("counts")
+        word = pc.not_equal(token, "")
+        return pa.table({"token": pa.concat_arrays([token.filter(word), pa.array([END], token.type)]), "c": pa.concat_arrays([c.filter(word), pa.array([len(rows)], c.type)])})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        worker_cache("maxent")  # drops those of other operators
-        held: Counter[bytes] = Counter()
-        for pdf in batches:
-            for t in pdf["text"]:
-                held.update(lower_bytes(t or "").split())
-            if len(pdf):
-                held[END.encode()] += len(pdf)
-            if len(held) > most:
-                yield from counted(held)
-                held.clear()
-        yield from counted(held)
+    def summed(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("c", "sum")]).rename_columns(["token", "c"])
 
-    return docs.select("text").mapInPandas(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("maxent")  # drops those of other operators
+        held: list[pa.Table] = []
+        for batch in batches:
+            for part in _slices(batch, 1 << 22):
+                held.append(counted(part))
+                if sum(map(len, held)) > 2 * most:
+                    held = [summed(held)]
+                    if len(held[0]) > most:
+                        yield from held.pop().to_batches(20_000)
+        if held:
+            yield from summed(held).to_batches(20_000)
+        held.clear()
+        release()
+
+    return docs.select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def _tail_class(token: Column) -> Column:
@@ -100,13 +127,16 @@ class Vocabulary:
     tail_log: np.ndarray
 
     def __post_init__(self):
-        self.index = {t.encode(): i for i, t in enumerate(self.tokens)}
         self.tail_of = np.array([_tail(t) for t in self.tokens], dtype=np.int64)
         self.log_c1 = np.log10(self.counts + 1.0)
         head = sorted(range(min(HEAD, len(self.tokens))), key=lambda i: self.tokens[i][::-1])
         self.leaf = np.zeros(len(head), dtype=np.int64)
         self.leaf[head] = np.arange(len(head)) * HEAD // max(1, len(head))
 
+    @cached_property
+    def index(self) -> dict[bytes, int]:
+        return {t.encode(): i for i, t in enumerate(self.tokens)}
+
     def __getstate__(self):
         return self.tokens, self.counts, self.n, self.v, self.tail_log
 
@@ -267,25 +297,32 @@ class Trainer:
 
     def _step(self, level: int, rows: np.ndarray, grad: np.ndarray) -> None:
         """One AdaGrad step; rows: (k, n), grad: (n, width), the same for each of the k rows of a position."""
-        flat = rows.ravel()
-        order = np.argsort(flat.astype(np.uint16), kind="stable")
-        of = np.take(flat, order)
-        ends = np.flatnonzero(np.append(of[1:] != of[:-1], True))
-        row = of[ends]
-        n = np.diff(ends, prepend=-1)
-        position = np.take(np.tile(np.arange(rows.shape[1]), len(rows)), order)
-        g = np.take(grad, position[ends], axis=0, mode="clip")
-        many = np.flatnonzero(n > 1)
-        if len(many):  # most rows are touched once; the others' sums are taken two floats at a time
-            of_many = position[np.repeat(n > 1, n)]
-            first = np.cumsum(n[many]) - n[many]
-            _put(g, many, np.add.reduceat(np.take(grad, of_many, axis=0, mode="clip").view(np.complex64), first, axis=0).view(np.float32))
-        square = self.square[level][row] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        bits = (rows.shape[1] - 1).bit_length()
+        both = (rows << bits | np.arange(rows.shape[1])).ravel().astype(np.uint64 if len(self.square[level]) >> 32 - bits else np.uint32)
+        both.sort()
+        of = both >> bits
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        n = np.diff(first, append=len(of))
+        capped = np.minimum(n, LAYERS + 1)
+        by = np.argsort(-capped.astype(np.int8), kind="stable")
+        first, n = np.take(first, by), np.take(n, by)
+        row, position = np.take(of, first).astype(np.int64), (both & ((1 << bits) - 1)).astype(np.int64)
+        g = np.take(grad, np.take(position, first), axis=0, mode="clip")
+        more = np.empty_like(g)
+        beyond = len(n) - np.cumsum(np.bincount(capped, minlength=LAYERS + 2))  # rows that more than 0, 1, ... positions touch
+        for k, c in enumerate(beyond[1:LAYERS].tolist(), 1):  # their second positions, their third ones
+            g[:c] += np.take(grad, np.take(position, first[:c] + k), axis=0, mode="clip", out=more[:c])
+        if c := int(beyond[LAYERS]):  # what the longest have left, two floats at a time
+            left = n[:c] - LAYERS
+            ends = np.cumsum(left)
+            of_left = np.take(position, np.arange(ends[-1]) + np.repeat(first[:c] + LAYERS - ends + left, left))
+            g[:c] += np.add.reduceat(np.take(grad, of_left, axis=0, mode="clip").view(np.complex64), ends - left, axis=0).view(np.float32)
+        square = self.square[level][row] + np.square(g, out=more) @ np.full(g.shape[1], 1 / g.shape[1], dtype=np.float32)
         self.square[level][row] = square
         self.touched[level][row] += n
         g *= (RATE / np.sqrt(square))[:, None]
         table = self.w.rows[level]
-        _put(table, row, np.subtract(np.take(table, row, axis=0, mode="clip"), g, out=g))
+        _put(table, row, np.subtract(np.take(table, row, axis=0, mode="clip", out=more), g, out=g))
 
     def blocks(self, shard: int) -> pd.DataFrame:
         """The touched rows' weights times their positions, and these, by blocks of BLOCK rows."""
@@ -298,45 +335,66 @@ class Trainer:
         return pd.DataFrame(out, columns=["level", "block", "shard", "sums"])
 
 
-def encode(docs: DataFrame, training: Column, vocab: Vocabulary) -> DataFrame:
-    """key (of the row), doc_id, train, deal (the hash that deals the row to a shard), ids (of Batch) and rest, the tokens
-    that the vocabulary does not hold."""
+def _packed(x: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The bytes of runs of x, as binaries."""
+    return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer((begin * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+
+
+def encode(docs: DataFrame, training: Column, vocab: Vocabulary, most: int = 1 << 23) -> DataFrame:
+    """key (of the row), doc_id, train, deal (the hash that deals the row to a shard), the ids (of Batch) as the bytes of their low 16
+    bits and of the next 8, and rest, the tokens that the vocabulary does not hold. most: bytes of texts that a task looks up at a time."""
+    if len(vocab.tokens) > 1 << 23:
+        raise ValueError("ids have 24 bits")
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    schema = "key long, doc_id long, train boolean, deal long, ids array<int>, rest array<string>"
+    schema = "key long, doc_id long, train boolean, deal long, low binary, high binary, rest array<string>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = shared.value.index.get
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(shared.value.tokens, pa.string())
         key = TaskContext.get().partitionId() << 36
-        for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                part = pdf.iloc[lo : lo + 500]
-                all_ids, all_rest = [], []
-                for t in part["text"]:
-                    ws = [*lower_bytes(t or "").split(), END.encode()]
-                    ids, rest = np.fromiter(map(get, ws, repeat(_NONE)), dtype=np.int32, count=len(ws)), []
-                    for i in np.flatnonzero(ids == _NONE).tolist():
-                        w = ws[i].decode()
-                        rest.append(w)
-                        ids[i] = -1 - _tail(w)
-                    all_ids.append(ids)
-                    all_rest.append(rest)
-                yield pd.DataFrame({"key": np.arange(key, key + len(part)), "doc_id": part["doc_id"].array, "train": part["train"].array, "deal": part["deal"].array, "ids": all_ids, "rest": all_rest})
+        for batch in batches:
+            for part in _slices(batch, most):
+                piece, begin = _pieces(part.column("text"))
+                word = np.append(pc.binary_length(piece).to_numpy() > 0, True)
+                piece = pa.concat_arrays([piece, pa.array([END], piece.type)])
+                after = np.cumsum(np.diff(np.append(0, np.cumsum(word))[begin]) + 1)  # behind each text's end
+                source = np.full(after[-1], len(piece) - 1)
+                inner = np.ones(len(source), dtype=bool)
+                inner[after - 1] = False
+                source[inner] = np.flatnonzero(word[:-1])
+                ids = np.take(pc.fill_null(pc.index_in(piece, value_set=known.cast(piece.type)), _NONE).to_numpy(), source)
+                at = np.flatnonzero(ids == _NONE)
+                rest = piece.take(pa.array(source[at]))
+                last = pc.utf8_slice_codeunits(rest, -2).dictionary_encode()
+                ids[at] = -1 - np.array([_tail(x) for x in last.dictionary.to_pylist()], dtype=np.int32)[last.indices.to_numpy()]
+                after = np.append(0, after)
+                yield pa.record_batch({
+                    "key": pa.array(np.arange(key, key + len(part))), "doc_id": part.column("doc_id"), "train": part.column("train"), "deal": part.column("deal"),
+                    "low": _packed(ids.astype(np.uint16), after), "high": _packed((ids >> 16).astype(np.int8), after),
+                    "rest": pa.ListArray.from_arrays(pa.array(np.searchsorted(at, after), pa.int32()), rest),
+                })
                 key += len(part)
+        release()
 
     deal = F.xxhash64("doc_id", "text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("train"), deal.alias("deal"), "text")
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def _ids(low: list[bytes], high: list[bytes]) -> np.ndarray:
+    ids = np.frombuffer(b"".join(high), dtype=np.int8).astype(np.int64) << 16
+    ids |= np.frombuffer(b"".join(low), dtype=np.uint16)
+    return ids
 
 
 def _batches(pdf: pd.DataFrame, vocab: Vocabulary, most: int = 200_000) -> Iterator[tuple[slice, Batch]]:
     """Batches of some tokens (one text may have more), with the rows that they cover."""
-    ids = pdf["ids"].tolist()
-    length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+    low, high = pdf["low"].tolist(), pdf["high"].tolist()
+    length = np.fromiter(map(len, high), dtype=np.int64, count=len(high))
     lo = held = 0
     for i, n in enumerate(length.tolist(), 1):
         held += n
-        if held >= most or i == len(ids):
-            yield slice(lo, i), Batch(np.concatenate(ids[lo:i]).astype(np.int64), length[lo:i], vocab)
+        if held >= most or i == len(high):
+            yield slice(lo, i), Batch(_ids(low[lo:i], high[lo:i]), length[lo:i], vocab)
             lo, held = i, 0
 
 
@@ -361,7 +419,7 @@ def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, shard_tok
     shards = min(max(vocab.n // (shard_tokens * rounds), LEAST_SHARDS), MOST_SHARDS)
     columns = "level int, block int, shard int, sums binary"
     spread = F.array(*[F.lit(x) for x in _dealt_evenly(encoded.sparkSession, shards)])
-    dealt = encoded.where("train").select(F.pmod("deal", F.lit(rounds)).alias("round"), F.pmod(F.shiftright("deal", 20), F.lit(shards)).cast("int").alias("shard"), "doc_id", "deal", "ids")
+    dealt = encoded.where("train").select(F.pmod("deal", F.lit(rounds)).alias("round"), F.pmod(F.shiftright("deal", 20), F.lit(shards)).cast("int").alias("shard"), "doc_id", "deal", "low", "high")
     for k in range(rounds):
         shared = sc.broadcast((vocab, w))
 
@@ -380,7 +438,7 @@ def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, shard_tok
                 yield trainer.blocks(shard)
 
         rows = dealt.where(F.col("round") == k).repartition(shards, F.coalesce(F.get(spread, F.col("shard")), F.col("shard").cast("long"))).sortWithinPartitions("shard", "doc_id", "deal")
-        sums = cut(rows.select("shard", "ids").mapInPandas(run, columns))
+        sums = cut(rows.select("shard", "low", "high").mapInPandas(run, columns))
         n = shards
         while n > 1:  # no task adds up more than FAN_IN blocks
             sums = sums.groupBy("level", "block", F.floor(F.col("shard") / FAN_IN).cast("int").alias("shard")).applyInPandas(_summed, columns)
@@ -411,7 +469,7 @@ def score(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary, weights: Wei
                     "base": np.bincount(b.owner[known], v.log_c1[b.ids[known]], minlength=n), "lm": np.bincount(b.owner, log_prob(b, w, v), minlength=n),
                 })
 
-    part = encoded.select("key", "doc_id", "ids").mapInPandas(run, schema)
+    part = encoded.select("key", "doc_id", "low", "high").mapInPandas(run, schema)
     rest = encoded.select("key", F.explode("rest").alias("token")).join(counts, "token")
     rest = rest.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("c") + 1)).alias("s"))
     places = float(np.log10(vocab.n + vocab.v + 1))
