@@ -28,6 +28,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -335,18 +336,19 @@ class Trainer:
         return pd.DataFrame(out, columns=["level", "block", "shard", "sums"])
 
 
-def _packed(x: np.ndarray, begin: np.ndarray) -> pa.Array:
-    """The bytes of runs of x, as binaries."""
-    return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer((begin * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+def _packed(ids: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """Each text's ids: the low 16 bits of all, then the next 8."""
+    low, high = ids.astype(np.uint16).tobytes(), (ids >> 16).astype(np.int8).tobytes()
+    return [low[2 * a : 2 * b] + high[a:b] for a, b in pairwise(begin.tolist())]
 
 
 def encode(docs: DataFrame, training: Column, vocab: Vocabulary, most: int = 1 << 23) -> DataFrame:
-    """key (of the row), doc_id, train, deal (the hash that deals the row to a shard), the ids (of Batch) as the bytes of their low 16
-    bits and of the next 8, and rest, the tokens that the vocabulary does not hold. most: bytes of texts that a task looks up at a time."""
+    """key (of the row), doc_id, train, deal (the hash that deals the row to a shard), the ids (of Batch) as the bytes of
+    _packed, and rest, the tokens that the vocabulary does not hold. most: bytes of texts that a task looks up at a time."""
     if len(vocab.tokens) > 1 << 23:
         raise ValueError("ids have 24 bits")
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    schema = "key long, doc_id long, train boolean, deal long, low binary, high binary, rest array<string>"
+    schema = "key long, doc_id long, train boolean, deal long, ids binary, rest array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(shared.value.tokens, pa.string())
@@ -369,7 +371,7 @@ def encode(docs: DataFrame, training: Column, vocab: Vocabulary, most: int = 1 <
                 after = np.append(0, after)
                 yield pa.record_batch({
                     "key": pa.array(np.arange(key, key + len(part))), "doc_id": part.column("doc_id"), "train": part.column("train"), "deal": part.column("deal"),
-                    "low": _packed(ids.astype(np.uint16), after), "high": _packed((ids >> 16).astype(np.int8), after),
+                    "ids": pa.array(_packed(ids, after), pa.binary()),
                     "rest": pa.ListArray.from_arrays(pa.array(np.searchsorted(at, after), pa.int32()), rest),
                 })
                 key += len(part)
@@ -380,21 +382,21 @@ def encode(docs: DataFrame, training: Column, vocab: Vocabulary, most: int = 1 <
     return rows.mapInArrow(run, schema)
 
 
-def _ids(low: list[bytes], high: list[bytes]) -> np.ndarray:
-    ids = np.frombuffer(b"".join(high), dtype=np.int8).astype(np.int64) << 16
-    ids |= np.frombuffer(b"".join(low), dtype=np.uint16)
+def _ids(packed: list[bytes]) -> np.ndarray:
+    ids = np.frombuffer(b"".join(x[len(x) // 3 * 2 :] for x in packed), dtype=np.int8).astype(np.int64) << 16
+    ids |= np.frombuffer(b"".join(x[: len(x) // 3 * 2] for x in packed), dtype=np.uint16)
     return ids
 
 
 def _batches(pdf: pd.DataFrame, vocab: Vocabulary, most: int = 200_000) -> Iterator[tuple[slice, Batch]]:
     """Batches of some tokens (one text may have more), with the rows that they cover."""
-    low, high = pdf["low"].tolist(), pdf["high"].tolist()
-    length = np.fromiter(map(len, high), dtype=np.int64, count=len(high))
+    packed = pdf["ids"].tolist()
+    length = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 3
     lo = held = 0
     for i, n in enumerate(length.tolist(), 1):
         held += n
-        if held >= most or i == len(high):
-            yield slice(lo, i), Batch(_ids(low[lo:i], high[lo:i]), length[lo:i], vocab)
+        if held >= most or i == len(packed):
+            yield slice(lo, i), Batch(_ids(packed[lo:i]), length[lo:i], vocab)
             lo, held = i, 0
 
 
@@ -419,7 +421,7 @@ def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, shard_tok
     shards = min(max(vocab.n // (shard_tokens * rounds), LEAST_SHARDS), MOST_SHARDS)
     columns = "level int, block int, shard int, sums binary"
     spread = F.array(*[F.lit(x) for x in _dealt_evenly(encoded.sparkSession, shards)])
-    dealt = encoded.where("train").select(F.pmod("deal", F.lit(rounds)).alias("round"), F.pmod(F.shiftright("deal", 20), F.lit(shards)).cast("int").alias("shard"), "doc_id", "deal", "low", "high")
+    dealt = encoded.where("train").select(F.pmod("deal", F.lit(rounds)).alias("round"), F.pmod(F.shiftright("deal", 20), F.lit(shards)).cast("int").alias("shard"), "doc_id", "deal", "ids")
     for k in range(rounds):
         shared = sc.broadcast((vocab, w))
 
@@ -438,7 +440,7 @@ def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, shard_tok
                 yield trainer.blocks(shard)
 
         rows = dealt.where(F.col("round") == k).repartition(shards, F.coalesce(F.get(spread, F.col("shard")), F.col("shard").cast("long"))).sortWithinPartitions("shard", "doc_id", "deal")
-        sums = cut(rows.select("shard", "low", "high").mapInPandas(run, columns))
+        sums = cut(rows.select("shard", "ids").mapInPandas(run, columns))
         n = shards
         while n > 1:  # no task adds up more than FAN_IN blocks
             sums = sums.groupBy("level", "block", F.floor(F.col("shard") / FAN_IN).cast("int").alias("shard")).applyInPandas(_summed, columns)
@@ -469,7 +471,7 @@ def score(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary, weights: Wei
                     "base": np.bincount(b.owner[known], v.log_c1[b.ids[known]], minlength=n), "lm": np.bincount(b.owner, log_prob(b, w, v), minlength=n),
                 })
 
-    part = encoded.select("key", "doc_id", "low", "high").mapInPandas(run, schema)
+    part = encoded.select("key", "doc_id", "ids").mapInPandas(run, schema)
     rest = encoded.select("key", F.explode("rest").alias("token")).join(counts, "token")
     rest = rest.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("c") + 1)).alias("s"))
     places = float(np.log10(vocab.n + vocab.v + 1))

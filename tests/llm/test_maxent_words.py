@@ -40,13 +40,13 @@ def test_ids_of_odd_texts_are_those_of_plain_python_in_three_bytes(spark, known,
     assert [r.train for r in rows] == [k not in (3, 4) for k in range(len(TEXTS))]
     for r, t in zip(rows, TEXTS, strict=True):
         ws = _plain(t)
-        assert maxent._ids([r.low], [r.high]).tolist() == [vocab.index.get(w.encode(), -1 - maxent._tail(w)) for w in ws]
-        assert r.rest == [w for w in ws if w.encode() not in vocab.index] and len(r.low) + len(r.high) == 3 * len(ws)
+        assert maxent._ids([r.ids]).tolist() == [vocab.index.get(w.encode(), -1 - maxent._tail(w)) for w in ws]
+        assert r.rest == [w for w in ws if w.encode() not in vocab.index] and len(r.ids) == 3 * len(ws)
 
 
 def test_ids_of_24_bits_come_back():
     x = np.array([0, 1, -1, -48, 4095, 65_535, 65_536, 149_999, -(1 << 23), (1 << 23) - 1], dtype=np.int32)
-    assert maxent._ids([x[:4].astype(np.uint16).tobytes(), x[4:].astype(np.uint16).tobytes()], [(x >> 16).astype(np.int8).tobytes()]).tolist() == x.tolist()
+    assert maxent._ids(maxent._packed(x, np.array([0, 4, 4, len(x)]))).tolist() == x.tolist()
 
 
 def test_a_vocabulary_travels_without_its_index():
